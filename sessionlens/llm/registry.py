@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import license_scan, url_filter
+from . import license_scan, mixing, simhash, url_filter
 
 QUERIES = {
+    "op1_simhash_dedup": simhash.op1_simhash_dedup,
+    "op3_mix_sources": mixing.op3_mix_sources,
     "op7_license_scan": license_scan.op7_license_scan,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 ORACLES = {
+    "op3_mix_sources": mixing.ORACLE_SQL,
     "op7_license_scan": license_scan.ORACLE_SQL,
     "op10_url_filter": url_filter.ORACLE_SQL,
 }

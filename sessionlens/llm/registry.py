@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, mixing, simhash, substring_dedup, url_filter
+from . import decontaminate, embedding_dedup, license_scan, mixing, simhash, substring_dedup, url_filter
 
 QUERIES = {
     "op1_simhash_dedup": simhash.op1_simhash_dedup,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op7_license_scan": license_scan.op7_license_scan,
+    "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
 }
@@ -16,6 +17,7 @@ ORACLES = {
     "op2_decontaminate": decontaminate.ORACLE_SQL,
     "op3_mix_sources": mixing.ORACLE_SQL,
     "op7_license_scan": license_scan.ORACLE_SQL,
+    "op8_embedding_dedup": embedding_dedup.ORACLE_SQL,
     "op9_substring_dedup": substring_dedup.ORACLE_SQL,
     "op10_url_filter": url_filter.ORACLE_SQL,
 }

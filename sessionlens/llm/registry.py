@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dedup, license_scan, mixing, simhash, substring_dedup, url_filter
+from . import decontaminate, embedding_dedup, language_id, license_scan, mixing, quality_crf, simhash, substring_dedup, url_filter
 
 QUERIES = {
     "op1_simhash_dedup": simhash.op1_simhash_dedup,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_mix_sources": mixing.op3_mix_sources,
+    "op4_language_id": language_id.op4_language_id,
+    "op5_quality_crf": quality_crf.op5_quality_crf,
     "op7_license_scan": license_scan.op7_license_scan,
     "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,

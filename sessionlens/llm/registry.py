@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dedup, language_id, license_scan, mixing, quality_crf, simhash, substring_dedup, url_filter
+from . import decontaminate, embedding_dedup, language_id, lattice_lm, license_scan, mixing, quality_crf, simhash, substring_dedup, url_filter
 
 QUERIES = {
     "op1_simhash_dedup": simhash.op1_simhash_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_language_id": language_id.op4_language_id,
     "op5_quality_crf": quality_crf.op5_quality_crf,
+    "op6_lm_score": lattice_lm.op6_lm_score,
     "op7_license_scan": license_scan.op7_license_scan,
     "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,

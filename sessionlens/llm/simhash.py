@@ -22,6 +22,7 @@ of their fingerprint, if that has an id. Repeated rows are returned as often as
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,19 +39,8 @@ BLOCK = 1 << 14
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """SimHash of one text, as a signed 64-bit number."""
-    ws = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not ws:
-        return 0
-    if len(ws) < shingle:
-        grams = [b" ".join(ws)]
-    else:
-        grams = list(map(b" ".join, zip(*(ws[i:] for i in range(shingle)))))
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(grams), BLOCK):
-        part = grams[at : at + BLOCK]
-        h = np.fromiter((xxh64_intdigest(g, 42) for g in part), "<u8", len(part))
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(grams), bitorder="little").view("<i8")[0])
+    grams = _grams((text or "").encode("utf-8", "surrogatepass").lower().split(), shingle)
+    return _bits(grams, 42) if grams else 0
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -80,30 +70,34 @@ def _signed(bit: int) -> int:
 
 
 def links(nodes: DataFrame, radius: int = 2, bucket_pairs: int = 64) -> DataFrame:
-    """a, b: links between nodes (fp, node; each fp once) that connect all within the radius of each other."""
+    """a, b: links between nodes that connect all within the radius of each other.
+
+    nodes: seed, fp, node; each fingerprint of a seed once. Only fingerprints of one seed are compared.
+    """
     masks = covering_masks(radius)
     table = F.array(*(F.struct(F.lit(i).alias("v"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)))
-    keys = materialize(nodes.select("fp", "node", F.explode(table).alias("x")).select("x.v", "x.key", "fp", "node"), "tables")
-    crowded = materialize(keys.groupBy("v", "key").agg(F.count("*").alias("n")).where(F.col("n") > bucket_pairs).select("v", "key"), "crowded")
+    keys = materialize(nodes.select("seed", "fp", "node", F.explode(table).alias("x")).select("seed", "x.v", "x.key", "fp", "node"), "tables")
+    bucket = ["seed", "v", "key"]
+    crowded = materialize(keys.groupBy(*bucket).agg(F.count("*").alias("n")).where(F.col("n") > bucket_pairs).select(*bucket), "crowded")
     if radius > 2:
         crowded = crowded.where("false")
-    sparse = keys.join(crowded, ["v", "key"], "left_anti")
-    left, right = (sparse.select("v", "key", F.col("fp").alias(f"fp_{s}"), F.col("node").alias(f"node_{s}")) for s in "ab")
+    sparse = keys.join(crowded, bucket, "left_anti")
+    left, right = (sparse.select(*bucket, F.col("fp").alias(f"fp_{s}"), F.col("node").alias(f"node_{s}")) for s in "ab")
     differ = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
     first = F.lit(True)
     for i, m in enumerate(masks[:-1]):  # a pair counts in the first table where it meets
         first = first & ~((F.lit(i) < F.col("v")) & (differ.bitwiseAND(F.lit(m)) == 0))
-    pairs = left.join(right, ["v", "key"]).where((F.col("fp_a") < F.col("fp_b")) & (F.bit_count(differ) <= radius) & first)
+    pairs = left.join(right, bucket).where((F.col("fp_a") < F.col("fp_b")) & (F.bit_count(differ) <= radius) & first)
 
     flips = [F.lit(0).cast("long"), *(F.lit(_signed(i)) for i in range(BITS))]
     kept = F.element_at(F.array(*(F.lit(m) for m in masks)), F.col("v") + 1)
     middle = F.filter(F.array(*flips), lambda f: f.bitwiseAND(kept) == 0)
-    dense = keys.join(crowded, ["v", "key"], "left_semi").select("node", "fp", F.explode(middle).alias("flip"))
+    dense = keys.join(crowded, bucket, "left_semi").select("seed", "node", "fp", F.explode(middle).alias("flip"))
     # The same midpoint may come from several tables; one listing is enough.
-    listed = dense.select("node", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid")).distinct()
+    listed = dense.select("node", F.xxhash64("seed").bitwiseXOR(F.col("fp")).bitwiseXOR(F.col("flip")).alias("mid"), "seed").distinct()
     listed = materialize(listed, "midpoints")
-    least = listed.groupBy("mid").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select(F.col("mid").alias("m"), "least")
-    stars = join_on_copy(listed, least, "mid", "m", "inner").where("node <> least").select("node", "least").distinct()
+    least = listed.groupBy("seed", "mid").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select(F.col("seed").alias("l_seed"), F.col("mid").alias("m"), "least")
+    stars = join_on_copy(listed, least, "mid", "m", "inner").where("seed = l_seed and node <> least").select("node", "least").distinct()
     return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).unionByName(stars.toDF("a", "b"))
 
 
@@ -116,16 +110,88 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, bucket_p
     fps = materialize(fingerprints(docs, shingle), "fingerprints")
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
     known = nodes.where("node is not null")
-    comp = connected_components(links(known, radius, bucket_pairs))
+    comp = connected_components(links(known.withColumn("seed", F.lit(0)), radius, bucket_pairs))
     joined = nodes.join(comp.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left")
     of_fp = materialize(joined.select(F.col("fp").alias("c_fp"), F.coalesce("component", "node").alias("component_id")), "components")
     return fps.join(of_fp, F.col("fp") == F.col("c_fp"), "left").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def _grams(ws: list[bytes], shingle: int) -> list[bytes]:
+    if len(ws) < shingle:
+        return [b" ".join(ws)] if ws else []
+    return list(map(b" ".join, zip(*(ws[i:] for i in range(shingle)))))
+
+
+def _bits(grams: list[bytes], seed: int) -> int:
+    h = np.fromiter((xxh64_intdigest(g, seed) for g in grams), "<u8", len(grams))
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(h), BLOCK):
+        ones += np.unpackbits(h[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seeds: int = 5, radius: int = 2) -> DataFrame:
+    """doc_id, component_id: rows of docs (doc_id, text) whose group has a smaller id than their own.
+
+    Groups are connected by equal word sequences (A-Z lower-cased) and by pairs whose sets of
+    ``shingle``-word shingles have a Jaccard similarity of at least ``similarity``. Candidates
+    are the links of ``seeds`` independent SimHash fingerprints of the texts' distinct words: word
+    edits change few words but many shingles, so similar texts stay within a small radius.
+    """
+
+    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keys, fps = [], []
+            for t in b["text"]:
+                ws = (t or "").encode("utf-8", "surrogatepass").lower().split()
+                keys.append(hashlib.blake2b(b" ".join(ws), digest_size=16).digest())
+                distinct = list(set(ws))
+                fps.append([_bits(distinct, 42 + i) for i in range(seeds)])
+            yield pd.DataFrame({"doc_id": b["doc_id"], "key": keys, "fps": fps})
+
+    rows = docs.where("doc_id is not null").select("doc_id", "text")
+    sketches = materialize(rows.mapInPandas(sketch, "doc_id long, key binary, fps array<long>"), "sketches")
+    classes = materialize(sketches.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("fps").alias("fps")), "classes")
+    nodes = classes.select("node", F.posexplode("fps").alias("seed", "fp"))
+    firsts = nodes.groupBy("seed", "fp").agg(F.min("node").alias("node"))
+    firsts = materialize(firsts, "firsts")
+    renamed = firsts.select(F.col("seed").alias("f_seed"), F.col("fp").alias("f_fp"), F.col("node").alias("first"))
+    same = nodes.join(renamed, (F.col("seed") == F.col("f_seed")) & (F.col("fp") == F.col("f_fp"))).where("node <> first")
+    every = same.select(F.col("node").alias("a"), F.col("first").alias("b")).unionByName(links(firsts, radius))
+    pairs = materialize(every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+
+    def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for t in b["text"]:
+                grams = _grams((t or "").encode("utf-8", "surrogatepass").lower().split(), shingle)
+                out.append(np.unique(np.fromiter(map(xxh64_intdigest, grams), np.uint64, len(grams))).tobytes())
+            yield pd.DataFrame({"doc_id": b["doc_id"], "grams": out})
+
+    met = pairs.select(F.explode(F.array("a", "b")).alias("m_id")).distinct()
+    texts = rows.join(met, F.col("doc_id") == F.col("m_id"), "left_semi").mapInPandas(shingled, "doc_id long, grams binary")
+    grams = materialize(texts.dropDuplicates(["doc_id"]), "shingles")
+    both = pairs.join(grams.toDF("a_id", "a_grams"), F.col("a") == F.col("a_id")).join(grams.toDF("b_id", "b_grams"), F.col("b") == F.col("b_id"))
+
+    def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b["a_grams"], b["b_grams"]):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(shared >= similarity * (len(x) + len(y) - shared))
+            yield b[["a", "b"]][ok]
+
+    edges = both.select("a", "b", "a_grams", "b_grams").mapInPandas(verified, "a long, b long")
+    comp = connected_components(edges)
+    of_class = classes.join(comp.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left")
+    of_class = materialize(of_class.select(F.col("key").alias("c_key"), F.coalesce("component", "node").alias("component_id")), "components")
+    return sketches.join(of_class, F.col("key") == F.col("c_key")).where("component_id < doc_id").select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame, **params) -> DataFrame:
-    """The rows of docs whose id is their group's smallest, with docs' columns; rows without an id are kept."""
-    groups = near_duplicates(docs, **params)
-    later = materialize(groups.where("component_id < doc_id").select(F.col("doc_id").alias("__later")).distinct(), "later")
+    """docs without the rows that a group of similar rows has a smaller id for; rows without an id stay."""
+    later = materialize(similar_groups(docs, **params).select(F.col("doc_id").alias("__later")).distinct(), "later")
     return docs.join(later, docs["doc_id"] == later["__later"], "left_anti")
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,33 +160,42 @@ def next_same_level(trades: DataFrame, keys: Sequence[str], config: RuleConfig,
     return first.select(*keys, "trade_id", F.col("n.n_id").alias("next_trade_id"), F.col("n.gap").alias("gap_us"))
 
 
-def reentry_clusters(trades: DataFrame, keys: Sequence[str], config: RuleConfig, max_steps: int = 40) -> DataFrame:
+def reentry_clusters(trades: DataFrame, keys: Sequence[str], config: RuleConfig) -> DataFrame:
     """keys, seed, last, extras, blocked_by: clusters of entries at one level after a stop on entry.
 
-    Each trade points to the next at its level within the window while it is a loss. A seed that another seed's
-    chain passes is part of that cluster. Chains are followed by doubling the pointers, so a chain of n needs log2(n) joins.
+    Each trade points to the next at its level within the window while it is a loss; pointers only go forward. A seed
+    that another seed's chain passes is part of that cluster. The pointers come from joins; the walk along them is one
+    grouped map over the pointers of a key (an account's day), which are no more than its losing trades.
     """
     window, block = config.reentry_window_s * SECOND, config.reentry_block_minutes * 60 * SECOND
-    near = next_same_level(trades, keys, config, window)
     losses = trades.where(is_loss() & F.col("exit_us").isNotNull()).select(*keys, "trade_id")
-    step = near.join(losses, [*keys, "trade_id"], "left_semi").select(*keys, "trade_id", F.col("next_trade_id").alias("to"), F.lit(1).cast("long").alias("n"))
-    seeds = trades.where(stopped_on_entry(config)).select(*keys, F.col("trade_id").alias("seed"))
-    reach = seeds.select(*keys, "seed", F.col("seed").alias("at"), F.lit(0).cast("long").alias("steps"))
-    # Everything a seed's chain passes: reached sets grow by the doubled pointers.
-    for _ in range(max(1, (max_steps - 1).bit_length())):
-        hop = step.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("trade_id").alias("__at"), F.col("to").alias("__to"), F.col("n").alias("__n"))
-        on = F.col("at") == F.col("__at")
-        for k in keys:
-            on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
-        more = reach.join(hop, on).select(*keys, "seed", F.col("__to").alias("at"), (F.col("steps") + F.col("__n")).alias("steps"))
-        reach = reach.unionByName(more).distinct()
-        on2 = F.col("to") == F.col("__at")
-        for k in keys:
-            on2 = on2 & F.col(k).eqNullSafe(F.col(f"__{k}"))
-        step = step.join(hop, on2).select(*keys, "trade_id", F.col("__to").alias("to"), (F.col("n") + F.col("__n")).alias("n"))
-    passed = reach.where("steps > 0").select(*keys, F.col("at").alias("seed")).distinct()
-    ends = reach.groupBy(*keys, "seed").agg(F.max("steps").alias("extras"), F.max_by("at", "steps").alias("last"))
-    active = ends.join(passed, [*keys, "seed"], "left_anti")
+    step = next_same_level(trades, keys, config, window).join(losses, [*keys, "trade_id"], "left_semi").select(*keys, "trade_id", F.col("next_trade_id").alias("to"))
+    seeds = trades.where(stopped_on_entry(config)).select(*keys, "trade_id", F.lit(True).alias("is_seed"))
+    both = seeds.join(step, [*keys, "trade_id"], "full")
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        to = {a: b for a, b in zip(rows["trade_id"], rows["to"]) if isinstance(b, str)}
+        seeds = rows.loc[rows["is_seed"].fillna(False).astype(bool), "trade_id"].tolist()
+        # Longest remaining chain of each start, walked once; what a seed passes is no seed of its own.
+        passed, out = set(), []
+        for seed in seeds:
+            at = to.get(seed)
+            while at is not None and at not in passed:
+                passed.add(at)
+                at = to.get(at)
+        for seed in seeds:
+            if seed not in passed:
+                at, n = seed, 0
+                while at in to:
+                    at, n = to[at], n + 1
+                out.append((seed, at, n))
+        found = pd.DataFrame(out, columns=["seed", "last", "extras"])
+        for k in reversed(list(keys)):
+            found.insert(0, k, rows[k].iloc[0])
+        return found
+
+    kinds = ", ".join(f"{k} {trades.schema[k].dataType.simpleString()}" for k in keys)
+    active = both.groupBy(*keys).applyInPandas(walk, f"{kinds}, seed string, last string, extras long")
     blocked = next_same_level(trades, keys, config, block).where(F.col("gap_us") < block).join(losses, [*keys, "trade_id"], "left_semi")
     blocked = blocked.select(*keys, F.col("trade_id").alias("last"), F.col("next_trade_id").alias("b"))
     j = active.join(blocked, [*keys, "last"], "left")

@@ -107,10 +107,10 @@ REENTRY = """, lv AS (SELECT a.account, a.session_date, a.trade_id, first(b.trad
    AND b.entry_us >= a.exit_us AND (b.entry_us > a.entry_us OR (b.entry_us = a.entry_us AND b.trade_id > a.trade_id)) GROUP BY ALL),
 step AS (SELECT lv.* FROM lv JOIN p USING (account, session_date, trade_id) WHERE pnl < 0 AND gap <= 7200000000),
 seeds AS (SELECT account, session_date, trade_id AS seed FROM p WHERE closed AND pnl < 0 AND hold_us <= 14400000000),
-reach(account, session_date, seed, at, steps) AS (SELECT account, session_date, seed, seed, 0::BIGINT FROM seeds
-  UNION ALL SELECT r.account, r.session_date, seed, n_id, steps + 1 FROM reach r JOIN step s ON s.account = r.account AND s.session_date = r.session_date AND s.trade_id = r.at),
-ends AS (SELECT account, session_date, seed, max(steps) AS extras, last(at ORDER BY steps) AS last FROM reach GROUP BY ALL),
-act AS (SELECT e.* FROM ends e WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE steps > 0 AND r.account = e.account AND r.session_date = e.session_date AND r.at = e.seed)),
+reach(account, session_date, seed, cur, steps) AS (SELECT account, session_date, seed, seed, 0::BIGINT FROM seeds
+  UNION ALL SELECT r.account, r.session_date, seed, n_id, steps + 1 FROM reach r JOIN step s ON s.account = r.account AND s.session_date = r.session_date AND s.trade_id = r.cur),
+ends AS (SELECT account, session_date, seed, max(steps) AS extras, last(cur ORDER BY steps) AS last FROM reach GROUP BY ALL),
+act AS (SELECT e.* FROM ends e WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE steps > 0 AND r.account = e.account AND r.session_date = e.session_date AND r.cur = e.seed)),
 cl AS (SELECT a.account, a.session_date, seed, last, extras, CASE WHEN extras >= 1 THEN n_id END AS blocked_by
   FROM act a LEFT JOIN (SELECT lv.* FROM lv JOIN p USING (account, session_date, trade_id) WHERE pnl < 0 AND gap < 14400000000) b ON b.account = a.account AND b.session_date = a.session_date AND b.trade_id = a.last)"""
 

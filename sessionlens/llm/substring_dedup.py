@@ -24,7 +24,7 @@ are not read by ``dedup_words`` and are carried by ``drop_repeats``.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -41,6 +41,8 @@ BLOCK = 1 << 20
 BUCKET = 1_500_000
 MIN_BUCKETS = 48
 MAX_RUNS = 4
+#: Shares of the documents, by id, where batches end: the first batch plays the history of the second.
+CUTS = (0.125,)
 #: Characters of a word with its space, to foresee the number of windows.
 WORD_CHARS = 6
 
@@ -128,7 +130,7 @@ def _hashed(docs: DataFrame, window: int, buckets: int) -> DataFrame:
 
 
 class SubstringIndex:
-    """Runs of window hashes of all batches so far: tables bucket, hashes (sorted, packed)."""
+    """Runs of window hashes of all batches so far: tables bucket, hashes (sorted, as pack_sorted)."""
 
     def __init__(self, buckets: int, window: int = WINDOW, max_runs: int = MAX_RUNS):
         self.buckets, self.window, self.max_runs = buckets, window, max_runs
@@ -161,7 +163,7 @@ class SubstringIndex:
             parts = [passed.astype({"doc_id": "Int64"}), out]
             if not last:
                 new = h[first & ~old]
-                parts.append(pd.DataFrame({"bucket": [np.int32(rows["bucket"].iloc[0])], "doc_id": pd.array([None], "Int64"), "hashes": [new.tobytes()]}))
+                parts.append(pd.DataFrame({"bucket": [np.int32(rows["bucket"].iloc[0])], "doc_id": pd.array([None], "Int64"), "hashes": [pack_sorted(new)]}))
             return pd.concat([p for p in parts if len(p)] or parts[:1])
 
         if self.runs:
@@ -172,7 +174,7 @@ class SubstringIndex:
             def join(rows: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
                 if not len(rows):
                     return pd.DataFrame({"bucket": pd.array([], "int32"), "doc_id": pd.array([], "Int64"), "hashes": []})
-                return merged(rows, [np.frombuffer(x, np.uint64) for x in runs["hashes"]])
+                return merged(rows, [unpack_sorted(x) for x in runs["hashes"]])
 
             out = dealt.groupBy("bucket").cogroup(runs.groupBy("bucket")).applyInPandas(join, schema)
         else:
@@ -192,23 +194,33 @@ class SubstringIndex:
             runs = runs.unionByName(r)
 
         def one(rows: pd.DataFrame) -> pd.DataFrame:
-            h = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in rows["hashes"]]))
-            return pd.DataFrame({"bucket": [rows["bucket"].iloc[0]], "hashes": [h.tobytes()]})
+            h = np.unique(np.concatenate([unpack_sorted(x) for x in rows["hashes"]]))
+            return pd.DataFrame({"bucket": [rows["bucket"].iloc[0]], "hashes": [pack_sorted(h)]})
 
         self.runs = [materialize(runs.groupBy("bucket").applyInPandas(one, "bucket int, hashes binary"), "run")]
 
 
+def pack_sorted(h: np.ndarray) -> bytes:
+    """Sorted hashes as their differences, byte by byte of each: the high bytes are almost all zero."""
+    return ZstdCompressor(level=1).compress(np.diff(h, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpack_sorted(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(ZstdDecompressor().decompress(packed), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def buckets_for(docs: DataFrame) -> int:
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     return max(MIN_BUCKETS, -(-chars // (WORD_CHARS * BUCKET)))
 
 
-def old_windows(docs: DataFrame, window: int = WINDOW, batches: int = 2, buckets: int | None = None) -> DataFrame:
+def old_windows(docs: DataFrame, window: int = WINDOW, cuts: Sequence[float] = CUTS, buckets: int | None = None) -> DataFrame:
     """doc_id, old (array of packed hashes): the old windows of each document that has any."""
     index = SubstringIndex(buckets or buckets_for(docs), window)
-    cuts = sorted({int(x) for x in docs.where("doc_id is not null").approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01)}) if batches > 1 else []
+    ends = sorted({int(x) for x in docs.where("doc_id is not null").approxQuantile("doc_id", list(cuts), 0.01)}) if cuts else []
     parts, low = [], None
-    for cut in [*cuts, None]:
+    for cut in [*ends, None]:
         batch = docs
         if low is not None:
             batch = batch.where(F.col("doc_id") > low)
@@ -241,13 +253,13 @@ def _with_old(docs: DataFrame, old: DataFrame) -> DataFrame:
     return docs.join(o, docs["doc_id"] == o["__o_id"], "left").drop("__o_id")
 
 
-def dedup_words(docs: DataFrame, window: int = WINDOW, batches: int = 2, buckets: int | None = None) -> DataFrame:
+def dedup_words(docs: DataFrame, window: int = WINDOW, cuts: Sequence[float] = CUTS, buckets: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text_sha256 for each row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    old = old_windows(docs, window, batches, buckets)
+    old = old_windows(docs, window, cuts, buckets)
 
     def packed(bs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        z = ZstdCompressor(level=1)
+        z = ZstdCompressor(level=3)
         for b in bs:
             yield pd.DataFrame({"doc_id": b["doc_id"], "z": [z.compress((t or "").encode("utf-8", "surrogatepass")) for t in b["text"]]})
 
@@ -267,12 +279,12 @@ def dedup_words(docs: DataFrame, window: int = WINDOW, batches: int = 2, buckets
     return _with_old(small, old).mapInPandas(judged, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def drop_repeats(docs: DataFrame, window: int = WINDOW, batches: int = 2, buckets: int | None = None) -> DataFrame:
+def drop_repeats(docs: DataFrame, window: int = WINDOW, cuts: Sequence[float] = CUTS, buckets: int | None = None) -> DataFrame:
     """docs with the kept words of their texts joined by one space; texts without an old window stay as they are.
 
     Rows of which no word is left are dropped, those that had none before aside.
     """
-    old = old_windows(docs.select("doc_id", "text"), window, batches, buckets)
+    old = old_windows(docs.select("doc_id", "text"), window, cuts, buckets)
     columns = docs.columns
 
     def judged(bs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -84,7 +84,7 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
     """n codewords of +1 and -1: all dichotomies up to 6 languages, else random columns of the largest least distance."""
     if n <= 6:
         bits = range(1, 1 << max(n - 1, 0))
-        return np.array([[1 if i == 0 or not b >> (i - 1) & 1 else -1 for b in bits] for i in range(n)], float).reshape(n, -1)
+        return np.array([[1 if i == 0 or not b >> (i - 1) & 1 else -1 for b in bits] for i in range(n)], float).reshape(n, len(bits))
     rng, width, best = np.random.default_rng(seed), int(np.ceil(10 * np.log2(n))), None
     for _ in range(100):
         c = rng.choice([-1.0, 1.0], (n, width))

@@ -90,11 +90,11 @@ def venue_of(name: Column) -> Column:
 
 def validate(rows: DataFrame) -> DataFrame:
     """Typed columns and reject_reason (null for good rows). rows: row_no and the export's columns as text."""
-    symbol = F.upper(F.trim("symbol"))
+    symbol = F.upper(F.trim(F.coalesce("symbol", F.lit(""))))
     root = F.regexp_extract(symbol, SYMBOL, 1)
-    manual = F.lower(F.trim("asset_type")) != "future"
+    manual = F.lower(F.trim(F.coalesce("asset_type", F.lit("")))) != "future"
     qty, price, us = available(F.col("quantity")).try_cast("long"), number(F.col("price")), instant_us(F.col("date"))
-    side = F.lower(F.trim("side"))
+    side = F.lower(F.trim(F.coalesce("side", F.lit(""))))
     reason = (
         F.when(us.isNull(), "date").when((root == "") & ~symbol.isin("MNQ", "MES"), "symbol").when(~side.isin("buy", "sell"), "side")
         .when(qty.isNull() | (qty < 0) | ((qty == 0) & ~manual), "quantity").when(price.isNull() | (price <= 0), "price")

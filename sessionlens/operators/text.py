@@ -57,7 +57,7 @@ def normalize_german(text: Column, fold_umlauts: bool = False) -> Column:
 
 def keyword_spans(segments: DataFrame, keywords: Mapping[str, str] = KEYWORDS) -> DataFrame:
     """session_id, seg, t0_us, kind: the kinds whose phrase a segment holds; one pass over the text."""
-    kinds = F.filter(F.array(*(F.when(F.col("text").rlike(f"(?i){p}"), F.lit(k)) for k, p in keywords.items())), lambda k: k.isNotNull())
+    kinds = F.filter(F.array(*(F.when(F.col("text").rlike(f"(?iU){p}"), F.lit(k)) for k, p in keywords.items())), lambda k: k.isNotNull())
     return segments.select("session_id", "seg", "t0_us", F.explode(kinds).alias("kind"))
 
 
@@ -157,7 +157,7 @@ def run_compare(a: DataFrame, b: DataFrame, tolerance_us: int = 20_000) -> DataF
 def tag_hits(texts: DataFrame, tags: Sequence[str], column: str = "text") -> DataFrame:
     """id, tag, n: leftmost-longest whole-word hits of a closed vocabulary; '_' counts as a word character."""
     alternatives = "|".join(F_quote(t) for t in sorted(tags, key=lambda t: (-len(t), t)))
-    hits = F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit(rf"(?<!\w)({alternatives})(?!\w)"), F.lit(1))
+    hits = F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit(rf"(?U)(?<!\w)({alternatives})(?!\w)"), F.lit(1))
     return texts.select("id", F.explode(hits).alias("tag")).groupBy("id", "tag").agg(F.count("*").alias("n"))
 
 

@@ -14,7 +14,11 @@ TAGS = ("the", "of", "and", "to", "der", "de", "en", "the of", "of the")
 WORDS = "list_filter(string_split(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' '), lambda w: w <> '')"
 
 
-@query("keyword_spans", """SELECT session_id, seg, t0_us, kind FROM segments, (VALUES ('article', '(?i)\\b(the|der|le|el)\\b'), ('joint', '(?i)\\b(and|und|et|y)\\b'), ('of', '(?i)\\bof\\b')) v(kind, p) WHERE regexp_matches(text, p)""", ("segments",))
+#: Word boundaries of all letters, written out.
+_IN = "(?i)(^|[^\\p{{L}}\\p{{N}}_])({})($|[^\\p{{L}}\\p{{N}}_])"
+
+
+@query("keyword_spans", f"SELECT session_id, seg, t0_us, kind FROM segments, (VALUES ('article', '{_IN.format('the|der|le|el')}'), ('joint', '{_IN.format('and|und|et|y')}'), ('of', '{_IN.format('of')}')) v(kind, p) WHERE regexp_matches(text, p)", ("segments",))
 def keyword_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.keyword_spans(view(spark, sf_dir, "segments"), {"article": r"\b(the|der|le|el)\b", "joint": r"\b(and|und|et|y)\b", "of": r"\bof\b"})
 

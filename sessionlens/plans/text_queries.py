@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import text
+from ..operators import tags, text
 from .fixtures import base, view
 from .registry import query
 
@@ -121,3 +121,28 @@ def first_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT p_partkey, CASE WHEN len(s) > 0 AND len(l) > 0 THEN array_to_string(s, '') = array_to_string(l, '') OR len(list_intersect(s, l)) > 0 END AS agrees FROM p""")
 def stated_lab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base(spark, sf_dir, "part").select("p_partkey", text.stated_agrees(F.col("p_name"), F.col("p_type"), F.lit(None).cast("string")).alias("agrees"))
+
+
+GRAMMAR = tags.TagGrammar(playbooks={"A": True, "B": True, "OLD": False}, aliases={}, variants={}, entries=["E_LIMIT", "E_STOP"], triggers={"1": True, "2": True}, vocabulary=["lvl"], qualifiers=["-R"])
+
+
+@query(
+    "tag_validation",
+    """e AS (SELECT event_id AS i FROM events) SELECT i AS trade_id, code, tag FROM (
+  SELECT i, CASE i % 5 WHEN 0 THEN 'playbook_missing' WHEN 2 THEN 'playbook_multiple' WHEN 3 THEN 'playbook_unknown' WHEN 4 THEN 'playbook_inactive' END AS code, CASE i % 5 WHEN 2 THEN 'PB_A,PB_B' WHEN 3 THEN 'PB_X' WHEN 4 THEN 'PB_OLD' END AS tag FROM e
+  UNION ALL SELECT i, CASE i % 3 WHEN 0 THEN 'entry_missing' WHEN 2 THEN 'entry_multiple' END, CASE i % 3 WHEN 2 THEN 'E_LIMIT,E_STOP' END FROM e
+  UNION ALL SELECT i, CASE i % 4 WHEN 2 THEN 'trigger_unknown' WHEN 3 THEN 'trigger_multiple' END, CASE i % 4 WHEN 2 THEN 'T_9' WHEN 3 THEN 'T_1,T_2' END FROM e
+  UNION ALL SELECT i, CASE i % 7 WHEN 0 THEN 'confluence_missing' WHEN 4 THEN 'c_none_with_confluence' WHEN 5 THEN 'charset_violation' WHEN 6 THEN 'unknown_tag' END, CASE i % 7 WHEN 5 THEN 'bad tag!' WHEN 6 THEN 'unknownx' END FROM e) WHERE code IS NOT NULL""",
+)
+def tag_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+
+    def pick(m: int, *sets: str):
+        out = F.array().cast("array<string>")
+        for k, s in enumerate(sets):
+            if s:
+                out = F.when(i % m == k, F.array(*(F.lit(t) for t in s.split(",")))).otherwise(out)
+        return out
+
+    t = F.concat(pick(5, "", "PB_A", "PB_A,PB_B", "PB_X", "PB_OLD"), pick(3, "", "E_LIMIT", "E_LIMIT,E_STOP"), pick(4, "", "T_1", "T_9", "T_1,T_2"), pick(7, "", "lvl", "lvl-R", "C_NONE", "C_NONE,lvl", "bad tag!", "unknownx"))
+    return tags.grammar_errors(base(spark, sf_dir, "events").select(i.alias("trade_id"), t.alias("tags")), GRAMMAR)

@@ -40,6 +40,11 @@ HEAD = 100_000
 BLOCK_TOKENS = 1 << 20
 #: Arrow batches and rows of a block that go out at once.
 OUT_ROWS = 50_000
+GATHER_ROWS = 60_000
+#: Bytes of one group's recursion tables, about; bits of the piece filter; factor of the substring hash.
+GROUP_BYTES = 1 << 21
+FILTER_BITS = 22
+HASH_FACTOR = 0x9E3779B97F4A7C15
 SPACE = "▁"
 
 
@@ -72,66 +77,93 @@ def read_vocabulary(path: str = VOCABULARY, ranked: bool = True) -> dict[bytes,
     return {k: v / total for k, v in weights.items()}
 
 
-def _add(a: float, b: float) -> float:
-    if a < b:
-        a, b = b, a
-    return a + math.log1p(math.exp(b - a)) if b > -math.inf else a
+class PieceLattice:
+    """Lattices of many words at once: words of one length go through the recursion together.
 
+    Substrings are looked up by a 64-bit polynomial hash, after a filter that most non-pieces don't pass.
+    """
 
-class PieceLattice:
     def __init__(self, probabilities: dict[bytes, float]):
-        self.pieces = sorted(probabilities)
-        self.prior = np.array([probabilities[p] for p in self.pieces])
+        by_hash = {self._hash(p): (p, w) for p, w in probabilities.items()}
+        if len(by_hash) != len(probabilities):
+            raise ValueError("two pieces of the vocabulary have one hash")
+        self.keys = np.array(sorted(by_hash), np.uint64)
+        self.pieces = [by_hash[int(k)][0] for k in self.keys]
+        self.prior = np.array([by_hash[int(k)][1] for k in self.keys])
         self.longest = max(map(len, self.pieces))
         self.space = SPACE.encode()
-        self.arcs: dict[bytes, tuple[int, float]] = {}
+        self.maybe = np.zeros(1 << FILTER_BITS, bool)
+        self.maybe[self.keys >> np.uint64(64 - FILTER_BITS)] = True
         self.set(self.prior)
 
+    @staticmethod
+    def _hash(piece: bytes) -> int:
+        h = 0
+        for c in piece:
+            h = (h * HASH_FACTOR + c + 1) & (2**64 - 1)
+        return h
+
     def set(self, p: np.ndarray) -> None:
-        self.arcs = {s: (i, x) for i, (s, x) in enumerate(zip(self.pieces, np.log(p).tolist()))}
+        self.log = np.log(p)
 
-    def forward(self, word: bytes) -> float:
-        """Natural log of the probability of all segmentations of a word."""
-        s, get, longest = self.space + word, self.arcs.get, self.longest
-        n = len(s)
-        alpha = [-math.inf] * (n + 1)
-        alpha[0] = 0.0
+    def _arcs(self, texts: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(start, end, rows, pieces) of all arcs of equally long byte strings, by start, then end."""
+        factor = np.uint64(HASH_FACTOR)
+        n = texts.shape[1]
+        columns = [np.ascontiguousarray(texts[:, j]).astype(np.uint64) + np.uint64(1) for j in range(n)]
         for i in range(n):
-            a = alpha[i]
-            if a > -math.inf:
-                for j in range(i + 1, min(n, i + longest) + 1):
-                    arc = get(s[i:j])
-                    if arc:
-                        alpha[j] = _add(alpha[j], a + arc[1])
-        return alpha[n]
-
-    def expect(self, word: bytes, into: np.ndarray) -> None:
-        """Adds the expected number of uses of each piece in a word."""
-        s, get, longest = self.space + word, self.arcs.get, self.longest
-        n = len(s)
-        alpha = [-math.inf] * (n + 1)
+            h = np.zeros(len(texts), np.uint64)
+            for j in range(i, min(n, i + self.longest)):
+                h *= factor
+                h += columns[j]
+                rows = np.flatnonzero(self.maybe[h >> np.uint64(64 - FILTER_BITS)])
+                if len(rows):
+                    found = h[rows]
+                    at = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
+                    ok = self.keys[at] == found
+                    if ok.any():
+                        yield i, j + 1, rows[ok], at[ok]
+
+    def _by_length(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Numbers of the words of one length, and their bytes with the word start, at most GROUP_BYTES of them."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        for n in np.unique(lengths):
+            every = np.flatnonzero(lengths == n)
+            size = max(1, GROUP_BYTES // (int(n) + len(self.space)) ** 2)
+            for k in range(0, len(every), size):
+                some = every[k : k + size]
+                raw = b"".join(self.space + words[w] for w in some)
+                yield some, np.frombuffer(raw, np.uint8).reshape(len(some), -1)
+
+    def _forward(self, texts: np.ndarray, keep: list | None = None) -> np.ndarray:
+        alpha = np.full((texts.shape[1] + 1, len(texts)), -np.inf)
         alpha[0] = 0.0
-        steps = []
-        for i in range(n):
-            a = alpha[i]
-            if a > -math.inf:
-                for j in range(i + 1, min(n, i + longest) + 1):
-                    arc = get(s[i:j])
-                    if arc:
-                        x = a + arc[1]
-                        alpha[j] = _add(alpha[j], x)
-                        steps.append((i, j, arc[0], arc[1]))
-        beta = [-math.inf] * (n + 1)
-        beta[n] = 0.0
-        for i, j, piece, p in reversed(steps):
-            x = p + beta[j]
-            if x > -math.inf:
-                beta[i] = _add(beta[i], x)
-        total = alpha[n]
-        for i, j, piece, p in steps:
-            x = alpha[i] + p + beta[j] - total
-            if x > -40:
-                into[piece] += math.exp(x)
+        for i, j, rows, at in self._arcs(texts):
+            alpha[j, rows] = np.logaddexp(alpha[j, rows], alpha[i, rows] + self.log[at])
+            if keep is not None:
+                keep.append((i, j, rows, at))
+        return alpha
+
+    def forward(self, words: list[bytes]) -> np.ndarray:
+        """Natural logs of the probabilities of all segmentations of each word."""
+        out = np.empty(len(words))
+        for some, texts in self._by_length(words):
+            out[some] = self._forward(texts)[-1]
+        return out
+
+    def expect(self, words: list[bytes]) -> np.ndarray:
+        """Expected number of uses of each piece in the words."""
+        uses = np.zeros(len(self.pieces))
+        for _, texts in self._by_length(words):
+            arcs: list = []
+            alpha = self._forward(texts, arcs)
+            beta = np.full_like(alpha, -np.inf)
+            beta[-1] = 0.0
+            for i, j, rows, at in reversed(arcs):
+                onward = self.log[at] + beta[j, rows]
+                uses += np.bincount(at, np.exp(alpha[i, rows] + onward - alpha[-1, rows]), len(uses))
+                beta[i, rows] = np.logaddexp(beta[i, rows], onward)
+        return uses
 
 
 @dataclass(frozen=True)
@@ -150,14 +182,26 @@ class Totals:
     def log_end(self) -> float:
         return math.log10(self.ends / self.tokens) if self.tokens else 0.0
 
-    def log_word(self, c: int, log_spelling: float) -> float:
-        """log10 of a word's probability; log_spelling is natural."""
+    def log_words(self, c: np.ndarray, log_spelling: np.ndarray) -> np.ndarray:
+        """log10 of words' probabilities; log_spelling is natural."""
         if not self.tokens or not self.words:
             return log_spelling / math.log(10)
         free = math.log(self.discount * self.words / self.tokens) + log_spelling
-        if c > self.discount:
-            free = _add(math.log((c - self.discount) / self.tokens), free)
-        return free / math.log(10)
+        own = np.log(np.maximum(c - self.discount, 0) / self.tokens, where=c > self.discount, out=np.full(len(c), -np.inf))
+        return np.logaddexp(own, free) / math.log(10)
+
+
+def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Several batches as one, for longer vectors."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += len(b)
+        if n >= GATHER_ROWS:
+            yield pd.concat(held)
+            held, n = [], 0
+    if held:
+        yield pd.concat(held)
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -206,9 +250,8 @@ def refine(words: DataFrame, lattice: PieceLattice, rounds: int = ROUNDS) -> Pie
 
         def each(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             have = np.zeros(len(sent.value.pieces))
-            for b in batches:
-                for w in b["word"]:
-                    sent.value.expect(w.encode("utf-8", "surrogatepass"), have)
+            for b in _gathered(batches):
+                have += sent.value.expect([w.encode("utf-8", "surrogatepass") for w in b["word"]])
             at = np.flatnonzero(have)
             yield pd.DataFrame({"piece": at.astype(np.int32), "n": have[at]})
 
@@ -226,9 +269,9 @@ def score_words(words: DataFrame, lattice: PieceLattice, totals: Totals) -> Data
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattice, totals = sent.value
-        for b in batches:
-            lp = [totals.log_word(c, lattice.forward(w.encode("utf-8", "surrogatepass"))) for w, c in zip(b["word"], b["c"])]
-            yield b.assign(lp=lp)
+        for b in _gathered(batches):
+            spelling = lattice.forward([w.encode("utf-8", "surrogatepass") for w in b["word"]])
+            yield b.assign(lp=totals.log_words(b["c"].to_numpy(np.int64), spelling))
 
     return words.mapInPandas(each, "word string, c long, every long, lp double")
 

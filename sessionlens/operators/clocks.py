@@ -79,7 +79,7 @@ def sections(events: DataFrame, key: str = "session_id") -> DataFrame:
     begun = nxt.where("event in ('record_start', 'resume')")
     offset = F.when(F.col("event") == "resume", F.col("video_us") - F.col("prev_video"))
     bad = F.coalesce(~offset.between(*RESUME_US), F.lit(False))
-    idx = F.row_number().over(w)
+    idx = F.row_number().over(w).cast("long")
     out = begun.withColumns({"resume_offset_us": offset, "idx": idx, "__bad": F.max(bad.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))})
     return out.where("end_event in ('pause', 'record_stop')").select(
         key, "idx", F.when(F.col("__bad") == 1, "segment_invalid").otherwise("verified").alias("status"), F.col("wall_us").alias("wall_start_us"), F.col("end_wall").alias("wall_end_us"),
@@ -103,3 +103,21 @@ def position_fills(fills: DataFrame, sections_: DataFrame, keys: Sequence[str])
     out = hit.groupBy("fill_id").agg(best.alias("b"))
     reason = F.when(F.col("b").isNull(), "outside_sections").when(F.col("b.status") != "verified", "segment_invalid")
     return out.select("fill_id", "b.idx", F.when(F.col("b.status") == "verified", F.col("b.v")).alias("video_us"), reason.alias("reason"))
+
+
+#: Bands of the first-frame offset, tolerance of durations, largest residual (all microseconds).
+LOW_BAND, HIGH_BAND, DURATION_TOLERANCE, MAX_RESIDUAL = (200_000, 450_000), (800_000, 1_300_000), 100_000, 100_000
+
+
+def first_frame(files: DataFrame, key: str = "session_id") -> DataFrame:
+    """key, offset_us, band, status. files: start_us, stop_us, paused_us (null: a pause without resume), duration_us.
+
+    The offset is what wall time exceeds pauses and recording by; 'low' and 'high' are the bands that recorders show.
+    """
+    offset = F.col("stop_us") - F.col("start_us") - F.col("paused_us") - F.col("duration_us")
+    band = F.when(offset.between(*LOW_BAND), "low").when(offset.between(*HIGH_BAND), "high")
+    status = (
+        F.when(F.col("start_us").isNull() | F.col("stop_us").isNull(), "incomplete").when(F.col("paused_us").isNull(), "pause_open").when(F.col("duration_us").isNull(), "no_duration")
+        .when(band.isNull(), "out_of_band").otherwise("verified")
+    )
+    return files.select(key, offset.alias("offset_us"), band.alias("band"), status.alias("status"))

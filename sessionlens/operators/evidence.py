@@ -69,3 +69,22 @@ def slice_parts(wins: DataFrame, parts: DataFrame, keys: Sequence[str]) -> DataF
     j = wins.select(*keys, "trade_id", "c0_us", "c1_us").join(parts.select(*keys, "part", "offset_us", "dur_us"), list(keys))
     lo, hi = F.greatest("c0_us", "offset_us"), F.least(F.col("c1_us"), F.col("offset_us") + F.col("dur_us"))
     return j.where(lo < hi).select(*keys, "trade_id", "part", (lo - F.col("offset_us")).alias("l0_us"), (hi - F.col("offset_us")).alias("l1_us"))
+
+
+def part_at(times: DataFrame, parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, t_us, part, seek_us: the recording part of a time; before the first part its start, in a gap the end of the part before, after the last its end.
+
+    parts: keys, part, offset_us, dur_us. The last part that starts at or before the time is found by an aggregation.
+    """
+    p = F.struct("offset_us", "part", "dur_us")
+    j = times.select(*keys, "t_us").distinct().join(parts, list(keys))
+    best = j.groupBy(*keys, "t_us").agg(F.max(F.when(F.col("offset_us") <= F.col("t_us"), p)).alias("b"), F.min(p).alias("f"))
+    b = F.coalesce("b", "f")
+    seek = F.when(F.col("b").isNull(), 0).otherwise(F.least(F.col("t_us") - F.col("b.offset_us"), F.col("b.dur_us")))
+    return best.select(*keys, "t_us", b["part"].alias("part"), seek.alias("seek_us"))
+
+
+def markers_in(wins: DataFrame, chapters: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """trade_id, name: chapters (keys, name, c_us) within a window, ends included."""
+    hit = range_join(chapters, wins.select(*keys, "trade_id", "t0_us", "t1_us"), keys, "c_us", F.col("t0_us"), F.col("t1_us"), width=600_000_000)
+    return hit.select("trade_id", "name")

@@ -136,3 +136,40 @@ def page_plan(days: DataFrame, saved: DataFrame, pages: DataFrame) -> DataFrame:
     j = own.join(by_title, F.col("title") == F.col("t_title"), "left")
     page = F.coalesce("p_id", "t_id")
     return j.select("day", page.alias("page_id"), F.when(page.isNull(), "create").otherwise("update").alias("action"))
+
+
+def unclaimed(outside: DataFrame, stored: DataFrame, identity: Sequence[str]) -> DataFrame:
+    """Outside fills that no neighbour's stored fills hold already; nulls of the identity match each other."""
+    on = None
+    s = stored.select(*(F.col(c).alias(f"__{c}") for c in identity)).distinct()
+    for c in identity:
+        same = F.col(c).eqNullSafe(F.col(f"__{c}"))
+        on = same if on is None else on & same
+    return outside.join(s, on, "left_anti")
+
+
+def session_bundle(sessions: DataFrame, status: DataFrame, transcripts: DataFrame, insights: DataFrame) -> DataFrame:
+    """session_id, bundle: session, stages and the optional transcript and insights as one JSON document."""
+    def part(df: DataFrame, name: str) -> DataFrame:
+        return df.select("session_id", F.struct(*[c for c in df.columns if c != "session_id"]).alias(name))
+
+    j = part(sessions, "session").join(part(status, "status"), "session_id", "left").join(part(transcripts, "transcript"), "session_id", "left").join(part(insights, "insights"), "session_id", "left")
+    return j.select("session_id", F.to_json(F.struct("session", "status", "transcript", "insights")).alias("bundle"))
+
+
+def prose_lines(lines: DataFrame, allowed_ids: DataFrame, allowed_runs: DataFrame) -> DataFrame:
+    """lines with problem: 'no cites', 'unknown cite', 'invented digits' or null. lines: line_id, session_id, text, cites; allowed_ids: session_id, id; allowed_runs: session_id, run."""
+    cites = lines.select("line_id", "session_id", F.explode("cites").alias("id")).join(allowed_ids, ["session_id", "id"], "left_anti").select("line_id").distinct().withColumn("__c", F.lit(True))
+    runs = lines.select("line_id", "session_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\d+"), F.lit(0)))).alias("run"))
+    bad = runs.join(allowed_runs.distinct(), ["session_id", "run"], "left_anti").select("line_id").distinct().withColumn("__r", F.lit(True))
+    j = lines.join(cites, "line_id", "left").join(bad, "line_id", "left")
+    problem = F.when(F.coalesce(F.size("cites"), F.lit(0)) <= 0, "no cites").when(F.col("__c"), "unknown cite").when(F.col("__r"), "invented digits")
+    return j.withColumn("problem", problem).drop("__c", "__r")
+
+
+def top_up(kept: DataFrame, fallback: DataFrame, key: str, n: int = 3) -> DataFrame:
+    """key, pos, line: kept lines first, then fallback lines that aren't there yet, n at most. Both: key, ord, line."""
+    both = kept.select(key, F.lit(0).alias("p"), "ord", "line").unionByName(fallback.select(key, F.lit(1).alias("p"), "ord", "line"))
+    once = both.groupBy(key, "line").agg(F.min(F.struct("p", "ord")).alias("o"))
+    pos = F.row_number().over(Window.partitionBy(key).orderBy("o", "line"))
+    return once.withColumn("pos", pos.cast("long")).where(F.col("pos") <= n).select(key, "pos", "line")

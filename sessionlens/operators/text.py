@@ -134,7 +134,7 @@ def word_errors(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFra
         code = F.transform(c, lambda x: F.decode(F.unhex(F.lpad(F.hex((F.array_position(F.col("__w"), x) + 255).cast("long")), 4, "0")), "UTF-16BE"))
         return F.array_join(code, "")
 
-    out = pairs.withColumn("__w", words).withColumns({"n_words": F.size(ref), "edits": F.levenshtein(coded(ref), coded(hyp))}).drop("__w")
+    out = pairs.withColumn("__w", words).withColumns({"n_words": F.size(ref).cast("long"), "edits": F.levenshtein(coded(ref), coded(hyp)).cast("long")}).drop("__w")
     empty = F.when(F.col("edits") == 0, 0.0).otherwise(1.0)
     return out.withColumn("wer", F.when(F.col("n_words") == 0, empty).otherwise(F.col("edits") / F.col("n_words")))
 
@@ -144,7 +144,7 @@ def jargon_recall(pairs: DataFrame, tokens: Sequence[str], ref: str = "ref", hyp
     known = F.array(*(F.lit(t) for t in tokens))
     there = F.array_intersect(known, ref)
     both = F.size(F.array_intersect(there, hyp))
-    return pairs.withColumns({"n_jargon": F.size(there), "recall": F.when(F.size(there) == 0, 1.0).otherwise(both / F.size(there))})
+    return pairs.withColumns({"n_jargon": F.size(there).cast("long"), "recall": F.when(F.size(there) == 0, 1.0).otherwise(both / F.size(there))})
 
 
 def run_compare(a: DataFrame, b: DataFrame, tolerance_us: int = 20_000) -> DataFrame:

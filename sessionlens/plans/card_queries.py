@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import intervals, pairing, rules, screens, speech
+from ..operators import clocks, evidence, intervals, lookup, pairing, rules, screens, speech
 from . import rule_queries, session_queries
 from .fixtures import base, view
 from .interval_queries import EC, OWN
@@ -86,3 +86,86 @@ def session_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = view(spark, sf_dir, "clips").withColumn("states", F.array(F.when(F.col("n_events") % 2 == 0, "failed").otherwise("ok"), F.lit("ok")))
     newest = c.agg(F.max("day").alias("newest"))
     return c.join(F.broadcast(newest), F.col("day") > F.date_sub("newest", 7)).where(F.arrays_overlap("states", F.array(F.lit("failed")))).select("session_id")
+
+
+@query(
+    "part_lookup",
+    """p AS (SELECT session_id, k AS part, 1000000 + k * ((end_us - start_us) // 3) AS o, (end_us - start_us) // 4 AS d FROM clips, (VALUES (0), (1), (2)) v(k)),
+t AS (SELECT DISTINCT session_id, (end_us - start_us) * f // 4 AS t_us FROM clips, (VALUES (0), (1), (2), (3), (5)) v(f)),
+b AS (SELECT t.session_id, t_us, max(part) FILTER (WHERE o <= t_us AND o = mo) AS part FROM t JOIN (SELECT *, o AS mo FROM p) p USING (session_id) GROUP BY ALL),
+l AS (SELECT t.session_id, t_us, last(part ORDER BY o, part) FILTER (WHERE o <= t_us) AS part FROM t JOIN p USING (session_id) GROUP BY ALL)
+SELECT l.session_id, t_us, coalesce(l.part, 0) AS part, CASE WHEN l.part IS NULL THEN 0 ELSE least(t_us - o, d) END AS seek_us FROM l LEFT JOIN p ON p.session_id = l.session_id AND p.part = l.part""",
+    ("clips",),
+)
+def part_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three parts with gaps; times before, inside, between and after them."""
+    c = view(spark, sf_dir, "clips").withColumn("len", F.col("end_us") - F.col("start_us"))
+    parts = c.select("session_id", "len", F.explode(F.array(*(F.lit(k) for k in range(3)))).alias("part")).select("session_id", "part", (1_000_000 + F.col("part") * F.floor(F.col("len") / 3)).alias("offset_us"), F.floor(F.col("len") / 4).alias("dur_us"))
+    times = c.select("session_id", F.explode(F.array(*(F.floor(F.col("len") * f / 4) for f in (0, 1, 2, 3, 5)))).alias("t_us"))
+    return evidence.part_at(times, parts, ["session_id"])
+
+
+@query("markers", session_queries.WINS + """, ch AS (SELECT session_id, 'm' || k AS name, (end_us - start_us) * k // 10 AS c_us FROM clips, (VALUES (1), (4), (7)) v(k)) SELECT trade_id, name FROM wn JOIN ch ON ch.session_id = wn.session_id AND c_us BETWEEN t0_us AND t1_us""", EC)
+def markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = view(spark, sf_dir, "clips").select("session_id", (F.col("end_us") - F.col("start_us")).alias("len"), F.explode(F.array(F.lit(1), F.lit(4), F.lit(7))).alias("k"))
+    chapters = c.select("session_id", F.concat(F.lit("m"), "k").alias("name"), F.floor(F.col("len") * F.col("k") / 10).alias("c_us"))
+    return evidence.markers_in(evidence.windows(session_queries.session_trades(spark, sf_dir)), chapters, ["session_id"])
+
+
+@query(
+    "first_frame",
+    """f AS (SELECT session_id, start_us, CASE WHEN n_events > 1 THEN end_us END AS stop_us, CASE WHEN n_events % 5 <> 4 THEN n_events * 1000 END AS paused_us, end_us - start_us - n_events * 1000 - user_id % 20 * 100000 AS duration_us FROM clips),
+o AS (SELECT *, stop_us - start_us - paused_us - duration_us AS offset_us FROM f)
+SELECT session_id, offset_us, CASE WHEN offset_us BETWEEN 200000 AND 450000 THEN 'low' WHEN offset_us BETWEEN 800000 AND 1300000 THEN 'high' END AS band,
+  CASE WHEN stop_us IS NULL THEN 'incomplete' WHEN paused_us IS NULL THEN 'pause_open' WHEN offset_us BETWEEN 200000 AND 450000 OR offset_us BETWEEN 800000 AND 1300000 THEN 'verified' ELSE 'out_of_band' END AS status FROM o""",
+    ("clips",),
+)
+def first_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n_events")
+    c = view(spark, sf_dir, "clips").select(
+        "session_id", "start_us", F.when(n > 1, F.col("end_us")).alias("stop_us"), F.when(n % 5 != 4, n * 1000).alias("paused_us"), (F.col("end_us") - F.col("start_us") - n * 1000 - F.col("user_id") % 20 * 100_000).alias("duration_us")
+    )
+    return clocks.first_frame(c)
+
+
+@query("legacy_claimed", "SELECT fill_id FROM executions e WHERE NOT EXISTS (SELECT 1 FROM executions s WHERE s.fill_id % 3 = 0 AND s.user_id = e.user_id AND s.ts_us = e.ts_us AND s.qty = e.qty AND s.source_group_id IS NOT DISTINCT FROM e.source_group_id)", ("executions",))
+def legacy_claimed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = view(spark, sf_dir, "executions")
+    return lookup.unclaimed(e, e.where("fill_id % 3 = 0"), ["user_id", "ts_us", "qty", "source_group_id"]).select("fill_id")
+
+
+@query(
+    "prose_guard",
+    """l AS (SELECT doc_id, source, text, CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN lang ELSE 'xx' END AS cite FROM documents), ids AS (SELECT DISTINCT source, lang FROM documents),
+runs AS (SELECT DISTINCT source, unnest(regexp_extract_all(text, '[0-9]+')) AS run FROM documents WHERE doc_id % 2 = 0)
+SELECT doc_id AS line_id, CASE WHEN cite IS NULL THEN 'no cites' WHEN NOT EXISTS (SELECT 1 FROM ids WHERE ids.source = l.source AND ids.lang = cite) THEN 'unknown cite'
+  WHEN EXISTS (SELECT 1 FROM (SELECT unnest(regexp_extract_all(l.text, '[0-9]+')) AS r) x WHERE NOT EXISTS (SELECT 1 FROM runs WHERE runs.source = l.source AND runs.run = x.r)) THEN 'invented digits' END AS problem FROM l""",
+)
+def prose_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = base(spark, sf_dir, "documents")
+    none = F.array().cast("array<string>")
+    lines = d.select(F.col("doc_id").alias("line_id"), F.col("source").alias("session_id"), "text", F.when(F.col("doc_id") % 3 == 0, none).when(F.col("doc_id") % 3 == 1, F.array("lang")).otherwise(F.array(F.lit("xx"))).alias("cites"))
+    runs = d.where("doc_id % 2 = 0").select(F.col("source").alias("session_id"), F.explode(F.regexp_extract_all("text", F.lit(r"\d+"), F.lit(0))).alias("run"))
+    return lookup.prose_lines(lines, d.select(F.col("source").alias("session_id"), F.col("lang").alias("id")).distinct(), runs).select("line_id", "problem")
+
+
+@query(
+    "learnings_top_up",
+    """k AS (SELECT conv_id, turn, left(text, 10) AS line FROM conversations WHERE turn < 2), f AS (SELECT conv_id, turn, left(text, 10) AS line FROM conversations),
+b AS (SELECT conv_id, 0 AS p, turn, line FROM k UNION ALL SELECT conv_id, 1, turn, line FROM f), o AS (SELECT conv_id, line, min(p * 1000 + turn) AS o FROM b GROUP BY ALL),
+r AS (SELECT conv_id, line, row_number() OVER (PARTITION BY conv_id ORDER BY o, line) AS pos FROM o) SELECT conv_id, pos, line FROM r WHERE pos <= 3""",
+)
+def learnings_top_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = base(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("ord"), F.left("text", F.lit(10)).alias("line"))
+    return lookup.top_up(c.where("ord < 2"), c, "conv_id")
+
+
+@query(
+    "session_bundle",
+    """SELECT session_id, '{"session":{"n_events":' || n_events || '},"status":{"state":"' || CASE WHEN n_events % 2 = 0 THEN 'ok' ELSE 'missing' END || '"}' || CASE WHEN n_events % 3 = 0 THEN ',"transcript":{"lang":"de"}' ELSE '' END || '}' AS bundle FROM clips""",
+    ("clips",),
+)
+def session_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = view(spark, sf_dir, "clips")
+    status = c.select("session_id", F.when(F.col("n_events") % 2 == 0, "ok").otherwise("missing").alias("state"))
+    return lookup.session_bundle(c.select("session_id", "n_events"), status, c.where("n_events % 3 = 0").select("session_id", F.lit("de").alias("lang")), c.where("false").select("session_id", "user_id"))

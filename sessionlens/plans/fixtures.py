@@ -50,8 +50,8 @@ VIEWS: dict[str, str] = {
         select conv_id, turn, role, text, cast(greatest(size_of(words(text)), 1) as bigint) * 400000 as len_us from {conversations}""",
     "segments": """
         select cast(conv_id as string) as session_id, turn, concat('seg_', cast(turn as string)) as seg, role, text,
-               sum(len_us) over (partition by conv_id order by turn rows between unbounded preceding and current row) - len_us as t0_us,
-               sum(len_us) over (partition by conv_id order by turn rows between unbounded preceding and current row) as t1_us
+               cast(sum(len_us) over (partition by conv_id order by turn rows between unbounded preceding and current row) as bigint) - len_us as t0_us,
+               cast(sum(len_us) over (partition by conv_id order by turn rows between unbounded preceding and current row) as bigint) as t1_us
         from turns""",
     "readings": """
         select user_id, event_id, us(ts) - min(us(ts)) over (partition by user_id) as x_us, cast(round(value * 100) as bigint) as y

@@ -23,6 +23,7 @@ of their fingerprint, if that has an id. Repeated rows are returned as often as
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -130,48 +131,89 @@ def _bits(grams: list[bytes], seed: int) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
 
 
+#: Documents whose shingles are counted for the order of the prefixes, and shingles that this puts last. Both only save work: any order is exact.
+COUNTED, FREQUENT = 16_384, 65_536
+
+
+def _shingles(text: str | None, shingle: int) -> tuple[list[bytes], list[bytes], np.ndarray]:
+    """Words, distinct shingles and the sorted hashes of these."""
+    ws = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    grams = list(set(_grams(ws, shingle)))
+    return ws, grams, np.unique(np.fromiter(map(xxh64_intdigest, grams), np.uint64, len(grams)))
+
+
+def prefix_size(n: int, similarity: float) -> int:
+    """Shingles of a set of n, the first in any common order, among which a similar set has at least one."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+
+
+def frequent_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and counts of shingles that many of a bounded number of documents have."""
+    part = max(1, -(-rows.count() // COUNTED))
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            hashes = [_shingles(t, shingle)[2].view(np.int64) for t in b["text"]]
+            yield pd.DataFrame({"h": np.concatenate(hashes) if hashes else np.array([], np.int64)})
+
+    counted = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(part)) == 0).mapInPandas(each, "h long").groupBy("h").agg(F.count("*").alias("n"))
+    top = counted.where("n >= 4").orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas().sort_values("h")
+    return top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+
+
+def _rare_first(hashes: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    if not len(known) or not len(hashes):
+        return hashes
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    n = np.where(known[at] == hashes, counts[at], 0)
+    return hashes[np.lexsort((hashes, n))]
+
+
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seeds: int = 5, radius: int = 2) -> DataFrame:
     """doc_id, component_id: rows of docs (doc_id, text) whose group has a smaller id than their own.
 
     Groups are connected by equal word sequences (A-Z lower-cased) and by pairs whose sets of
-    ``shingle``-word shingles have a Jaccard similarity of at least ``similarity``. Candidates
-    are the links of ``seeds`` independent SimHash fingerprints of the texts' distinct words: word
-    edits change few words but many shingles, so similar texts stay within a small radius.
+    ``shingle``-word shingles have a Jaccard similarity of at least ``similarity``. The links of
+    ``seeds`` independent SimHash fingerprints of the texts' distinct words join most of them. All
+    others meet in a prefix: of two similar sets in a common order, the first n - ceil(similarity * n) + 1
+    shingles of each share one. Every such pair that isn't connected yet is verified.
     """
+    rows = docs.where("doc_id is not null").select("doc_id", "text")
+    known, counts = frequent_shingles(rows, shingle)
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keys, fps = [], []
+            keys, fps, sizes, firsts = [], [], [], []
             for t in b["text"]:
-                ws = (t or "").encode("utf-8", "surrogatepass").lower().split()
+                ws, _, hashes = _shingles(t, shingle)
                 keys.append(hashlib.blake2b(b" ".join(ws), digest_size=16).digest())
                 distinct = list(set(ws))
                 fps.append([_bits(distinct, 42 + i) for i in range(seeds)])
-            yield pd.DataFrame({"doc_id": b["doc_id"], "key": keys, "fps": fps})
+                sizes.append(len(hashes))
+                firsts.append(_rare_first(hashes, known, counts)[: prefix_size(len(hashes), similarity)].view(np.int64))
+            yield pd.DataFrame({"doc_id": b["doc_id"], "key": keys, "fps": fps, "size": np.array(sizes, np.int32), "prefix": firsts})
 
-    rows = docs.where("doc_id is not null").select("doc_id", "text")
-    sketches = materialize(rows.mapInPandas(sketch, "doc_id long, key binary, fps array<long>"), "sketches")
-    classes = materialize(sketches.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("fps").alias("fps")), "classes")
+    sketches = materialize(rows.mapInPandas(sketch, "doc_id long, key binary, fps array<long>, size int, prefix array<long>"), "sketches")
+    classes = materialize(sketches.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("fps").alias("fps"), F.first("size").alias("size"), F.first("prefix").alias("prefix")), "classes")
     nodes = classes.select("node", F.posexplode("fps").alias("seed", "fp"))
     firsts = nodes.groupBy("seed", "fp").agg(F.min("node").alias("node"))
     firsts = materialize(firsts, "firsts")
     renamed = firsts.select(F.col("seed").alias("f_seed"), F.col("fp").alias("f_fp"), F.col("node").alias("first"))
     same = nodes.join(renamed, (F.col("seed") == F.col("f_seed")) & (F.col("fp") == F.col("f_fp"))).where("node <> first")
     every = same.select(F.col("node").alias("a"), F.col("first").alias("b")).unionByName(links(firsts, radius))
-    pairs = materialize(every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+
+    listed = classes.select("node", "size", F.posexplode("prefix").alias("pos", "h"))
+    met_twice = listed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    shared = materialize(listed.join(met_twice, "h", "left_semi"), "prefixes")
 
     def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for t in b["text"]:
-                grams = _grams((t or "").encode("utf-8", "surrogatepass").lower().split(), shingle)
-                out.append(np.unique(np.fromiter(map(xxh64_intdigest, grams), np.uint64, len(grams))).tobytes())
-            yield pd.DataFrame({"doc_id": b["doc_id"], "grams": out})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "grams": [_shingles(t, shingle)[2].tobytes() for t in b["text"]]})
 
-    met = pairs.select(F.explode(F.array("a", "b")).alias("m_id")).distinct()
+    # Similar texts share a prefix shingle, so no others need their shingles.
+    met = shared.select(F.col("node").alias("m_id")).distinct()
     texts = rows.join(met, F.col("doc_id") == F.col("m_id"), "left_semi").mapInPandas(shingled, "doc_id long, grams binary")
     grams = materialize(texts.dropDuplicates(["doc_id"]), "shingles")
-    both = pairs.join(grams.toDF("a_id", "a_grams"), F.col("a") == F.col("a_id")).join(grams.toDF("b_id", "b_grams"), F.col("b") == F.col("b_id"))
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -180,9 +222,27 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, s
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(shared >= similarity * (len(x) + len(y) - shared))
-            yield b[["a", "b"]][ok]
-
-    edges = both.select("a", "b", "a_grams", "b_grams").mapInPandas(verified, "a long, b long")
+            yield b[["a", "b"]][np.array(ok, bool)]
+
+    def similar(candidates: DataFrame) -> DataFrame:
+        pairs = materialize(candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+        both = pairs.join(grams.toDF("a_id", "a_grams"), F.col("a") == F.col("a_id")).join(grams.toDF("b_id", "b_grams"), F.col("b") == F.col("b_id"))
+        return materialize(both.select("a", "b", "a_grams", "b_grams").mapInPandas(verified, "a long, b long"), "similar")
+
+    def grouped(comp: DataFrame) -> DataFrame:
+        joined = shared.join(comp.toDF("c_node", "component"), F.col("node") == F.col("c_node"), "left")
+        return materialize(joined.select("h", "node", "size", "pos", F.coalesce("component", "node").alias("component")), "grouped")
+
+    def meetings(left: DataFrame, right: DataFrame) -> DataFrame:
+        """a, b of different components that may be similar, judged by sizes and places of their first common shingle."""
+        a, b = (x.select("h", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "pos", "component"))) for x, s in ((left, "a"), (right, "b")))
+        most = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
+        enough = most >= (F.col("size_a") + F.col("size_b")) * F.lit(similarity / (1 + similarity)) - 1e-6
+        return a.join(b, "h").where((F.col("component_a") != F.col("component_b")) & enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+    edges = similar(every)
+    rest = grouped(connected_components(edges))
+    edges = edges.unionByName(similar(meetings(rest, rest).where("a < b")))
     comp = connected_components(edges)
     of_class = classes.join(comp.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left")
     of_class = materialize(of_class.select(F.col("key").alias("c_key"), F.coalesce("component", "node").alias("component_id")), "components")

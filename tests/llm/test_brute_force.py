@@ -129,6 +129,40 @@ def test_similar_groups_keep_one_of_copies_and_leave_others(spark):
     assert kept == [*range(12), 300]
 
 
+def slow_similar(rows, similarity=0.8, shingle=5):
+    """Component of each id by comparing all shingle sets."""
+    def grams(t):
+        ws = t.lower().split()
+        return {tuple(ws[i : i + shingle]) for i in range(len(ws) - shingle + 1)} or {tuple(ws)}
+
+    sets = {i: grams(t) for i, t in rows}
+    linked = [(a, b) for a, b in itertools.combinations(sets, 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    return groups(sets, linked)
+
+
+def test_similar_groups_are_those_of_all_pairs(spark):
+    r = random.Random(8)
+
+    def text(n):
+        return [f"v{r.randrange(3000)}" for _ in range(n)]
+
+    notice = text(30)
+    rows = []
+    for i in range(60):
+        ws = text(r.randrange(60, 300)) + (notice if i % 3 == 0 else [])
+        more = r.randrange(5, len(ws) // 4)
+        edited = list(ws)
+        for at in r.sample(range(len(ws)), max(1, len(ws) // 50)):
+            edited[at] = "other"
+        copy = [text(more) + ws, ws + text(more), ws[more:], ws[:-more], edited][i % 5]
+        rows += [(i, " ".join(ws)), (100 + i, " ".join(copy))]
+    rows += [(300, " ".join(notice)), (301, " ".join(notice[:-2])), (302, "one two"), (303, "one two three")]
+    want = slow_similar(rows)
+    assert sum(i != c for i, c in want.items()) > 20
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: c for i, c in want.items() if c != i}
+
+
 def slow_match(text, items, window):
     def words(t):
         t = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")

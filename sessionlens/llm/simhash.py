@@ -135,6 +135,10 @@ def _bits(grams: list[bytes], seed: int) -> int:
 COUNTED, FREQUENT = 16_384, 65_536
 
 
+#: Open pairs of a prefix shingle beyond which its members are first compared with hubs, and rounds of that. All open pairs left are compared then.
+OPEN_PAIRS, HUB_ROUNDS = 2016, 4
+
+
 def _shingles(text: str | None, shingle: int) -> tuple[list[bytes], list[bytes], np.ndarray]:
     """Words, distinct shingles and the sorted hashes of these."""
     ws = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -172,11 +176,11 @@ def _rare_first(hashes: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seeds: int = 5, radius: int = 2) -> DataFrame:
     """doc_id, component_id: rows of docs (doc_id, text) whose group has a smaller id than their own.
 
-    Groups are connected by equal word sequences (A-Z lower-cased) and by pairs whose sets of
-    ``shingle``-word shingles have a Jaccard similarity of at least ``similarity``. The links of
+    Groups are connected by equal sets of ``shingle``-word shingles (A-Z lower-cased) and by pairs whose sets have a Jaccard similarity of at least ``similarity``. The links of
     ``seeds`` independent SimHash fingerprints of the texts' distinct words join most of them. All
     others meet in a prefix: of two similar sets in a common order, the first n - ceil(similarity * n) + 1
-    shingles of each share one. Every such pair that isn't connected yet is verified.
+    shingles of each share one. Where many meet, hubs (a new one each round) connect what they can in
+    linear space; then every pair that meets and isn't connected yet is verified.
     """
     rows = docs.where("doc_id is not null").select("doc_id", "text")
     known, counts = frequent_shingles(rows, shingle)
@@ -185,8 +189,8 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, s
         for b in batches:
             keys, fps, sizes, firsts = [], [], [], []
             for t in b["text"]:
-                ws, _, hashes = _shingles(t, shingle)
-                keys.append(hashlib.blake2b(b" ".join(ws), digest_size=16).digest())
+                ws, grams, hashes = _shingles(t, shingle)
+                keys.append(hashlib.blake2b(b"\n".join(sorted(grams)), digest_size=16).digest())
                 distinct = list(set(ws))
                 fps.append([_bits(distinct, 42 + i) for i in range(seeds)])
                 sizes.append(len(hashes))
@@ -242,6 +246,19 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, s
 
     edges = similar(every)
     rest = grouped(connected_components(edges))
+    for at in range(HUB_ROUNDS):
+        parts = rest.groupBy("h", "component").agg(F.count("*").cast("double").alias("n")).groupBy("h")
+        open_pairs = parts.agg(((F.pow(F.sum("n"), 2) - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")).where(F.col("pairs") > OPEN_PAIRS)
+        crowded = materialize(rest.join(open_pairs.select("h"), "h", "left_semi"), "crowded")
+        if crowded.isEmpty():
+            break
+        row = F.struct("node", "size", "pos", "component")
+        hubs = crowded.groupBy("h").agg(F.min_by(row, F.xxhash64("node", F.lit(at))).alias("x")).select("h", "x.*")
+        found = similar(meetings(hubs, crowded))
+        if found.isEmpty():
+            break
+        edges = edges.unionByName(found)
+        rest = grouped(connected_components(edges))
     edges = edges.unionByName(similar(meetings(rest, rest).where("a < b")))
     comp = connected_components(edges)
     of_class = classes.join(comp.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left")

@@ -163,6 +163,22 @@ def test_similar_groups_are_those_of_all_pairs(spark):
     assert got == {i: c for i, c in want.items() if c != i}
 
 
+def test_similar_groups_of_a_crowd_are_those_of_all_pairs(spark):
+    r = random.Random(2)
+    base = [f"v{r.randrange(3000)}" for _ in range(150)]
+    rows = []
+    for i in range(220):
+        ws = list(base)
+        for at in r.sample(range(len(ws)), r.randrange(1, 5)):
+            ws[at] = f"x{r.randrange(9)}"
+        rows.append((i, " ".join(ws)))
+    turn = [f"y{i}" for i in range(9)] * 2
+    rows += [(300 + i, " ".join(turn[i:] + turn[:i])) for i in range(3)]
+    want = slow_similar(rows)
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: c for i, c in want.items() if c != i}
+
+
 def slow_match(text, items, window):
     def words(t):
         t = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")

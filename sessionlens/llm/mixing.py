@@ -2,8 +2,8 @@
 
 A source of n documents with target share w of a mixture of T documents is repeated at
 the rate w * T / n. Each document's number of copies is a Poisson variable of that mean,
-found by inverting the distribution at a uniform number made from a hash of seed and
-document id: no random state, the same result on any partitioning. Each document is
+found by inverting the distribution (of equal parts of it, if the mean is large) at a uniform
+number made from a hash of seed and document id: no random state, the same result on any partitioning. Each document is
 exploded by its count, and the copies are dealt to partitions and ordered by a further
 hash: a global shuffle.
 
@@ -27,8 +27,10 @@ TEMPERATURE = 0.5
 SEED = 42
 #: Hash digits (base 16) of the uniform number: 52 bits.
 DIGITS = 13
-#: Mixture parameter of more repetitions than this is refused.
+#: A larger mean is the sum of independent parts of this mean at most, each with a uniform number of its own.
 MAX_RATE = 200.0
+#: Copies that one explode lists.
+COPIES = 1 << 16
 
 
 def hash52(name: str, seed: int, *cols: Column) -> Column:
@@ -50,7 +52,7 @@ def poisson_cdf(rate: Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = TEMPERATURE, total: float | None = None) -> DataFrame:
-    """r_source, rate, cdf: the mean repetitions of each source's documents.
+    """r_source, rate, parts, cdf: the mean repetitions of each source's documents; the distribution is that of one of the equal parts.
 
     weights: target shares by source (unnamed sources then have none and vanish);
     total: documents of the mixture, as many as docs has by default.
@@ -67,20 +69,30 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, temperatu
     n, s = float(sums[0] or 0), float(sums[1] or 0)
     rate = F.col("share") / F.lit(s or 1.0) * F.lit(n if total is None else float(total)) / F.col("n")
     out = shared.select(F.col("source").alias("r_source"), rate.alias("rate"))
-    top = out.agg(F.max("rate")).first()[0]
-    if top and top > MAX_RATE:
-        raise ValueError(f"a source would be repeated {top:.1f} times on average; at most {MAX_RATE} is allowed")
-    return materialize(out.select("r_source", "rate", poisson_cdf(F.col("rate")).alias("cdf")), "rates")
+    parts = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("rate") / MAX_RATE))
+    return materialize(out.withColumn("parts", parts).select("r_source", "rate", "parts", poisson_cdf(F.col("rate") / F.col("parts")).alias("cdf")), "rates")
+
+
+def poisson_count(seed: int, doc_id: Column, cdf: Column, parts: Column) -> Column:
+    """Sum of the parts' counts; the first part's number is made from seed and id alone."""
+
+    def part(*key: Column) -> Column:
+        u = hash52("count", seed, doc_id, *key) / F.lit(float(1 << (4 * DIGITS)))
+        return F.size(F.filter(cdf, lambda c: c <= u)).cast("long")
+
+    more = F.aggregate(F.sequence(F.lit(1).cast("long"), parts - 1), F.lit(0).cast("long"), lambda n, i: n + part(i))
+    return part() + F.when(parts > 1, more).otherwise(F.lit(0).cast("long"))
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = TEMPERATURE, total: float | None = None, seed: int = SEED) -> DataFrame:
     """docs' columns with copy_no (from 1), n_copies and mix_key, in shuffled order."""
-    docs = docs.drop("copy_no", "n_copies", "mix_key", "__cdf", "__rate")
-    by_source = rates(docs, weights, temperature, total).select("r_source", F.col("cdf").alias("__cdf"))
+    docs = docs.drop("copy_no", "n_copies", "mix_key", "__cdf", "__parts", "__block")
+    by_source = rates(docs, weights, temperature, total).select("r_source", F.col("cdf").alias("__cdf"), F.col("parts").alias("__parts"))
     joined = docs.join(by_source, docs["source"].eqNullSafe(by_source["r_source"])).drop("r_source")
-    u = hash52("count", seed, F.col("doc_id")) / F.lit(float(1 << (4 * DIGITS)))
-    counted = joined.withColumn("__u", u).withColumn("n_copies", F.size(F.filter("__cdf", lambda c: c <= F.col("__u"))).cast("long"))
-    copies = counted.drop("__cdf", "__u").where("n_copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))))
+    counted = joined.withColumn("n_copies", poisson_count(seed, F.col("doc_id"), F.col("__cdf"), F.col("__parts"))).drop("__cdf", "__parts")
+    blocks = counted.where("n_copies > 0").withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_copies") - 1) / COPIES))))
+    first = F.col("__block") * COPIES
+    copies = blocks.withColumn("copy_no", F.explode(F.sequence(first + 1, F.least(first + COPIES, F.col("n_copies"))))).drop("__block")
     keyed = copies.withColumn("mix_key", hash52("order", seed, F.col("doc_id"), F.col("copy_no")))
     return keyed.repartition(F.col("mix_key")).sortWithinPartitions("mix_key", "doc_id", "copy_no")
 

@@ -417,6 +417,16 @@ def test_mixing_follows_target_weights(spark):
     assert np.abs(share - [math.exp(-2) * 2**k / math.factorial(k) for k in range(4)]).max() < 0.05
 
 
+def test_mixing_repeats_a_small_source_any_number_of_times(spark):
+    rows = [(i, "t", "en", "a", 0) for i in range(20)] + [(100 + i, "t", "en", "b", 0) for i in range(40)] + [(200, "t", "en", None, 0)]
+    out = mixing.mix(frame(spark, rows), {"a": 0.5, "b": 0.1}, total=36_000)
+    n = {r["doc_id"]: (r["n"], r["d"], r["m"], r["c"]) for r in out.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("copy_no").alias("d"), F.max("copy_no").alias("m"), F.max("n_copies").alias("c")).collect()}
+    assert all(len(set(x)) == 1 for x in n.values())
+    a, b = (np.array([n[i][0] for i in ids]) for ids in (range(20), range(100, 140)))
+    assert abs(a.mean() - 1500) < 40 and abs(b.mean() - 150) < 9 and 15 < a.std() < 75
+    assert mixing.mix(frame(spark, [(1, "t", "en", "a", 0)]), total=150_000).where("copy_no = n_copies").count() == 1
+
+
 def test_empty_tables(spark):
     docs = frame(spark, [])
     assert simhash.near_duplicates(docs).count() == 0

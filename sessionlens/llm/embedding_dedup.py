@@ -4,7 +4,8 @@ Vectors are cut into two halves with a codebook each (k-means on a bounded sampl
 vector's cell is the pair of its nearest centroids, so k + k centroids give k * k cells. Every
 vector is listed in its own cell. Every vector also visits cells in the order of its
 distance to them (multi-sequence traversal); the number of cells visited is the least that
-reached the target recall for a sample of queries compared with all vectors. Pairs that
+reached the target recall for queries compared with all vectors, as many queries as it
+takes to see enough links (all vectors, where links are rare). Pairs that
 meet in a cell are verified by their cosine in double precision.
 
 Equal vectors are one node with a weight, so exact copies make no pairs. Crowded cells are
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +33,10 @@ from .common import connected_components, join_on_copy, materialize, read_table
 
 THRESHOLD = 0.9
 TARGET_RECALL = 0.999
-#: Vectors that the codebooks are fitted on, and queries that the number of visits is measured with, at most.
+#: Vectors that the codebooks are fitted on, at most.
 FIT_SAMPLE = 16_384
-QUERIES = 512
+#: The number of visits is measured with blocks of about this many queries, up to MAX_STEP blocks at once, until MIN_LINKS links are seen.
+QUERIES, MAX_STEP, MIN_LINKS = 512, 16, 3000
 MIN_VISITS = 4
 #: Centroids of a half: sqrt(vectors / CELL), at most MAX_CENTROIDS; counts by cell go to the driver, so this bounds them.
 CELL = 64
@@ -118,28 +121,44 @@ def fit(nodes: DataFrame, n: int, k: int | None = None) -> MultiIndex:
     return MultiIndex(_unit(rows["v"]), k)
 
 
-def visits_for(nodes: DataFrame, index: MultiIndex, threshold: float, target: float) -> int:
-    """Cells to visit so that a sample of queries, compared with all nodes, meets the target share of its links."""
-    q = _unit(nodes.orderBy(F.xxhash64("node", F.lit(1)), "node").limit(QUERIES).select("v").toPandas()["v"])
+def visits_for(nodes: DataFrame, index: MultiIndex, threshold: float, target: float, links: int = MIN_LINKS) -> int:
+    """Cells to visit so that queries, compared with all nodes, meet the target share of their links.
+
+    Blocks of about QUERIES queries are taken until ``links`` links are seen, or all nodes have been queries.
+    """
+    blocks = max(1, -(-nodes.count() // QUERIES))
+    block = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(blocks))
+    seen: Counter[int] = Counter()
+    at, step = 0, 1
+    while at < blocks and seen.total() < links:
+        packed = nodes.where((block >= at) & (block < at + step)).select("v").toPandas()["v"]
+        if len(packed):
+            seen.update(_link_ranks(nodes, index, _unit(packed), threshold))
+        at, step = at + step, min(2 * step, MAX_STEP)
+    total, have, need = seen.total(), 0, 0
+    for r in sorted(seen):
+        if have >= target * total:
+            break
+        have += seen[r]
+        need = r + 1
+    return min(index.cells, max(MIN_VISITS, need))
+
+
+def _link_ranks(nodes: DataFrame, index: MultiIndex, q: np.ndarray, threshold: float) -> dict[int, int]:
+    """Links of the queries by the number of cells visited before the linked vector's."""
     qa, qb = index.halves(q)
 
     def ranks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if len(b):
-                u = _unit(b["v"])
-                cells = index.cell(u)
-                who, which = np.nonzero((q @ u.T >= threshold) & (q @ u.T < 1 - 1e-12))
+            for lo in range(0, len(b), LISTED):
+                u = _unit(b["v"].iloc[lo : lo + LISTED])
+                cells, cos = index.cell(u), q @ u.T
+                who, which = np.nonzero((cos >= threshold) & (cos < 1 - 1e-12))
                 pairs, n = np.unique(np.stack([who, cells[which]]), axis=1, return_counts=True)
-                yield pd.DataFrame({"rank": [index.rank(qa[i], qb[i], c) for i, c in pairs.T], "n": n.astype(np.int64)})
+                yield pd.DataFrame({"rank": np.array([index.rank(qa[i], qb[i], c) for i, c in pairs.T], np.int64), "n": n.astype(np.int64)})
 
-    seen = nodes.select("v").mapInPandas(ranks, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).orderBy("rank").collect()
-    total, have, need = sum(r["n"] for r in seen), 0, 0
-    for r in seen:
-        if have >= target * total:
-            break
-        have += r["n"]
-        need = r["rank"] + 1
-    return min(index.cells, max(MIN_VISITS, need))
+    found = nodes.select("v").mapInPandas(ranks, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).collect()
+    return {r["rank"]: r["n"] for r in found}
 
 
 def _local_roots(linked: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

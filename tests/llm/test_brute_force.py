@@ -290,6 +290,20 @@ def test_embedding_links_are_those_of_brute_force(spark):
     assert 0.99 * link.sum() <= found <= link.sum()
 
 
+def test_embedding_links_are_found_where_they_are_rare(spark):
+    r = np.random.default_rng(6)
+    v = r.normal(size=(6000, 32))
+    for i in range(40):
+        v[5000 + i] = v[i] + 0.42 * r.normal(size=32)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    link = u @ u.T >= 0.9
+    np.fill_diagonal(link, False)
+    assert 20 < link.sum() < 200
+    rows = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {x["vec_id"]: x["n_links"] for x in embedding_dedup.near_duplicates(rows, k=40).collect()}
+    assert got == {i: int(n) for i, n in enumerate(link.sum(axis=1))}
+
+
 def test_multi_sequence_order():
     r = np.random.default_rng(3)
     a, b = r.random(7), r.random(5)

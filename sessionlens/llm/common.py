@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -46,6 +48,56 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables in the shared folder that are deleted at the end of a with block; results that are read later must be written outside of it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.path = f"{workspace(spark)}/scratch-{uuid.uuid4().hex}"
+        self.n = 0
+
+    def table(self, df: DataFrame, what: str) -> DataFrame:
+        self.n += 1
+        path = f"{self.path}/{self.n}-{what}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, df: DataFrame) -> None:
+        """Deletes one of the tables, once nothing reads it any more."""
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if path.split("/scratch-")[-1].startswith(self.path.split("/scratch-")[-1]):
+                self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self._delete(self.path)
+
+
+def window_mix(words: np.ndarray, window: int, seed: int) -> np.ndarray:
+    """A 64-bit hash of each run of ``window`` word hashes."""
+    n = max(0, len(words) - window + 1)
+    h = np.zeros(n, np.uint64)
+    for j, m in enumerate(np.random.default_rng(seed).integers(0, 1 << 63, window, dtype=np.uint64) * np.uint64(2) + np.uint64(1)):
+        h += words[j : j + n] * m
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    return h
+
+
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """Hashes of the runs of ``shingle`` words; of the whole sequence, if it is shorter and not empty."""
+    w = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
+    return window_mix(w, min(shingle, len(w)), min(shingle, len(w))) if len(w) else w
+
+
 def join_on_copy(left: DataFrame, right: DataFrame, key: str, right_key: str, how: str) -> DataFrame:
     """An equi-join that also compares a value made from the key.
 
@@ -80,23 +132,26 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         .select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
         .distinct()
     )
-    e = materialize(e, "edges")
-    before = state(e)
-    for _ in range(max_rounds):
-        if not before[0]:
-            break
-        # Large star: every higher neighbour of a node moves to the node's smallest neighbour.
-        large = join_on_copy(e, smallest(e), "lo", "node", "left").select("hi", F.coalesce("m", "lo").alias("lo"))
-        large = materialize(large.distinct(), "edges")
-        # Small star: a node and its lower neighbours move to the smallest of them.
-        met = join_on_copy(large, smallest(large), "hi", "node", "inner")
-        small = met.select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("x"))
-        e = materialize(small.select("x.*").where("hi <> lo").distinct(), "edges")
-        after = state(e)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = e.select(F.col("lo").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(roots)
+    with Scratch(edges.sparkSession) as scratch:
+        e = scratch.table(e, "edges")
+        before = state(e)
+        for _ in range(max_rounds):
+            if not before[0]:
+                break
+            # Large star: every higher neighbour of a node moves to the node's smallest neighbour.
+            large = join_on_copy(e, smallest(e), "lo", "node", "left").select("hi", F.coalesce("m", "lo").alias("lo"))
+            large = scratch.table(large.distinct(), "edges")
+            scratch.drop(e)
+            # Small star: a node and its lower neighbours move to the smallest of them.
+            met = join_on_copy(large, smallest(large), "hi", "node", "inner")
+            small = met.select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("x"))
+            e = scratch.table(small.select("x.*").where("hi <> lo").distinct(), "edges")
+            scratch.drop(large)
+            after = state(e)
+            if after == before:
+                break
+            before = after
+        else:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        roots = e.select(F.col("lo").alias("node")).distinct().select("node", F.col("node").alias("component"))
+        return materialize(e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(roots), "components")

@@ -14,7 +14,7 @@ each fingerprint is listed under itself and its neighbours at distance 1 below t
 two fingerprints differ in at most 2 bits if and only if they share such a midpoint, at
 most 65 fingerprints share one, and each is joined to the smallest of them. That keeps
 every link between connected texts, in linear space. It needs a radius of 2 or less;
-for a larger radius all buckets are compared in pairs.
+a larger one is refused.
 
 Null and empty texts have fingerprint zero and link like any other. Null ids get the component
 of their fingerprint, if that has an id. Repeated rows are returned as often as given. Extra columns are not read.
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import connected_components, join_on_copy, materialize, read_table
+from .common import Scratch, connected_components, join_on_copy, materialize, read_table, shingle_hashes
 
 BITS = 64
 BLOCK = 1 << 14
@@ -75,13 +75,13 @@ def links(nodes: DataFrame, radius: int = 2, bucket_pairs: int = 64) -> DataFram
 
     nodes: seed, fp, node; each fingerprint of a seed once. Only fingerprints of one seed are compared.
     """
+    if not 0 <= radius <= 2:
+        raise ValueError("the radius must be 0, 1 or 2: crowded buckets need midpoints")
     masks = covering_masks(radius)
     table = F.array(*(F.struct(F.lit(i).alias("v"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)))
     keys = materialize(nodes.select("seed", "fp", "node", F.explode(table).alias("x")).select("seed", "x.v", "x.key", "fp", "node"), "tables")
     bucket = ["seed", "v", "key"]
     crowded = materialize(keys.groupBy(*bucket).agg(F.count("*").alias("n")).where(F.col("n") > bucket_pairs).select(*bucket), "crowded")
-    if radius > 2:
-        crowded = crowded.where("false")
     sparse = keys.join(crowded, bucket, "left_anti")
     left, right = (sparse.select(*bucket, F.col("fp").alias(f"fp_{s}"), F.col("node").alias(f"node_{s}")) for s in "ab")
     differ = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
@@ -131,19 +131,18 @@ def _bits(grams: list[bytes], seed: int) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
 
 
-#: Documents whose shingles are counted for the order of the prefixes, and shingles that this puts last. Both only save work: any order is exact.
-COUNTED, FREQUENT = 16_384, 65_536
-
-
+#: Shingles that the order of the prefixes puts last, at most, and hashes that a task counts at once. They only save work: any order is exact.
+FREQUENT, COUNT_BLOCK = 262_144, 1 << 21
+#: Documents of one count block that make a shingle frequent.
+OFTEN = 8
 #: Open pairs of a prefix shingle beyond which its members are first compared with hubs, and rounds of that. All open pairs left are compared then.
 OPEN_PAIRS, HUB_ROUNDS = 2016, 4
 
 
-def _shingles(text: str | None, shingle: int) -> tuple[list[bytes], list[bytes], np.ndarray]:
-    """Words, distinct shingles and the sorted hashes of these."""
+def _shingles(text: str | None, shingle: int) -> tuple[list[bytes], np.ndarray]:
+    """Words, and the sorted distinct hashes of the shingles."""
     ws = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    grams = list(set(_grams(ws, shingle)))
-    return ws, grams, np.unique(np.fromiter(map(xxh64_intdigest, grams), np.uint64, len(grams)))
+    return ws, np.unique(shingle_hashes(ws, shingle))
 
 
 def prefix_size(n: int, similarity: float) -> int:
@@ -152,16 +151,26 @@ def prefix_size(n: int, similarity: float) -> int:
 
 
 def frequent_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and counts of shingles that many of a bounded number of documents have."""
-    part = max(1, -(-rows.count() // COUNTED))
+    """Hashes (sorted) and counts of shingles that many documents of a block have, over the blocks of all documents."""
+
+    def counted(hashes: list[np.ndarray]) -> pd.DataFrame:
+        h, n = np.unique(np.concatenate(hashes), return_counts=True)
+        return pd.DataFrame({"h": h[n >= OFTEN].view(np.int64), "n": n[n >= OFTEN]})
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes, held = [], 0
         for b in batches:
-            hashes = [_shingles(t, shingle)[2].view(np.int64) for t in b["text"]]
-            yield pd.DataFrame({"h": np.concatenate(hashes) if hashes else np.array([], np.int64)})
-
-    counted = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(part)) == 0).mapInPandas(each, "h long").groupBy("h").agg(F.count("*").alias("n"))
-    top = counted.where("n >= 4").orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas().sort_values("h")
+            for t in b["text"]:
+                hashes.append(_shingles(t, shingle)[1])
+                held += len(hashes[-1])
+                if held >= COUNT_BLOCK:
+                    yield counted(hashes)
+                    hashes, held = [], 0
+        if hashes:
+            yield counted(hashes)
+
+    sums = rows.select("text").mapInPandas(each, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    top = sums.orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas().sort_values("h")
     return top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
 
 
@@ -173,102 +182,162 @@ def _rare_first(hashes: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np
     return hashes[np.lexsort((hashes, n))]
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seeds: int = 5, radius: int = 2) -> DataFrame:
-    """doc_id, component_id: rows of docs (doc_id, text) whose group has a smaller id than their own.
+def parity(hashes: np.ndarray) -> bytes:
+    """Bits that an odd number of the hashes fall on, at least as many as there are hashes.
 
-    Groups are connected by equal sets of ``shingle``-word shingles (A-Z lower-cased) and by pairs whose sets have a Jaccard similarity of at least ``similarity``. The links of
-    ``seeds`` independent SimHash fingerprints of the texts' distinct words join most of them. All
-    others meet in a prefix: of two similar sets in a common order, the first n - ceil(similarity * n) + 1
-    shingles of each share one. Where many meet, hubs (a new one each round) connect what they can in
-    linear space; then every pair that meets and isn't connected yet is verified.
+    Two sets' parities differ in at most as many bits as the sets differ in members.
+    """
+    width = 1 << max(6, (max(len(hashes), 1) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def parity_distance(x: bytes, y: bytes) -> int:
+    """Bits in which two parities differ; the wider one is folded to the other's width."""
+    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    folded = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
+    return int(np.bitwise_count(a ^ folded).sum())
+
+
+class _Verifier:
+    """Pairs of classes whose shingle sets are similar.
+
+    The sets' parities leave out nearly all others first; only texts of pairs that are left have their
+    shingles listed, once each.
     """
-    rows = docs.where("doc_id is not null").select("doc_id", "text")
-    known, counts = frequent_shingles(rows, shingle)
+
+    def __init__(self, rows: DataFrame, classes: DataFrame, scratch: Scratch, similarity: float, shingle: int):
+        self.rows, self.scratch, self.similarity, self.shingle = rows, scratch, similarity, shingle
+        self.signs = classes.select("node", "size", "parity")
+        self.listed: DataFrame | None = None
+
+    def similar(self, candidates: DataFrame) -> DataFrame:
+        """The pairs a, b (each once, a < b) of candidates that are similar."""
+        similarity = self.similarity
+        share = 2 * (1 - similarity) / (1 + similarity) / 2  # members in one of both sets, of both sizes' sum
+
+        def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                ok = [parity_distance(x, y) <= share * n + 1e-6 for x, y, n in zip(b["a_parity"], b["b_parity"], b["n"])]
+                yield b[["a", "b"]][np.array(ok, bool)]
+
+        def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                ok = []
+                for x, y in zip(b["a_grams"], b["b_grams"]):
+                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    shared = len(np.intersect1d(x, y, assume_unique=True))
+                    ok.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
+                yield b[["a", "b"]][np.array(ok, bool)]
+
+        pairs = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+        met = pairs.join(self.signs.toDF("a_id", "a_size", "a_parity"), F.col("a") == F.col("a_id")).join(self.signs.toDF("b_id", "b_size", "b_parity"), F.col("b") == F.col("b_id"))
+        left = met.select("a", "b", (F.col("a_size") + F.col("b_size")).alias("n"), "a_parity", "b_parity").mapInPandas(near, "a long, b long")
+        pairs = self.scratch.table(left, "candidates")
+        grams = self._shingles_of(pairs)
+        both = pairs.join(grams.toDF("a_id", "a_grams"), F.col("a") == F.col("a_id")).join(grams.toDF("b_id", "b_grams"), F.col("b") == F.col("b_id"))
+        return self.scratch.table(both.select("a", "b", "a_grams", "b_grams").mapInPandas(verified, "a long, b long").distinct(), "similar")
+
+    def _shingles_of(self, pairs: DataFrame) -> DataFrame:
+        """doc_id, grams of at least all documents of the pairs."""
+        shingle = self.shingle
+
+        def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame({"doc_id": b["doc_id"], "grams": [_shingles(t, shingle)[1].tobytes() for t in b["text"]]})
+
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("m_id")).distinct()
+        if self.listed is not None:
+            ids = ids.join(self.listed.select(F.col("doc_id").alias("have")), F.col("m_id") == F.col("have"), "left_anti")
+        ids = self.scratch.table(ids, "ids")
+        texts = self.rows.join(ids, F.col("doc_id") == F.col("m_id"), "left_semi").mapInPandas(listed, "doc_id long, grams binary")
+        new = self.scratch.table(texts, "shingles")
+        self.listed = new if self.listed is None else self.listed.unionByName(new)
+        return self.listed
+
+
+def _sketches(rows: DataFrame, similarity: float, shingle: int, seeds: int) -> DataFrame:
+    """doc_id, key (of the shingle set), fps (SimHashes of the distinct words), size, prefix (rarest shingles) and parity of each row."""
+    order = rows.sparkSession.sparkContext.broadcast(frequent_shingles(rows, shingle))
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, counts = order.value
         for b in batches:
-            keys, fps, sizes, firsts = [], [], [], []
+            out = []
             for t in b["text"]:
-                ws, grams, hashes = _shingles(t, shingle)
-                keys.append(hashlib.blake2b(b"\n".join(sorted(grams)), digest_size=16).digest())
+                ws, hashes = _shingles(t, shingle)
                 distinct = list(set(ws))
-                fps.append([_bits(distinct, 42 + i) for i in range(seeds)])
-                sizes.append(len(hashes))
-                firsts.append(_rare_first(hashes, known, counts)[: prefix_size(len(hashes), similarity)].view(np.int64))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "key": keys, "fps": fps, "size": np.array(sizes, np.int32), "prefix": firsts})
-
-    sketches = materialize(rows.mapInPandas(sketch, "doc_id long, key binary, fps array<long>, size int, prefix array<long>"), "sketches")
-    classes = materialize(sketches.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("fps").alias("fps"), F.first("size").alias("size"), F.first("prefix").alias("prefix")), "classes")
-    nodes = classes.select("node", F.posexplode("fps").alias("seed", "fp"))
-    firsts = nodes.groupBy("seed", "fp").agg(F.min("node").alias("node"))
-    firsts = materialize(firsts, "firsts")
-    renamed = firsts.select(F.col("seed").alias("f_seed"), F.col("fp").alias("f_fp"), F.col("node").alias("first"))
-    same = nodes.join(renamed, (F.col("seed") == F.col("f_seed")) & (F.col("fp") == F.col("f_fp"))).where("node <> first")
-    every = same.select(F.col("node").alias("a"), F.col("first").alias("b")).unionByName(links(firsts, radius))
-
-    listed = classes.select("node", "size", F.posexplode("prefix").alias("pos", "h"))
-    met_twice = listed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    shared = materialize(listed.join(met_twice, "h", "left_semi"), "prefixes")
-
-    def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "grams": [_shingles(t, shingle)[2].tobytes() for t in b["text"]]})
+                first = _rare_first(hashes, known, counts)[: prefix_size(len(hashes), similarity)].view(np.int64)
+                out.append((hashlib.blake2b(hashes.tobytes(), digest_size=16).digest(), [_bits(distinct, 42 + i) for i in range(seeds)], len(hashes), first, parity(hashes)))
+            keys, fps, sizes, firsts, parities = zip(*out) if out else ([],) * 5
+            yield pd.DataFrame({"doc_id": b["doc_id"], "key": keys, "fps": fps, "size": np.array(sizes, np.int32), "prefix": firsts, "parity": parities})
 
-    # Similar texts share a prefix shingle, so no others need their shingles.
-    met = shared.select(F.col("node").alias("m_id")).distinct()
-    texts = rows.join(met, F.col("doc_id") == F.col("m_id"), "left_semi").mapInPandas(shingled, "doc_id long, grams binary")
-    grams = materialize(texts.dropDuplicates(["doc_id"]), "shingles")
+    return rows.mapInPandas(sketch, "doc_id long, key binary, fps array<long>, size int, prefix array<long>, parity binary")
 
-    def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b["a_grams"], b["b_grams"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(shared >= similarity * (len(x) + len(y) - shared))
-            yield b[["a", "b"]][np.array(ok, bool)]
-
-    def similar(candidates: DataFrame) -> DataFrame:
-        pairs = materialize(candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-        both = pairs.join(grams.toDF("a_id", "a_grams"), F.col("a") == F.col("a_id")).join(grams.toDF("b_id", "b_grams"), F.col("b") == F.col("b_id"))
-        return materialize(both.select("a", "b", "a_grams", "b_grams").mapInPandas(verified, "a long, b long"), "similar")
-
-    def grouped(comp: DataFrame) -> DataFrame:
-        joined = shared.join(comp.toDF("c_node", "component"), F.col("node") == F.col("c_node"), "left")
-        return materialize(joined.select("h", "node", "size", "pos", F.coalesce("component", "node").alias("component")), "grouped")
-
-    def meetings(left: DataFrame, right: DataFrame) -> DataFrame:
-        """a, b of different components that may be similar, judged by sizes and places of their first common shingle."""
-        a, b = (x.select("h", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "pos", "component"))) for x, s in ((left, "a"), (right, "b")))
-        most = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
-        enough = most >= (F.col("size_a") + F.col("size_b")) * F.lit(similarity / (1 + similarity)) - 1e-6
-        return a.join(b, "h").where((F.col("component_a") != F.col("component_b")) & enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-
-    edges = similar(every)
-    rest = grouped(connected_components(edges))
-    for at in range(HUB_ROUNDS):
-        parts = rest.groupBy("h", "component").agg(F.count("*").cast("double").alias("n")).groupBy("h")
-        open_pairs = parts.agg(((F.pow(F.sum("n"), 2) - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")).where(F.col("pairs") > OPEN_PAIRS)
-        crowded = materialize(rest.join(open_pairs.select("h"), "h", "left_semi"), "crowded")
-        if crowded.isEmpty():
-            break
-        row = F.struct("node", "size", "pos", "component")
-        hubs = crowded.groupBy("h").agg(F.min_by(row, F.xxhash64("node", F.lit(at))).alias("x")).select("h", "x.*")
-        found = similar(meetings(hubs, crowded))
-        if found.isEmpty():
-            break
-        edges = edges.unionByName(found)
-        rest = grouped(connected_components(edges))
-    edges = edges.unionByName(similar(meetings(rest, rest).where("a < b")))
-    comp = connected_components(edges)
-    of_class = classes.join(comp.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left")
-    of_class = materialize(of_class.select(F.col("key").alias("c_key"), F.coalesce("component", "node").alias("component_id")), "components")
-    return sketches.join(of_class, F.col("key") == F.col("c_key")).where("component_id < doc_id").select("doc_id", "component_id")
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seeds: int = 3, radius: int = 2) -> DataFrame:
+    """doc_id, component_id: rows of docs (doc_id, text) whose group has a smaller id than their own.
+
+    Groups are connected by equal sets of ``shingle``-word shingles (A-Z lower-cased) and by pairs whose sets have a Jaccard similarity of at least ``similarity``. The links of
+    ``seeds`` independent SimHash fingerprints of the texts' distinct words join most of them. All
+    others meet in a prefix: of two similar sets in a common order, the first n - ceil(similarity * n) + 1
+    shingles of each share one. Where many meet, hubs (a new one each round) connect what they can in
+    linear space; then every pair that meets and isn't connected yet is verified. Rows that share an id are one document
+    with several texts.
+    """
+    with Scratch(docs.sparkSession) as scratch:
+        rows = docs.where("doc_id is not null").select("doc_id", "text")
+        sketches = scratch.table(_sketches(rows, similarity, shingle, seeds), "sketches")
+        classes = scratch.table(sketches.groupBy("key").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("fps", "size", "prefix", "parity"))), "classes")
+        verifier = _Verifier(rows, classes, scratch, similarity, shingle)
+
+        nodes = classes.select("node", F.posexplode("fps").alias("seed", "fp"))
+        firsts = scratch.table(nodes.groupBy("seed", "fp").agg(F.min("node").alias("node")), "firsts")
+        renamed = firsts.select(F.col("seed").alias("f_seed"), F.col("fp").alias("f_fp"), F.col("node").alias("first"))
+        same = nodes.join(renamed, (F.col("seed") == F.col("f_seed")) & (F.col("fp") == F.col("f_fp"))).where("node <> first")
+        edges = verifier.similar(same.select(F.col("node").alias("a"), F.col("first").alias("b")).unionByName(links(firsts, radius)))
+
+        listed = classes.select("node", "size", F.posexplode("prefix").alias("pos", "h"))
+        met_twice = listed.select("h").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+        shared = scratch.table(listed.join(met_twice, "h", "left_semi"), "prefixes")
+
+        def grouped(comp: DataFrame) -> DataFrame:
+            joined = shared.join(comp.toDF("c_node", "component"), F.col("node") == F.col("c_node"), "left")
+            return scratch.table(joined.select("h", "node", "size", "pos", F.coalesce("component", "node").alias("component")), "grouped")
+
+        def meetings(left: DataFrame, right: DataFrame) -> DataFrame:
+            """a, b of different components that may be similar, judged by sizes and places of their first common shingle."""
+            a, b = (x.select("h", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "pos", "component"))) for x, s in ((left, "a"), (right, "b")))
+            most = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
+            enough = most >= (F.col("size_a") + F.col("size_b")) * F.lit(similarity / (1 + similarity)) - 1e-6
+            return a.join(b, "h").where((F.col("component_a") != F.col("component_b")) & enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+        rest, before = grouped(connected_components(edges)), 0
+        for at in range(HUB_ROUNDS):
+            parts = rest.groupBy("h", "component").agg(F.count("*").cast("double").alias("n")).groupBy("h")
+            open_pairs = parts.agg(((F.pow(F.sum("n"), 2) - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")).where(F.col("pairs") > OPEN_PAIRS)
+            crowded = scratch.table(rest.join(open_pairs.select("h"), "h", "left_semi"), "crowded")
+            n = crowded.count()
+            if not n or (before and n > 0.9 * before):  # hubs connect no more
+                break
+            before = n
+            row = F.struct("node", "size", "pos", "component")
+            hubs = crowded.groupBy("h").agg(F.min_by(row, F.xxhash64("node", F.lit(at))).alias("x")).select("h", "x.*")
+            found = verifier.similar(meetings(hubs, crowded))
+            if found.isEmpty():
+                break
+            edges = edges.unionByName(found)
+            rest = grouped(connected_components(edges))
+        edges = edges.unionByName(verifier.similar(meetings(rest, rest).where("a < b")))
+        comp = connected_components(edges)
+        of_class = classes.join(comp.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left")
+        of_class = scratch.table(of_class.select(F.col("key").alias("c_key"), F.coalesce("component", "node").alias("component_id")), "components")
+        return materialize(sketches.select("doc_id", "key").join(of_class, F.col("key") == F.col("c_key")).where("component_id < doc_id").select("doc_id", "component_id"), "later")
 
 
 def keep_one(docs: DataFrame, **params) -> DataFrame:
     """docs without the rows that a group of similar rows has a smaller id for; rows without an id stay."""
-    later = materialize(similar_groups(docs, **params).select(F.col("doc_id").alias("__later")).distinct(), "later")
+    later = similar_groups(docs, **params).select(F.col("doc_id").alias("__later")).distinct()
     return docs.join(later, docs["doc_id"] == later["__later"], "left_anti")
 
 

@@ -133,8 +133,8 @@ def _bits(grams: list[bytes], seed: int) -> int:
 
 #: Shingles that the order of the prefixes puts last, at most, and hashes that a task counts at once. They only save work: any order is exact.
 FREQUENT, COUNT_BLOCK = 262_144, 1 << 21
-#: Documents of one count block that make a shingle frequent.
-OFTEN = 8
+#: Different texts of one count block that make a shingle frequent there.
+OFTEN = 2
 #: Open pairs of a prefix shingle beyond which its members are first compared with hubs, and rounds of that. All open pairs left are compared then.
 OPEN_PAIRS, HUB_ROUNDS = 2016, 4
 
@@ -145,33 +145,46 @@ def _shingles(text: str | None, shingle: int) -> tuple[list[bytes], np.ndarray]:
     return ws, np.unique(shingle_hashes(ws, shingle))
 
 
+def _set_key(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
 def prefix_size(n: int, similarity: float) -> int:
     """Shingles of a set of n, the first in any common order, among which a similar set has at least one."""
     return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
 
 def frequent_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and counts of shingles that many documents of a block have, over the blocks of all documents."""
+    """Hashes (sorted) and counts of the shingles that most often several texts of a block have, over the blocks of all documents.
+
+    Equal texts of a block count once.
+    """
 
     def counted(hashes: list[np.ndarray]) -> pd.DataFrame:
         h, n = np.unique(np.concatenate(hashes), return_counts=True)
         return pd.DataFrame({"h": h[n >= OFTEN].view(np.int64), "n": n[n >= OFTEN]})
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, held = [], 0
+        hashes: dict[bytes, np.ndarray] = {}
+        held = 0
         for b in batches:
             for t in b["text"]:
-                hashes.append(_shingles(t, shingle)[1])
-                held += len(hashes[-1])
+                h = _shingles(t, shingle)[1]
+                key = _set_key(h)
+                if key not in hashes:
+                    hashes[key] = h
+                    held += len(h)
                 if held >= COUNT_BLOCK:
-                    yield counted(hashes)
-                    hashes, held = [], 0
+                    yield counted(list(hashes.values()))
+                    hashes, held = {}, 0
         if hashes:
-            yield counted(hashes)
+            yield counted(list(hashes.values()))
 
     sums = rows.select("text").mapInPandas(each, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = sums.orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas().sort_values("h")
-    return top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    top = sums.orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
+    h, n = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    turn = np.argsort(h)
+    return h[turn], n[turn]
 
 
 def _rare_first(hashes: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -268,7 +281,7 @@ def _sketches(rows: DataFrame, similarity: float, shingle: int, seeds: int) -> D
                 ws, hashes = _shingles(t, shingle)
                 distinct = list(set(ws))
                 first = _rare_first(hashes, known, counts)[: prefix_size(len(hashes), similarity)].view(np.int64)
-                out.append((hashlib.blake2b(hashes.tobytes(), digest_size=16).digest(), [_bits(distinct, 42 + i) for i in range(seeds)], len(hashes), first, parity(hashes)))
+                out.append((_set_key(hashes), [_bits(distinct, 42 + i) for i in range(seeds)], len(hashes), first, parity(hashes)))
             keys, fps, sizes, firsts, parities = zip(*out) if out else ([],) * 5
             yield pd.DataFrame({"doc_id": b["doc_id"], "key": keys, "fps": fps, "size": np.array(sizes, np.int32), "prefix": firsts, "parity": parities})
 

@@ -4,16 +4,18 @@ A window is ``window`` consecutive words of one document. Each word covered by a
 whose word sequence also starts in a document with a smaller id is removed; windows are
 judged on the input, not on what is left.
 
-The documents are taken in batches of ascending ids. Tasks hash a batch's windows, keep
+Documents of equal word sequences are one class: all but the smallest id lose every window.
+The classes' first documents are taken in batches of ascending ids. Tasks hash a batch's windows, keep
 for each hash the smallest document of their block (so a passage that very many documents
 share arrives once for each block, not once for each document) and deal the hashes out to
-buckets by a second, independent hash. In every bucket the batch is sorted and
+buckets by range. In every bucket the batch is sorted and
 merge-joined with the sorted immutable runs of earlier batches: a window is old if a run
-holds its hash or a smaller document of the batch has it. The batch's new hashes are the
-next run; once there are ``max_runs`` of them they are compacted into one.
+holds its hash or a smaller document of the batch has it. The batch's new hashes, each with its document, are the
+next run; once there are more than ``max_runs`` of them they are compacted into one. An index that is given a path is kept there
+and can be loaded for further batches.
 
-Two windows are taken as equal if both hashes agree: the 64-bit hash that is stored and,
-as verification, the bucket's share of the second one. Removed windows are found again in
+Matches are verified: every document that shares a hash, old or first, gives a digest of the window's words.
+Where one hash has several digests, its windows are judged anew by hash and digest. Removed windows are found again in
 the documents by their hash, so no positions are stored.
 
 Null ids neither remove nor are removed from. Null and empty texts have no words. Rows
@@ -24,6 +26,7 @@ are not read by ``dedup_words`` and are carried by ``drop_repeats``.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -33,138 +36,177 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 from zstandard import ZstdCompressor, ZstdDecompressor
 
-from .common import materialize, read_table
+from .common import Scratch, join_on_copy, materialize, read_table, window_mix
 
 WINDOW = 13
 #: Windows of one block in a task, and about the windows of one bucket.
-BLOCK = 1 << 20
-BUCKET = 1_500_000
+BLOCK = 1 << 19
+BUCKET = 800_000
 MIN_BUCKETS = 48
 MAX_RUNS = 4
-#: Shares of the documents, by id, where batches end: the first batch plays the history of the second.
-CUTS = (0.125,)
+#: Shares of the documents, by id, where batches end.
+CUTS = (1 / 128, 1 / 64, 1 / 32, 1 / 16, 1 / 8)
 #: Characters of a word with its space, to foresee the number of windows.
 WORD_CHARS = 6
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
+def _encoded(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
 
-def _multipliers(n: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+def window_hashes(words: list[bytes], window: int, bits: int = 64) -> np.ndarray:
+    """A hash of each window; fewer bits than 64 are for tests."""
+    w = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
+    return window_mix(w, window, 1) >> np.uint64(64 - bits) << np.uint64(64 - bits)
 
-def window_hashes(raw: bytes, window: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number of words, and two independent 64-bit hashes of each window."""
-    ws = raw.split()
-    w = np.fromiter(map(xxh64_intdigest, ws), np.uint64, len(ws))
-    n = len(w) - window + 1
-    if n < 1:
-        none = np.zeros(0, np.uint64)
-        return len(ws), none, none
-    out = []
-    for seed in (1, 2):
-        h = np.zeros(n, np.uint64)
-        for j, m in enumerate(_multipliers(window, seed)):
-            h += w[j : j + n] * m
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        out.append(h)
-    return len(ws), *out
 
+def word_digests(words: list[bytes], starts: np.ndarray, window: int) -> np.ndarray:
+    """64 bits of the BLAKE2b digest of the windows' words."""
+    got = b"".join(hashlib.blake2b(b" ".join(words[i : i + window]), digest_size=8).digest() for i in starts)
+    return np.frombuffer(got, np.int64)
 
-def _by_document(docs: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """Distinct documents and the packed hashes of each."""
-    order = np.argsort(docs, kind="stable")
+
+def pack_planes(x: np.ndarray) -> bytes:
+    """64-bit values byte by byte of each: high bytes are almost all zero."""
+    return ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpack_planes(packed: bytes, kind: type = np.int64) -> np.ndarray:
+    planes = np.frombuffer(ZstdDecompressor().decompress(packed), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def pack_sorted(h: np.ndarray) -> bytes:
+    """Sorted hashes as their differences."""
+    return pack_planes(np.diff(h, prepend=np.uint64(0)))
+
+
+def unpack_sorted(packed: bytes) -> np.ndarray:
+    return np.cumsum(unpack_planes(packed, np.uint64), dtype=np.uint64)
+
+
+def _lists(docs: np.ndarray, hashes: np.ndarray, old: bool, bucket: np.ndarray | int) -> pd.DataFrame:
+    """Rows of shared hashes (distinct), packed for each document."""
+    order = np.lexsort((hashes, docs))
     docs, hashes = docs[order], hashes[order]
     starts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]]) if len(docs) else np.zeros(0, int)
-    return docs[starts], [x.tobytes() for x in np.split(hashes, starts[1:])] if len(docs) else []
+    packed = [pack_sorted(x) for x in np.split(hashes, starts[1:])] if len(docs) else []
+    ids = docs[starts]
+    return pd.DataFrame({"bucket": np.asarray(ids % bucket if isinstance(bucket, np.ndarray) else bucket, np.int32), "doc_id": pd.array(ids, "Int64"), "old": old, "hashes": packed, "docs": None})
 
 
-def _first_seen(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order of (hash, document), which of them start a hash, and which follow a smaller document's."""
+def _first_seen(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (hash, document) by hash and document, which of them start a hash, and which hashes several documents have."""
     order = np.lexsort((docs, hashes))
     h, d = hashes[order], docs[order]
+    once = np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])] if len(h) else np.zeros(0, bool)
+    h, d = h[once], d[once]
     first = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
-    least = d[np.flatnonzero(first)][np.cumsum(first) - 1] if len(h) else d
-    again = np.r_[False, (h[1:] == h[:-1]) & (d[1:] == d[:-1])] if len(h) else first
-    return order, first, (d > least) & ~again
-
-
-def _hashed(docs: DataFrame, window: int, buckets: int) -> DataFrame:
-    """bucket, hashes, docs (packed; the smallest document of each hash in a block), or bucket, doc_id, hashes of windows that are already known to be old."""
-
-    def flush(hs: list, gs: list, ids: list) -> pd.DataFrame:
-        h, g = np.concatenate(hs), np.concatenate(gs)
-        d = np.repeat(np.array(ids, np.int64), [len(x) for x in hs])
-        order, first, old = _first_seen(h, d)
-        old_docs, old_hashes = _by_document(d[order[old]], h[order[old]])
-        keep = np.sort(order[first])
-        b = ((g[keep] >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
-        turn = np.argsort(b, kind="stable")
-        keep, b = keep[turn], b[turn]
+    last = np.r_[first[1:], True] if len(h) else first
+    return h, d, first, ~(first & last)
+
+
+_DEALT = "bucket int, doc_id long, old boolean, hashes binary, docs binary"
+
+
+def _hashed(docs: DataFrame, window: int, buckets: int, bits: int) -> DataFrame:
+    """Rows bucket, hashes, docs (packed; the smallest document of each hash in a block), and rows doc_id, old, hashes of hashes that a block's documents share."""
+
+    def flush(hs: list, ids: list) -> pd.DataFrame:
+        h, d, first, shared = _first_seen(np.concatenate(hs), np.repeat(np.array(ids, np.int64), [len(x) for x in hs]))
+        spread = np.array(buckets, np.int64)
+        lists = [_lists(d[at], h[at], old, spread) for at, old in ((shared & ~first, True), (shared & first, False)) if at.any()]
+        h, d = h[first], d[first]
+        b = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
         cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
-        return pd.DataFrame({
-            "bucket": np.r_[b[cuts], old_docs % buckets].astype(np.int32),
-            "doc_id": [None] * len(cuts) + old_docs.tolist(),
-            "hashes": [x.tobytes() for x in np.split(h[keep], cuts[1:])] + old_hashes,
-            "docs": [x.tobytes() for x in np.split(d[keep], cuts[1:])] + [None] * len(old_docs),
-        }).astype({"doc_id": "Int64"})
+        dealt = pd.DataFrame({
+            "bucket": b[cuts], "doc_id": pd.array([None] * len(cuts), "Int64"), "old": None,
+            "hashes": [pack_sorted(x) for x in np.split(h, cuts[1:])], "docs": [pack_planes(x) for x in np.split(d, cuts[1:])],
+        })
+        return pd.concat([dealt, *lists]).astype({"old": "boolean"})
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hs, gs, ids, held = [], [], [], 0
+        hs, ids, held = [], [], 0
         for b in batches:
             for i, t in zip(b["doc_id"], b["text"]):
-                _, h, g = window_hashes((t or "").encode("utf-8", "surrogatepass"), window)
+                h = window_hashes(_encoded(t).split(), window, bits)
                 if len(h):
                     hs.append(h)
-                    gs.append(g)
                     ids.append(i)
                     held += len(h)
                 if held >= BLOCK:
-                    yield flush(hs, gs, ids)
-                    hs, gs, ids, held = [], [], [], 0
+                    yield flush(hs, ids)
+                    hs, ids, held = [], [], 0
         if held:
-            yield flush(hs, gs, ids)
+            yield flush(hs, ids)
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(each, "bucket int, doc_id long, hashes binary, docs binary")
+    return docs.select("doc_id", "text").mapInPandas(each, _DEALT)
 
 
 class SubstringIndex:
-    """Runs of window hashes of all batches so far: tables bucket, hashes (sorted, as pack_sorted)."""
+    """Runs of the window hashes of all batches so far: tables bucket, hashes (sorted, as pack_sorted), docs (first document of each).
 
-    def __init__(self, buckets: int, window: int = WINDOW, max_runs: int = MAX_RUNS):
-        self.buckets, self.window, self.max_runs = buckets, window, max_runs
+    With a path the runs are kept below it; each version of the list of runs is appended to the table ``state``.
+    """
+
+    def __init__(self, spark: SparkSession, buckets: int, window: int = WINDOW, max_runs: int = MAX_RUNS, path: str | None = None, bits: int = 64, scratch: Scratch | None = None):
+        self.spark, self.buckets, self.window, self.max_runs, self.bits = spark, buckets, window, max_runs, bits
+        self.path, self.version, self.names = path, 0, []
+        self.table = scratch.table if scratch else materialize
         self.runs: list[DataFrame] = []
 
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, max_runs: int = MAX_RUNS) -> SubstringIndex:
+        """The index as it was after its last batch."""
+        state = spark.read.parquet(f"{path}/state")
+        rows = state.where(F.col("version") == state.agg(F.max("version")).first()[0]).orderBy("at").collect()  # at most max_runs + 1 rows
+        index = cls(spark, rows[0]["buckets"], rows[0]["window"], max_runs, path, rows[0]["bits"])
+        index.version, index.names = rows[0]["version"], [r["run"] for r in rows]
+        index.runs = [spark.read.parquet(f"{path}/{name}") for name in index.names]
+        return index
+
+    def _keep(self, run: DataFrame, what: str) -> DataFrame:
+        self.version += 1
+        if self.path is None:
+            return self.table(run, what)
+        name = f"{what}-{self.version:08d}"
+        run.write.parquet(f"{self.path}/{name}")
+        self.names.append(name)
+        return self.spark.read.schema(run.schema).parquet(f"{self.path}/{name}")
+
+    def _save_state(self) -> None:
+        if self.path is not None:
+            rows = [(self.version, i, name, self.buckets, self.window, self.bits) for i, name in enumerate(self.names)]
+            self.spark.createDataFrame(rows, "version long, at int, run string, buckets int, window int, bits int").coalesce(1).write.mode("append").parquet(f"{self.path}/state")
+
     def judge(self, docs: DataFrame, last: bool = False) -> DataFrame:
-        """doc_id, hashes: old windows of a batch, whose ids must all be larger than those of earlier batches.
+        """doc_id, old, hashes: hashes of a batch that several documents have, old or first; first ones of earlier batches too.
 
-        The batch's new hashes become a run, unless it is the last batch.
+        The batch's ids must all be larger than those of earlier batches. Its new hashes become a run, unless it is the last batch.
         """
-        dealt = _hashed(docs, self.window, self.buckets)
-        schema = "bucket int, doc_id long, hashes binary"
+        dealt = _hashed(docs, self.window, self.buckets, self.bits)
 
-        def merged(rows: pd.DataFrame, old_runs: list[np.ndarray]) -> pd.DataFrame:
+        def merged(rows: pd.DataFrame, runs: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
             known = rows["docs"].isna()
-            passed = rows.loc[known, ["bucket", "doc_id", "hashes"]]
+            parts = [rows[known]]
             rows = rows[~known]
-            if not len(rows):
-                return passed
-            h = np.frombuffer(b"".join(rows["hashes"]), np.uint64)
-            d = np.frombuffer(b"".join(rows["docs"]), np.int64)
-            order, first, old = _first_seen(h, d)
-            h, d = h[order], d[order]
-            for run in old_runs:
-                if len(run):
-                    at = np.minimum(np.searchsorted(run, h), len(run) - 1)
-                    old |= run[at] == h
-            ids, packed = _by_document(d[old], h[old])
-            out = pd.DataFrame({"bucket": np.int32(rows["bucket"].iloc[0]), "doc_id": ids, "hashes": packed}).astype({"doc_id": "Int64"})
-            parts = [passed.astype({"doc_id": "Int64"}), out]
-            if not last:
-                new = h[first & ~old]
-                parts.append(pd.DataFrame({"bucket": [np.int32(rows["bucket"].iloc[0])], "doc_id": pd.array([None], "Int64"), "hashes": [pack_sorted(new)]}))
-            return pd.concat([p for p in parts if len(p)] or parts[:1])
+            if len(rows):
+                bucket = int(rows["bucket"].iloc[0])
+                h, d, first, shared = _first_seen(np.concatenate([unpack_sorted(x) for x in rows["hashes"]]), np.concatenate([unpack_planes(x) for x in rows["docs"]]))
+                old, new = ~first, first.copy()
+                for run, docs_of_run in runs:
+                    if len(run):
+                        at = np.minimum(np.searchsorted(run, h), len(run) - 1)
+                        met = run[at] == h
+                        old |= met
+                        new &= ~met
+                        at = np.unique(at[met])
+                        parts.append(_lists(docs_of_run[at], run[at], False, bucket))
+                parts += [_lists(d[x], h[x], o, bucket) for x, o in ((old, True), (shared & first & ~old, False))]
+                if not last and new.any():
+                    parts.append(pd.DataFrame({"bucket": np.array([bucket], np.int32), "doc_id": pd.array([None], "Int64"), "old": [None], "hashes": [pack_sorted(h[new])], "docs": [pack_planes(d[new])]}))
+            return pd.concat([p for p in parts if len(p)] or parts[:1]).astype({"old": "boolean"})
 
         if self.runs:
             runs = self.runs[0]
@@ -172,53 +214,62 @@ class SubstringIndex:
                 runs = runs.unionByName(r)
 
             def join(rows: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
-                if not len(rows):
-                    return pd.DataFrame({"bucket": pd.array([], "int32"), "doc_id": pd.array([], "Int64"), "hashes": []})
-                return merged(rows, [unpack_sorted(x) for x in runs["hashes"]])
+                return merged(rows, [(unpack_sorted(h), unpack_planes(d)) for h, d in zip(runs["hashes"], runs["docs"])])
 
-            out = dealt.groupBy("bucket").cogroup(runs.groupBy("bucket")).applyInPandas(join, schema)
+            out = dealt.groupBy("bucket").cogroup(runs.groupBy("bucket")).applyInPandas(join, _DEALT)
         else:
-            out = dealt.groupBy("bucket").applyInPandas(lambda rows: merged(rows, []), schema)
+            out = dealt.groupBy("bucket").applyInPandas(lambda rows: merged(rows, []), _DEALT)
         if last:
-            return out.select("doc_id", "hashes")
-        out = materialize(out, "run")
-        self.runs.append(out.where("doc_id is null").select("bucket", "hashes"))
+            return out.select("doc_id", "old", "hashes")
+        # One table for both: reading its parts later costs less than a second pass over the texts.
+        out = self.table(out, "judged")
+        self.runs.append(self._keep(out.where("doc_id is null").select("bucket", "hashes", "docs"), "run"))
         if len(self.runs) > self.max_runs:
             self.compact()
-        return out.where("doc_id is not null").select("doc_id", "hashes")
+        self._save_state()
+        return out.where("doc_id is not null").select("doc_id", "old", "hashes")
 
     def compact(self) -> None:
-        """Merges all runs into one."""
+        """Merges all runs into one. No hash is in two runs."""
         runs = self.runs[0]
         for r in self.runs[1:]:
             runs = runs.unionByName(r)
 
         def one(rows: pd.DataFrame) -> pd.DataFrame:
-            h = np.unique(np.concatenate([unpack_sorted(x) for x in rows["hashes"]]))
-            return pd.DataFrame({"bucket": [rows["bucket"].iloc[0]], "hashes": [pack_sorted(h)]})
+            h = np.concatenate([unpack_sorted(x) for x in rows["hashes"]])
+            order = np.argsort(h)
+            d = np.concatenate([unpack_planes(x) for x in rows["docs"]])[order]
+            return pd.DataFrame({"bucket": [rows["bucket"].iloc[0]], "hashes": [pack_sorted(h[order])], "docs": [pack_planes(d)]})
 
-        self.runs = [materialize(runs.groupBy("bucket").applyInPandas(one, "bucket int, hashes binary"), "run")]
+        self.names = []
+        self.runs = [self._keep(runs.groupBy("bucket").applyInPandas(one, "bucket int, hashes binary, docs binary"), "compact")]
 
 
-def pack_sorted(h: np.ndarray) -> bytes:
-    """Sorted hashes as their differences, byte by byte of each: the high bytes are almost all zero."""
-    return ZstdCompressor(level=1).compress(np.diff(h, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes())
+def buckets_for(docs: DataFrame) -> int:
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    return max(MIN_BUCKETS, -(-chars // (WORD_CHARS * BUCKET)))
 
 
-def unpack_sorted(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(ZstdDecompressor().decompress(packed), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+def sequence_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, first: the smallest id of the documents with the same word sequence, for those that aren't it."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "key": [hashlib.blake2b(b" ".join(_encoded(t).split()), digest_size=16).digest() for t in b["text"]]})
 
+    keys = scratch.table(docs.select("doc_id", "text").mapInPandas(each, "doc_id long, key binary"), "keys")
+    firsts = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select(F.col("key").alias("f_key"), "first")
+    return join_on_copy(keys, firsts, "key", "f_key", "inner").where("doc_id > first").select("doc_id", "first").distinct()
 
-def buckets_for(docs: DataFrame) -> int:
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    return max(MIN_BUCKETS, -(-chars // (WORD_CHARS * BUCKET)))
 
+def old_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW, cuts: Sequence[float] = CUTS, buckets: int | None = None, bits: int = 64) -> DataFrame:
+    """doc_id, old (array of packed hashes), exact (array of hash and digest): the old windows of each document that has any.
 
-def old_windows(docs: DataFrame, window: int = WINDOW, cuts: Sequence[float] = CUTS, buckets: int | None = None) -> DataFrame:
-    """doc_id, old (array of packed hashes): the old windows of each document that has any."""
-    index = SubstringIndex(buckets or buckets_for(docs), window)
-    ends = sorted({int(x) for x in docs.where("doc_id is not null").approxQuantile("doc_id", list(cuts), 0.01)}) if cuts else []
+    A window is old if its hash is in old, or its hash and digest are in exact.
+    """
+    spark = docs.sparkSession
+    index = SubstringIndex(spark, buckets or buckets_for(docs), window, bits=bits, scratch=scratch)
+    ends = sorted({int(x) for x in docs.approxQuantile("doc_id", list(cuts), 0.001)}) if cuts else []
     parts, low = [], None
     for cut in [*ends, None]:
         batch = docs
@@ -228,79 +279,162 @@ def old_windows(docs: DataFrame, window: int = WINDOW, cuts: Sequence[float] = C
             batch = batch.where(F.col("doc_id") <= cut)
         parts.append(index.judge(batch, last=cut is None))
         low = cut
-    out = parts[0]
+    found = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("doc_id").agg(F.collect_list("hashes").alias("old"))
-
-
-def kept_mask(raw: bytes, old: list[bytes] | None, window: int) -> tuple[list[bytes], np.ndarray]:
-    """The words of a text, and which of them stay."""
-    if old is None or not len(old):
-        ws = raw.split()
-        return ws, np.ones(len(ws), bool)
-    ws = raw.split()
-    n, h, _ = window_hashes(raw, window)
-    flagged = np.isin(h, np.frombuffer(b"".join(old), np.uint64))
+        found = found.unionByName(p)
+    lists = found.groupBy("doc_id").agg(F.collect_list(F.when(F.col("old"), F.col("hashes"))).alias("old"), F.collect_list(F.when(~F.col("old"), F.col("hashes"))).alias("shared"))
+    lists = scratch.table(lists, "lists")
+
+    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def distinct() -> pd.DataFrame:
+            rows = np.unique(np.concatenate(held), axis=0)
+            return pd.DataFrame({"h": rows[:, 0], "g": rows[:, 1]})
+
+        held, n = [], 0
+        for b in batches:
+            for z, old, shared in zip(b["z"], b["old"], b["shared"]):
+                words = ZstdDecompressor().decompress(z).split()
+                h = window_hashes(words, window, bits)
+                at = np.flatnonzero(np.isin(h, np.concatenate([unpack_sorted(x) for x in (*old, *shared)])))
+                held.append(np.stack([h[at].view(np.int64), word_digests(words, at, window)], axis=1))
+                n += len(at)
+                if n >= BLOCK // 4:
+                    yield distinct()
+                    held, n = [], 0
+        if held:
+            yield distinct()
+
+    met = _packed(docs).join(lists.withColumnRenamed("doc_id", "__o_id"), F.col("doc_id") == F.col("__o_id")).select("doc_id", "z", "old", "shared")
+    pairs = met.select("z", "old", "shared").mapInPandas(digests, "h long, g long")
+    several = scratch.table(pairs.groupBy("h").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a <> b").select("h"), "several")
+    old = lists.where(F.size("old") > 0).select("doc_id", "old", F.array().cast("array<struct<h:long,g:long>>").alias("exact"))
+    return old if several.isEmpty() else _judged_by_words(met, several, scratch, window, bits)
+
+
+def _judged_by_words(met: DataFrame, several: DataFrame, scratch: Scratch, window: int, bits: int) -> DataFrame:
+    """The rows of old_windows, if hashes (several) stand for more than one word sequence: these are compared with their digests."""
+
+    def exploded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i, z, old, shared in zip(b["doc_id"], b["z"], b["old"], b["shared"]):
+                words = ZstdDecompressor().decompress(z).split()
+                h = window_hashes(words, window, bits)
+                olds = np.concatenate([unpack_sorted(x) for x in old]) if len(old) else h[:0]
+                at = np.flatnonzero(np.isin(h, np.concatenate([unpack_sorted(x) for x in (*old, *shared)])))
+                yield pd.DataFrame({"doc_id": i, "h": h[at].view(np.int64), "g": word_digests(words, at, window), "old": np.isin(h[at], olds)})
+
+    rows = scratch.table(met.mapInPandas(exploded, "doc_id long, h long, g long, old boolean").distinct(), "windows")
+    doubtful = rows.join(several, "h", "left_semi")
+    firsts = doubtful.groupBy("h", "g").agg(F.min("doc_id").alias("first"))
+    exact = doubtful.join(firsts, ["h", "g"]).where("doc_id > first").select("doc_id", F.struct("h", "g").alias("pair"), F.lit(None).cast("long").alias("sure"))
+    sure = rows.where("old").join(several, "h", "left_anti").select("doc_id", F.lit(None).cast("struct<h:long,g:long>").alias("pair"), F.col("h").alias("sure"))
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(old=[[pack_sorted(np.sort(np.asarray(x, np.int64).view(np.uint64)))] if len(x) else [] for x in b["sure"]])[["doc_id", "old", "exact"]]
+
+    lists = exact.unionByName(sure).groupBy("doc_id").agg(F.collect_set("sure").alias("sure"), F.collect_set("pair").alias("exact"))
+    return scratch.table(lists.mapInPandas(packed, "doc_id long, old array<binary>, exact array<struct<h:long,g:long>>"), "old")
+
+
+def kept_mask(words: list[bytes], old: list[bytes] | None, exact: list | None, copy: bool, window: int, bits: int = 64) -> np.ndarray:
+    """Which words stay; copy: the document has the words of one with a smaller id."""
+    n = len(words)
+    if n < window or not (copy or (old is not None and len(old)) or (exact is not None and len(exact))):
+        return np.ones(n, bool)
+    if copy:
+        return np.zeros(n, bool)
+    h = window_hashes(words, window, bits)
+    flagged = np.isin(h, np.concatenate([unpack_sorted(x) for x in old])) if len(old) else np.zeros(len(h), bool)
+    if len(exact):
+        pairs = {(x["h"], x["g"]) for x in exact}
+        at = np.flatnonzero(np.isin(h.view(np.int64), [x for x, _ in pairs]))
+        flagged[at] |= np.array([p in pairs for p in zip(h[at].view(np.int64).tolist(), word_digests(words, at, window).tolist())], bool)
     edge = np.zeros(n + 1, np.int64)
     edge[: len(flagged)] += flagged
     edge[window : window + len(flagged)] -= flagged
-    return ws, np.cumsum(edge[:-1]) == 0
+    return np.cumsum(edge[:-1]) == 0
 
 
-def _with_old(docs: DataFrame, old: DataFrame) -> DataFrame:
-    o = old.select(F.col("doc_id").alias("__o_id"), F.col("old").alias("__old"))
-    return docs.join(o, docs["doc_id"] == o["__o_id"], "left").drop("__o_id")
-
-
-def dedup_words(docs: DataFrame, window: int = WINDOW, cuts: Sequence[float] = CUTS, buckets: int | None = None) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text_sha256 for each row of docs (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    old = old_windows(docs, window, cuts, buckets)
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, z: texts travel to joins compressed."""
 
     def packed(bs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         z = ZstdCompressor(level=3)
         for b in bs:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "z": [z.compress((t or "").encode("utf-8", "surrogatepass")) for t in b["text"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "z": [z.compress(_encoded(t)) for t in b["text"]]})
+
+    return docs.select("doc_id", "text").mapInPandas(packed, "doc_id long, z binary")
+
+
+def _judged(docs: DataFrame, scratch: Scratch, window: int, cuts: Sequence[float], buckets: int | None, bits: int) -> DataFrame:
+    """__o_id, __old, __exact, __copy for each document that loses words."""
+    known = docs.where("doc_id is not null").select("doc_id", "text")
+    copies = scratch.table(sequence_classes(known, scratch), "copies")
+    # Of repeated ids, each row has a class of its own: such documents take part with all their windows.
+    repeated = known.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("r_id"))
+    copies = scratch.table(copies.join(repeated, F.col("doc_id") == F.col("r_id"), "left_anti"), "whole_copies")
+    firsts = known.join(copies.select(F.col("doc_id").alias("c_id")), F.col("doc_id") == F.col("c_id"), "left_anti")
+    old = old_windows(firsts, scratch, window, cuts, buckets, bits)
+    parts = old.select("doc_id", "old", "exact", F.lit(False).alias("copy"))
+    whole = copies.select("doc_id", F.array().cast("array<binary>").alias("old"), F.array().cast("array<struct<h:long,g:long>>").alias("exact"), F.lit(True).alias("copy"))
+    return parts.unionByName(whole).toDF("__o_id", "__old", "__exact", "__copy")
+
+
+def dedup_words(docs: DataFrame, window: int = WINDOW, cuts: Sequence[float] = CUTS, buckets: int | None = None, bits: int = 64) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 for each row of docs (doc_id, text)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def judged(bs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        z = ZstdDecompressor()
         for b in bs:
             n, gone, sha = [], [], []
-            for t, o in zip(b["z"], b["__old"]):
-                ws, keep = kept_mask(z.decompress(t), o, window)
-                n.append(len(ws))
-                gone.append(len(ws) - int(keep.sum()))
-                sha.append(hashlib.sha256(b" ".join(w for w, k in zip(ws, keep) if k) if gone[-1] else b" ".join(ws)).hexdigest())
+            for t, old, exact, copy in zip(b["z"], b["__old"], b["__exact"], b["__copy"]):
+                words = ZstdDecompressor().decompress(t).split()
+                keep = kept_mask(words, old, exact, bool(copy), window, bits)
+                n.append(len(words))
+                gone.append(len(words) - int(keep.sum()))
+                sha.append(hashlib.sha256(b" ".join(w for w, k in zip(words, keep) if k) if gone[-1] else b" ".join(words)).hexdigest())
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_words": n, "n_removed": gone, "kept_sha256": sha})
 
-    # Texts travel to the join compressed.
-    small = docs.mapInPandas(packed, "doc_id long, z binary")
-    return _with_old(small, old).mapInPandas(judged, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    with Scratch(docs.sparkSession) as scratch:
+        lost = _judged(docs, scratch, window, cuts, buckets, bits)
+        joined = _packed(docs).join(lost, F.col("doc_id") == F.col("__o_id"), "left").drop("__o_id").withColumn("__copy", F.coalesce("__copy", F.lit(False)))
+        return materialize(joined.mapInPandas(judged, "doc_id long, n_words long, n_removed long, kept_sha256 string"), "kept")
+
+
+def cut_words(text: str, keep: np.ndarray) -> str:
+    """text without the characters from the first to the last word of each run of removed words."""
+    raw = _encoded(text)
+    at = [m.span() for m in _WORD.finditer(raw)]
+    edge = np.flatnonzero(np.diff(np.r_[True, keep, True].astype(np.int8)))
+    out, done = [], 0
+    for a, b in zip(edge[::2], edge[1::2]):
+        out.append(raw[done : at[a][0]])
+        done = at[b - 1][1]
+    return (b"".join(out) + raw[done:]).decode("utf-8", "surrogatepass")
 
 
-def drop_repeats(docs: DataFrame, window: int = WINDOW, cuts: Sequence[float] = CUTS, buckets: int | None = None) -> DataFrame:
-    """docs with the kept words of their texts joined by one space; texts without an old window stay as they are.
+def drop_repeats(docs: DataFrame, window: int = WINDOW, cuts: Sequence[float] = CUTS, buckets: int | None = None, bits: int = 64) -> DataFrame:
+    """docs with the removed words cut out of their texts; texts without an old window, and all white space that is left, stay as they are.
 
     Rows of which no word is left are dropped, those that had none before aside.
     """
-    old = old_windows(docs.select("doc_id", "text"), window, cuts, buckets)
     columns = docs.columns
 
     def judged(bs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in bs:
             texts, stay = [], []
-            for t, o in zip(b["text"], b["__old"]):
-                if o is not None and len(o):
-                    ws, keep = kept_mask(t.encode("utf-8", "surrogatepass"), o, window)
-                    t = b" ".join(w for w, k in zip(ws, keep) if k).decode("utf-8", "surrogatepass")
-                    stay.append(bool(t))
-                else:
-                    stay.append(True)
-                texts.append(t)
-            yield b.assign(text=texts)[columns][stay]
-
-    return _with_old(docs, old).mapInPandas(judged, docs.schema)
+            for t, old, exact, copy in zip(b["text"], b["__old"], b["__exact"], b["__copy"]):
+                words = _encoded(t).split() if old is not None else []
+                keep = kept_mask(words, old, exact, bool(copy), window, bits)
+                stay.append(bool(not len(keep) or keep.any()))
+                texts.append(t if keep.all() else cut_words(t, keep))
+            yield b.assign(text=texts)[columns][np.array(stay, bool)]
+
+    with Scratch(docs.sparkSession) as scratch:
+        lost = _judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scratch, window, cuts, buckets, bits)
+        joined = docs.join(lost, docs["doc_id"] == lost["__o_id"], "left").drop("__o_id").withColumn("__copy", F.coalesce("__copy", F.lit(False)))
+        return materialize(joined.mapInPandas(judged, docs.schema), "kept")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,15 +46,15 @@ LISTED, VISITING = 256, 512
 
 
 def packed_vectors(rows: DataFrame) -> DataFrame:
-    """vec_id, v (packed doubles) for the usable rows of rows (vec_id, embedding)."""
+    """vec_id, v (packed doubles; null if the row links with nothing) for each row of rows (vec_id, embedding)."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            v = [np.asarray(x, dtype=np.float64) for x in b["embedding"]]  # null components become NaN
-            ok = [bool(len(x)) and bool(np.isfinite(x).all()) and 0 < np.linalg.norm(x) < math.inf for x in v]
-            yield pd.DataFrame({"vec_id": b["vec_id"][ok], "v": [x.tobytes() for x, k in zip(v, ok) if k]})
+            v = [None if x is None else np.asarray(x, dtype=np.float64) for x in b["embedding"]]  # null components become NaN
+            ok = [x is not None and bool(len(x)) and bool(np.isfinite(x).all()) and bool(x.any()) for x in v]
+            yield pd.DataFrame({"vec_id": b["vec_id"].astype("Int64"), "v": [x.tobytes() if k and not pd.isna(i) else None for i, x, k in zip(b["vec_id"], v, ok)]})
 
-    return rows.where("vec_id is not null and embedding is not null").select("vec_id", "embedding").mapInPandas(each, "vec_id long, v binary")
+    return rows.select("vec_id", "embedding").mapInPandas(each, "vec_id long, v binary")
 
 
 def _unit(packed: pd.Series) -> np.ndarray:
@@ -229,19 +229,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, target_rec
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     packed = materialize(packed_vectors(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")), "vectors")
-    classes = packed.groupBy("v").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight"))
+    classes = packed.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight"))
     # Different vectors may share an id: nodes have numbers of their own.
     nodes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     parts = []
-    for r in nodes.groupBy(F.length("v").alias("size")).count().orderBy("size").collect():  # lengths of vectors
+    for r in nodes.groupBy(F.length("v").alias("size")).count().where("count > 1").orderBy("size").collect():  # lengths that several vectors have
         same = nodes.where(F.length("v") == r["size"]).select("node", "weight", "v")
         index = fit(same, r["count"], k)
         parts.append(_linked(same, index, visits_for(same, index, threshold, target_recall), threshold))
-    ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    if not parts:
-        return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    links = parts[0]
-    for p in parts[1:]:
+    links = nodes.sparkSession.createDataFrame([], "node long, n long, root long")
+    for p in parts:
         links = links.unionByName(p)
     degree = links.groupBy("node").agg(F.sum("n").alias("n"))
     firsts = nodes.select(F.col("node").alias("f_node"), "first")
@@ -252,9 +249,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, target_rec
     known = nodes.join(degree.withColumnRenamed("node", "d_node"), F.col("node") == F.col("d_node"), "left")
     known = known.join(comp.toDF("c_node", "component"), F.col("first") == F.col("c_node"), "left")
     known = materialize(known.select(F.col("v").alias("k_v"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "first").alias("component_id")), "known")
-    usable = join_on_copy(packed, known, "v", "k_v", "inner").select("vec_id", "n_links", "component_id")
-    rest = vectors.join(packed.select(F.col("vec_id").alias("p_id")).distinct(), F.col("vec_id").cast("long") == F.col("p_id"), "left_anti")
-    alone = rest.select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
+    usable = join_on_copy(packed.where("v is not null"), known, "v", "k_v", "inner").select("vec_id", "n_links", "component_id")
+    alone = packed.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return usable.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 

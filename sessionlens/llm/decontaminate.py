@@ -5,8 +5,8 @@ form a suffix automaton; every document's words are streamed through it, and the
 matching length at each word tells where windows of items (``window`` consecutive words,
 or a whole shorter item) end. Words inside occurring windows are hit.
 
-The automaton is sent to the tasks, so an item block holds at most ``block_words`` words;
-a larger benchmark is taken in several blocks, one narrow pass over the documents each,
+The automaton is sent to the tasks, so an item block holds about ``block_words`` words at most;
+a larger benchmark is taken in several blocks, of which the driver holds one at a time, with one narrow pass over the documents each,
 and the passes' spans are merged by document.
 
 Null and empty texts have no words and no hits; items without words or without an id are
@@ -17,7 +17,7 @@ matched row by row. Texts of any length are taken whole. Extra columns are not r
 
 from __future__ import annotations
 
-import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .automaton import WORD_BYTES, ItemAutomaton, words_of
-from .common import materialize, read_table
+from .common import Scratch, materialize, read_table
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
@@ -34,20 +34,30 @@ BLOCK_WORDS = 200_000
 MAX_COVERAGE = 0.5
 
 
-def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Items (id as text, words) in blocks of at most block_words words; longer items are a block of their own."""
-    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("i"), "text").orderBy("i", "text")
-    block, size = [], 0
-    for r in rows.toLocalIterator():
-        ws = words_of(r["text"])
-        if block and size + len(ws) > block_words:
-            yield block
-            block, size = [], 0
-        if ws:
-            block.append((r["i"], ws))
-            size += len(ws)
-    if block:
-        yield block
+def item_blocks(benchmark: DataFrame, scratch: Scratch, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """Items (id as text, words), a block of about block_words words or fewer at a time; at least one block.
+
+    Longer items are cut into pieces that overlap by window - 1 words, so that each of their windows is in a piece.
+    """
+    step = max(1, block_words // 4)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for i, t in zip(b["i"], b["text"]):
+                ws = words_of(t)
+                out += [(i, at, b" ".join(ws[at : at + step + window - 1]), min(len(ws) - at, step + window - 1)) for at in range(0, max(1, len(ws) - window + 1), step) if ws]
+            yield pd.DataFrame(out, columns=["i", "at", "words", "n"])
+
+    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("i"), "text")
+    pieces = scratch.table(rows.mapInPandas(cut, "i string, at long, words binary, n long"), "items")
+    blocks = max(1, math.ceil((pieces.agg(F.sum("n")).first()[0] or 0) / block_words * 2 - 1))
+    numbered = pieces.withColumn("block", F.pmod(F.xxhash64("i", "at", "words"), F.lit(blocks)))
+    if blocks > 1:
+        numbered = scratch.table(numbered.repartition("block").sortWithinPartitions("block"), "blocks")
+    for block in range(blocks):
+        found = numbered.where(F.col("block") == block).orderBy("i", "at", "words").toPandas()
+        yield [(i, ws.split(b" ")) for i, ws in zip(found["i"], found["words"])]
 
 
 def _merged(spans: list[list[int]]) -> list[list[int]]:
@@ -64,13 +74,11 @@ def match_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, blo
     """For each row of docs (doc_id, text): doc_id, n_words, n_hit, items (sorted ids), spans (word ranges [start, end) that are hit)."""
     if window < 1:
         raise ValueError("window must be at least 1")
-    blocks = list(item_blocks(benchmark, block_words)) or [[]]
     kind = docs.schema["doc_id"].dataType.simpleString()
     sc = docs.sparkSession.sparkContext
     schema = f"doc_id {kind}, row long, n_words long, items array<string>, spans array<array<long>>"
-    source = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
 
-    def one(block: list) -> DataFrame:
+    def one(source: DataFrame, block: list) -> DataFrame:
         sent = sc.broadcast(block)
 
         def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,18 +95,27 @@ def match_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, blo
 
         return source.mapInPandas(each, schema)
 
-    passes = [one(b) for b in blocks]
-    if len(passes) == 1:
-        out = passes[0]
-    else:
-        merged = F.udf(_merged, "array<array<long>>")
-        every = passes[0]
-        for p in passes[1:]:
-            every = every.unionByName(p)
-        grouped = every.groupBy("row").agg(
-            F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans")
-        )
-        out = grouped.withColumn("spans", merged("spans"))
+    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(spans=[_merged([[int(x) for x in s] for s in spans]) for spans in b["spans"]])
+
+    source = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
+    with Scratch(docs.sparkSession) as scratch:
+        blocks = item_blocks(benchmark, scratch, window, block_words)
+        block, after = next(blocks), next(blocks, None)
+        if after is None:
+            out = one(source, block)
+        else:
+            # Row numbers must be the same in every pass; each pass ends before the next block is fetched.
+            source, every = scratch.table(source, "numbered"), None
+            while block is not None:
+                found = scratch.table(one(source, block), "found")
+                every = found if every is None else every.unionByName(found)
+                block, after = after, next(blocks, None)
+            grouped = every.groupBy("row").agg(
+                F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans")
+            )
+            out = materialize(grouped.select("doc_id", "row", "n_words", "items", "spans").mapInPandas(merged, schema), "matches")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x[1] - x[0])
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", "spans")
 
@@ -120,22 +137,23 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
 def remove_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs without the hit spans of their texts; rows of which more than max_coverage of the words are hit are dropped.
 
-    One narrow pass for each block of items: a later block is matched against the text that the earlier ones saw,
-    by carrying the spans along.
+    One pass for each block of items, written before the next block is fetched: a later block is matched against
+    the text that the earlier ones saw, by carrying the spans along.
     """
-    blocks = list(item_blocks(benchmark, block_words)) or [[]]
     sc = docs.sparkSession.sparkContext
     columns = docs.columns
-    out = docs.withColumn("__spans", F.array().cast("array<array<long>>"))
-    schema = out.schema
-    for n, block in enumerate(blocks):
-        sent, last = sc.broadcast(block), n == len(blocks) - 1
+    held = "__spans"
+    while held in columns:
+        held += "_"
+
+    def one(out: DataFrame, block: list, last: bool) -> DataFrame:
+        sent = sc.broadcast(block)
 
-        def each(batches: Iterator[pd.DataFrame], sent=sent, last=last) -> Iterator[pd.DataFrame]:
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             automaton = ItemAutomaton(sent.value, window)
             for b in batches:
                 texts, spans, keep = [], [], []
-                for t, before in zip(b["text"], b["__spans"]):
+                for t, before in zip(b["text"], b[held]):
                     ws = words_of(t)
                     at, _ = automaton.match(ws)
                     every = _merged([[int(x) for x in s] for s in before] + [list(x) for x in at])
@@ -143,11 +161,21 @@ def remove_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                     keep.append(not last or covered <= max_coverage * len(ws))
                     texts.append(cut_words(t, every) if last and every else t)
                     spans.append(every)
-                b = b.assign(text=texts, __spans=spans)
+                b = b.assign(**{"text": texts, held: spans})
                 yield b[keep] if last else b
 
-        out = out.mapInPandas(each, schema)
-    return out.select(*columns)
+        return out.mapInPandas(each, out.schema)
+
+    out = docs.withColumn(held, F.array().cast("array<array<long>>"))
+    with Scratch(docs.sparkSession) as scratch:
+        blocks = item_blocks(benchmark, scratch, window, block_words)
+        block, after = next(blocks), next(blocks, None)
+        if after is None:
+            return one(out, block, True).select(*columns)
+        while after is not None:
+            out = scratch.table(one(out, block, False), "spans")
+            block, after = after, next(blocks, None)
+        return materialize(one(out, block, True).select(*columns), "clean")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

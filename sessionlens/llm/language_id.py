@@ -135,7 +135,7 @@ def fit(rows: DataFrame) -> Decoder:
     sent = rows.sparkSession.sparkContext.broadcast(decoder)
     # Ids of the sample first, so that no text is sorted.
     ids = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(WEIGHT_ROWS)
-    sample = rows.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text")
+    sample = rows.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text").limit(WEIGHT_ROWS)  # repeated ids may bring more
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -25,6 +25,8 @@ from .common import fold, read_table
 
 #: Labelled documents that the field is fitted on, at most.
 FIT_DOCS = 1_500
+#: Characters of a document that the field is fitted on, at most; longer ones are left to others of the sample.
+FIT_CHARS = 200_000
 ROUNDS = 120
 L2 = 1e-3
 THRESHOLD = 0.7
@@ -171,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> LineFie
     marked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     # The sample takes equal numbers of both labels, as far as there are.
     parts = [marked.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs // 2) for y in (0, 1)]
-    sample = docs.select("doc_id", "text").join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id").where("text is not null")
+    sample = docs.select("doc_id", "text").where(F.length("text") <= FIT_CHARS).join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id").limit(fit_docs)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -44,6 +44,8 @@ GATHER_ROWS = 60_000
 #: Bytes of one group's recursion tables, about; bits of the piece filter; factor of the substring hash.
 GROUP_BYTES = 1 << 21
 FILTER_BITS = 22
+#: Bytes beyond which a word has a recursion of its own, and starts of arcs that it looks up at once.
+LONG_WORD, LONG_BLOCK = 256, 1 << 15
 HASH_FACTOR = 0x9E3779B97F4A7C15
 SPACE = "▁"
 
@@ -127,7 +129,7 @@ class PieceLattice:
     def _by_length(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Numbers of the words of one length, and their bytes with the word start, at most GROUP_BYTES of them."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        for n in np.unique(lengths):
+        for n in np.unique(lengths[lengths <= LONG_WORD]):
             every = np.flatnonzero(lengths == n)
             size = max(1, GROUP_BYTES // (int(n) + len(self.space)) ** 2)
             for k in range(0, len(every), size):
@@ -149,8 +151,54 @@ class PieceLattice:
         out = np.empty(len(words))
         for some, texts in self._by_length(words):
             out[some] = self._forward(texts)[-1]
+        for w, word in enumerate(words):
+            if len(word) > LONG_WORD:
+                out[w] = self._forward_long(word)[-1]
         return out
 
+    def _arcs_long(self, text: np.ndarray, backward: bool = False) -> Iterator[tuple[list, list, list]]:
+        """(starts, ends, pieces) of the arcs of one long byte string by start, all of one block of starts at once."""
+        factor = np.uint64(HASH_FACTOR)
+        codes = text.astype(np.uint64) + np.uint64(1)
+        blocks = range(0, len(text), LONG_BLOCK)
+        for low in reversed(blocks) if backward else blocks:
+            n = min(LONG_BLOCK, len(text) - low)
+            h, found = np.zeros(n, np.uint64), []
+            for size in range(1, min(self.longest, len(text) - low) + 1):
+                n = min(n, len(text) - low - size + 1)
+                h = h[:n] * factor + codes[low + size - 1 : low + size - 1 + n]
+                rows = np.flatnonzero(self.maybe[h >> np.uint64(64 - FILTER_BITS)])
+                at = np.minimum(np.searchsorted(self.keys, h[rows]), len(self.keys) - 1)
+                ok = self.keys[at] == h[rows]
+                found.append(np.stack([low + rows[ok], low + rows[ok] + size, at[ok]]))
+            arcs = np.concatenate(found, axis=1)
+            arcs = arcs[:, np.argsort(arcs[0], kind="stable")]
+            yield tuple(x.tolist() for x in (arcs[:, ::-1] if backward else arcs))
+
+    def _forward_long(self, word: bytes) -> list[float]:
+        text = np.frombuffer(self.space + word, np.uint8)
+        log, alpha = self.log.tolist(), [-math.inf] * (len(text) + 1)
+        alpha[0] = 0.0
+        for arcs in self._arcs_long(text):
+            for i, j, at in zip(*arcs):
+                a, b = alpha[i] + log[at], alpha[j]
+                alpha[j] = a + math.log1p(math.exp(b - a)) if a >= b else b + math.log1p(math.exp(a - b))
+        return alpha
+
+    def _expect_long(self, word: bytes, uses: np.ndarray) -> None:
+        alpha = self._forward_long(word)
+        log, beta = self.log.tolist(), [-math.inf] * len(alpha)
+        beta[-1] = 0.0
+        for arcs in self._arcs_long(np.frombuffer(self.space + word, np.uint8), backward=True):
+            pieces, shares = [], []
+            for i, j, at in zip(*arcs):
+                a, b = log[at] + beta[j], beta[i]
+                if a > -math.inf:
+                    pieces.append(at)
+                    shares.append(math.exp(alpha[i] + a - alpha[-1]))
+                    beta[i] = a + math.log1p(math.exp(b - a)) if a >= b else b + math.log1p(math.exp(a - b))
+            uses += np.bincount(pieces, shares, len(uses))
+
     def expect(self, words: list[bytes]) -> np.ndarray:
         """Expected number of uses of each piece in the words."""
         uses = np.zeros(len(self.pieces))
@@ -163,6 +211,9 @@ class PieceLattice:
                 onward = self.log[at] + beta[j, rows]
                 uses += np.bincount(at, np.exp(alpha[i, rows] + onward - alpha[-1, rows]), len(uses))
                 beta[i, rows] = np.logaddexp(beta[i, rows], onward)
+        for word in words:
+            if len(word) > LONG_WORD:
+                self._expect_long(word, uses)
         return uses
 
 

@@ -15,12 +15,15 @@ every licence counts. Extra columns are not read.
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, read_table
+from .common import LOWER, UPPER, ascii_lower, read_table
 
 #: Templates are broadcast: their bigrams in all, at most.
 MAX_TEMPLATE_BIGRAMS = 100_000
@@ -57,6 +60,21 @@ def template_bigrams(spark: SparkSession, templates: Mapping[str, str]) -> DataF
     return each.select("license", F.size("bs").alias("t_size"), F.explode("bs").alias("bigram"))
 
 
+def telling_words(templates: Mapping[str, str], threshold: float) -> list[str]:
+    """Words of which every matching line has at least one.
+
+    A line that reaches the threshold shares at least m of a template's n bigrams, so at least one of any n - m + 1 of
+    them; of those with the longest words, the longest word each.
+    """
+    out = set()
+    for text in templates.values():
+        ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(str.maketrans(UPPER, LOWER)))
+        pairs = sorted({*zip(ws, ws[1:])}, key=lambda p: (-max(map(len, p)), p))
+        least = max(1, math.ceil(threshold * (len(pairs) + max(1, math.ceil(len(pairs) * threshold / (2 - threshold) - 1e-9))) / 2 - 1e-9))
+        out |= {max(p, key=len) for p in pairs[: len(pairs) - least + 1]}
+    return sorted(out)
+
+
 def scan_lines(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, row, line_no, license, dice: every line of docs (doc_id, text) that matches a template."""
     if not 0 < threshold <= 1:
@@ -66,11 +84,17 @@ def scan_lines(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, thresh
         raise ValueError(f"{sum(sizes)} template bigrams; at most {MAX_TEMPLATE_BIGRAMS} are broadcast")
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     wanted = template_bigrams(docs.sparkSession, templates)
-    lines = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text").select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    telling = telling_words(templates, threshold)
+
+    def likely(text: Column) -> Column:
+        return reduce(Column.__or__, (F.lower(text).contains(w) for w in telling), F.lit(False))
+
+    numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
+    lines = numbered.where(likely(F.col("text"))).select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     # Bounds over all templates cut most lines before their bigrams are made.
     ends = wanted.agg(F.min("t_size"), F.max("t_size")).first()
     smallest, largest = (ends[0] or 0) * low, (ends[1] or 0) * high
-    sized = lines.select("doc_id", "row", "line_no", words(F.col("line")).alias("ws")).where(F.size("ws") - 1 >= F.lit(smallest - 1e-9))
+    sized = lines.where(likely(F.col("line"))).select("doc_id", "row", "line_no", words(F.col("line")).alias("ws")).where(F.size("ws") - 1 >= F.lit(smallest - 1e-9))
     sized = sized.select("doc_id", "row", "line_no", F.filter(bigrams(F.col("ws")), lambda b: b.isNotNull()).alias("bs"))
     sized = sized.where((F.size("bs") >= F.lit(smallest - 1e-9)) & (F.size("bs") <= F.lit(largest + 1e-9)) & (F.size("bs") > 0))
     each = sized.select("doc_id", "row", "line_no", F.size("bs").alias("size"), F.explode("bs").alias("bigram"))

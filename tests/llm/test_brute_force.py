@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -260,13 +261,40 @@ def slow_substrings(rows, window):
     return out
 
 
-@pytest.mark.parametrize("cuts", [(), (0.125,), (0.2, 0.4, 0.5, 0.6, 0.7, 0.8)])
-def test_substring_dedup(spark, cuts):
+@pytest.mark.parametrize("cuts, bits", [((), 64), ((0.2, 0.4, 0.5, 0.6, 0.7, 0.8), 64), ((0.3, 0.6), 9)])
+def test_substring_dedup(spark, cuts, bits):
+    """With 9 bits most hashes stand for several windows."""
     rows = documents(80, 4)
-    got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.dedup_words(frame(spark, rows), 5, cuts, 4).collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.dedup_words(frame(spark, rows), 5, cuts, 4, bits).collect()}
     assert got == slow_substrings(rows, 5)
 
 
+def test_substring_index_is_kept_between_sessions(spark, tmp_path):
+    rows = [r for r in documents(80, 4) if r[0] is not None]
+    docs = frame(spark, rows).select("doc_id", "text")
+    index = substring_dedup.SubstringIndex(spark, 4, 5, 1, str(tmp_path / "index"))
+    old = {}
+    for low, high in ((0, 20), (20, 40), (40, 60), (60, 100)):
+        for r in index.judge(docs.where(f"doc_id >= {low} and doc_id < {high}")).where("old").collect():
+            old.setdefault(r["doc_id"], set()).update(substring_dedup.unpack_sorted(r["hashes"]).tolist())
+        index = substring_dedup.SubstringIndex.load(spark, str(tmp_path / "index"), 1)
+        assert len(index.runs) == 1
+    want = {i: n for i, (_, n, _) in slow_substrings(rows, 5).items() if n}
+    assert set(old) == set(want)
+    for i, t, *_ in rows:
+        if i in old:
+            words = t.encode().split()
+            keep = substring_dedup.kept_mask(words, [substring_dedup.pack_sorted(np.array(sorted(old[i]), np.uint64))], [], False, 5)
+            assert (~keep).sum() == want[i]
+
+
+def test_removed_passages_leave_line_breaks_and_repeated_ids_are_one_document(spark):
+    shared = " ".join(f"p{i}" for i in range(20))
+    rows = [(1, "a b\n" + shared, "x"), (2, f"c\td\n{shared}\n\ne f", "y"), (2, "c only", "z"), (3, shared, "w"), (3, shared, "v"), (4, " \n ", "u")]
+    out = sorted((r["doc_id"], r["text"], r["extra"]) for r in substring_dedup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string, extra string"), cuts=()).collect())
+    assert out == [(1, "a b\n" + shared, "x"), (2, "c\td\n\n\ne f", "y"), (2, "c only", "z"), (4, " \n ", "u")]
+
+
 def test_sorted_hashes_round_trip():
     h = np.unique(np.random.default_rng(1).integers(0, 2**64, 1000, dtype=np.uint64))
     assert (substring_dedup.unpack_sorted(substring_dedup.pack_sorted(h)) == h).all()
@@ -304,6 +332,13 @@ def test_embedding_links_are_found_where_they_are_rare(spark):
     assert got == {i: int(n) for i, n in enumerate(link.sum(axis=1))}
 
 
+def test_embedding_rows_with_one_id_and_extreme_magnitudes(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (1, None), (2, [1e200, 1e200, 0.0]), (3, [1.0, 1.0, 0.0]), (4, [1e-200, 1e-200, 0.0]), (5, [1e-170, 0.0, 0.0]), (None, [1.0, 0.0, 0.0]), (6, [0.0, 0.0, 5e-324]), (6, [0.0, 0.0, 2.0])]
+    got = sorted((tuple(x) for x in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()), key=str)
+    want = [(1, 1, 1, True), (1, 0, 1, True), (2, 2, 2, True), (3, 2, 2, False), (4, 2, 2, False), (5, 1, 1, False), (None, 0, None, False), (6, 1, 6, True), (6, 1, 6, True)]
+    assert got == sorted(want, key=str)
+
+
 def test_multi_sequence_order():
     r = np.random.default_rng(3)
     a, b = r.random(7), r.random(5)
@@ -317,6 +352,17 @@ def segmentations(word, arcs):
     return sum(p * segmentations(word[len(s) :], arcs) for s, p in arcs.items() if word.startswith(s))
 
 
+def r_word(n):
+    r = random.Random(n)
+    return bytes(r.choice(b"abcab") for _ in range(n))
+
+
+def test_a_word_of_any_length_is_scored_in_time(spark):
+    began = time.time()
+    lattice = lattice_lm.PieceLattice({bytes([b]): 1 / 300 for b in range(256)} | {b"ab": 0.1, b"abc": 0.05})
+    assert math.isfinite(lattice.forward([r_word(300_000)])[0]) and time.time() - began < 20
+
+
 def test_lattice_sums_all_segmentations(spark):
     vocabulary = {bytes([b]): 1e-4 for b in range(256)} | {"▁".encode(): 0.1, "▁a".encode(): 0.2, b"ab": 0.15, b"b": 0.1, b"abc": 0.05, "▁ab".encode(): 0.07}
     total = sum(vocabulary.values())
@@ -327,6 +373,11 @@ def test_lattice_sums_all_segmentations(spark):
     uses = lattice.expect([b"ab"])
     assert sum(n * len(s) for n, s in zip(uses, lattice.pieces)) == pytest.approx(len("▁ab".encode()))
 
+    rare = r_word(700)
+    assert lattice.forward([rare]) == pytest.approx([lattice._forward(np.frombuffer(lattice.space + rare, np.uint8)[None, :])[-1][0]])
+    short, long = lattice.expect([rare[:200]]), lattice.expect([rare])
+    assert sum(n * len(s) for n, s in zip(long, lattice.pieces)) == pytest.approx(700 + len(lattice.space)) and short.sum() < long.sum()
+
     rows = [(i, t) for i, t in enumerate(["ab ab abc", "AB c", None, "", "zz ab\nb", "ab"])] + [(None, "ab zz")]
     learn = F.coalesce(F.col("doc_id") != 4, F.lit(False))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -371,6 +422,51 @@ def test_line_field_marginals_are_those_of_enumeration():
     assert pairs == pytest.approx(want_pairs)
 
 
+def slow_margins(learn, text, langs, code):
+    """Counts, log-odds and margins with plain dictionaries."""
+    def buckets(t):
+        raw = b" " + bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in t.lower().encode()) + b" "
+        out = []
+        for n in (2, 3):
+            for i in range(len(raw) - n + 1):
+                gram = raw[i : i + n]
+                if gram.strip(b" "):
+                    code = n
+                    for c in gram:
+                        code = (code * 257 + c) % 2**32
+                    out.append(((code * 0x9E3779B1) % 2**32) >> (32 - language_id.BUCKET_BITS))
+        return out
+
+    size = 1 << language_id.BUCKET_BITS
+    share = {}
+    for lang in langs:
+        seen = [b for x, t in learn if x == lang for b in buckets(t)]
+        counts = {b: seen.count(b) for b in set(seen)}
+        share[lang] = lambda b, c=counts, n=len(seen): (c.get(b, 0) + 0.5) / (n + 0.5 * size)
+    got = buckets(text)
+    out = []
+    for bit in range(code.shape[1]):
+        sides = [[x for i, x in enumerate(langs) if code[i, bit] == s] for s in (1, -1)]
+        odds = sum(math.log(sum(share[x](b) for x in sides[0]) / len(sides[0])) - math.log(sum(share[x](b) for x in sides[1]) / len(sides[1])) for b in got)
+        out.append(odds / len(got) * min(len(got), language_id.EVIDENCE))
+    return out
+
+
+def test_language_query_is_the_slow_one(spark):
+    learn = [("en", "the cat and the dog"), ("en", "a house by the sea"), ("de", "der hund und die katze"), ("fr", "le chien et le chat"), ("fr", "la maison")]
+    docs = frame(spark, [(i, t, x, "s", 0) for i, (x, t) in enumerate(learn)])
+    decoder = language_id.fit(docs)
+    assert decoder.langs == ["de", "en", "fr"]
+    for _, t in [*learn, ("", "the katze"), ("", "Ça et là")]:
+        m = slow_margins(learn, t, decoder.langs, decoder.code)
+        assert decoder.margins(t) == pytest.approx(m, abs=1e-4)
+        loss = [sum(decoder.weights[i, b] * math.log1p(math.exp(-decoder.code[i, b] * x)) for b, x in enumerate(m)) for i in range(3)]
+        best = loss.index(min(loss))
+        assert decoder.decode(t)[:2] == (decoder.langs[best], pytest.approx(1 / sum(math.exp(loss[best] - x) for x in loss), abs=1e-4))
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(docs, decoder).collect()}
+    assert found == {i: decoder.decode(t)[:2] for i, (_, t) in enumerate(learn)}
+
+
 def test_language_codewords_decode():
     code = language_id.codewords(4)
     assert code.shape == (4, 7)

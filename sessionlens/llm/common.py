@@ -37,6 +37,21 @@ def workspace(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Rows of an Arrow batch while tables are written: texts go to Python a few megabytes at a time.
+ARROW_ROWS = 2_000
+_ARROW_ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _write(df: DataFrame, path: str) -> None:
+    conf = df.sparkSession.conf
+    before = conf.get(_ARROW_ROWS_KEY)
+    conf.set(_ARROW_ROWS_KEY, str(min(int(before) if int(before) > 0 else ARROW_ROWS, ARROW_ROWS)))
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_ARROW_ROWS_KEY, before)
+
+
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back.
 
@@ -44,7 +59,7 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     readers share one computation, and gives later joins a plain scan of known size.
     """
     path = f"{workspace(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    _write(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -59,7 +74,7 @@ class Scratch:
     def table(self, df: DataFrame, what: str) -> DataFrame:
         self.n += 1
         path = f"{self.path}/{self.n}-{what}"
-        df.write.parquet(path)
+        _write(df, path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, df: DataFrame) -> None:

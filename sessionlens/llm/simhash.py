@@ -132,7 +132,7 @@ def _bits(grams: list[bytes], seed: int) -> int:
 
 
 #: Shingles that the order of the prefixes puts last, at most, and hashes that a task counts at once. They only save work: any order is exact.
-FREQUENT, COUNT_BLOCK = 262_144, 1 << 20
+FREQUENT, COUNT_BLOCK = 262_144, 1 << 19
 #: Different texts of one count block that make a shingle frequent there.
 OFTEN = 2
 #: Open pairs of a prefix shingle beyond which its members are first compared with hubs, and rounds of that. All open pairs left are compared then.

@@ -40,8 +40,8 @@ from .common import Scratch, join_on_copy, materialize, read_table, window_mix
 
 WINDOW = 13
 #: Windows of one block in a task, and about the windows of one bucket.
-BLOCK = 1 << 19
-BUCKET = 800_000
+BLOCK = 1 << 18
+BUCKET = 400_000
 MIN_BUCKETS = 48
 MAX_RUNS = 4
 #: Shares of the documents, by id, where batches end.

@@ -31,7 +31,7 @@ def residual_score(residuals: DataFrame, keys: Sequence[str], r: str = "r") -> D
     away = residuals.join(centre, list(keys)).groupBy(*keys).agg(F.count("*").alias("n"), F.max("centre").alias("centre"), F.percentile(F.abs(F.col(r) - F.col("centre")), 0.5).alias("mad"))
     score = F.least(F.lit(1.0), F.col("n") / 10) * F.greatest(F.lit(0.0), 1 - F.greatest("mad", F.abs("centre")) / 2)
     capped = F.least(score, F.when(F.col("n") == 1, 0.35).when(F.col("n") < 3, 0.5).otherwise(1.0))
-    return away.select(*keys, "n", F.round(capped, 4).alias("confidence"))
+    return away.select(*keys, "n", F.bround(capped, 4).alias("confidence"))
 
 
 def to_wall(start_us: Column, video_us: Column, offset_us: Column, drift: Column) -> Column:

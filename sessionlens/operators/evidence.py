@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import range_join
@@ -31,6 +31,21 @@ def segments_in(wins: DataFrame, segments: DataFrame, keys: Sequence[str], width
     return a.join(s, [*keys, "b"]).where((F.col("s0") <= F.col("t1_us")) & (F.col("s1") >= F.col("t0_us")) & (F.col("b") == first)).select(*keys, "trade_id", "seg")
 
 
+def _neighbours(spans: DataFrame, points: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
+    """spans with prev and next: the points (p_us, point_id) next to the time ``at``, by one sorted sweep over both."""
+    none = F.lit(None).cast("struct<p_us:bigint,point_id:" + points.schema["point_id"].dataType.simpleString() + ">")
+    carried = [F.col(c) for c in spans.columns if c not in keys]
+    a = spans.select(*keys, F.col(at).alias("__t"), F.lit(1).alias("__turn"), F.lit(None).cast(points.schema["point_id"].dataType).alias("__id"), none.alias("__p"), F.struct(*carried).alias("__s"))
+    p = points.where(F.col("p_us").isNotNull())
+    b = p.select(*keys, F.col("p_us").alias("__t"), F.lit(0).alias("__turn"), F.col("point_id").alias("__id"), F.struct(F.col("p_us").cast("long").alias("p_us"), "point_id").alias("__p"), F.lit(None).cast(a.schema["__s"].dataType).alias("__s"))
+    w = Window.partitionBy(*keys)
+    # Of points at one time the one with the smallest id comes last before the time, first after it.
+    before = w.orderBy("__t", "__turn", F.desc("__id")).rowsBetween(Window.unboundedPreceding, 0)
+    after = w.orderBy(F.desc("__t"), F.desc("__turn"), F.desc("__id")).rowsBetween(Window.unboundedPreceding, 0)
+    swept = a.unionByName(b).withColumns({"prev": F.last("__p", True).over(before), "next": F.last("__p", True).over(after)})
+    return swept.where("__turn = 1").select(*keys, "__s.*", "prev", "next")
+
+
 def nearest_or_inside(wins: DataFrame, points: DataFrame, keys: Sequence[str]) -> DataFrame:
     """trade_id, point_id, inside: all points in a window, or the one nearest to the entry (then the earlier, then the smaller id) if there is none.
 
@@ -39,14 +54,20 @@ def nearest_or_inside(wins: DataFrame, points: DataFrame, keys: Sequence[str]) -
     spans = wins.select(*keys, "trade_id", "entry_us", "t0_us", "t1_us")
     hit = range_join(points, spans, keys, "p_us", F.col("t0_us"), F.col("t1_us"), width=600_000_000).select("trade_id", "point_id", F.lit(True).alias("inside"))
     without = spans.join(hit.select("trade_id").distinct(), "trade_id", "left_anti")
-    best = F.min(F.struct(F.abs(F.col("p_us") - F.col("entry_us")).alias("d"), "p_us", "point_id"))
-    near = without.join(points, list(keys)).groupBy("trade_id").agg(best.alias("b")).select("trade_id", "b.point_id", F.lit(False).alias("inside"))
+    near = _neighbours(without, points, keys, "entry_us").select("trade_id", F.explode(F.array("prev", "next")).alias("p"), "entry_us").where("p is not null")
+    best = F.min(F.struct(F.abs(F.col("p.p_us") - F.col("entry_us")).alias("d"), "p.p_us", "p.point_id"))
+    near = near.groupBy("trade_id").agg(best.alias("b")).select("trade_id", "b.point_id", F.lit(False).alias("inside"))
     return hit.unionByName(near)
 
 
 def nearest_one(wins: DataFrame, points: DataFrame, keys: Sequence[str]) -> DataFrame:
     """trade_id, point_id: one point for each trade, inside the window before outside, then nearest to the entry."""
-    j = wins.select(*keys, "trade_id", "entry_us", "t0_us", "t1_us").join(points, list(keys))
+    spans = wins.select(*keys, "trade_id", "entry_us", "t0_us", "t1_us")
+    # A point in the window is next to the entry's nearest time in the window, if there is one.
+    spans = spans.withColumn("held_us", F.greatest("t0_us", F.least("entry_us", "t1_us")))
+    by_entry, by_held = (_neighbours(spans, points, keys, at) for at in ("entry_us", "held_us"))
+    both = by_entry.unionByName(by_held.where("held_us <> entry_us"))
+    j = both.select("trade_id", "entry_us", "t0_us", "t1_us", F.explode(F.array("prev", "next")).alias("p")).where("p is not null").select("trade_id", "entry_us", "t0_us", "t1_us", "p.*")
     outside = ~F.col("p_us").between(F.col("t0_us"), F.col("t1_us"))
     best = F.min(F.struct(outside.alias("o"), F.abs(F.col("p_us") - F.col("entry_us")).alias("d"), "p_us", "point_id"))
     return j.groupBy("trade_id").agg(best.alias("b")).select("trade_id", "b.point_id")
@@ -74,11 +95,15 @@ def slice_parts(wins: DataFrame, parts: DataFrame, keys: Sequence[str]) -> DataF
 def part_at(times: DataFrame, parts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, t_us, part, seek_us: the recording part of a time; before the first part its start, in a gap the end of the part before, after the last its end.
 
-    parts: keys, part, offset_us, dur_us. The last part that starts at or before the time is found by an aggregation.
+    parts: keys, part, offset_us, dur_us. The last part that starts at or before the time is found by one sorted sweep over both.
     """
     p = F.struct("offset_us", "part", "dur_us")
-    j = times.select(*keys, "t_us").distinct().join(parts, list(keys))
-    best = j.groupBy(*keys, "t_us").agg(F.max(F.when(F.col("offset_us") <= F.col("t_us"), p)).alias("b"), F.min(p).alias("f"))
+    listed = parts.select(*keys, F.col("offset_us").alias("t_us"), F.lit(0).alias("__turn"), p.alias("__p"))
+    asked = times.select(*keys, "t_us").distinct().select(*keys, "t_us", F.lit(1).alias("__turn"), F.lit(None).cast(listed.schema["__p"].dataType).alias("__p"))
+    w = Window.partitionBy(*keys)
+    before = w.orderBy("t_us", "__turn", "__p").rowsBetween(Window.unboundedPreceding, 0)
+    swept = listed.unionByName(asked).withColumns({"b": F.last("__p", True).over(before), "f": F.min("__p").over(w)})
+    best = swept.where("__turn = 1 and f is not null").select(*keys, "t_us", "b", "f")
     b = F.coalesce("b", "f")
     seek = F.when(F.col("b").isNull(), 0).otherwise(F.least(F.col("t_us") - F.col("b.offset_us"), F.col("b.dur_us")))
     return best.select(*keys, "t_us", b["part"].alias("part"), seek.alias("seek_us"))

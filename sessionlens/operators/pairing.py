@@ -119,9 +119,9 @@ def with_metrics(lots: DataFrame, stop_ticks: str | None = None) -> DataFrame:
 
 
 def numbered(trades: DataFrame, keys: Sequence[str], trade_id: str = "trade_id") -> DataFrame:
-    """Adds tva_trade_id: T01, T02, ... by entry time and id within keys."""
+    """Adds day_trade_id: T01, T02, ... by entry time and id within keys."""
     w = Window.partitionBy(*keys).orderBy("entry_ts_us", trade_id)
-    return trades.withColumn("tva_trade_id", F.format_string("T%02d", F.row_number().over(w)))
+    return trades.withColumn("day_trade_id", F.format_string("T%02d", F.row_number().over(w)))
 
 
 def merge_intent(fills: DataFrame, keys: Sequence[str]) -> DataFrame:

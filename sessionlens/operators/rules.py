@@ -175,7 +175,7 @@ def reentry_clusters(trades: DataFrame, keys: Sequence[str], config: RuleConfig)
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         to = {a: b for a, b in zip(rows["trade_id"], rows["to"]) if isinstance(b, str)}
-        seeds = rows.loc[rows["is_seed"].fillna(False).astype(bool), "trade_id"].tolist()
+        seeds = rows.loc[rows["is_seed"].eq(True), "trade_id"].tolist()
         # Longest remaining chain of each start, walked once; what a seed passes is no seed of its own.
         passed, out = set(), []
         for seed in seeds:

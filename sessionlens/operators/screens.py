@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import nfkc
+
 #: Dates that are cut out first, clock patterns in order of preference, least confidence.
 DATE = r"\d{4}[-./]\d{1,2}[-./]\d{1,2}|\d{1,2}[-./]\d{1,2}[-./]\d{4}"
 CLOCKS = ((r"\d{1,2}:\d{2}:\d{2}(?:[.,]\d{1,6})?", 1), (r"\d{1,2}[:.\-]\d{2}[:.\-]\d{2}(?:[.,]\d{1,6})?", 1), (r"\d{1,2}:\d{2}(?![:.\-\d])", 60))
@@ -28,7 +30,7 @@ def _parts_of(resolution: int) -> Callable[[Column], Column]:
 
 def _clock(text: Column) -> Column:
     """hour, minute, second, micro and resolution (1 or 60) of the first valid clock; colons before other marks before minutes alone."""
-    plain = F.regexp_replace(F.coalesce(text, F.lit("")), DATE, " ")
+    plain = F.regexp_replace(nfkc(F.coalesce(text, F.lit(""))), DATE, " ")
     found = []
     for pattern, resolution in CLOCKS:
         every = F.transform(F.regexp_extract_all(plain, F.lit(pattern), F.lit(0)), _parts_of(resolution))
@@ -61,7 +63,7 @@ def decimal(raw: Column) -> Column:
 
 def result(text: Column, confidence: Column) -> Column:
     """A result such as $1,234.50, (12,5) or -3: parentheses and minus signs are negative."""
-    compact = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s'$€£]|USD|EUR", "")
+    compact = F.regexp_replace(nfkc(F.coalesce(text, F.lit(""))), r"[\s'$€£]|USD|EUR", "")
     inner = F.regexp_extract(compact, r"\(([\d.,]+)\)", 1)
     raw = F.when(inner != "", inner).otherwise(F.regexp_extract(compact, r"[+\-−–]?(\d[\d.,]*)", 1))
     negative = (inner != "") | F.regexp_extract(compact, r"([+\-−–]?)\d", 1).isin("-", "−", "–")
@@ -71,7 +73,7 @@ def result(text: Column, confidence: Column) -> Column:
 
 def position(text: Column, confidence: Column) -> Column:
     """A signed number of contracts; flat is 0."""
-    t = F.coalesce(text, F.lit(""))
+    t = nfkc(F.coalesce(text, F.lit("")))
     flat = t.rlike(r"(?i)\bflat\b")
     compact = F.replace(t, F.lit(" "), F.lit(""))
     digits = F.regexp_extract(compact, r"[+\-−–]?(\d+)", 1).try_cast("long")

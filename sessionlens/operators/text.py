@@ -55,6 +55,11 @@ def normalize_german(text: Column, fold_umlauts: bool = False) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(casefold_nfc(text), r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
 
 
+def contains_token(plain: Column, token: Column) -> Column:
+    """Whether a text of words with single blanks holds the token's words in a row, whole."""
+    return F.contains(F.concat(F.lit(" "), plain, F.lit(" ")), F.concat(F.lit(" "), token, F.lit(" ")))
+
+
 def keyword_spans(segments: DataFrame, keywords: Mapping[str, str] = KEYWORDS) -> DataFrame:
     """session_id, seg, t0_us, kind: the kinds whose phrase a segment holds; one pass over the text."""
     kinds = F.filter(F.array(*(F.when(F.col("text").rlike(f"(?iU){p}"), F.lit(k)) for k, p in keywords.items())), lambda k: k.isNotNull())
@@ -81,7 +86,8 @@ def merge_spans(spans: DataFrame) -> DataFrame:
 
 def first_events(events: DataFrame) -> DataFrame:
     """Events without repeats of (session_id, kind, seg): the earliest by (t_us, seg, kind)."""
-    w = Window.partitionBy("session_id", "kind", "seg").orderBy("t_us")
+    others = sorted({*events.columns} - {"session_id", "kind", "seg", "t_us"})
+    w = Window.partitionBy("session_id", "kind", "seg").orderBy("t_us", *others)
     return events.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
@@ -91,15 +97,17 @@ def first_by_field(spans: DataFrame) -> DataFrame:
 
 
 def check_citations(spans: DataFrame, segments: DataFrame, normalise: bool = True) -> DataFrame:
-    """spans with ok: the segment exists, holds the quote word for word, and the token if there is one.
+    """spans with ok: the segment exists, holds the quote word for word (a null or empty one always), and the token if there is one.
 
-    spans: session_id, seg, quote, token. Both sides are composed (NFC) first, unless the caller knows they are.
+    spans: session_id, seg, quote, token. Segments may have raw_text, which is searched too. Both sides are composed (NFC) first, unless the caller knows they are.
     """
     form = nfc if normalise else (lambda c: c)
-    texts = segments.select("session_id", "seg", form(F.col("text")).alias("__text"))
+    raw = F.col("raw_text") if "raw_text" in segments.columns else F.lit(None).cast("string")
+    texts = segments.select("session_id", "seg", form(F.concat_ws("\n", F.coalesce("text", F.lit("")), raw)).alias("__text"))
     j = spans.join(texts, ["session_id", "seg"], "left")
     token_ok = F.col("token").isNull() | F.coalesce(F.contains("__text", form(F.col("token"))), F.lit(False))
-    return j.withColumn("ok", F.coalesce(F.contains("__text", form(F.col("quote"))), F.lit(False)) & token_ok).drop("__text")
+    quote_ok = F.contains("__text", form(F.coalesce("quote", F.lit(""))))
+    return j.withColumn("ok", F.coalesce(quote_ok, F.lit(False)) & token_ok).drop("__text")
 
 
 def guard(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -140,10 +148,14 @@ def word_errors(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFra
 
 
 def jargon_recall(pairs: DataFrame, tokens: Sequence[str], ref: str = "ref", hyp: str = "hyp") -> DataFrame:
-    """pairs with n_jargon and recall: tokens of the reference that the hypothesis has too; 1.0 without any."""
+    """pairs with n_jargon and recall: tokens, of one or more words, of the reference that the hypothesis has too; 1.0 without any."""
     known = F.array(*(F.lit(t) for t in tokens))
-    there = F.array_intersect(known, ref)
-    both = F.size(F.array_intersect(there, hyp))
+
+    def held(candidates: Column, words: str) -> Column:
+        return F.filter(candidates, lambda t: contains_token(F.array_join(words, " "), t))
+
+    there = held(known, ref)
+    both = F.size(held(there, hyp))
     return pairs.withColumns({"n_jargon": F.size(there).cast("long"), "recall": F.when(F.size(there) == 0, 1.0).otherwise(both / F.size(there))})
 
 

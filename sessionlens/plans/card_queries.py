@@ -151,12 +151,12 @@ def prose_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "learnings_top_up",
-    """k AS (SELECT conv_id, turn, left(text, 10) AS line FROM conversations WHERE turn < 2), f AS (SELECT conv_id, turn, left(text, 10) AS line FROM conversations),
+    """k AS (SELECT conv_id, turn, text AS line FROM conversations WHERE turn < 2), f AS (SELECT conv_id, turn, text AS line FROM conversations),
 b AS (SELECT conv_id, 0 AS p, turn, line FROM k UNION ALL SELECT conv_id, 1, turn, line FROM f), o AS (SELECT conv_id, line, min(p * 1000 + turn) AS o FROM b GROUP BY ALL),
 r AS (SELECT conv_id, line, row_number() OVER (PARTITION BY conv_id ORDER BY o, line) AS pos FROM o) SELECT conv_id, pos, line FROM r WHERE pos <= 3""",
 )
 def learnings_top_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = base(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("ord"), F.left("text", F.lit(10)).alias("line"))
+    c = base(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("ord"), F.col("text").alias("line"))
     return lookup.top_up(c.where("ord < 2"), c, "conv_id")
 
 

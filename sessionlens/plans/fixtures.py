@@ -54,8 +54,8 @@ VIEWS: dict[str, str] = {
                cast(sum(len_us) over (partition by conv_id order by turn rows between unbounded preceding and current row) as bigint) as t1_us
         from turns""",
     "readings": """
-        select user_id, event_id, us(ts) - min(us(ts)) over (partition by user_id) as x_us, cast(round(value * 100) as bigint) as y
-        from {events} where event_id % 5 = 0""",
+        select user_id, event_id, t_us - min(t_us) over (partition by user_id) as x_us, y
+        from (select user_id * 100000 + cast(floor(us(ts) / 86400000000) as bigint) as user_id, event_id, us(ts) as t_us, cast(round(value * 100) as bigint) as y from {events}) d""",
     "recordings": """
         select user_id as prefix, event_id as rec_id, us(ts) as start_us,
                lead(us(ts)) over (partition by user_id order by ts, event_id) - us(ts) + (event_id % 21 - 10) * 1000000 as dur_us

@@ -90,12 +90,12 @@ def paired_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "trade_metrics",
     LOTS + f""" SELECT account, instrument, session_date, lot_seq, {PNL} AS pnl_ticks, {PNL} / qty / 4.0 AS points, {PNL} * CASE WHEN instrument = 'MNQ' THEN 0.5 ELSE 1.25 END::DOUBLE AS currency,
-  {PNL} / (10.0::DOUBLE * qty) AS r_multiple, exit_ts_us - entry_ts_us AS hold_us, printf('T%02d', row_number() OVER (PARTITION BY account, session_date ORDER BY entry_ts_us, instrument, lot_seq)) AS tva_trade_id FROM lots""",
+  {PNL} / (10.0::DOUBLE * qty) AS r_multiple, exit_ts_us - entry_ts_us AS hold_us, printf('T%02d', row_number() OVER (PARTITION BY account, session_date ORDER BY entry_ts_us, instrument, lot_seq)) AS day_trade_id FROM lots""",
     ("executions",),
 )
 def trade_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pairing.numbered(pairing.with_metrics(lots(spark, sf_dir)).withColumn("k", F.struct("instrument", "lot_seq")), ["account", "session_date"], "k")
-    return out.select("account", "instrument", "session_date", "lot_seq", "pnl_ticks", "points", "currency", "r_multiple", "hold_us", "tva_trade_id")
+    return out.select("account", "instrument", "session_date", "lot_seq", "pnl_ticks", "points", "currency", "r_multiple", "hold_us", "day_trade_id")
 
 
 #: Costs exist for fills with an id not divisible by 4; those divisible by 3 have lost their id.

@@ -61,3 +61,15 @@ def test_nearest_points_are_those_of_all_pairs(spark):
             many |= set(inside or [(t, min(m[1:] for m in mine)[2], False)])
     assert {x["trade_id"]: x["point_id"] for x in evidence.nearest_one(w, p, ["k"]).collect()} == one
     assert {tuple(x) for x in evidence.nearest_or_inside(w, p, ["k"]).select("trade_id", "point_id", "inside").collect()} == many
+
+
+def test_recording_names_are_read_in_the_recorder_s_clock(spark):
+    from sessionlens.operators import gates
+
+    rows = [("a/b/Desk 2026-07-01 09-30-15.mkv",), ("2026-01-05_23:59:00",), ("none.mkv",), (None,)]
+    got = gates.recording_name(F.col("n"))
+    out = [tuple(r) for r in spark.createDataFrame(rows, "n string").select(*(c.alias(k) for k, c in got.items())).collect()]
+    assert out == [("2026-07-01_093015", 1782891015000000, "Desk "), ("2026-01-05_235900", 1767653940000000, ""), (None, None, None), (None, None, None)]
+    weeks = spark.createDataFrame([("2026-W01",), ("2026-W53",), ("2025-W53",), ("2026-W1",), (None,)], "w string").select(gates.shift_week(F.col("w"), -1).alias("w")).collect()
+    assert [r["w"] for r in weeks] == ["2025-W52", "2026-W52", None, None, None]
+    assert [r["m"] for r in spark.createDataFrame([("2026-12",), ("2026-13",)], "m string").select(gates.shift_month(F.col("m"), 2).alias("m")).collect()] == ["2027-02", None]

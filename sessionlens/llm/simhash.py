@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import Scratch, connected_components, join_on_copy, materialize, read_table, shingle_hashes
+from .common import Scratch, connected_components, join_on_copy, lean, materialize, read_table, shingle_hashes
 
 BITS = 64
 BLOCK = 1 << 14
@@ -180,7 +180,7 @@ def frequent_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.nda
         if hashes:
             yield counted(list(hashes.values()))
 
-    sums = rows.select("text").mapInPandas(each, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    sums = rows.select("text").mapInPandas(lean(each), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     top = sums.orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
     h, n = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     turn = np.argsort(h)
@@ -245,11 +245,11 @@ class _Verifier:
 
         pairs = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
         met = pairs.join(self.signs.toDF("a_id", "a_size", "a_parity"), F.col("a") == F.col("a_id")).join(self.signs.toDF("b_id", "b_size", "b_parity"), F.col("b") == F.col("b_id"))
-        left = met.select("a", "b", (F.col("a_size") + F.col("b_size")).alias("n"), "a_parity", "b_parity").mapInPandas(near, "a long, b long")
+        left = met.select("a", "b", (F.col("a_size") + F.col("b_size")).alias("n"), "a_parity", "b_parity").mapInPandas(lean(near), "a long, b long")
         pairs = self.scratch.table(left, "candidates")
         grams = self._shingles_of(pairs)
         both = pairs.join(grams.toDF("a_id", "a_grams"), F.col("a") == F.col("a_id")).join(grams.toDF("b_id", "b_grams"), F.col("b") == F.col("b_id"))
-        return self.scratch.table(both.select("a", "b", "a_grams", "b_grams").mapInPandas(verified, "a long, b long").distinct(), "similar")
+        return self.scratch.table(both.select("a", "b", "a_grams", "b_grams").mapInPandas(lean(verified), "a long, b long").distinct(), "similar")
 
     def _shingles_of(self, pairs: DataFrame) -> DataFrame:
         """doc_id, grams of at least all documents of the pairs."""
@@ -263,7 +263,7 @@ class _Verifier:
         if self.listed is not None:
             ids = ids.join(self.listed.select(F.col("doc_id").alias("have")), F.col("m_id") == F.col("have"), "left_anti")
         ids = self.scratch.table(ids, "ids")
-        texts = self.rows.join(ids, F.col("doc_id") == F.col("m_id"), "left_semi").mapInPandas(listed, "doc_id long, grams binary")
+        texts = self.rows.join(ids, F.col("doc_id") == F.col("m_id"), "left_semi").mapInPandas(lean(listed), "doc_id long, grams binary")
         new = self.scratch.table(texts, "shingles")
         self.listed = new if self.listed is None else self.listed.unionByName(new)
         return self.listed
@@ -285,7 +285,7 @@ def _sketches(rows: DataFrame, similarity: float, shingle: int, seeds: int) -> D
             keys, fps, sizes, firsts, parities = zip(*out) if out else ([],) * 5
             yield pd.DataFrame({"doc_id": b["doc_id"], "key": keys, "fps": fps, "size": np.array(sizes, np.int32), "prefix": firsts, "parity": parities})
 
-    return rows.mapInPandas(sketch, "doc_id long, key binary, fps array<long>, size int, prefix array<long>, parity binary")
+    return rows.mapInPandas(lean(sketch), "doc_id long, key binary, fps array<long>, size int, prefix array<long>, parity binary")
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seeds: int = 3, radius: int = 2) -> DataFrame:

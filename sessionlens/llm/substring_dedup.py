@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 from zstandard import ZstdCompressor, ZstdDecompressor
 
-from .common import Scratch, join_on_copy, materialize, read_table, window_mix
+from .common import Scratch, join_on_copy, lean, materialize, read_table, window_mix
 
 WINDOW = 13
 #: Windows of one block in a task, and about the windows of one bucket.
@@ -141,7 +141,7 @@ def _hashed(docs: DataFrame, window: int, buckets: int, bits: int) -> DataFrame:
         if held:
             yield flush(hs, ids)
 
-    return docs.select("doc_id", "text").mapInPandas(each, _DEALT)
+    return docs.select("doc_id", "text").mapInPandas(lean(each), _DEALT)
 
 
 class SubstringIndex:
@@ -257,7 +257,7 @@ def sequence_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "key": [hashlib.blake2b(b" ".join(_encoded(t).split()), digest_size=16).digest() for t in b["text"]]})
 
-    keys = scratch.table(docs.select("doc_id", "text").mapInPandas(each, "doc_id long, key binary"), "keys")
+    keys = scratch.table(docs.select("doc_id", "text").mapInPandas(lean(each), "doc_id long, key binary"), "keys")
     firsts = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select(F.col("key").alias("f_key"), "first")
     return join_on_copy(keys, firsts, "key", "f_key", "inner").where("doc_id > first").select("doc_id", "first").distinct()
 
@@ -305,7 +305,7 @@ def old_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW, cuts: S
             yield distinct()
 
     met = _packed(docs).join(lists.withColumnRenamed("doc_id", "__o_id"), F.col("doc_id") == F.col("__o_id")).select("doc_id", "z", "old", "shared")
-    pairs = met.select("z", "old", "shared").mapInPandas(digests, "h long, g long")
+    pairs = met.select("z", "old", "shared").mapInPandas(lean(digests), "h long, g long")
     several = scratch.table(pairs.groupBy("h").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a <> b").select("h"), "several")
     old = lists.where(F.size("old") > 0).select("doc_id", "old", F.array().cast("array<struct<h:long,g:long>>").alias("exact"))
     return old if several.isEmpty() else _judged_by_words(met, several, scratch, window, bits)
@@ -364,7 +364,7 @@ def _packed(docs: DataFrame) -> DataFrame:
         for b in bs:
             yield pd.DataFrame({"doc_id": b["doc_id"], "z": [z.compress(_encoded(t)) for t in b["text"]]})
 
-    return docs.select("doc_id", "text").mapInPandas(packed, "doc_id long, z binary")
+    return docs.select("doc_id", "text").mapInPandas(lean(packed), "doc_id long, z binary")
 
 
 def _judged(docs: DataFrame, scratch: Scratch, window: int, cuts: Sequence[float], buckets: int | None, bits: int) -> DataFrame:
@@ -399,7 +399,7 @@ def dedup_words(docs: DataFrame, window: int = WINDOW, cuts: Sequence[float] = C
     with Scratch(docs.sparkSession) as scratch:
         lost = _judged(docs, scratch, window, cuts, buckets, bits)
         joined = _packed(docs).join(lost, F.col("doc_id") == F.col("__o_id"), "left").drop("__o_id").withColumn("__copy", F.coalesce("__copy", F.lit(False)))
-        return materialize(joined.mapInPandas(judged, "doc_id long, n_words long, n_removed long, kept_sha256 string"), "kept")
+        return materialize(joined.mapInPandas(lean(judged), "doc_id long, n_words long, n_removed long, kept_sha256 string"), "kept")
 
 
 def cut_words(text: str, keep: np.ndarray) -> str:
@@ -434,7 +434,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, cuts: Sequence[float] =
     with Scratch(docs.sparkSession) as scratch:
         lost = _judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scratch, window, cuts, buckets, bits)
         joined = docs.join(lost, docs["doc_id"] == lost["__o_id"], "left").drop("__o_id").withColumn("__copy", F.coalesce("__copy", F.lit(False)))
-        return materialize(joined.mapInPandas(judged, docs.schema), "kept")
+        return materialize(joined.mapInPandas(lean(judged), docs.schema), "kept")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,118 +1,134 @@
-"""Licence scan: Dice coefficient of word bigrams between lines and licence templates.
+"""Licence scan: Dice coefficient of word bigrams between windows of a text and licence templates.
 
 Text is normalised (A-Z lower-cased, words are runs of ASCII letters, digits and
-non-ASCII characters) line by line; a line's distinct word bigrams are compared
-with each template's. Dice = 2 * shared / (bigrams of the line + bigrams of the
-template). Since shared <= min(a, b), only templates with
-a * t / (2 - t) <= b <= a * (2 - t) / t can reach t; others are not compared.
-
-Null, empty and one-word lines have no bigrams and match nothing. A null text has no
-line. Rows of documents with the same id are
-scanned each and summed up together. Documents without a match get
-zero lines, an empty licence list and a null best_dice. Of equal scores on a line
-every licence counts. Extra columns are not read.
+non-ASCII characters, line ends are blanks like others). A template of n bigrams is
+compared with every window of the whole text: Dice = 2 * shared / (n + size), repeats
+of a bigram counted. Since shared <= min(n, size), only sizes from n * t / (2 - t) to
+n * (2 - t) / t can reach t; they are taken in steps of one up to 31 bigrams, of n // 16 beyond,
+so a copy's coefficient may be found up to 1/32 too low for a long template. A window may stick
+out of the text; what is outside shares nothing.
+
+The shared bigrams of all windows of a size come from one sweep: an occurrence counts
+for the starts between its own position less the size and itself, but only after the
+occurrence which would be one too many of its bigram.
+
+Null, empty and one-word texts have no bigrams and match nothing. Rows of documents with
+the same id are scanned each and summed up together. Documents without a match get zero
+licences, an empty list and a null best_dice. Every licence with a template that
+reaches the threshold counts. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Mapping
+from collections import Counter
+from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, ascii_lower, read_table
+from .license_texts import TEMPLATES
 
 #: Templates are broadcast: their bigrams in all, at most.
 MAX_TEMPLATE_BIGRAMS = 100_000
 THRESHOLD = 0.8
 
-#: The notices by which works name their licence.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
-    "MIT": "Released under the MIT License.",
-    "BSD-3-Clause": "Use of this source code is governed by a BSD-style license.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "reserved": "All rights reserved.",
-}
-
-
-def words(line: Column) -> Column:
-    parts = F.split(ascii_lower(line), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+def words(text: Column) -> Column:
+    parts = F.split(ascii_lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     return F.filter(parts, lambda w: w != "")
 
 
 def bigrams(ws: Column) -> Column:
-    return F.array_distinct(F.zip_with(ws, F.slice(ws, 2, F.greatest(F.size(ws), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b))))
+    """All bigrams in order; null behind the last."""
+    return F.zip_with(ws, F.slice(ws, 2, F.greatest(F.size(ws), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b)))
 
 
-def template_bigrams(spark: SparkSession, templates: Mapping[str, str]) -> DataFrame:
-    """license, t_size, bigram."""
-    rows = spark.createDataFrame(sorted(templates.items()) or [("", "")], "license string, line string")
-    each = rows.select("license", F.filter(bigrams(words(F.col("line"))), lambda b: b.isNotNull()).alias("bs")).where("size(bs) > 0")
-    return each.select("license", F.size("bs").alias("t_size"), F.explode("bs").alias("bigram"))
+def template_pairs(text: str) -> list[tuple[str, str]]:
+    ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(str.maketrans(UPPER, LOWER)))
+    return list(zip(ws, ws[1:]))
 
 
-def telling_words(templates: Mapping[str, str], threshold: float) -> list[str]:
-    """Words of which every matching line has at least one.
+def sizes(n: int, threshold: float) -> list[int]:
+    """Sizes of the windows that are compared with a template of n bigrams."""
+    low, high = math.ceil(n * threshold / (2 - threshold) - 1e-9), math.floor(n * (2 - threshold) / threshold + 1e-9)
+    step = max(1, n // 16)
+    return sorted({max(low, 1), max(high, 1), *range(n, low - 1, -step), *range(n, high + 1, step)})
 
-    A line that reaches the threshold shares at least m of a template's n bigrams, so at least one of any n - m + 1 of
-    them; of those with the longest words, the longest word each.
-    """
-    out = set()
-    for text in templates.values():
-        ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(str.maketrans(UPPER, LOWER)))
-        pairs = sorted({*zip(ws, ws[1:])}, key=lambda p: (-max(map(len, p)), p))
-        least = max(1, math.ceil(threshold * (len(pairs) + max(1, math.ceil(len(pairs) * threshold / (2 - threshold) - 1e-9))) / 2 - 1e-9))
-        out |= {max(p, key=len) for p in pairs[: len(pairs) - least + 1]}
-    return sorted(out)
+
+def least_shared(n: int, threshold: float) -> int:
+    return max(1, math.ceil(threshold * (n + sizes(n, threshold)[0]) / 2 - 1e-9))
 
 
-def scan_lines(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, row, line_no, license, dice: every line of docs (doc_id, text) that matches a template."""
+def telling_words(texts: Iterable[str], threshold: float) -> list[tuple[str, ...]] | None:
+    """Sets of words of which every matching text has at least one whole; null if the ASCII words don't suffice.
+
+    A match shares at least m of a template's n bigrams, so it holds one of any n - m + 1 of them. Long words that are in many
+    bigrams are chosen until that many bigrams hold one; where the long words run out, bigrams are taken with both words.
+    """
+    chosen: set[tuple[str, ...]] = set()
+    for text in texts:
+        pairs = template_pairs(text)
+        short = len(pairs) - least_shared(len(pairs), threshold) + 1 if pairs else 0
+
+        def open_pairs() -> list[tuple[str, str]]:
+            return [p for p in pairs if p not in chosen and (p[0],) not in chosen and (p[1],) not in chosen]
+
+        while len(pairs) - len(left := open_pairs()) < short:
+            long = Counter(w for p in left for w in set(p) if w.isascii() and len(w) > 4)
+            plain = [p for p in left if (p[0] + p[1]).isascii()]
+            if long:
+                chosen.add((max(long, key=lambda w: (min(len(w), 9) ** 2 * long[w], w)),))
+            elif plain:
+                chosen.add(max(plain, key=lambda p: (len(p[0] + p[1]), p)))
+            else:
+                return None
+    return sorted(chosen)
+
+
+def scan_windows(docs: DataFrame, templates: Iterable[tuple[str, str]] = tuple(TEMPLATES), threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, row, license, dice: the best window of every row of docs (doc_id, text) for each licence that it reaches."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    sizes = [len({*zip(w, w[1:])}) for w in (t.split() for t in templates.values())]
-    if sum(sizes) > MAX_TEMPLATE_BIGRAMS:
-        raise ValueError(f"{sum(sizes)} template bigrams; at most {MAX_TEMPLATE_BIGRAMS} are broadcast")
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    wanted = template_bigrams(docs.sparkSession, templates)
-    telling = telling_words(templates, threshold)
-
-    def likely(text: Column) -> Column:
-        return reduce(Column.__or__, (F.lower(text).contains(w) for w in telling), F.lit(False))
-
-    numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
-    lines = numbered.where(likely(F.col("text"))).select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    # Bounds over all templates cut most lines before their bigrams are made.
-    ends = wanted.agg(F.min("t_size"), F.max("t_size")).first()
-    smallest, largest = (ends[0] or 0) * low, (ends[1] or 0) * high
-    sized = lines.where(likely(F.col("line"))).select("doc_id", "row", "line_no", words(F.col("line")).alias("ws")).where(F.size("ws") - 1 >= F.lit(smallest - 1e-9))
-    sized = sized.select("doc_id", "row", "line_no", F.filter(bigrams(F.col("ws")), lambda b: b.isNotNull()).alias("bs"))
-    sized = sized.where((F.size("bs") >= F.lit(smallest - 1e-9)) & (F.size("bs") <= F.lit(largest + 1e-9)) & (F.size("bs") > 0))
-    each = sized.select("doc_id", "row", "line_no", F.size("bs").alias("size"), F.explode("bs").alias("bigram"))
-    near = each.join(F.broadcast(wanted), "bigram").where((F.col("t_size") >= F.col("size") * low - 1e-9) & (F.col("t_size") <= F.col("size") * high + 1e-9))
-    shared = near.groupBy("doc_id", "row", "line_no", "license", "size", "t_size").agg(F.count("*").alias("shared"))
-    dice = 2 * F.col("shared") / (F.col("size") + F.col("t_size"))
-    return shared.select("doc_id", "row", "line_no", "license", dice.alias("dice")).where(F.col("dice") >= threshold)
-
-
-def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_lines, licenses, best_dice for each distinct id of docs; best_dice is null without a match."""
-    found = scan_lines(docs, templates, threshold).groupBy("doc_id").agg(
-        F.count_distinct("row", "line_no").alias("n_lines"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"), F.max("dice").alias("best_dice")
+    spark = docs.sparkSession
+    listed = [(k, name, Counter(f"{a} {b}" for a, b in ps), len(ps), text) for k, (name, text) in enumerate(templates) if (ps := template_pairs(text))]
+    if sum(len(c) for _, _, c, _, _ in listed) > MAX_TEMPLATE_BIGRAMS:
+        raise ValueError(f"at most {MAX_TEMPLATE_BIGRAMS} template bigrams are broadcast")
+    wanted = spark.createDataFrame(
+        [(k, name, n, least_shared(n, threshold), b, m) for k, name, c, n, _ in listed for b, m in c.items()], "template int, license string, n int, need int, bigram string, times int"
+    )
+    tried = spark.createDataFrame([(k, s) for k, _, _, n, _ in listed for s in sizes(n, threshold)], "template int, size int")
+    telling = telling_words((text for *_, text in listed), threshold)
+    likely = F.lit(True) if telling is None else reduce(Column.__or__, (reduce(Column.__and__, (F.lower("text").contains(w) for w in ws)) for ws in telling), F.lit(False))
+
+    numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text").where(likely)
+    met = numbered.select("doc_id", "row", F.posexplode(bigrams(words(F.col("text")))).alias("pos", "bigram")).join(F.broadcast(wanted), "bigram")
+    # A row's occurrences of a template stay together from here on: one shuffle.
+    keys = ["doc_id", "row", "template", "license", "n"]
+    lists = met.repartition("row", "template").groupBy(*keys, "need", "bigram", "times").agg(F.array_sort(F.collect_list("pos")).alias("at"))
+    most = F.sum(F.least(F.size("at"), F.col("times"))).over(Window.partitionBy("row", "template"))
+    enough = lists.withColumn("most", most).where(F.col("most") >= F.col("need"))
+    each = enough.select(*keys, F.expr("inline(transform(at, (p, i) -> struct(p AS pos, get(at, i - times) AS one_too_many)))"))
+    starts = each.join(F.broadcast(tried), "template").withColumn("first", F.greatest(F.col("pos") - F.col("size") + 1, F.col("one_too_many") + 1))
+    steps = starts.select(*keys, "size", F.explode(F.array(F.struct(F.col("first").alias("start"), F.lit(1).alias("change")), F.struct((F.col("pos") + 1).alias("start"), F.lit(-1).alias("change")))).alias("e")).select(*keys, "size", "e.*")
+    shared = F.sum("change").over(Window.partitionBy("row", "template", "size").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    dice = 2 * F.col("shared") / (F.col("n") + F.col("size"))
+    found = steps.withColumn("shared", shared).groupBy(*keys, "size").agg(F.max("shared").alias("shared")).select("doc_id", "row", "license", dice.alias("dice"))
+    return found.where(F.col("dice") >= threshold).groupBy("doc_id", "row", "license").agg(F.max("dice").alias("dice"))
+
+
+def scan_licenses(docs: DataFrame, templates: Iterable[tuple[str, str]] = tuple(TEMPLATES), threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, n_licenses, licenses, best_dice for each distinct id of docs; best_dice is null without a match."""
+    found = scan_windows(docs, templates, threshold).groupBy("doc_id").agg(
+        F.count_distinct("license").alias("n_licenses"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"), F.max("dice").alias("best_dice")
     )
     ids = docs.select(F.col("doc_id").alias("id")).distinct()
     joined = ids.join(found, F.col("id").eqNullSafe(F.col("doc_id")), "left")
     return joined.select(
-        F.col("id").alias("doc_id"), F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("licenses", F.lit("")).alias("licenses"), "best_dice"
+        F.col("id").alias("doc_id"), F.coalesce("n_licenses", F.lit(0)).cast("long").alias("n_licenses"), F.coalesce("licenses", F.lit("")).alias("licenses"), "best_dice"
     )
 
 
@@ -121,19 +137,25 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WORDS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
-_BIGRAMS = "list_distinct([ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))])"
-_VALUES = ", ".join(f"('{k}', '{v}')" for k, v in sorted(TEMPLATES.items()))
+_PAIRS = "unnest([{{'pos': i, 'bigram': ws[i] || ' ' || ws[i + 1]}} for i in range(1, len(ws))])"
+_VALUES = ", ".join("({}, '{}', '{}')".format(k, name, text.replace("'", "''")) for k, (name, text) in enumerate(TEMPLATES))
+_SIZES = ", ".join(f"({k}, {s})" for k, (_, text) in enumerate(TEMPLATES) for s in sizes(len(template_pairs(text)), THRESHOLD))
 
 ORACLE_SQL = f"""
-WITH t0(license, line) AS (VALUES {_VALUES}),
-t1 AS (SELECT license, {_WORDS.format("line")} ws FROM t0),
-t AS (SELECT license, {_BIGRAMS} tb FROM t1),
-d0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) line_no FROM documents),
-d1 AS (SELECT doc_id, line_no, {_WORDS.format("line")} ws FROM d0),
-d AS (SELECT doc_id, line_no, {_BIGRAMS} db FROM d1 WHERE len(ws) >= 2),
-m AS (SELECT doc_id, line_no, license, 2 * len(list_intersect(db, tb)) / (len(db) + len(tb))::DOUBLE AS dice FROM d, t),
-f AS (SELECT doc_id, count(DISTINCT line_no) n_lines, string_agg(DISTINCT license, ',' ORDER BY license) licenses, max(dice) best_dice
+WITH t0(template, license, text) AS (VALUES {_VALUES}),
+t1 AS (SELECT template, license, {_WORDS.format("text")} ws FROM t0),
+t2 AS (SELECT template, license, len(ws) - 1 AS n, {_PAIRS.format()} p FROM t1),
+t AS (SELECT template, license, n, p.bigram AS bigram, count(*) AS times FROM t2 GROUP BY ALL),
+sizes(template, size) AS (VALUES {_SIZES}),
+d0 AS (SELECT doc_id, row_number() OVER () AS nr, text FROM documents),
+d1 AS (SELECT doc_id, nr, {_WORDS.format("text")} ws FROM d0),
+d2 AS (SELECT doc_id, nr, {_PAIRS.format()} p FROM d1),
+o AS MATERIALIZED (SELECT doc_id, nr, template, license, n, p.pos AS pos, bigram, times FROM d2 JOIN t ON p.bigram = t.bigram),
+w AS (SELECT a.doc_id, a.nr, a.template, a.license, a.n, size, a.pos AS start, b.bigram, least(count(*), any_value(b.times)) AS k
+      FROM o a JOIN sizes s ON s.template = a.template JOIN o b ON b.nr = a.nr AND b.template = a.template AND b.pos >= a.pos AND b.pos < a.pos + size GROUP BY ALL),
+m AS (SELECT doc_id, license, 2 * sum(k)::BIGINT / (n + size)::DOUBLE AS dice FROM w GROUP BY doc_id, nr, template, license, n, size, start),
+f AS (SELECT doc_id, count(DISTINCT license) n_licenses, string_agg(DISTINCT license, ',' ORDER BY license) licenses, max(dice) best_dice
       FROM m WHERE dice >= {THRESHOLD} GROUP BY doc_id)
-SELECT ids.doc_id, coalesce(n_lines, 0)::BIGINT n_lines, coalesce(licenses, '') licenses, best_dice
+SELECT ids.doc_id, coalesce(n_licenses, 0)::BIGINT n_licenses, coalesce(licenses, '') licenses, best_dice
 FROM (SELECT DISTINCT doc_id FROM documents) ids LEFT JOIN f USING (doc_id)
 """

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -492,16 +493,50 @@ def test_language_and_quality_edges(spark):
     assert {r["score"] for r in quality_crf.score_documents(docs.where("doc_id < 6"), one).collect()} == {1.0}
 
 
+def best_window(text, template, threshold):
+    """Highest Dice coefficient of all windows of the tried sizes, by counting each."""
+    have, want = license_scan.template_pairs(text), Counter(license_scan.template_pairs(template))
+    n = sum(want.values())
+    best = 0
+    for size in license_scan.sizes(n, threshold):
+        for start in range(len(have)):
+            best = max(best, 2 * (Counter(have[start : start + size]) & want).total() / (n + size))
+    return best if best >= threshold else None
+
+
+def test_license_windows_agree_with_a_slow_version(spark):
+    rng = random.Random(5)
+    texts = [text for _, text in license_scan.TEMPLATES]
+    rows = []
+    for i in range(60):
+        ws = rng.choice(texts).split()
+        for _ in range(rng.choice([0, 1, 2, 8, 25])):
+            k = rng.randrange(len(ws))
+            ws[k : k + rng.randrange(2)] = rng.choice([["new"], [], ["the", "software"], [ws[k]] * 3])
+            ws = ws or ["x"]
+        start = ["lead"] * rng.randrange(4)
+        rows.append((i, rng.choice([" ", "\n"]).join(start + ws * rng.choice([1, 1, 2]) + ["tail"] * rng.randrange(4)), None, None, 0))
+    got = {r["doc_id"]: (r["n_licenses"], r["licenses"], r["best_dice"]) for r in license_scan.scan_licenses(frame(spark, rows)).collect()}
+    hits = 0
+    for i, text, *_ in rows:
+        each = {}
+        for name, template in license_scan.TEMPLATES:
+            if (dice := best_window(text, template, 0.8)) is not None:
+                each[name] = max(dice, each.get(name, 0))
+        hits += bool(each)
+        assert got[i] == (len(each), ",".join(sorted(each)), max(each.values(), default=None)), i
+    assert 20 < hits < 60
+
+
 def test_license_edges(spark):
-    mit = license_scan.TEMPLATES["MIT"]
-    rows = [(1, f"x\n{mit.upper()}\n{mit}", None, None, 0), (1, mit, None, None, 0), (2, None, None, None, 0), (3, "", None, None, 0), (None, mit, None, None, 0), (4, "Released under the very MIT License", None, None, 0), (5, mit * 3, None, None, 0)]
-    got = {r["doc_id"]: (r["n_lines"], r["licenses"], r["best_dice"]) for r in license_scan.scan_licenses(frame(spark, rows)).collect()}
-    assert got[1] == (3, "MIT", 1.0) and got[None] == (1, "MIT", 1.0)
-    assert got[2] == got[3] == (0, "", None)
-    words = mit.lower().rstrip(".").split()
-    a, b = set(zip(words, words[1:])), set(zip(*(lambda w: (w, w[1:]))("released under the very mit license".split())))
-    dice = 2 * len(a & b) / (len(a) + len(b))
-    assert (got[4][2] is None) == (dice < 0.8)
+    mit = dict(license_scan.TEMPLATES[:-1])["MIT"]
+    wrapped = "\n".join(mit.split())
+    rows = [(1, f"x\n{mit.upper()}\n{mit}", None, None, 0), (1, mit, None, None, 0), (2, None, None, None, 0), (3, "", None, None, 0), (None, wrapped, None, None, 0), (4, "MIT License", None, None, 0), (5, "word " * 50_000 + mit + " word" * 50_000, None, None, 0)]
+    docs = frame(spark, rows).withColumn("row", F.lit("clash")).withColumn("bigram", F.lit(1)).withColumn("license", F.lit(None))
+    got = {r["doc_id"]: (r["n_licenses"], r["licenses"], r["best_dice"]) for r in license_scan.scan_licenses(docs).collect()}
+    assert got[1] == got[None] == got[5] == (1, "MIT", 1.0)
+    assert got[2] == got[3] == got[4] == (0, "", None)
+    assert license_scan.scan_licenses(docs, [("one", "word"), ("gruss", "é ü ö")]).where("n_licenses > 0").count() == 0
 
 
 def test_url_edges(spark):

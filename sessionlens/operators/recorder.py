@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import screens
+
 #: States of a session's recorder log; samples of a file; seconds before an entry that its window starts.
 LOG_STATES = ("ok", "missing", "invalid_json")
 SAMPLES = 8
@@ -113,3 +115,24 @@ def entry_times(trades: DataFrame, sessions: DataFrame) -> DataFrame:
     s = sessions.select(F.col("session_id").alias("s_id"), "start_us", F.coalesce("offset_us", F.lit(0)).alias("offset_us"))
     by_fill = F.col("entry_us") - F.col("start_us") - F.col("offset_us")
     return trades.join(s, F.col("session_id") == F.col("s_id"), "left").select("trade_id", F.coalesce(by_fill, F.col("window_us") + LEAD_US).alias("entry_video_us"))
+
+
+def mapped_samples(samples: DataFrame) -> DataFrame:
+    """sample_id, y_us, resolution, reason: how far a screen's clock is off the session's start and the sample's time.
+
+    samples: sample_id, text, confidence, start_us, video_us. A text that holds no clock is 'unparseable'; an empty one has no reason.
+    """
+    at = screens.clock_us(F.col("text"), F.col("start_us") + F.col("video_us"), F.col("confidence"))
+    y = at - F.col("start_us") - F.col("video_us")
+    reason = F.when((F.trim("text") != "") & y.isNull(), "unparseable")
+    return samples.select("sample_id", y.cast("long").alias("y_us"), F.when(y.isNotNull(), screens.clock_resolution(F.col("text"))).alias("resolution"), reason.alias("reason"))
+
+
+def allowed_ids(kinds: Sequence[DataFrame], key: str = "session_id") -> DataFrame:
+    """key, id, place: the ids that a session's text may cite, each once, those of earlier tables (key, id) first and in order of id within one."""
+    ranked = [d.select(key, F.col("id").cast("string").alias("id"), F.lit(k).alias("kind")).where("id <> ''") for k, d in enumerate(kinds)]
+    every = ranked[0]
+    for d in ranked[1:]:
+        every = every.unionByName(d)
+    once = every.groupBy(key, "id").agg(F.min("kind").alias("kind"))
+    return once.select(key, "id", F.row_number().over(Window.partitionBy(key).orderBy("kind", "id")).cast("long").alias("place"))

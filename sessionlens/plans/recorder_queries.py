@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ledger, recorder
-from .fixtures import view
+from ..sources import recorder_log
+from .fixtures import base, view
 from .registry import query
 
 LOG = """l AS (SELECT session_id, row_no, CASE WHEN row_no % 5 = 3 THEN 'file_changed' ELSE event END AS event,
@@ -116,3 +117,53 @@ def replace_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "clip_events").select("user_id", F.col("event_type").alias("rule"), "event_id")
     new = ledger.last_row(rows.where("user_id % 3 = 0 and event_id % 2 = 0"), ["user_id", "rule"], "event_id")
     return ledger.replace_keys(rows, new, ["user_id"])
+
+
+LINES = """k AS (SELECT session_id, row_no, event, wall_us, video_us, row_no % 17 = 16 AS broken, row_no % 3 = 0 AS old FROM recorder_events)"""
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    no = F.col("row_no")
+    file, wall = F.concat(F.lit("/r/"), "session_id", F.lit(".mkv")), F.col("wall_us").cast("string")
+    held = F.to_json(F.struct("event", F.when(no % 3 != 0, wall).alias("wall"), F.when(no % 3 == 0, wall).alias("ts"), (F.col("video_us") / 1e6).alias("video_s"), file.alias("file")))
+    return view(spark, sf_dir, "recorder_events").select("session_id", "row_no", F.when(no % 17 == 16, "{broken").otherwise(held).alias("line"))
+
+
+@query("log_events", LINES + " SELECT session_id, row_no, event, cast(wall_us AS varchar) AS wall, video_us / 1e6::DOUBLE AS video_s, concat(session_id, '.mkv') AS file FROM k WHERE NOT broken", ("recorder_events",))
+def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recorder_log.log_events(_lines(spark, sf_dir))
+
+
+@query("log_states", LINES + """, s AS (SELECT session_id, bool_or(broken) AS b FROM k WHERE length(session_id) % 2 = 0 GROUP BY 1)
+SELECT c.session_id, CASE WHEN b THEN 'invalid_json' WHEN NOT b THEN 'ok' ELSE 'missing' END AS state FROM clips c LEFT JOIN s ON s.session_id = c.session_id""", ("clips", "recorder_events"))
+def log_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recorder_log.log_states(view(spark, sf_dir, "clips"), _lines(spark, sf_dir).where("length(session_id) % 2 = 0"))
+
+
+@query("tag_rows", """SELECT CASE WHEN fill_id % 7 = 0 THEN '2024-01-01' ELSE cast(session_date AS varchar) END AS date, instrument AS symbol, side, cast(price_ticks AS varchar) AS price,
+CASE WHEN fill_id % 5 = 0 THEN '1' ELSE cast(qty AS varchar) END AS quantity, CASE WHEN fill_id % 2 = 0 THEN 'a,b' ELSE 'a' END AS tags, concat('trade ', cast(fill_id AS varchar)) AS notes FROM executions WHERE fill_id % 3 <> 0""", ("executions",))
+def tag_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, n = view(spark, sf_dir, "executions"), F.col("fill_id")
+    proposals = e.select(n.alias("trade_id"), F.when(n % 3 == 0, "rejected").when(n % 3 == 1, "open").alias("status"), F.when(n % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a"))).alias("tags"))
+    trades = e.select(
+        n.alias("trade_id"), F.lit("2024-01-01_a").alias("session_id"), F.when(n % 7 != 0, F.col("session_date")).alias("session_date"), "instrument", "side",
+        F.col("price_ticks").cast("decimal(18,1)").alias("price"), F.when(n % 5 != 0, F.col("qty")).alias("qty"),
+    )
+    return recorder_log.tag_rows(proposals, trades)
+
+
+@query("mapped_samples", """t AS (SELECT event_id, event_id % 11 AS k, epoch_us(ts) AS w, event_id % 5 * 1000000 AS v FROM events)
+SELECT event_id AS sample_id, CASE WHEN k > 1 THEN w - w % 1000000 - (w - 7000000 + v) END AS y_us, CASE WHEN k > 1 THEN 1 END AS resolution, CASE WHEN k = 0 THEN 'unparseable' END AS reason FROM t""")
+def mapped_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, ts = F.col("event_id"), F.col("ts")
+    text = F.when(n % 11 == 0, "no clock").when(n % 11 == 1, "").otherwise(F.date_format(ts, "HH:mm:ss"))
+    us = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
+    return recorder.mapped_samples(base(spark, sf_dir, "events").select(n.alias("sample_id"), text.alias("text"), F.lit(1.0).alias("confidence"), (us - 7_000_000).alias("start_us"), (n % 5 * 1_000_000).alias("video_us")))
+
+
+@query("allowed_ids", """c AS (SELECT concat(cast(user_id AS varchar), '-', cast(n AS varchar)) AS session_id, event_id, event_type FROM clip_events),
+u AS (SELECT session_id, cast(event_id AS varchar) AS id, 0 AS kind FROM c WHERE event_type = 'click' UNION ALL SELECT session_id, event_type, 1 FROM c UNION ALL SELECT session_id, session_id, 2 FROM c UNION ALL SELECT session_id, cast(event_id AS varchar), 3 FROM c),
+o AS (SELECT session_id, id, min(kind) AS kind FROM u GROUP BY 1, 2) SELECT session_id, id, row_number() OVER (PARTITION BY session_id ORDER BY kind, id) AS place FROM o""", ("clip_events",))
+def allowed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = view(spark, sf_dir, "clip_events").withColumn("session_id", F.concat_ws("-", "user_id", F.col("n").cast("string")))
+    return recorder.allowed_ids([c.where("event_type = 'click'").select("session_id", F.col("event_id").alias("id")), c.select("session_id", F.col("event_type").alias("id")), c.select("session_id", F.col("session_id").alias("id")), c.select("session_id", F.col("event_id").alias("id"))])

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from sessionlens.operators import recorder
+from sessionlens.sources import recorder_log
 
 
 def test_events_before_a_named_file_belong_to_the_first_and_unnamed_logs_to_every_video(spark):
@@ -40,3 +41,32 @@ def test_dates_paths_and_counts(spark):
     assert {r["day"]: r["day_path"] for r in recorder.day_paths(clips).collect()} == {"a": True, "b": True, "c": False, "d": False}
     states = spark.createDataFrame([("ok",), ("ok",), (None,), ("odd",)], "state string")
     assert {r["state"]: r["n"] for r in recorder.log_counts(states).collect()} == {"ok": 2, "missing": 0, "invalid_json": 0}
+
+
+def test_log_lines(spark, tmp_path):
+    lines = ['{"event":" pause ","ts":"t1","video_s":"2.5","file":"/a/b.mkv","x":{"y":[1]}}', "", '{"event":"x","wall":"w","ts":"t","video_s":"NaN","file":""}', "{}"]
+    rows = [("ok", i, x) for i, x in enumerate(lines)] + [("bad", 0, "{}"), ("bad", 1, '{"event":'), ("odd", 0, "[1]"), ("blank", 0, "  ")]
+    held = spark.createDataFrame(rows, "session_id string, row_no long, line string")
+    got = {(r["session_id"], r["row_no"]): (r["event"], r["wall"], r["video_s"], r["file"]) for r in recorder_log.log_events(held).collect()}
+    assert got == {("ok", 0): ("pause", "t1", 2.5, "b.mkv"), ("ok", 2): ("x", "w", None, None), ("ok", 3): ("", None, None, None), ("bad", 0): ("", None, None, None)}
+    sessions = spark.createDataFrame([("ok",), ("bad",), ("odd",), ("none",)], "session_id string")
+    assert {r["session_id"]: r["state"] for r in recorder_log.log_states(sessions, held).collect()} == {"ok": "ok", "bad": "invalid_json", "odd": "invalid_json", "none": "missing"}
+    (tmp_path / "s.jsonl").write_text("\n".join(lines))
+    assert recorder_log.read_lines(spark, str(tmp_path)).count() == 4
+
+
+def test_tag_table_round_trip(spark, tmp_path):
+    proposals = spark.createDataFrame([(1, "open", ["a", "b"]), (2, "rejected", ["a"]), (3, None, None)], "trade_id long, status string, tags array<string>")
+    trades = spark.createDataFrame([(1, "2024-02-03_x", None, "MNQ", "long", 17000.5, 2.0), (2, "2024-02-03_x", None, "MNQ", "long", 1.0, 1.0), (3, "2024-02-03_x", "2024-02-04", None, None, 10.0, None)], "trade_id long, session_id string, session_date string, instrument string, side string, price double, qty double")
+    recorder_log.write_tags(recorder_log.tag_rows(proposals, trades), str(tmp_path / "out"))
+    back = spark.read.csv(str(tmp_path / "out"), header=True).orderBy("notes").collect()
+    assert [tuple(r) for r in back] == [("2024-02-03", "MNQ", "long", "17000.5", "2", "a,b", "trade 1"), ("2024-02-04", None, None, "10", "1", None, "trade 3")]
+
+
+def test_allowed_ids_and_samples(spark):
+    a = spark.createDataFrame([("s", "t2"), ("s", "t1"), ("s", ""), ("s", None)], "session_id string, id string")
+    b = spark.createDataFrame([("s", "t1"), ("s", "brief")], "session_id string, id string")
+    assert [r["id"] for r in recorder.allowed_ids([a, b]).orderBy("place").collect()] == ["t1", "t2", "brief"]
+    samples = spark.createDataFrame([(1, "10:00:05", 1.0, 36_000_000_000, 2_000_000), (2, "junk", 1.0, 0, 0), (3, None, None, 0, 0)], "sample_id int, text string, confidence double, start_us long, video_us long")
+    got = {r["sample_id"]: (r["y_us"], r["resolution"], r["reason"]) for r in recorder.mapped_samples(samples).collect()}
+    assert got == {1: (3_000_000, 1, None), 2: (None, None, "unparseable"), 3: (None, None, None)}

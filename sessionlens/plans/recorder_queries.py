@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ledger, recorder
+from ..operators import guards, ledger, recorder
 from ..sources import recorder_log
 from .fixtures import base, view
 from .registry import query
@@ -167,3 +167,29 @@ o AS (SELECT session_id, id, min(kind) AS kind FROM u GROUP BY 1, 2) SELECT sess
 def allowed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = view(spark, sf_dir, "clip_events").withColumn("session_id", F.concat_ws("-", "user_id", F.col("n").cast("string")))
     return recorder.allowed_ids([c.where("event_type = 'click'").select("session_id", F.col("event_id").alias("id")), c.select("session_id", F.col("event_type").alias("id")), c.select("session_id", F.col("session_id").alias("id")), c.select("session_id", F.col("event_id").alias("id"))])
+
+
+@query("note_problems", """c AS (SELECT event_id AS note_id, user_id AS session_id, CASE WHEN event_id % 13 = 0 THEN ' ' ELSE concat('at ', cast(event_id % 10 AS varchar)) END AS text, event_id % 7 AS f, event_id % 4 AS k FROM clip_events),
+r AS (SELECT *, CASE WHEN trim(text) = '' THEN 'empty' WHEN note_id % 10 = session_id % 10 THEN 'number' WHEN f > 4 THEN 'frame' WHEN k = 3 THEN 'clip' END AS reason FROM c)
+SELECT note_id, reason, CASE reason WHEN 'number' THEN cast(note_id % 10 AS varchar) WHEN 'frame' THEN concat('f', cast(f AS varchar)) WHEN 'clip' THEN 'c3' END AS item FROM r WHERE reason IS NOT NULL""", ("clip_events",))
+def note_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, n = view(spark, sf_dir, "clip_events"), F.col("event_id")
+    text = F.when(n % 13 == 0, " ").otherwise(F.concat(F.lit("at "), (n % 10).cast("string")))
+    notes = c.select(n.alias("note_id"), F.col("user_id").alias("session_id"), text.alias("text"), F.array(F.lit("f1"), F.concat(F.lit("f"), (n % 7).cast("string"))).alias("frames"), F.concat(F.lit("c"), (n % 4).cast("string")).alias("clip"))
+    users = c.select(F.col("user_id").alias("session_id")).distinct()
+
+    def known(prefix: str, count: int) -> DataFrame:
+        return users.select("session_id", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("i")).select("session_id", F.concat(F.lit(prefix), F.col("i").cast("string")).alias("item"))
+
+    return guards.note_problems(notes, known("", 10).where("cast(item as int) <> session_id % 10"), known("f", 5), known("c", 3))
+
+
+@query("guard_stated", """s AS (SELECT session_id, seg, turn, text, CASE turn % 3 WHEN 0 THEN 'entry' ELSE 'stop' END AS field, left(text, 12) AS head FROM segments),
+v AS (SELECT session_id, turn AS trade_id, field, turn % 5 = 4 AS gone, CASE WHEN turn % 4 = 3 THEN concat(head, '~#~') ELSE head END AS value, text, turn FROM s)
+SELECT session_id, trade_id, field, CASE WHEN NOT gone AND value <> '' AND contains(text, value) THEN value END AS value,
+CASE WHEN gone THEN 'no_segment' WHEN NOT coalesce(value <> '' AND contains(text, value), false) THEN 'not_found' WHEN turn % 2 = 1 THEN 'outside_window' END AS reason FROM v""", ("segments",))
+def guard_stated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, turn = view(spark, sf_dir, "segments"), F.col("turn")
+    head = F.left("text", F.lit(12))
+    stated = s.select("session_id", turn.alias("trade_id"), F.when(turn % 3 == 0, "entry").otherwise("stop").alias("field"), F.when(turn % 5 == 4, "none").otherwise(F.col("seg")).alias("seg"), F.when(turn % 4 == 3, F.concat(head, F.lit("~#~"))).otherwise(head).alias("value"))
+    return guards.guard_stated(stated, s.select("session_id", "seg", "text"), s.where(turn % 2 == 0).select("session_id", turn.alias("trade_id"), "seg"), normalise=False)

@@ -38,19 +38,22 @@ def workspace(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-#: Rows of an Arrow batch while tables are written: texts go to Python a few megabytes at a time.
-ARROW_ROWS = 2_000
-_ARROW_ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes of an Arrow batch while tables are written, at most: texts go to Python a few megabytes at a time, however long they are.
+ARROW_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2_000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
 def _write(df: DataFrame, path: str) -> None:
     conf = df.sparkSession.conf
-    before = conf.get(_ARROW_ROWS_KEY)
-    conf.set(_ARROW_ROWS_KEY, str(min(int(before) if int(before) > 0 else ARROW_ROWS, ARROW_ROWS)))
+    before = {key: conf.get(key) for key in ARROW_LIMITS}
+    for key, most in ARROW_LIMITS.items():
+        now = before[key].rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
     try:
         df.write.parquet(path)
     finally:
-        conf.set(_ARROW_ROWS_KEY, before)
+        for key, value in before.items():
+            conf.set(key, value)
 
 
 def lean(each: Callable) -> Callable:

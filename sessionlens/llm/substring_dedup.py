@@ -43,6 +43,8 @@ WINDOW = 13
 BLOCK = 1 << 18
 BUCKET = 400_000
 MIN_BUCKETS = 48
+#: Buckets of one task, about.
+TASK_BUCKETS = 2
 MAX_RUNS = 4
 #: Shares of the documents, by id, where batches end.
 CUTS = (1 / 128, 1 / 64, 1 / 32, 1 / 16, 1 / 8)
@@ -208,10 +210,14 @@ class SubstringIndex:
                     parts.append(pd.DataFrame({"bucket": np.array([bucket], np.int32), "doc_id": pd.array([None], "Int64"), "old": [None], "hashes": [pack_sorted(h[new])], "docs": [pack_planes(d[new])]}))
             return pd.concat([p for p in parts if len(p)] or parts[:1]).astype({"old": "boolean"})
 
+        # Few buckets a task: fetched blocks lie beside the heap.
+        spread = max(1, -(-self.buckets // TASK_BUCKETS))
+        dealt = dealt.repartition(spread, "bucket")
         if self.runs:
             runs = self.runs[0]
             for r in self.runs[1:]:
                 runs = runs.unionByName(r)
+            runs = runs.repartition(spread, "bucket")
 
             def join(rows: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
                 return merged(rows, [(unpack_sorted(h), unpack_planes(d)) for h, d in zip(runs["hashes"], runs["docs"])])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dedup, language_id, lattice_lm, license_scan, mixing, quality_crf, simhash, substring_dedup, url_filter
+from . import decontaminate, embedding_dedup, language_id, lattice_lm, license_scan, mixing, phrases, quality_crf, simhash, substring_dedup, url_filter
 
 QUERIES = {
     "op1_simhash_dedup": simhash.op1_simhash_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op12_phrases": phrases.op12_phrases,
 }
 ORACLES = {
     "op2_decontaminate": decontaminate.ORACLE_SQL,
@@ -23,4 +24,5 @@ ORACLES = {
     "op8_embedding_dedup": embedding_dedup.ORACLE_SQL,
     "op9_substring_dedup": substring_dedup.ORACLE_SQL,
     "op10_url_filter": url_filter.ORACLE_SQL,
+    "op12_phrases": phrases.ORACLE_SQL,
 }

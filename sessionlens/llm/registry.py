@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dedup, language_id, lattice_lm, license_scan, mixing, phrases, quality_crf, simhash, substring_dedup, url_filter
+from . import decontaminate, embedding_dedup, hard_negatives, language_id, lattice_lm, license_scan, mixing, phrases, private_spans, quality_crf, simhash, substring_dedup, url_filter
 
 QUERIES = {
     "op1_simhash_dedup": simhash.op1_simhash_dedup,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_personal_data": private_spans.op11_personal_data,
     "op12_phrases": phrases.op12_phrases,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 ORACLES = {
     "op2_decontaminate": decontaminate.ORACLE_SQL,
@@ -25,4 +27,5 @@ ORACLES = {
     "op9_substring_dedup": substring_dedup.ORACLE_SQL,
     "op10_url_filter": url_filter.ORACLE_SQL,
     "op12_phrases": phrases.ORACLE_SQL,
+    "op13_hard_negatives": hard_negatives.ORACLE_SQL,
 }

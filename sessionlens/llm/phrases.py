@@ -21,12 +21,13 @@ columns don't matter; an empty table gives no rows.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -37,8 +38,8 @@ MIN_COUNT, LONGEST, TOP = 100, 5, 2_000
 UNDETERMINED = "und"
 #: Bits of a bitmap: 64 for each frequent entry, between these powers of two; the largest has 8 MB.
 LEAST_BITS, MOST_BITS = 16, 26
-#: Entries of a hash container, and of all tries of a task, before they burst or spill.
-BURST, MOST_ENTRIES = 4_096, 400_000
+#: Rows of a container, and of all tries of a task, before they burst or spill; rows of a batch of runs.
+BURST, MOST_ENTRIES, RUN_ROWS = 8_192, 3_000_000, 100_000
 #: Words that are looked up before they are counted, distinct words that a task remembers, and bytes of a slice of a text.
 BUFFER, MOST_WORDS, SLICE = 1_000_000, 500_000, 4 << 20
 #: Words of the corpus for each prefix partition.
@@ -47,10 +48,13 @@ _BREAK = b"\n"
 _FOLD = bytes(0x20 if b == 9 else b + 32 if 0x41 <= b <= 0x5A else 10 if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
 
 
-def _slices(batch: pd.DataFrame) -> Iterator[tuple[str, list[bytes], bool]]:
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes], bool]]:
     """Languages with tokens of their texts (words, empty ones, and breaks between pieces); the flag says that the text goes on."""
-    for lang, texts in batch["text"].groupby(batch["lang"]):
-        raw = _BREAK.join(x.encode("utf-8", "surrogatepass") for x in texts).translate(_FOLD)
+    texts: dict[str, list[bytes]] = {}
+    for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+        texts.setdefault(lang, []).append(text)
+    for lang, some in texts.items():
+        raw = _BREAK.join(some).translate(_FOLD)
         at = 0
         while at < len(raw):
             end = len(raw) if len(raw) - at <= SLICE else raw.find(b" ", at + SLICE)
@@ -66,25 +70,28 @@ def _texts(docs: DataFrame) -> DataFrame:
 def count_words(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     """lang, phrase, a: words with their counts, frequent ones; and the number of all words of a language, under a null phrase."""
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = {}
 
-        def rows() -> pd.DataFrame:
-            out = [(lang, w.decode("utf-8", "replace"), c) for lang, words in seen.items() for w, c in words.items()]
+        def batch(langs: list[str], words: list[bytes | None], counts: list[int]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], ["lang", "phrase", "a"])
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for lang, words in seen.items():
+                yield batch([lang] * len(words), list(words), list(words.values()))
             seen.clear()
-            return pd.DataFrame(out, columns=["lang", "phrase", "a"])
 
         for b in batches:
             for lang, tokens, _ in _slices(b):
                 words = Counter(tokens)
                 del words[b""], words[_BREAK]
-                yield pd.DataFrame({"lang": [lang], "phrase": [None], "a": [words.total()]})
+                yield batch([lang], [None], [words.total()])
                 seen.setdefault(lang, Counter()).update(words)
                 if sum(map(len, seen.values())) > MOST_WORDS:
-                    yield rows()
-        yield rows()
+                    yield from rows()
+        yield from rows()
 
-    counts = _texts(docs).mapInPandas(lean(each), "lang string, phrase string, a long")
+    counts = _texts(docs).mapInArrow(lean(each), "lang string, phrase string, a long")
     return counts.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where((F.col("a") >= min_count) | F.col("phrase").isNull())
 
 
@@ -118,78 +125,99 @@ def _set(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
+def _packed(rows: np.ndarray) -> np.ndarray:
+    """Rows of word numbers as one sortable value each, in the rows' order."""
+    wide = np.ascontiguousarray(rows, ">u4")
+    if rows.shape[1] == 1:
+        return rows[:, 0].astype(np.int64)
+    return wide.view(">u8").ravel().astype(np.uint64) if rows.shape[1] == 2 else wide.view(f"V{4 * rows.shape[1]}").ravel()
+
+
+def _merged(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different rows in order, with the sums of their counts."""
+    if not len(rows):
+        return rows, counts
+    order = np.argsort(_packed(rows), kind="stable")
+    rows, counts = rows[order], counts[order]
+    first = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]).any(axis=1)))
+    return rows[first], np.add.reduceat(counts, first)
+
+
 class HatTrie:
-    """Counts of phrases (packed word numbers of four bytes each). Leaves are hash containers that burst."""
+    """Counts of phrases, rows of word numbers that zeros fill up.
+
+    The upper levels are dictionaries by word number; the leaves are containers of the phrases' remaining words. A
+    container takes rows as they come, sums equal ones when it is full, and bursts by the next word if most of them differ.
+    """
 
     def __init__(self, burst: int = BURST):
         self.burst, self.root, self.size = burst, {}, 0
 
-    def add(self, phrase: bytes, n: int) -> None:
-        node, word, at = self.root, phrase[:4], 4
-        child = node.get(word)
-        if child is None:
-            child = node[word] = _Container()
-        while type(child) is dict:
-            if at == len(phrase):
-                child[b""] = child.get(b"", 0) + n
-                return
-            node, word, at = child, phrase[at : at + 4], at + 4
+    def add(self, rows: np.ndarray, counts: np.ndarray) -> None:
+        """rows are in order."""
+        if len(rows):
+            self.size += len(rows)
+            self._under(self.root, rows, counts)
+
+    def _under(self, node: dict, rows: np.ndarray, counts: np.ndarray) -> None:
+        first = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
+        ends = np.append(first[1:], len(rows)).tolist()
+        for word, a, b in zip(rows[first, 0].tolist(), first.tolist(), ends):
             child = node.get(word)
             if child is None:
                 child = node[word] = _Container()
-        rest = phrase[at:]
-        if rest in child.counts:
-            child.counts[rest] += n
-            return
-        child.counts[rest] = n
-        self.size += 1
-        if len(child.counts) > self.burst:
-            node[word] = _burst(child)
-
-    def spill(self, keep: int) -> Iterator[tuple[bytes, int]]:
-        """Takes whole subtrees of first words out, largest first, until at most keep entries are left; yields every prefix with the sum of its subtree."""
+            if isinstance(child, dict):
+                self._under(child, rows[a:b, 1:], counts[a:b])
+                continue
+            child.rows.append(rows[a:b, 1:])
+            child.counts.append(counts[a:b])
+            child.size += b - a
+            if child.size > self.burst:
+                before = child.size
+                child.sum_up()
+                self.size -= before - child.size
+                if child.size > self.burst // 2 and child.rows[0].shape[1] > 1:
+                    node[word] = {}
+                    self._under(node[word], child.rows[0], child.counts[0])
+
+    def spill(self, keep: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """Takes whole subtrees of first words out, largest first, until at most keep rows are left; their phrases in order."""
         sizes = {w: _size(c) for w, c in self.root.items()}
+        rows, counts = [], []
         for word in sorted(sizes, key=sizes.get, reverse=True):
             if self.size <= keep:
                 break
-            sums: Counter[bytes] = Counter()
-            for phrase, n in _walk(word, self.root.pop(word)):
-                for end in range(4, len(phrase) + 1, 4):
-                    sums[phrase[:end]] += n
+            for r, c in _walk(self.root.pop(word)):
+                rows.append(np.column_stack([np.full(len(r), word, np.uint32), r]))
+                counts.append(c)
             self.size -= sizes[word]
-            yield from sums.items()
+        return _merged(np.concatenate(rows), np.concatenate(counts)) if rows else None
 
 
 class _Container:
-    __slots__ = ("counts",)
+    __slots__ = ("counts", "rows", "size")
 
     def __init__(self) -> None:
-        self.counts: dict[bytes, int] = {}
-
+        self.rows: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.size = 0
 
-def _burst(full: _Container) -> dict:
-    node: dict = {}
-    for rest, n in full.counts.items():
-        if rest:
-            node.setdefault(rest[:4], _Container()).counts[rest[4:]] = n
-        else:
-            node[b""] = n
-    return node
+    def sum_up(self) -> None:
+        rows, counts = _merged(np.concatenate(self.rows), np.concatenate(self.counts))
+        self.rows, self.counts, self.size = [rows], [counts], len(rows)
 
 
-def _size(node: dict | _Container | int) -> int:
-    return len(node.counts) if isinstance(node, _Container) else sum(map(_size, node.values())) if isinstance(node, dict) else 1
+def _size(node: dict | _Container) -> int:
+    return node.size if isinstance(node, _Container) else sum(map(_size, node.values()))
 
 
-def _walk(prefix: bytes, node: dict | _Container | int) -> Iterator[tuple[bytes, int]]:
-    if isinstance(node, int):
-        yield prefix, node
-    elif isinstance(node, dict):
+def _walk(node: dict | _Container) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    if isinstance(node, dict):
         for word, child in node.items():
-            yield from _walk(prefix + word, child)
+            for rows, counts in _walk(child):
+                yield np.column_stack([np.full(len(rows), word, np.uint32), rows]), counts
     else:
-        for rest, n in node.counts.items():
-            yield prefix + rest, n
+        yield from zip(node.rows, node.counts)
 
 
 class _Words:
@@ -222,62 +250,70 @@ class _Numbers(dict):
         return n
 
 
-def _longest(ids: np.ndarray, linked: np.ndarray, shortest: int, longest: int, starts: int) -> tuple[list[bytes], list[int]]:
-    """Packed word numbers of the longest phrase from each of the first ``starts`` places, and how often each occurs; linked: words i and i + 1 may be of one phrase."""
+def _longest(ids: np.ndarray, linked: np.ndarray, shortest: int, longest: int, starts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the longest phrases from the first ``starts`` places, in order, and how often each occurs; linked: words i and i + 1 may be of one phrase."""
     going = ids > 0
     length = going.astype(np.int64)
     for k in range(1, longest):
         going = going[:-1] & linked[k - 1 : len(going) + k - 2]
         length[: len(going)] += going
     at = np.flatnonzero(length[:starts] >= shortest)
-    rows = np.zeros((len(at), longest), ">u4")
+    rows = np.zeros((len(at), longest), np.uint32)
     for k in range(longest):
         more = length[at] > k
         rows[more, k] = ids[at[more] + k]
-    if longest == 2:  # numbers sort faster than bytes
-        found, counts = np.unique(rows.view(">u8").ravel().astype(np.uint64), return_counts=True)
-        found = found.astype(">u8")
-    else:
-        found, counts = np.unique(rows.view(f"V{4 * longest}").ravel(), return_counts=True)
-    raw, size = found.tobytes(), 4 * longest
-    cut = [raw[i : i + size].rstrip(b"\0") for i in range(0, len(raw), size)]
-    return [x + b"\0" * (-len(x) % 4) for x in cut], counts.tolist()
+    return _merged(rows, np.ones(len(at), np.int64))
+
+
+RUNS = pa.schema([("prefix", pa.int32()), ("lang", pa.string()), ("phrases", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+
+
+def _runs(lang: str, words: _Words, rows: np.ndarray, counts: np.ndarray, shortest: int, prefixes: int) -> Iterator[pa.RecordBatch]:
+    """Sorted runs by prefix partition of all prefixes, of shortest words at least, of the phrases; a prefix occurs as often as the phrases of its subtree."""
+    texts = pa.array(words.texts, pa.binary()).cast(pa.string())
+    place = np.empty(len(words.texts), np.int64)
+    place[np.array(sorted(range(len(words.texts)), key=words.texts.__getitem__), np.int64)] = np.arange(len(words.texts))
+    hashes = np.array(words.hashes, np.uint64)
+    for k in range(shortest, rows.shape[1] + 1):
+        have = rows[:, k - 1] > 0
+        part, n = _merged(rows[have, :k], counts[have])
+        mixed = np.zeros(len(part), np.uint64)
+        for j in range(shortest):
+            mixed = (mixed * np.uint64(0x9E3779B97F4A7C15)) ^ hashes[part[:, j]]
+        prefix = ((mixed ^ (mixed >> np.uint64(31))) % np.uint64(prefixes)).astype(np.int32)
+        order = np.lexsort((*(place[part[:, j]] for j in reversed(range(k))), prefix))
+        part, n, prefix = part[order], n[order], prefix[order]
+        for at in range(0, len(part), RUN_ROWS):
+            some, of = part[at : at + RUN_ROWS], prefix[at : at + RUN_ROWS]
+            joined = pc.binary_join_element_wise(*(texts.take(pa.array(some[:, j])) for j in range(k)), " ")
+            first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            cut = pa.array(np.append(first, len(of)), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(of[first]), pa.array([lang] * len(first)), pa.ListArray.from_arrays(cut, joined), pa.ListArray.from_arrays(cut, pa.array(n[at : at + RUN_ROWS]))], schema=RUNS)
 
 
 def count_phrases(docs: DataFrame, shortest: int, longest: int, words: np.ndarray | None, pairs: np.ndarray | None, partitions: int, min_count: int = MIN_COUNT, most_entries: int = MOST_ENTRIES) -> DataFrame:
     """lang, phrase, a: phrases of shortest to longest words with at least min_count occurrences, made of words and pairs in the bitmaps (null: any)."""
+    prefixes = 16 * partitions
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, _Words] = {}
         waiting: dict[str, list[np.ndarray]] = {}
 
         def settle(lang: str, last: bool) -> None:
             w = known[lang]
             ids = np.concatenate([w.carry, *waiting.pop(lang, [])])
+            # The last places wait for words of the next texts' slice.
             keep = len(ids) if last else max(0, len(ids) - longest + 1)
-            h = np.array(w.hashes, np.uint64)[ids]
             linked = (ids[:-1] > 0) & (ids[1:] > 0)
             if pairs is not None:
+                h = np.array(w.hashes, np.uint64)[ids]
                 linked &= _set(pairs, ((h[:-1] << np.uint64(1)) | (h[:-1] >> np.uint64(63))) ^ h[1:])
-            linked = np.append(linked, False)
             w.carry = ids[keep:]
-            for phrase, n in zip(*_longest(ids, linked, shortest, longest, keep)):
-                w.trie.add(phrase, n)
-
-        def runs(lang: str, keep: int) -> Iterator[pd.DataFrame]:
-            w, size = known[lang], 4 * shortest
-            seed, of, out = zlib.crc32(lang.encode("utf-8", "surrogatepass")), {}, []
-            for phrase, n in w.trie.spill(keep):
-                if len(phrase) >= size:
-                    head = phrase[:size]
-                    if head not in of:
-                        of[head] = zlib.crc32(b" ".join(w.texts[i] for i in np.frombuffer(head, ">u4")), seed) % partitions
-                    out.append((of[head], b" ".join([w.texts[i] for i in np.frombuffer(phrase, ">u4")]), n))
-            out.sort()
-            cut = np.flatnonzero(np.diff([-1, *[x[0] for x in out]])).tolist() + [len(out)]
-            rows = [(out[a][0], lang, [x[1].decode("utf-8", "replace") for x in out[a:b]], [x[2] for x in out[a:b]]) for a, b in zip(cut, cut[1:])]
-            for at in range(0, len(rows), 512):
-                yield pd.DataFrame(rows[at : at + 512], columns=["prefix", "lang", "phrases", "counts"])
+            w.trie.add(*_longest(ids, np.append(linked, False), shortest, longest, keep))
+
+        def runs(lang: str, keep: int) -> Iterator[pa.RecordBatch]:
+            if found := known[lang].trie.spill(keep):
+                yield from _runs(lang, known[lang], *found, shortest, prefixes)
 
         for b in batches:
             for lang, tokens, goes_on in _slices(b):
@@ -301,7 +337,7 @@ def count_phrases(docs: DataFrame, shortest: int, longest: int, words: np.ndarra
             settle(lang, True)
             yield from runs(lang, 0)
 
-    spilled = _texts(docs).mapInPandas(lean(each), "prefix int, lang string, phrases array<string>, counts array<long>")
+    spilled = _texts(docs).mapInArrow(lean(each), "prefix int, lang string, phrases array<string>, counts array<long>")
     entries = spilled.repartition(partitions, "prefix").select("prefix", "lang", F.explode(F.arrays_zip("phrases", "counts")).alias("e"))
     merged = entries.groupBy("prefix", "lang", F.col("e.phrases").alias("phrase")).agg(F.sum("e.counts").alias("a"))
     return merged.where(F.col("a") >= min_count).select("lang", "phrase", "a")

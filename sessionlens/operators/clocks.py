@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import robust
+
 #: Agreement, confirmation and detection limits (seconds) of clocks with seconds and with minutes alone.
 PAUSE_LIMITS = {1: (5, 30, 30), 60: (60, 120, 180)}
 RESUME_US = (400_000, 800_000)
@@ -16,13 +18,11 @@ NEIGHBOUR_US = 2_000_000
 def theil_sen(points: DataFrame, keys: Sequence[str], x: str = "x_us", y: str = "y") -> DataFrame:
     """keys, n, slope, intercept: median of the pairwise slopes, median intercept; slope 0 with one sample or equal x.
 
-    Exact; a group's pairs grow with the square of its samples, so it is for sessions (some hundred readings).
+    One aggregation; pairs are counted, not listed (robust), so large groups end.
     """
-    p = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).alias("x"), F.col(y).alias("y"))
-    q = p.select(*keys, F.col("x").alias("x2"), F.col("y").alias("y2"))
-    slopes = p.join(q, list(keys)).where("x < x2").groupBy(*keys).agg(F.percentile((F.col("y2") - F.col("y")) / (F.col("x2") - F.col("x")), 0.5).alias("slope"))
-    with_slope = p.join(slopes, list(keys), "left").withColumn("slope", F.coalesce("slope", F.lit(0.0)))
-    return with_slope.groupBy(*keys).agg(F.count("*").alias("n"), F.max("slope").alias("slope"), F.percentile(F.col("y") - F.col("slope") * F.col("x"), 0.5).alias("intercept"))
+    known = points.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    fit = known.groupBy(*keys).agg(robust.theil_sen(F.col(x), F.col(y)).alias("f"))
+    return fit.select(*keys, F.col("f")[2].cast("long").alias("n"), F.col("f")[0].alias("slope"), F.col("f")[1].alias("intercept"))
 
 
 def residual_score(residuals: DataFrame, keys: Sequence[str], r: str = "r") -> DataFrame:
@@ -35,8 +35,14 @@ def residual_score(residuals: DataFrame, keys: Sequence[str], r: str = "r") -> D
 
 
 def to_wall(start_us: Column, video_us: Column, offset_us: Column, drift: Column) -> Column:
-    """Wall time of a video time; drift is in microseconds for each hour."""
-    return start_us + video_us + offset_us + F.floor(drift * video_us / 3_600_000_000).cast("long")
+    """Wall time of a video time; drift is in seconds for each hour of video."""
+    return start_us + offset_us + F.round(video_us * (1 + drift / 3600)).cast("long")
+
+
+def to_video(start_us: Column, wall_us: Column, offset_us: Column, drift: Column) -> Column:
+    """Video time of a wall time: the inverse of to_wall, to the microsecond. A drift that stands still (-3600) counts as none."""
+    rate = 1 + drift / 3600
+    return F.round((wall_us - start_us - offset_us) / F.when(F.abs(rate) < 1e-12, 1.0).otherwise(rate)).cast("long")
 
 
 def choose_alignment(candidates: DataFrame) -> DataFrame:
@@ -95,14 +101,30 @@ def pause_total(events: DataFrame, key: str = "session_id") -> DataFrame:
     return p.groupBy(key).agg(F.count("*").alias("pauses"), F.when(F.count(gap) == F.count("*"), F.sum(gap)).alias("paused_us"))
 
 
-def position_fills(fills: DataFrame, sections_: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """fill_id, idx, video_us, reason: the section that holds a fill (half-open); in an invalid one, or in none, there is no position."""
-    hit = fills.join(sections_, list(keys), "left")
-    inside = (F.col("ts_us") >= F.col("wall_start_us")) & (F.col("ts_us") < F.col("wall_end_us"))
-    best = F.min(F.when(inside, F.struct("idx", "status", (F.col("video_start_us") + F.col("ts_us") - F.col("wall_start_us")).alias("v"))))
-    out = hit.groupBy("fill_id").agg(best.alias("b"))
-    reason = F.when(F.col("b").isNull(), "outside_sections").when(F.col("b.status") != "verified", "segment_invalid")
-    return out.select("fill_id", "b.idx", F.when(F.col("b.status") == "verified", F.col("b.v")).alias("video_us"), reason.alias("reason"))
+def position_fills(fills: DataFrame, sections_: DataFrame, keys: Sequence[str], offsets: DataFrame | None = None) -> DataFrame:
+    """fill_id, idx, video_us, reason: the section that holds a fill; in an invalid one, or in none, there is no position.
+
+    Sections are half-open, but the last one of a session holds its end. Time in a section that begins the recording runs from the
+    record's start less the first frame's offset (offsets: keys, offset_us; none: zero), in a resumed one from the pause's video time.
+    A sweep: each fill takes the last section begun by then, one shuffle and sort by keys.
+    """
+    w = Window.partitionBy(*keys)
+    carried = F.struct("idx", "status", "wall_start_us", "wall_end_us", "video_start_us", F.col("resume_offset_us").isNull().alias("starts"), (F.col("idx") == F.max("idx").over(w)).alias("last"))
+    begun = sections_.select(*keys, F.col("wall_start_us").alias("__t"), F.lit(0).alias("__k"), "idx", carried.alias("s"))
+    none = F.lit(None).cast(begun.schema["s"].dataType)
+    asked = fills.select(*keys, F.col("ts_us").alias("__t"), F.lit(1).alias("__k"), F.lit(None).cast("long").alias("idx"), none.alias("s"), "fill_id")
+    line = begun.withColumn("fill_id", F.lit(None).cast(fills.schema["fill_id"].dataType)).unionByName(asked)
+    order = w.orderBy("__t", "__k", "idx").rowsBetween(Window.unboundedPreceding, 0)
+    met = line.withColumn("s", F.last("s", True).over(order)).where("__k = 1")
+    if offsets is None:
+        met = met.withColumn("offset_us", F.lit(0))
+    else:
+        met = met.join(offsets.select(*keys, "offset_us"), list(keys), "left").withColumn("offset_us", F.coalesce("offset_us", F.lit(0)))
+    inside = F.coalesce((F.col("__t") < F.col("s.wall_end_us")) | (F.col("s.last") & (F.col("__t") == F.col("s.wall_end_us"))), F.lit(False))
+    past = F.col("__t") - F.col("s.wall_start_us")
+    at = F.when(F.col("s.starts"), past - F.col("offset_us")).otherwise(F.col("s.video_start_us") + past)
+    reason = F.when(~inside, "outside_sections").when(F.col("s.status") != "verified", "segment_invalid")
+    return met.select("fill_id", F.when(inside, F.col("s.idx")).alias("idx"), F.when(reason.isNull(), at).alias("video_us"), reason.alias("reason"))
 
 
 #: Bands of the first-frame offset, tolerance of durations, largest residual (all microseconds).

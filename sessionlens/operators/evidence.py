@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import range_join
@@ -85,11 +85,16 @@ def plan_frames(chapters: DataFrame) -> DataFrame:
     return chapters.select("session_id", "duration_us", times).where("t >= 0 and t <= duration_us").select("session_id", F.col("t").alias("t_us")).distinct()
 
 
-def slice_parts(wins: DataFrame, parts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, trade_id, part, l0_us, l1_us: the part of [c0_us, c1_us] in each recording part (offset_us, dur_us), in its own time."""
-    j = wins.select(*keys, "trade_id", "c0_us", "c1_us").join(parts.select(*keys, "part", "offset_us", "dur_us"), list(keys))
-    lo, hi = F.greatest("c0_us", "offset_us"), F.least(F.col("c1_us"), F.col("offset_us") + F.col("dur_us"))
-    return j.where(lo < hi).select(*keys, "trade_id", "part", (lo - F.col("offset_us")).alias("l0_us"), (hi - F.col("offset_us")).alias("l1_us"))
+def slice_parts(wins: DataFrame, parts: DataFrame, keys: Sequence[str], width: int = 600_000_000) -> DataFrame:
+    """keys, trade_id, part, l0_us, l1_us: the part of [c0_us, c1_us] in each recording part (offset_us, dur_us), in its own time. Both sides are listed by time buckets, each pair is kept once."""
+    def bucket(c: str) -> Column:
+        return F.floor(F.col(c) / width)
+
+    a = wins.select(*keys, "trade_id", "c0_us", "c1_us").where("c0_us < c1_us").withColumn("b", F.explode(F.sequence(bucket("c0_us"), bucket("c1_us"))))
+    p = parts.where("dur_us > 0").select(*keys, "part", "offset_us", (F.col("offset_us") + F.col("dur_us")).alias("end_us")).withColumn("b", F.explode(F.sequence(bucket("offset_us"), bucket("end_us"))))
+    lo, hi = F.greatest("c0_us", "offset_us"), F.least("c1_us", "end_us")
+    met = a.join(p, [*keys, "b"]).where((lo < hi) & (F.col("b") == F.greatest(bucket("c0_us"), bucket("offset_us"))))
+    return met.select(*keys, "trade_id", "part", (lo - F.col("offset_us")).alias("l0_us"), (hi - F.col("offset_us")).alias("l1_us"))
 
 
 def part_at(times: DataFrame, parts: DataFrame, keys: Sequence[str]) -> DataFrame:

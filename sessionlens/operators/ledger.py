@@ -84,7 +84,8 @@ def replace_keys(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFra
 
 
 def last_row(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
+    """The row of each key that is last by order; of equal ones the first by all columns, nulls first."""
+    w = Window.partitionBy(*keys).orderBy(F.col(order).desc(), *(F.col(c) for c in rows.columns if c not in (*keys, order)))
     return rows.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 

@@ -97,7 +97,7 @@ def first_by_field(spans: DataFrame) -> DataFrame:
 
 
 def check_citations(spans: DataFrame, segments: DataFrame, normalise: bool = True) -> DataFrame:
-    """spans with ok: the segment exists, holds the quote word for word (a null or empty one always), and the token if there is one.
+    """spans with ok: the segment exists, holds the quote word for word (a null or empty one always), and the token, if there is one, as it is or as whole words in any case.
 
     spans: session_id, seg, quote, token. Segments may have raw_text, which is searched too. Both sides are composed (NFC) first, unless the caller knows they are.
     """
@@ -105,7 +105,9 @@ def check_citations(spans: DataFrame, segments: DataFrame, normalise: bool = Tru
     raw = F.col("raw_text") if "raw_text" in segments.columns else F.lit(None).cast("string")
     texts = segments.select("session_id", "seg", form(F.concat_ws("\n", F.coalesce("text", F.lit("")), raw)).alias("__text"))
     j = spans.join(texts, ["session_id", "seg"], "left")
-    token_ok = F.col("token").isNull() | F.coalesce(F.contains("__text", form(F.col("token"))), F.lit(False))
+    token = form(F.col("token"))
+    whole = contains_token(F.array_join(plain_words(F.col("__text")), " "), F.array_join(plain_words(token), " "))
+    token_ok = F.col("token").isNull() | F.coalesce(F.contains("__text", token) | whole, F.lit(False))
     quote_ok = F.contains("__text", form(F.coalesce("quote", F.lit(""))))
     return j.withColumn("ok", F.coalesce(quote_ok, F.lit(False)) & token_ok).drop("__text")
 
@@ -133,14 +135,17 @@ def digit_audit(drafts: DataFrame, allowed: DataFrame) -> DataFrame:
 def word_errors(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
     """pairs with n_words, edits and wer. ref and hyp are arrays of words.
 
-    Each word of a pair becomes one code point, so Spark's own levenshtein counts word edits. Works for fewer than
-    55,000 distinct words in a pair. An empty reference has rate 0 against nothing and 1 against anything.
+    Each word of a pair becomes one code point, surrogates aside, so Spark's own levenshtein counts word edits: over a
+    million distinct words in a pair. An empty reference has rate 0 against nothing and 1 against anything.
     """
     words = F.array_distinct(F.concat(ref, hyp))
 
     def coded(c: str) -> Column:
-        code = F.transform(c, lambda x: F.decode(F.unhex(F.lpad(F.hex((F.array_position(F.col("__w"), x) + 255).cast("long")), 4, "0")), "UTF-16BE"))
-        return F.array_join(code, "")
+        def code(x: Column) -> Column:
+            at = F.array_position(F.col("__w"), x) + 255
+            return F.decode(F.unhex(F.lpad(F.hex((at + F.when(at >= 0xD800, 0x800).otherwise(0)).cast("long")), 8, "0")), "UTF-32")
+
+        return F.array_join(F.transform(c, code), "")
 
     out = pairs.withColumn("__w", words).withColumns({"n_words": F.size(ref).cast("long"), "edits": F.levenshtein(coded(ref), coded(hyp)).cast("long")}).drop("__w")
     empty = F.when(F.col("edits") == 0, 0.0).otherwise(1.0)

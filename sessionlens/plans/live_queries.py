@@ -11,21 +11,14 @@ from ..streaming import live, rule_blocks
 from .fixtures import view
 from .interval_queries import EC
 from .registry import query
+from .stream_queries import CLOCK_US, slices
 from .rule_queries import CONFIG, KEYS, NEXT, POST, STREAK, TRADES, trades
 
-SLICES = 4
 
-
-def slices(df: DataFrame, ts_us: str, n: int = SLICES) -> list[DataFrame]:
-    """df, written once, in n parts of equal time."""
-    path = shared_path(df.sparkSession, "slices")
+def stored(df: DataFrame) -> DataFrame:
+    path = shared_path(df.sparkSession, "feed")
     df.write.parquet(path)
-    held = df.sparkSession.read.schema(df.schema).parquet(path)
-    lo, hi = held.agg(F.min(ts_us), F.max(ts_us)).first()
-    if lo is None:
-        return [held]
-    part = F.least(F.floor((F.col(ts_us) - lo) * n / (hi - lo + 1)), F.lit(n - 1))
-    return [held.where(part == i) for i in range(n)]
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @query(
@@ -41,8 +34,8 @@ def stream_rule_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streaks, post-loss entries and ends of blocks; a last slice of a later day moves the watermark past all events."""
     t = trades(spark, sf_dir).withColumn("pnl", rules.realized())
     events = rule_blocks.trade_events(t, KEYS, rules.stopped_on_entry(CONFIG))
-    feed = slices(events, "ts_us")
-    later = feed[0].limit(1).withColumn("ts_us", F.lit(4_102_444_800_000_000)).withColumn("ts", F.timestamp_micros("ts_us")).withColumn("account", F.lit(-1).cast(events.schema["account"].dataType)).withColumn("kind", F.lit("clock"))
+    feed = slices(stored(events), "ts_us")
+    later = feed[0].limit(1).withColumn("ts_us", F.lit(CLOCK_US)).withColumn("ts", F.timestamp_micros("ts_us")).withColumn("account", F.lit(-1).cast(events.schema["account"].dataType)).withColumn("kind", F.lit("clock"))
     out = live.replay(spark, {"events": [*feed, later.select(events.columns)]}, lambda s: rule_blocks.rule_blocks(s["events"], KEYS, CONFIG))
     kind = F.when(F.col("kind") == "block_end", F.concat_ws(" ", "kind", "at_us")).otherwise(F.col("kind"))
     return out.where("account >= 0").select(*KEYS, kind.alias("kind"), "trade_id", "next_trade_id", "gap_us", "streak")
@@ -54,5 +47,5 @@ def stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     fills = view(spark, sf_dir, "executions").select("fill_id", "user_id", "ts_us", F.timestamp_micros("ts_us").alias("ts"))
     clips = view(spark, sf_dir, "clips").select("session_id", "user_id", F.timestamp_micros("start_us").alias("start_ts"), F.timestamp_micros("end_us").alias("end_ts"))
     parts = live.clip_parts(clips).withColumn("to_us", F.unix_micros("to_ts"))
-    out = live.replay(spark, {"fills": slices(fills, "ts_us"), "parts": slices(parts, "to_us")}, lambda s: live.fills_of_parts(s["fills"], s["parts"], "user_id"))
+    out = live.replay(spark, {"fills": slices(stored(fills), "ts_us"), "parts": slices(stored(parts), "to_us")}, lambda s: live.fills_of_parts(s["fills"], s["parts"], "user_id"))
     return out.select("fill_id", "session_id")

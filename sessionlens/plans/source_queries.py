@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..sources import documents, executions
 from .fixtures import base, view
-from .registry import query
+from ..sources.shared import shared_path
+from .registry import ORACLES, query
 
 #: Executions as the export writes them; some rows are spoilt.
 def export(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +47,22 @@ def ingest_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.withColumn("tags", F.array_join("tags", ",")).select("row_no", "ts_us", "session_date", "instrument", "contract_month", "contract_year", "side", "qty", "price", "entry_kind", "tags", "notes_text", "source_group_id")
 
 
+@query("csv_to_fills")
+def csv_to_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The export as CSV files whose notes hold commas, quotes and line ends; fills by the contract, in a folder for each session date."""
+    csv, out = shared_path(spark, "export"), shared_path(spark, "fills")
+    rows = export(spark, sf_dir).withColumn("notes", F.lit('<b>x,</b>\n &amp; <img alt="a, b" src=y> z'))
+    rows.write.option("header", "true").option("escape", '"').csv(csv)
+    good, _ = executions.split_rejects(executions.validate(executions.read_csv(spark, csv)))
+    fills = executions.with_ids(good).withColumn("venue", executions.venue_of(F.lit("export TopstepX 2026.csv")))
+    executions.write_fills(executions.to_contract(executions.imported_only(fills, include_manual=True)), out)
+    f = executions.read_contract(spark, out)
+    return f.select("fill_id", F.unix_micros("timestamp").alias("ts_us"), "session_date", "instrument", "contract_month", "contract_year", "side", "qty", "price", "entry_kind", F.array_join("tags", ",").alias("tags"), "notes_text", "source_group_id", "venue")
+
+
+ORACLES["csv_to_fills"] = ORACLES["ingest_fills"].replace("SELECT fill_id AS row_no,", "SELECT 'tv:' || fill_id || ':' || coalesce(source_group_id, '-') || ':' || t || ':' || side || ':' || (price_ticks / 4)::DOUBLE || ':' || CASE WHEN fill_id % 43 = 0 THEN 0 ELSE qty END AS fill_id,").replace("'x & [image] z' AS notes_text", "'x, & [image] z' AS notes_text, 'topstepx' AS venue")
+
+
 @query(
     "asr_segments",
     """k AS (SELECT conv_id, turn, text FROM conversations WHERE turn % 3 <> 1) SELECT conv_id AS session_id, printf('seg_%03d', row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS seg, trim(text) AS text, turn * 1.5::DOUBLE AS t0, turn * 1.5::DOUBLE + 1 AS t1, 0 AS n_words FROM k""",

@@ -6,6 +6,9 @@ from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from .ledger_tables import fitted
 
 #: The export's columns, not-available marks, contract roots and month letters, exchange day.
 COLUMNS = ("date", "symbol", "side", "currency", "underlying", "asset_type", "price", "quantity", "commission", "fees", "stop_loss", "profit_target", "tags", "notes", "spread_id")
@@ -15,10 +18,12 @@ ZONE, ROLL_HOUR = "America/New_York", 18
 OFFSET_TIME = r"^(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?)(Z|[+-]\d{2}:?\d{2})$"
 VENUES = ("topstepx", "topstep", "amp")
 FORBIDDEN = ("commission", "fees")
-CONTRACT = (
-    "fill_id", "source", "source_group_id", "instrument", "contract_month", "contract_year", "side", "qty", "price", "timestamp", "session_date", "entry_kind", "tags", "notes_text",
-    "declared_stop", "declared_target", "flags", "venue",
+#: The columns of the fills contract.
+FILLS = (
+    "fill_id string, source string, source_group_id string, instrument string, contract_month string, contract_year long, side string, qty long, price double, timestamp timestamp, session_date date, "
+    "entry_kind string, tags array<string>, notes_text string, declared_stop double, declared_target double, flags array<string>, venue string"
 )
+CONTRACT = tuple(f.split()[0] for f in FILLS.split(", "))
 
 
 def check_header(names: list[str]) -> None:
@@ -32,13 +37,17 @@ def check_header(names: list[str]) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, after the header check; a byte-order mark is skipped."""
-    raw = spark.read.option("header", "true").option("encoding", "UTF-8").option("multiLine", "true").option("escape", '"').csv(path)
-    # Repeated names would have got a number from the reader.
-    header = spark.read.text(path).limit(1).first()
-    check_header([n.strip('"') for n in header[0].split(",")] if header else [])
-    return raw.toDF(*[c.strip().lstrip("﻿") for c in raw.columns])
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """All columns as text, after the header check; a byte-order mark is skipped.
+
+    Notes may hold line ends inside quotes; where they don't, multi_line=False lets Spark split large files.
+    """
+    reader = spark.read.option("encoding", "UTF-8").option("multiLine", str(multi_line).lower()).option("escape", '"')
+    raw = reader.option("header", "true").csv(path)
+    # Repeated names would have got a number from the reader, so the header is read once as a row.
+    header = reader.option("header", "false").csv(path).first()
+    check_header([n or "" for n in header] if header else [])
+    return raw.toDF(*[c.strip().lstrip("\ufeff") for c in raw.columns])
 
 
 def available(text: Column) -> Column:
@@ -136,8 +145,10 @@ def guard_columns(df: DataFrame) -> DataFrame:
 
 
 def to_contract(df: DataFrame) -> DataFrame:
-    """The contract's columns, missing ones as null; others are dropped."""
-    return df.select(*(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in CONTRACT))
+    """The contract's columns and types, missing ones as null, the timestamp from ts_us if need be; others are dropped."""
+    if "timestamp" not in df.columns and "ts_us" in df.columns:
+        df = df.withColumn("timestamp", F.timestamp_micros("ts_us"))
+    return fitted(df, StructType.fromDDL(FILLS))
 
 
 def write_fills(fills: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -147,3 +158,8 @@ def write_fills(fills: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def read_fills(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def read_contract(spark: SparkSession, path: str) -> DataFrame:
+    """Fills by the contract: columns that the files lack are null, others aren't read."""
+    return spark.read.schema(StructType.fromDDL(FILLS)).parquet(path).select(*CONTRACT)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.lookup import account_of
-from .executions import guard_columns
+from .executions import FILLS, guard_columns
 from .ledger_tables import fitted
 
 #: The 40 columns of the trades contract, with the two that journals with costs add.
@@ -26,10 +26,6 @@ TRADES = (
     "signal_id string, trigger string, venue string, tva_trade_id string"
 )
 NET = "account string, position_id string"
-FILLS = (
-    "fill_id string, source string, source_group_id string, instrument string, contract_month string, contract_year long, side string, qty long, price double, timestamp timestamp, session_date date, "
-    "entry_kind string, tags array<string>, notes_text string, declared_stop double, declared_target double, flags array<string>"
-)
 
 
 def trades_schema(net: bool = False) -> StructType:
@@ -65,7 +61,7 @@ def fills_of_trades(trades: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         "source": F.lit("tradesviz"), "entry_kind": F.lit("imported"), "declared_stop": F.col("stop_price"), "declared_target": F.col("target_price"), "flags": F.array().cast("array<string>"),
         **{c: F.col(f"f.{c}") for c in ("fill_id", "side", "price", "timestamp")},
     }
-    columns = StructType.fromDDL(FILLS).fieldNames()
+    columns = [c for c in StructType.fromDDL(FILLS).fieldNames() if c != "venue"]
     return each.select(*keys, *(made.get(c, F.col(c)).alias(c) for c in columns))
 
 

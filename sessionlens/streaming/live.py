@@ -7,12 +7,13 @@ Batch operators are the reference for all results.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from ..sources.shared import shared_path
@@ -98,84 +99,113 @@ def activity(stream: DataFrame, keys: Sequence[str], ts: str = "ts", gap: str =
     return stream.withWatermark(ts, late).groupBy(*keys, w.alias("w")).agg(F.count("*").alias("n")).select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def by_key(stream: DataFrame, keys: Sequence[str], step: Callable[[tuple, pd.DataFrame, object], tuple[pd.DataFrame, object]], output: str, state: str) -> DataFrame:
-    """A stateful operator: step(key, rows in time order, state or None) returns rows and the new state (a tuple)."""
-
-    def each(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["ts_us", "row_id"], kind="stable")
-        out, new = step(key, rows, held.get if held.exists else None)
-        held.update(new)
-        yield out
-
-    return stream.groupBy(*keys).applyInPandasWithState(each, output, state, "append", GroupStateTimeout.NoTimeout)
+class InOrder(StatefulProcessor):
+    """Hands each key's rows to a step in time order: rows wait until the watermark has passed them, whatever batch they came in.
 
+    step(key, rows, held, value) returns output rows, the new held rows and the new value. Rows are tuples of ts_us, row_id and the further columns.
+    """
 
-def fifo_step(key: tuple, rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
-    """Closes lots first in, first out; the state holds the open lots, all on one side, and the number of closed ones."""
-    ids, sides, qtys, seq = (list(state[0]), list(state[1]), list(state[2]), state[3]) if state else ([], [], [], 0)
-    out = []
-    for fill, side, qty in zip(rows["row_id"], rows["side"], rows["qty"]):
-        left = int(qty)
-        while left and ids and sides[0] != side:
-            take = min(left, qtys[0])
-            out.append((*key, seq, take, ids[0], int(fill)))
+    def __init__(self, step: Callable, columns: str, held: str, value: str, names: list[str]):
+        self.step, self.columns, self.held_schema, self.value_schema, self.names = step, columns, held, value, names
+        self.fields = [c.split()[0] for c in columns.split(", ")]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.columns)
+        self.held = handle.getListState("held", self.held_schema)
+        self.value = handle.getValueState("value", self.value_schema)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        self.waiting.appendList([tuple(plain(x) for x in r) for b in rows for r in b[self.fields].itertuples(index=False, name=None)])
+        self._wake()
+        yield from ()
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(self.waiting.get(), key=lambda r: (r[0], r[1]))
+        ready = [r for r in waiting if r[0] < now]
+        out, held, value = self.step(key, ready, [tuple(r) for r in self.held.get()], self.value.get())
+        for state, rows in ((self.waiting, waiting[len(ready) :]), (self.held, held)):
+            if rows:
+                state.put(rows)
+            else:
+                state.clear()
+        self.value.update(value)
+        self._wake()
+        if out:
+            yield pd.DataFrame({n: pd.Series([r[i] for r in out], dtype=object) for i, n in enumerate(self.names)})
+
+    def _wake(self) -> None:
+        first = min((r[0] for r in self.waiting.get()), default=None)
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if first is not None:
+            self.handle.registerTimer(first // 1000 + 1)
+
+
+def plain(value: object) -> object:
+    """None for every kind of missing value, and Python's own numbers."""
+    return None if value is None or value is pd.NA or value != value else value.item() if hasattr(value, "item") else value
+
+
+def in_order(stream: DataFrame, keys: Sequence[str], columns: str, step: Callable, output: str, held: str, value: str, late: str = LATE) -> DataFrame:
+    """A stateful operator over rows in time order. stream: keys, ts (event time), ts_us, row_id and the further columns; output: columns after the keys. Needs the RocksDB state store."""
+    head = ", ".join(f"{k} {stream.schema[k].dataType.simpleString()}" for k in keys)
+    names = [*keys, *(c.split()[0] for c in output.split(", "))]
+    kept = stream.withWatermark("ts", late).groupBy(*keys)
+    return kept.transformWithStateInPandas(InOrder(step, f"ts_us long, row_id long, {columns}", held, value, names), f"{head}, {output}", "append", "EventTime")
+
+
+def fifo_step(key: tuple, rows: list[tuple], held: list[tuple], value: tuple | None) -> tuple[list[tuple], list[tuple], tuple]:
+    """Closes lots first in, first out; held are the open lots, all on one side, the value is the number of closed ones."""
+    lots, seq, out = deque(list(r) for r in held), value[0] if value else 0, []
+    for _, fill, side, left in rows:
+        while left and lots and lots[0][1] != side:
+            take = min(left, lots[0][2])
+            out.append((*key, seq, take, lots[0][0], fill))
             seq += 1
             left -= take
-            qtys[0] -= take
-            if not qtys[0]:
-                del ids[0], sides[0], qtys[0]
+            lots[0][2] -= take
+            if not lots[0][2]:
+                lots.popleft()
         if left:
-            ids.append(int(fill))
-            sides.append(side)
-            qtys.append(left)
-    names = [f"k{i}" for i in range(len(key))] + ["lot_seq", "qty", "entry_fill_id", "exit_fill_id"]
-    return pd.DataFrame(out, columns=names), (ids, sides, qtys, seq)
+            lots.append([fill, side, left])
+    return out, [tuple(r) for r in lots], (seq,)
 
 
-FIFO_STATE = "ids array<long>, sides array<string>, qtys array<long>, seq long"
+def fifo(stream: DataFrame, keys: Sequence[str], late: str = LATE) -> DataFrame:
+    """keys, lot_seq, qty, entry_fill_id, exit_fill_id of closed lots. stream: keys, ts, ts_us, row_id, side, qty."""
+    return in_order(stream, keys, "side string, qty long", fifo_step, "lot_seq long, qty long, entry_fill_id long, exit_fill_id long", "fill long, side string, qty long", "seq long", late)
 
 
-def fifo(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, lot_seq, qty, entry_fill_id, exit_fill_id of closed lots. stream: keys, row_id, ts_us, side, qty, in time order across batches."""
-    kinds = [(k, stream.schema[k].dataType.simpleString()) for k in keys]
-    head = ", ".join(f"k{i} {t}" for i, (_, t) in enumerate(kinds))
-    out = by_key(stream, keys, fifo_step, f"{head}, lot_seq long, qty long, entry_fill_id long, exit_fill_id long", FIFO_STATE)
-    for i, k in enumerate(keys):
-        out = out.withColumnRenamed(f"k{i}", k)
-    return out
-
-
-def streak_step(key: tuple, rows: pd.DataFrame, state: tuple | None, n: int = 3) -> tuple[pd.DataFrame, tuple]:
+def streak_step(key: tuple, rows: list[tuple], held: list[tuple], value: tuple | None, n: int = 3) -> tuple[list[tuple], list[tuple], tuple]:
     """Length of the losing streak after each result of n losses or more; a gain or an unknown result ends it."""
-    run = state[0] if state else 0
-    out = []
-    for row, pnl in zip(rows["row_id"], rows["pnl"]):
-        run = run + 1 if pd.notna(pnl) and pnl < 0 else 0
+    run, out = value[0] if value else 0, []
+    for _, row, pnl in rows:
+        run = run + 1 if pnl is not None and pnl < 0 else 0
         if run >= n:
-            out.append((*key, int(row), run))
-    return pd.DataFrame(out, columns=[f"k{i}" for i in range(len(key))] + ["row_id", "streak"]), (run,)
+            out.append((*key, row, run))
+    return out, [], (run,)
 
 
-def streaks(stream: DataFrame, key: str) -> DataFrame:
-    """key, row_id, streak. stream: key, row_id, ts_us, pnl."""
-    kind = stream.schema[key].dataType.simpleString()
-    return by_key(stream, [key], streak_step, f"k0 {kind}, row_id long, streak long", "run long").withColumnRenamed("k0", key)
+def streaks(stream: DataFrame, key: str, late: str = LATE) -> DataFrame:
+    """key, row_id, streak. stream: key, ts, ts_us, row_id, pnl."""
+    return in_order(stream, [key], "pnl double", streak_step, "row_id long, streak long", "none long", "run long", late)
 
 
-def section_step(key: tuple, rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
-    """Recorder sections: a start or resume opens, a pause or stop closes; the state is the open one and its number."""
-    opened, n = state if state else (None, 0)
+def section_step(key: tuple, rows: list[tuple], held: list[tuple], value: tuple | None) -> tuple[list[tuple], list[tuple], tuple]:
+    """Recorder sections: a start or resume opens, a pause or stop closes; the value is the open one's start and its number."""
+    opened, n = value if value else (None, 0)
     out = []
-    for event, wall in zip(rows["event"], rows["ts_us"]):
+    for wall, _, event in rows:
         if event in ("record_start", "resume"):
-            opened, n = int(wall), n + 1
+            opened, n = wall, n + 1
         elif opened is not None:
-            out.append((*key, n, opened, int(wall)))
+            out.append((*key, n, opened, wall))
             opened = None
-    return pd.DataFrame(out, columns=["k0", "idx", "wall_start_us", "wall_end_us"]), (opened, n)
+    return out, [], (opened, n)
 
 
-def sections(stream: DataFrame, key: str) -> DataFrame:
-    """key, idx, wall_start_us, wall_end_us. stream: key, row_id, ts_us, event."""
-    kind = stream.schema[key].dataType.simpleString()
-    return by_key(stream, [key], section_step, f"k0 {kind}, idx long, wall_start_us long, wall_end_us long", "opened long, n long").withColumnRenamed("k0", key)
+def sections(stream: DataFrame, key: str, late: str = LATE) -> DataFrame:
+    """key, idx, wall_start_us, wall_end_us. stream: key, ts, ts_us, row_id, event."""
+    return in_order(stream, [key], "event string", section_step, "idx long, wall_start_us long, wall_end_us long", "none long", "opened long, n long", late)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ListState, StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.rules import SECOND, RuleConfig
+from .live import plain
 
 IDLE_HOURS = 24
 EVENT = "ts_us long, kind string, trade_id string, entry_us long, instrument string, direction string, entry_ticks long, pnl double, stopped boolean"
@@ -130,11 +131,6 @@ class Day:
         return near and (a.instrument or "") == (b.instrument or "") and (a.direction or "") == (b.direction or "")
 
 
-def _plain(value: object) -> object:
-    """None for every kind of missing value, and Python's own numbers."""
-    return None if value is None or value is pd.NA or value != value else value.item() if hasattr(value, "item") else value
-
-
 class RuleBlocks(StatefulProcessor):
     def __init__(self, config: RuleConfig, keys: list[str]):
         self.config, self.keys = config, keys
@@ -148,7 +144,7 @@ class RuleBlocks(StatefulProcessor):
         self.status = handle.getValueState("status", "run long, block_end long, last_us long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        new = [tuple(_plain(x) for x in r) for b in rows for r in b[FIELDS].itertuples(index=False, name=None)]
+        new = [tuple(plain(x) for x in r) for b in rows for r in b[FIELDS].itertuples(index=False, name=None)]
         self.waiting.appendList(new)
         run, end, last = self.status.get() or (0, None, 0)
         self.status.update((run, end, max([last] + [r[0] for r in new])))

@@ -6,7 +6,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from sessionlens.operators import rules
+from sessionlens.operators import pairing, rules
 from sessionlens.streaming import live, rule_blocks
 
 MINUTE = 60_000_000
@@ -127,3 +127,30 @@ def test_parts_tile_the_padded_window(spark):
     assert got["a"] == [(-30 * MINUTE, 30 * MINUTE + 1)]
     assert got["b"][0][0] == -30 * MINUTE and got["b"][-1][1] == 1030 * MINUTE + 1 and all(x[1] == y[0] and x[1] - x[0] <= 360 * MINUTE for x, y in zip(got["b"], got["b"][1:]))
     assert "c" not in got
+
+
+def test_fifo_of_rows_that_come_out_of_order(spark):
+    """Rows up to 40 minutes late, in five batches; those of a key wait until the watermark has passed them."""
+    r = random.Random(6)
+    rows = [(k, i, r.randrange(1, 300) * MINUTE, r.choice(["buy", "sell"]), r.randint(1, 4)) for i in range(150) for k in [r.choice([1, 2, None])]]
+    fills = spark.createDataFrame(rows, "account long, row_id long, ts_us long, side string, qty long").withColumn("ts", F.timestamp_micros("ts_us"))
+    comes = F.col("ts_us") + F.pmod(F.xxhash64("row_id"), F.lit(40)) * MINUTE
+    feed = [fills.where((comes >= lo * MINUTE) & (comes < (lo + 80) * MINUTE)) for lo in range(0, 400, 80)]
+    clock = fills.limit(1).withColumns({"account": F.lit(9).cast("long"), "ts_us": F.lit(10**15).cast("long"), "ts": F.timestamp_micros(F.lit(10**15))}).select(fills.columns)
+    out = live.replay(spark, {"f": [*feed, clock]}, lambda s: live.fifo(s["f"], ["account"], "2 hours")).where("account is null or account < 9")
+    got = sorted((x["account"] or 0, x["lot_seq"], x["qty"], x["entry_fill_id"], x["exit_fill_id"]) for x in out.collect())
+    lots = pairing.fifo_lots(fills.withColumns({"fill_id": F.col("row_id"), "price_ticks": F.lit(1)}), ["account"]).where("status = 'closed'")
+    want = sorted((x["account"] or 0, x["lot_seq"], x["qty"], x["entry_fill_id"], x["exit_fill_id"]) for x in lots.collect())
+    assert got == want and len(want) > 60
+
+
+def test_steps_keep_their_state_between_calls():
+    rows = [(t, t, "pause" if t % 3 == 2 else "resume") for t in range(1, 12)]
+    whole = live.section_step((1,), rows, [], None)[0]
+    first = live.section_step((1,), rows[:4], [], None)
+    assert first[0] + live.section_step((1,), rows[4:], [], first[2])[0] == whole
+    losses = [(t, t, p) for t, p in enumerate([-1.0, -1.0, -1.0, None, -1.0, -2.0, -1.0, -1.0, 3.0])]
+    whole = live.streak_step((1,), losses, [], None)
+    assert whole[0] == [(1, 2, 3), (1, 6, 3), (1, 7, 4)]
+    first = live.streak_step((1,), losses[:2], [], None)
+    assert first[0] + live.streak_step((1,), losses[2:], [], first[2])[0] == whole[0]

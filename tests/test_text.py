@@ -73,3 +73,25 @@ def test_recording_names_are_read_in_the_recorder_s_clock(spark):
     weeks = spark.createDataFrame([("2026-W01",), ("2026-W53",), ("2025-W53",), ("2026-W1",), (None,)], "w string").select(gates.shift_week(F.col("w"), -1).alias("w")).collect()
     assert [r["w"] for r in weeks] == ["2025-W52", "2026-W52", None, None, None]
     assert [r["m"] for r in spark.createDataFrame([("2026-12",), ("2026-13",)], "m string").select(gates.shift_month(F.col("m"), 2).alias("m")).collect()] == ["2027-02", None]
+
+
+def test_a_token_may_stand_in_another_case_as_whole_words(spark):
+    segments = spark.createDataFrame([("s", "a", "Buy The Dip, now")], "session_id string, seg string, text string")
+    spans = spark.createDataFrame([("s", "a", None, t) for t in ("the dip", "THE", "ip", "dips", "dip now", "ip, n", "e dip")], "session_id string, seg string, quote string, token string")
+    got = {r["token"]: r["ok"] for r in text.check_citations(spans, segments).collect()}
+    assert got == {"the dip": True, "THE": True, "ip": True, "dips": False, "dip now": True, "ip, n": True, "e dip": False}
+
+
+def test_word_errors_with_very_many_words(spark):
+    a = [f"w{i}" for i in range(60_000)]
+    got = text.word_errors(spark.createDataFrame([(a[:59_000] + a[59_001:59_010], a[58_999:59_009])], "ref array<string>, hyp array<string>").withColumn("ref", F.slice("ref", 58_990, 30))).first()
+    assert got["edits"] == edits((a[:59_000] + a[59_001:59_010])[58_989:59_019], a[58_999:59_009])
+    words = spark.createDataFrame([(a, a[:5])], "ref array<string>, hyp array<string>")
+    assert words.select(F.size(F.array_distinct("ref"))).first()[0] == 60_000
+
+
+def test_the_last_row_of_a_key_is_settled(spark):
+    from sessionlens.operators import ledger
+
+    rows = spark.createDataFrame([("k", 2, "b"), ("k", 2, "a"), ("k", 1, "z"), (None, 1, "n")], "k string, n int, v string")
+    assert {tuple(r) for r in ledger.last_row(rows, ["k"], "n").collect()} == {("k", 2, "a"), (None, 1, "n")}

@@ -169,3 +169,38 @@ def day_sentence(clips: DataFrame) -> DataFrame:
     """day, sentence: counts of clips, suspected ones and clips without a fill."""
     g = clips.groupBy("day").agg(F.count("*").alias("n"), F.count_if("suspected").alias("s"), F.count_if(F.col("n_fills") == 0).alias("e"))
     return g.select("day", F.format_string("%d clips, %d suspected, %d without fills", "n", "s", "e").alias("sentence"))
+
+
+def by_period(rows: DataFrame, day: str = "day") -> DataFrame:
+    """rows three times: under their ISO week, their month and all; a row without a day only under all. Columns period_kind and period (null: all)."""
+    d = F.col(day)
+    periods = F.array(F.struct(F.lit("week").alias("k"), F.when(d.isNotNull(), iso_week(d)).alias("p")), F.struct(F.lit("month").alias("k"), F.when(d.isNotNull(), year_month(d)).alias("p")), F.struct(F.lit("all").alias("k"), F.lit(None).cast("string").alias("p")))
+    each = rows.withColumn("__p", F.explode(periods)).where("__p.k = 'all' or __p.p is not null")
+    return each.withColumns({"period_kind": F.col("__p.k"), "period": F.col("__p.p")}).drop("__p")
+
+
+def period_report(sessions: DataFrame, checks: DataFrame, trades: DataFrame) -> DataFrame:
+    """period_kind, period, what, name, n, passed, violated, unverifiable, rate for each week, month and all.
+
+    what 'sessions', 'trades' and 'hours' (n, no name); 'rule' (name null: all rules) with its verdicts and the rate of passes; 'violations', the number of
+    violated checks of all rules; 'agreement' of stated and lab tags (passed: agree, violated: disagree). sessions: session_id, day, trade_count, hours; checks: day, rule,
+    status; trades: day, agrees (null: unknown). Every period that any table has is there with its totals; one pass and one shuffle for each table.
+    """
+    keys = ["period_kind", "period"]
+    s = by_period(sessions).groupBy(*keys).agg(F.count("*").cast("double").alias("sessions"), F.sum(F.coalesce("trade_count", F.lit(0))).cast("double").alias("trades"), F.sum(F.coalesce("hours", F.lit(0.0))).alias("hours"))
+    empty = F.lit(None).cast("long")
+    wide = s.select(*keys, F.explode(F.create_map(*(x for c in ("sessions", "trades", "hours") for x in (F.lit(c), F.col(c))))).alias("what", "n"))
+    totals = wide.select(*keys, "what", F.lit(None).cast("string").alias("name"), "n", empty.alias("passed"), empty.alias("violated"), empty.alias("unverifiable"), F.lit(None).cast("double").alias("rate"))
+    tally = adherence(by_period(checks), keys)
+    ruled = tally.select(*keys, F.lit("rule").alias("what"), F.col("rule").alias("name"), (F.col("passed") + F.col("violated") + F.col("unverifiable")).cast("double").alias("n"), "passed", "violated", "unverifiable", "rate")
+    bad = tally.where("rule is null").select(*keys, F.lit("violations").alias("what"), F.lit(None).cast("string").alias("name"), F.col("violated").cast("double").alias("n"), empty.alias("passed"), empty.alias("violated"), empty.alias("unverifiable"), F.lit(None).cast("double").alias("rate"))
+    agreed = agreement(by_period(trades), keys).select(*keys, F.lit("agreement").alias("what"), F.lit(None).cast("string").alias("name"), (F.col("agree") + F.col("disagree") + F.col("unknown")).cast("double").alias("n"), F.col("agree").alias("passed"), F.col("disagree").alias("violated"), F.col("unknown").alias("unverifiable"), "rate")
+    return totals.unionByName(ruled).unionByName(bad).unionByName(agreed)
+
+
+def filled_periods(report: DataFrame, weeks: DataFrame) -> DataFrame:
+    """The report's totals (sessions, trades, hours, violations) of the asked weeks (week_start: a Monday) and of the months they touch, zeros where there is nothing: week and month side by side."""
+    asked = weeks.select(F.explode(F.array(F.struct(F.lit("week").alias("k"), iso_week(F.col("week_start")).alias("p")), F.struct(F.lit("month").alias("k"), year_month(F.col("week_start")).alias("p")), F.struct(F.lit("month").alias("k"), year_month(F.date_add("week_start", 6)).alias("p")))).alias("x")).select(F.col("x.k").alias("period_kind"), F.col("x.p").alias("period")).distinct()
+    every = asked.select("*", F.explode(F.array(*map(F.lit, ("sessions", "trades", "hours", "violations")))).alias("what"))
+    have = report.where("name is null and what in ('sessions', 'trades', 'hours', 'violations')").select("period_kind", "period", "what", "n")
+    return every.join(have, ["period_kind", "period", "what"], "left").select("period_kind", "period", "what", F.coalesce("n", F.lit(0.0)).alias("n"))

@@ -11,6 +11,7 @@ LOOKBACK_US, COOLDOWN_US, MINUTES = 180_000_000, 300_000_000, (45, 55)
 THREE_C, THREE_C_NEGATED = r"(?i)\b3c\b", r"(?i)\b(?:ohne|kein(?:e|en)?|without|no)\s+3c\b"
 COUNTER_TREND = r"(?i)gegen\s+den\s+trend|counter[- ]?trend|gegen\s+die\s+bewegung"
 ARRIVAL = r"(?i)arrival|ankunft|kerzenschluss|candle\s*close|close\s+(?:the\s+)?candle"
+#: Fixed value: the reason of the rule that can't be checked.
 SLTP_REASON = "order modifications not in TradesViz; needs a venue adapter"
 ALIGNMENT_LOW = 0.8
 

@@ -113,3 +113,46 @@ def review_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("review_runs", PACK + """, b AS (SELECT id || ' ' || text AS bit FROM facts UNION ALL SELECT '2 3 2026-01-05') SELECT DISTINCT unnest(regexp_extract_all(bit, '[0-9]+')) AS run FROM b""", ("clips", "clip_events"))
 def review_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pack(spark, sf_dir)[1]
+
+
+REPORT = """s AS (SELECT session_id, CASE WHEN n_events % 11 <> 0 THEN day END AS day, n_events AS trade_count, CASE WHEN n_events % 3 <> 0 THEN round((end_us - start_us) / 3600000000, 3) END AS hours FROM clips),
+c AS (SELECT day, event_type AS rule, CASE event_id % 3 WHEN 0 THEN 'pass' WHEN 1 THEN 'violated' ELSE 'unverifiable' END AS status FROM clip_events),
+t AS (SELECT day, CASE event_id % 4 WHEN 0 THEN true WHEN 1 THEN false END AS agrees FROM clip_events),
+p AS (SELECT k, CASE k WHEN 'week' THEN strftime(d, '%G-W%V') WHEN 'month' THEN strftime(d, '%Y-%m') END AS p, d FROM (SELECT DISTINCT day AS d FROM s UNION SELECT DISTINCT day FROM c UNION SELECT DISTINCT day FROM t) x, (VALUES ('week'), ('month'), ('all')) v(k) WHERE k = 'all' OR d IS NOT NULL),
+sp AS (SELECT k, p, s.* FROM s JOIN p ON s.day IS NOT DISTINCT FROM p.d), cp AS (SELECT k, p, c.* FROM c JOIN p ON c.day IS NOT DISTINCT FROM p.d), tp AS (SELECT k, p, t.* FROM t JOIN p ON t.day IS NOT DISTINCT FROM p.d),
+r AS (SELECT k AS period_kind, p AS period, what, NULL::VARCHAR AS name, n, NULL::BIGINT AS passed, NULL::BIGINT AS violated, NULL::BIGINT AS unverifiable, NULL::DOUBLE AS rate FROM (
+    SELECT k, p, 'sessions' AS what, count(*)::DOUBLE AS n FROM sp GROUP BY ALL UNION ALL SELECT k, p, 'trades', sum(trade_count)::DOUBLE FROM sp GROUP BY ALL UNION ALL SELECT k, p, 'hours', sum(coalesce(hours, 0))::DOUBLE FROM sp GROUP BY ALL
+    UNION ALL SELECT k, p, 'violations', count(*) FILTER (WHERE status = 'violated')::DOUBLE FROM cp GROUP BY ALL)
+  UNION ALL SELECT k, p, 'rule', rule, count(*)::DOUBLE, count(*) FILTER (WHERE status = 'pass'), count(*) FILTER (WHERE status = 'violated'), count(*) FILTER (WHERE status = 'unverifiable'), count(*) FILTER (WHERE status = 'pass') / nullif(count(*) FILTER (WHERE status <> 'unverifiable'), 0) FROM cp GROUP BY GROUPING SETS ((k, p, rule), (k, p))
+  UNION ALL SELECT k, p, 'agreement', NULL, count(*)::DOUBLE, count(*) FILTER (WHERE agrees), count(*) FILTER (WHERE NOT agrees), count(*) FILTER (WHERE agrees IS NULL), count(*) FILTER (WHERE agrees) / nullif(count(agrees), 0) FROM tp GROUP BY ALL)"""
+
+
+def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import ledger
+
+    c = view(spark, sf_dir, "clips")
+    sessions = c.select("session_id", F.when(F.col("n_events") % 11 != 0, F.col("day")).alias("day"), F.col("n_events").alias("trade_count"), F.when(F.col("n_events") % 3 != 0, F.round((F.col("end_us") - F.col("start_us")) / 3_600_000_000, 3)).alias("hours"))
+    n = F.col("event_id")
+    e = view(spark, sf_dir, "clip_events")
+    checks = e.select("day", F.col("event_type").alias("rule"), F.when(n % 3 == 0, "pass").when(n % 3 == 1, "violated").otherwise("unverifiable").alias("status"))
+    return ledger.period_report(sessions, checks, e.select("day", F.when(n % 4 == 0, True).when(n % 4 == 1, False).alias("agrees")))
+
+
+@query("period_report", REPORT + " SELECT * FROM r", ("clips", "clip_events"))
+def period_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _report(spark, sf_dir)
+
+
+@query(
+    "filled_periods",
+    REPORT + """, w AS (SELECT DISTINCT date_trunc('week', day)::DATE + (7 * i)::INTEGER AS m FROM clips, range(0, 3) v(i)),
+a AS (SELECT 'week' AS period_kind, strftime(m, '%G-W%V') AS period FROM w UNION SELECT 'month', strftime(m, '%Y-%m') FROM w UNION SELECT 'month', strftime(m + 6, '%Y-%m') FROM w)
+SELECT a.period_kind, a.period, v.what, coalesce(r.n, 0) AS n FROM a CROSS JOIN (VALUES ('sessions'), ('trades'), ('hours'), ('violations')) v(what) LEFT JOIN r ON r.period_kind = a.period_kind AND r.period = a.period AND r.what = v.what AND r.name IS NULL""",
+    ("clips", "clip_events"),
+)
+def filled_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each week with a session and the two after it."""
+    from ..operators import ledger
+
+    weeks = view(spark, sf_dir, "clips").select(F.explode(F.sequence(F.date_trunc("week", "day").cast("date"), F.date_add(F.date_trunc("week", "day").cast("date"), 14), F.expr("interval 7 days"))).alias("week_start")).distinct()
+    return ledger.filled_periods(_report(spark, sf_dir), weeks)

@@ -56,6 +56,14 @@ def _write(df: DataFrame, path: str) -> None:
             conf.set(key, value)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keeps the session's Arrow batches within ARROW_LIMITS from now on: for operators whose result, made of whole texts in Python, is written by others."""
+    for key, most in ARROW_LIMITS.items():
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def lean(each: Callable) -> Callable:
     """A map over batches whose worker gives free memory back at its end: idle workers live on beside the next stage's."""
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .automaton import WORD_BYTES, ItemAutomaton, words_of
-from .common import Scratch, materialize, read_table
+from .common import Scratch, lean, materialize, read_table, small_batches
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
@@ -140,6 +140,7 @@ def remove_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     One pass for each block of items, written before the next block is fetched: a later block is matched against
     the text that the earlier ones saw, by carrying the spans along.
     """
+    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     columns = docs.columns
     held = "__spans"
@@ -164,7 +165,7 @@ def remove_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                 b = b.assign(**{"text": texts, held: spans})
                 yield b[keep] if last else b
 
-        return out.mapInPandas(each, out.schema)
+        return out.mapInPandas(lean(each), out.schema)
 
     out = docs.withColumn(held, F.array().cast("array<array<long>>"))
     with Scratch(docs.sparkSession) as scratch:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, read_table
+from .common import fold, lean, read_table, small_batches
 
 #: Labelled documents that the field is fitted on, at most.
 FIT_DOCS = 1_500
@@ -188,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> LineFie
     return LineField().fit(x, counts, rows["y"].to_numpy(int))
 
 
-def _chunks(b: pd.DataFrame, chars: int = 4 << 20) -> Iterator[pd.DataFrame]:
+def _chunks(b: pd.DataFrame, chars: int = 1 << 20) -> Iterator[pd.DataFrame]:
     size = b["text"].map(lambda t: len(t or ""), na_action="ignore").fillna(0).cumsum() // chars
     for _, part in b.groupby(size.to_numpy(), sort=True):
         yield part
@@ -204,11 +204,12 @@ def score_documents(docs: DataFrame, field: LineField) -> DataFrame:
             for part in _chunks(b):
                 yield pd.DataFrame({"doc_id": part["doc_id"], "score": sent.value.score(part["text"].tolist())})
 
-    return docs.select("doc_id", "text").mapInPandas(each, f"doc_id {kind}, score double")
+    return docs.select("doc_id", "text").mapInPandas(lean(each), f"doc_id {kind}, score double")
 
 
 def drop_low_quality(docs: DataFrame, field: LineField, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score threshold or more."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(field)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -216,7 +217,7 @@ def drop_low_quality(docs: DataFrame, field: LineField, threshold: float = THRES
             for part in _chunks(b):
                 yield part[sent.value.score(part["text"].tolist()) >= threshold]
 
-    return docs.mapInPandas(each, docs.schema)
+    return docs.mapInPandas(lean(each), docs.schema)
 
 
 def learning_rows(labels: DataFrame) -> DataFrame:

@@ -492,18 +492,19 @@ class _Maker:
 
 def fit(docs: DataFrame, most_docs: int = FIT_DOCS, most_chars: int = FIT_CHARS, made: int = MADE) -> Field:
     """A field fitted on a bounded sample of docs (doc_id, text) and made-up lines; the same rows give the same field."""
-    known = docs.where(F.length("text").between(1, most_chars)).select("text", F.xxhash64("text").alias("h"))
-    half = most_docs // 2
-    numbered = known.where(F.col("text").rlike(r"@|\+[0-9]|[0-9]{4}|[0-9]\.[0-9]")).distinct().orderBy("h", "text").limit(half)
-    others = known.distinct().orderBy("h", "text").limit(most_docs - half)
-    texts = [r["text"] for r in numbered.select("text").union(others.select("text")).collect()]
+    # Different texts by their hashes: only hashes are shuffled, then the chosen texts are read.
+    known = docs.where(F.length("text").between(1, most_chars)).select("text", F.xxhash64("text").alias("h"), F.col("text").rlike(r"@|\+[0-9]|[0-9]{4}|[0-9]\.[0-9]").alias("numbered"))
+    chosen = []
+    for numbered, most in ((True, most_docs // 2), (False, most_docs - most_docs // 2)):
+        chosen += [r["h"] for r in known.where(F.col("numbered") == numbered).select("h").distinct().orderBy("h").limit(most).collect()]
+    texts = [r["text"] for r in known.where(F.col("h").isin(chosen)).groupBy("h").agg(F.min("text").alias("text")).orderBy("h").collect()] if chosen else []
     values: dict[str, list[str]] = defaultdict(list)
     words: list[str] = []
     groups = []
     for text in texts:
         for kind, start, end in base_spans(text):
             values[kind].append(text[start:end])
-        words += [w for w in text[:2_000].split() if w.isalpha()][:40]
+        words += [w for w in text.split() if w.isalpha()]
         groups += list(_learned_from(text))
     maker = _Maker(words, values)
     for _ in range(made):

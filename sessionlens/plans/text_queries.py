@@ -56,7 +56,7 @@ def first_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 CITES = """cites AS (SELECT s.session_id, concat('seg_', s.turn + s.turn % 2 * (s.turn % 3)) AS seg, substr(s.text, 5, 20) AS quote, CASE WHEN s.turn % 2 = 0 THEN 'de' WHEN s.turn % 3 = 0 THEN 'THE' END AS token FROM segments s)"""
 
 
-@query("citation_guard", CITES + """ SELECT c.*, coalesce(contains(t.text, quote), false) AND (token IS NULL OR coalesce(contains(t.text, token) OR contains(' ' || trim(regexp_replace(lower(t.text), '[^\p{L}\p{N}_]+', ' ', 'g')) || ' ', ' ' || lower(token) || ' '), false)) AS ok FROM cites c LEFT JOIN segments t ON t.session_id = c.session_id AND t.seg = c.seg""", ("segments",))
+@query("citation_guard", CITES + r""" SELECT c.*, coalesce(contains(t.text, quote), false) AND (token IS NULL OR coalesce(contains(t.text, token) OR contains(' ' || trim(regexp_replace(lower(t.text), '[^\p{L}\p{N}_]+', ' ', 'g')) || ' ', ' ' || lower(token) || ' '), false)) AS ok FROM cites c LEFT JOIN segments t ON t.session_id = c.session_id AND t.seg = c.seg""", ("segments",))
 def citation_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = view(spark, sf_dir, "segments")
     seg = F.concat(F.lit("seg_"), F.col("turn") + F.col("turn") % 2 * (F.col("turn") % 3))

@@ -36,10 +36,11 @@ def fifo_lots(fills: DataFrame, keys: Sequence[str], carry: Sequence[str] = ())
     ends = usable.select(*keys, F.sum("qty").over(side).alias("hi"), *(F.when(F.col("side") == s, F.struct(*parts)).alias(s) for s in ("buy", "sell")))
     points = ends.groupBy(*keys, "hi").agg(F.max("buy").alias("buy"), F.max("sell").alias("sell"))
     by_end = Window.partitionBy(*keys).orderBy("hi")
-    onward = by_end.rowsBetween(0, Window.unboundedFollowing)
+    # Looks ahead in the reversed order: a frame that ends at its row grows, one that begins there is read anew for each row.
+    onward = Window.partitionBy(*keys).orderBy(F.desc("hi")).rowsBetween(Window.unboundedPreceding, 0)
     pieces = points.select(
         *keys, "hi", (F.col("hi") - F.coalesce(F.lag("hi").over(by_end), F.lit(0))).alias("qty"),
-        F.first("buy", True).over(onward).alias("buy"), F.first("sell", True).over(onward).alias("sell"),
+        F.last("buy", True).over(onward).alias("buy"), F.last("sell", True).over(onward).alias("sell"),
         (F.row_number().over(by_end) - 1).cast("long").alias("lot_seq"),
     )
     both = F.col("buy").isNotNull() & F.col("sell").isNotNull()

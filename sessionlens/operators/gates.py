@@ -77,7 +77,8 @@ def drop_outliers(samples: DataFrame, keys: Sequence[str], x: str, y: str, agree
     def judged(s: DataFrame) -> DataFrame:
         w = Window.partitionBy(*keys).orderBy(x, tie)
         every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        after, before = w.rowsBetween(1, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, -1)
+        before = w.rowsBetween(Window.unboundedPreceding, -1)
+        after = Window.partitionBy(*keys).orderBy(F.desc(x), F.desc(tie)).rowsBetween(Window.unboundedPreceding, -1)  # reversed, as it grows row by row
         v = s.withColumns({
             "__i": F.row_number().over(w), "__n": F.count("*").over(Window.partitionBy(*keys)), "__a": F.first(y).over(every), "__b": F.last(y).over(every),
             "__later": F.max(y).over(after), "__earlier": F.min(y).over(before),

@@ -180,12 +180,12 @@ def next_by_time(rows: DataFrame, keys: Sequence[str], after: str, entry: str, t
     none = F.lit(None).cast(starts.schema["__n"].dataType)
     ends = rows.where(F.col(after).isNotNull()).select(*keys, F.col(after).alias("__t"), F.lit(0).alias("__k"), F.lit(None).cast(rows.schema[tie].dataType).alias("__i"), none.alias("__n"), F.col(tie).alias("__own"))
     line = starts.unionByName(ends)
-    ahead = Window.partitionBy(*keys).orderBy("__t", "__k", "__i").rowsBetween(1, Window.unboundedFollowing)
-    order = Window.partitionBy(*keys).orderBy("__t", "__k", "__i")
+    # In the reversed order what is ahead comes before: such a frame grows row by row, one to the end is read anew for each row.
+    ahead = Window.partitionBy(*keys).orderBy(F.desc("__t"), F.desc("__k"), F.desc("__i")).rowsBetween(Window.unboundedPreceding, -1)
     # The second next entry, kept with each entry.
-    line = line.withColumn("__n1", F.first("__n", True).over(ahead))
+    line = line.withColumn("__n1", F.last("__n", True).over(ahead))
     line = line.withColumn("__e", F.when(F.col("__k") == 1, F.struct(F.col("__n").alias("a"), F.col("__n1").alias("b"))))
-    line = line.withColumn("__next", F.first("__e", True).over(ahead))
+    line = line.withColumn("__next", F.last("__e", True).over(ahead))
     picked = F.when(F.col(f"__next.a.{tie}") == F.col("__own"), F.col("__next.b")).otherwise(F.col("__next.a"))
     found = line.where("__k = 0").select(*(F.col(k).alias(f"__j{i}") for i, k in enumerate(keys)), F.col("__own").alias("__id"), picked.alias("__p"))
     on = F.col(tie) == F.col("__id")

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from . import intervals
 
@@ -139,24 +140,41 @@ def post_loss_breaches(trades: DataFrame, keys: Sequence[str], config: RuleConfi
     return losses.where(~exempt & (gap < config.post_loss_minutes * 60 * SECOND)).select(*keys, "trade_id", "next_trade_id", gap.alias("gap_us"))
 
 
-def next_same_level(trades: DataFrame, keys: Sequence[str], config: RuleConfig, within_us: int) -> DataFrame:
-    """trade_id, next_trade_id, gap_us: for a trade the first later trade at its level, if it enters within within_us of the exit.
+def next_same_level(trades: DataFrame, keys: Sequence[str], config: RuleConfig, within_us: int, of: DataFrame | None = None) -> DataFrame:
+    """trade_id, next_trade_id, gap_us: for a trade (of ``of``, else of trades) the first later trade at its level, if it enters within within_us of the exit.
 
-    Later means later in (entry, id), at or after the exit. Neighbouring levels share a level band, and time is cut into
-    buckets of within_us: an equality join, bounded by the trades of a band in two buckets.
+    Later means later in (entry, id), at or after the exit. Levels are whole ticks. An entry is listed under the block of 1, 2, 4, ...
+    levels around it, an exit under the few blocks that make up its range of levels; in each block one sweep backwards in time
+    finds the next entry. The rows grow with the trades and the logarithm of the range, however many trades share a level.
     """
-    band = 2 * config.same_level_ticks + 1
-    base = trades.where("entry_ticks is not null").withColumn("__band", F.floor(F.col("entry_ticks") / band)).withColumn("__b", F.floor(F.col("entry_us") / within_us))
-    on = [*keys, "instrument", "direction", "__band", "__b"]
-    prev = trades.where("exit_us is not null and entry_ticks is not null").select(*keys, "instrument", "direction", "trade_id", "entry_us", "exit_us", "entry_ticks")
-    low, high = F.col("entry_ticks") - config.same_level_ticks, F.col("entry_ticks") + config.same_level_ticks
-    prev = prev.withColumn("__band", F.explode(F.sequence(F.floor(low / band), F.floor(high / band))))
-    prev = prev.withColumn("__b", F.explode(F.sequence(F.floor(F.col("exit_us") / within_us), F.floor((F.col("exit_us") + within_us) / within_us))))
-    nxt = base.select(*on, F.col("trade_id").alias("n_id"), F.col("entry_us").alias("n_us"), F.col("entry_ticks").alias("n_ticks"))
-    gap = F.col("n_us") - F.col("exit_us")
-    met = prev.join(nxt, on).where((gap >= 0) & (gap <= within_us) & (F.abs(F.col("n_ticks") - F.col("entry_ticks")) <= config.same_level_ticks))
-    met = met.where(F.struct("n_us", "n_id") > F.struct("entry_us", "trade_id"))
-    first = met.groupBy(*keys, "trade_id").agg(F.min(F.struct(F.col("n_us"), F.col("n_id"), gap.alias("gap"))).alias("n"))
+    if not isinstance(trades.schema["entry_ticks"].dataType, IntegralType):
+        raise TypeError("entry_ticks must be whole numbers")
+    on, n = [*keys, "instrument", "direction"], config.same_level_ticks
+    top = (2 * n + 1).bit_length() - 1
+    id_type = trades.schema["trade_id"].dataType
+    known = lambda df, c: df.where(" and ".join(f"`{x}` is not null" for x in [*on, "entry_ticks", c]))
+    level = F.col("entry_ticks").cast("long")
+
+    def block(size: int, place: Column) -> Column:
+        return F.struct(F.lit(size).alias("size"), place.alias("place"))
+
+    places = F.array(*(block(k, F.shiftright(level, k)) for k in range(top + 1)))
+    entries = known(trades, "entry_us").select(*on, F.explode(places).alias("__at"), F.col("entry_us").alias("__t"), F.col("trade_id").alias("__i"), F.lit(0).alias("__k"), F.lit(None).cast(id_type).alias("trade_id"), F.lit(None).cast("long").alias("exit_us"))
+    cover = []
+    for k in range(top + 1):
+        first, end = -F.shiftright(n - level, k), F.shiftright(level + (n + 1), k)
+        if k < top:
+            cover += [F.when((first < end) & (first.bitwiseAND(1) == 1), block(k, first)), F.when((first < end) & (end.bitwiseAND(1) == 1), block(k, end - 1))]
+        else:
+            cover += [F.when(first + i < end, block(k, first + i)) for i in range(2)]
+    after_itself = F.col("entry_us") >= F.col("exit_us")
+    start, tie = F.when(after_itself, F.col("entry_us")).otherwise(F.col("exit_us")), F.when(after_itself, F.col("trade_id"))
+    exits = known(trades if of is None else of, "exit_us").select(*on, F.explode(F.array_compact(F.array(*cover))).alias("__at"), start.alias("__t"), tie.alias("__i"), F.lit(1).alias("__k"), "trade_id", "exit_us")
+    back = Window.partitionBy(*on, "__at").orderBy(F.desc("__t"), F.desc("__i"), F.desc("__k")).rowsBetween(Window.unboundedPreceding, 0)
+    line = entries.unionByName(exits).withColumn("n", F.last(F.when(F.col("__k") == 0, F.struct(F.col("__t").alias("n_us"), F.col("__i").alias("n_id"))), True).over(back))
+    gap = F.col("n.n_us") - F.col("exit_us")
+    met = line.where((F.col("__k") == 1) & (gap <= within_us))
+    first = met.groupBy(*keys, "trade_id").agg(F.min(F.struct("n.n_us", "n.n_id", gap.alias("gap"))).alias("n"))
     return first.select(*keys, "trade_id", F.col("n.n_id").alias("next_trade_id"), F.col("n.gap").alias("gap_us"))
 
 
@@ -164,12 +182,12 @@ def reentry_clusters(trades: DataFrame, keys: Sequence[str], config: RuleConfig)
     """keys, seed, last, extras, blocked_by: clusters of entries at one level after a stop on entry.
 
     Each trade points to the next at its level within the window while it is a loss; pointers only go forward. A seed
-    that another seed's chain passes is part of that cluster. The pointers come from joins; the walk along them is one
-    grouped map over the pointers of a key (an account's day), which are no more than its losing trades.
+    that another seed's chain passes is part of that cluster. The pointers come from sweeps; the walk along them is one
+    grouped map over the pointers of a key (an account's day), which are no more than its losing trades, each passed once or twice.
     """
     window, block = config.reentry_window_s * SECOND, config.reentry_block_minutes * 60 * SECOND
-    losses = trades.where(is_loss() & F.col("exit_us").isNotNull()).select(*keys, "trade_id")
-    step = next_same_level(trades, keys, config, window).join(losses, [*keys, "trade_id"], "left_semi").select(*keys, "trade_id", F.col("next_trade_id").alias("to"))
+    after_loss = next_same_level(trades, keys, config, max(window, block), trades.where(is_loss()))
+    step = after_loss.where(F.col("gap_us") <= window).select(*keys, "trade_id", F.col("next_trade_id").alias("to"))
     seeds = trades.where(stopped_on_entry(config)).select(*keys, "trade_id", F.lit(True).alias("is_seed"))
     both = seeds.join(step, [*keys, "trade_id"], "full")
 
@@ -183,12 +201,18 @@ def reentry_clusters(trades: DataFrame, keys: Sequence[str], config: RuleConfig)
             while at is not None and at not in passed:
                 passed.add(at)
                 at = to.get(at)
+        ends = {}
         for seed in seeds:
             if seed not in passed:
-                at, n = seed, 0
-                while at in to:
-                    at, n = to[at], n + 1
-                out.append((seed, at, n))
+                at, path = seed, []
+                while at in to and at not in ends:
+                    path.append(at)
+                    at = to[at]
+                last, n = ends.get(at, (at, 0))
+                for p in reversed(path):
+                    n += 1
+                    ends[p] = last, n
+                out.append((seed, last, n))
         found = pd.DataFrame(out, columns=["seed", "last", "extras"])
         for k in reversed(list(keys)):
             found.insert(0, k, rows[k].iloc[0])
@@ -196,8 +220,7 @@ def reentry_clusters(trades: DataFrame, keys: Sequence[str], config: RuleConfig)
 
     kinds = ", ".join(f"{k} {trades.schema[k].dataType.simpleString()}" for k in keys)
     active = both.groupBy(*keys).applyInPandas(walk, f"{kinds}, seed string, last string, extras long")
-    blocked = next_same_level(trades, keys, config, block).where(F.col("gap_us") < block).join(losses, [*keys, "trade_id"], "left_semi")
-    blocked = blocked.select(*keys, F.col("trade_id").alias("last"), F.col("next_trade_id").alias("b"))
+    blocked = after_loss.where(F.col("gap_us") < block).select(*keys, F.col("trade_id").alias("last"), F.col("next_trade_id").alias("b"))
     j = active.join(blocked, [*keys, "last"], "left")
     return j.select(*keys, "seed", "last", "extras", F.when(F.col("extras") >= config.reentry_max, F.col("b")).alias("blocked_by"))
 

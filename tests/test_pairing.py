@@ -6,7 +6,7 @@ from collections import deque
 import pytest
 from pyspark.sql import functions as F
 
-from sessionlens.operators import intervals, pairing, rules
+from sessionlens.operators import gates, intervals, pairing, rules
 
 FILL = "fill_id long, g string, side string, qty long, price_ticks long, ts_us long"
 
@@ -123,3 +123,47 @@ def test_same_key_for_policies(spark):
     got = {r["trade_id"]: (r["cost_cents"], r["net_cents"]) for r in pairing.gross_only(t).collect()}
     assert got == {"x": (None, 100), "y": (None, None)}
     assert pairing.without_costs(t.withColumn("cost_cents", F.lit(None).cast("long"))).count() == 1
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_frames_grow_row_by_row(spark):
+    """A frame from a row to the end of its group is read anew for each row, so its time is quadratic."""
+    fills = spark.createDataFrame([], FILL)
+    trades = spark.createDataFrame([], "k long, id string, e long, x long, y long")
+    for df in (pairing.fifo_lots(fills, ["g"]), intervals.next_by_time(trades, ["k"], "x", "e", "id", ["y"]), gates.drop_outliers(trades, ["k"], "e", "y", 1, "id")):
+        assert "currentrow$(), unboundedfollowing$()" not in plan(df) and "1, unboundedfollowing$()" not in plan(df)
+
+
+def test_outliers_at_both_ends(spark):
+    rows = [(1, "a", 0, 0, 90), (1, "b", 1, 0, 10), (1, "c", 2, 0, 11), (1, "d", 3, 0, 12), (1, "e", 4, 0, 2), (2, "f", 0, 0, 5)]
+    df = spark.createDataFrame(rows, "k long, id string, e long, x long, y long")
+    assert sorted(r["id"] for r in gates.drop_outliers(df, ["k"], "e", "y", 1, "id").collect()) == ["b", "c", "d", "f"]
+
+
+@pytest.mark.parametrize("near,within", [(0, 20), (2, 15), (3, 1000), (40, 30)])
+def test_next_at_a_level_equals_all_pairs(spark, near, within):
+    r = random.Random(near)
+    rows = []
+    for i in range(160):
+        entry = r.randrange(60)
+        leave = None if i % 9 == 0 else entry + r.choice([0, 0, 1, 5, 12, -2])
+        rows.append(trade(i, 0, 1, -1)[:2] + (f"T{i}", None if i % 31 == 0 else r.choice("ab"), r.choice("ls"), "closed", entry * S, None if leave is None else leave * S, None if i % 23 == 0 else r.randrange(-130, 60), 0, -1, -1, None, None))
+    want = {}
+    for a in rows:
+        met = [(b[6], b[2], b[6] - a[7]) for b in rows if a[7] is not None and None not in (a[8], b[8], a[3], b[3]) and a[3:5] == b[3:5] and abs(a[8] - b[8]) <= near and b[6] >= a[7] and b[6] - a[7] <= within * S and (b[6], b[2]) > (a[6], a[2])]
+        if met:
+            want[a[2]] = min(met)[1:]
+    config = rules.RuleConfig(same_level_ticks=near)
+    found = rules.next_same_level(spark.createDataFrame(rows, TRADE), ["account", "day"], config, within * S)
+    assert {x["trade_id"]: (x["next_trade_id"], x["gap_us"]) for x in found.collect()} == want
+    assert "Join" not in plan(found)  # a join meets all pairs of a level
+
+
+def test_merging_chains_are_one_walk(spark):
+    """Several seeds whose chains meet: each is counted to the common end."""
+    t = [trade(0, 0, 30, -1, 100), trade(1, 5, 31, -1, 102), trade(2, 50, 80, -1, 101), trade(3, 100, 130, -1, 101), trade(4, 150, None, None, 101)]
+    got = rules.reentry_clusters(spark.createDataFrame(t, TRADE), ["account", "day"], rules.RuleConfig()).collect()
+    assert sorted((x["seed"], x["last"], x["extras"]) for x in got) == [("T00", "T04", 3), ("T01", "T04", 3)]

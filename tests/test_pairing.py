@@ -167,3 +167,17 @@ def test_merging_chains_are_one_walk(spark):
     t = [trade(0, 0, 30, -1, 100), trade(1, 5, 31, -1, 102), trade(2, 50, 80, -1, 101), trade(3, 100, 130, -1, 101), trade(4, 150, None, None, 101)]
     got = rules.reentry_clusters(spark.createDataFrame(t, TRADE), ["account", "day"], rules.RuleConfig()).collect()
     assert sorted((x["seed"], x["last"], x["extras"]) for x in got) == [("T00", "T04", 3), ("T01", "T04", 3)]
+
+
+def test_overlaps_equal_all_pairs_without_a_join(spark):
+    r = random.Random(5)
+    rows = [(i % 2, f"s{i}", a, a + r.choice([0, 1, 7, 40, 900])) for i, a in enumerate(r.randrange(-300, 1500) for _ in range(150))]
+    want = {}
+    for k, i, a, b in rows:
+        met = sorted(j for l, j, c, d in rows if l == k and j != i and a < b and c < d and a < d and c < b)
+        if met:
+            want[i] = ",".join(met)
+    df = spark.createDataFrame(rows + [(None, "n1", 0, 9), (None, "n2", 0, 9)], "k long, session_id string, start_us long, end_us long")
+    found = intervals.overlapping(df, ["k"], 20)
+    assert {x["session_id"]: x["others"] for x in found.collect()} == want
+    assert found.count() == len(want) and "Join" not in plan(found)

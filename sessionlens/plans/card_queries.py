@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clocks, evidence, intervals, lookup, pairing, rules, scorecards, screens, speech
-from ..sources.shared import shared_path
+from ..sources.shared import stored
 from . import rule_queries, session_queries
 from .fixtures import base, view
 from .interval_queries import EC, OWN
@@ -38,10 +38,7 @@ def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def day_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules of an account's day; the trades are paired once and written, as six rules read them."""
     keys, config, wide = rule_queries.KEYS, rule_queries.CONFIG, rule_queries.WIDE
-    path = shared_path(spark, "trades")
-    paired = rule_queries.trades(spark, sf_dir)
-    paired.write.parquet(path)
-    t = spark.read.schema(paired.schema).parquet(path)
+    t = stored(rule_queries.trades(spark, sf_dir), "trades")
     checks = [rules.daily_loss(t, keys, config), rules.max_trades(t, keys, config), rules.flat_by_close(t, keys, config), rules.loss_streak(t, keys, config), rules.post_loss(t, keys, config), rules.reentry(t, keys, wide)]
     return reduce(DataFrame.unionByName, [c.select(*keys, "rule", "status", "reason") for c in checks])
 
@@ -64,11 +61,11 @@ SELECT session_id, place::INTEGER AS place, rule,
 )
 def whole_scorecards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 15 rules for each clip; those of trades are its account's of the day."""
-    clips = view(spark, sf_dir, "clips")
+    clips, events = stored(view(spark, sf_dir, "clips"), "clips"), stored(view(spark, sf_dir, "speech_events"), "speech")
     sessions = clips.select("session_id", (F.col("user_id") % 7).alias("account"), "day", (F.col("n_events") % 3 == 0).alias("of_day"), (F.col("n_events") % 4 != 1).alias("has_evidence"), (F.col("n_events") == 2).alias("invalid"))
-    days = day_scorecard(spark, sf_dir).withColumnRenamed("account", "d_account")
-    of_account = sessions.join(days, (F.col("account") == F.col("d_account")) & (F.col("day") == F.col("session_date"))).select("session_id", "rule", "status", "reason")
-    return scorecards.whole_scorecards(sessions, [session_queries.spoken_checks(spark, sf_dir), of_account], view(spark, sf_dir, "speech_events"))
+    days = day_scorecard(spark, sf_dir).groupBy(F.col("account").alias("d_account"), "session_date").agg(F.collect_list(F.struct("rule", "status", "reason")).alias("checks"))
+    of_account = sessions.join(days, (F.col("account") == F.col("d_account")) & (F.col("day") == F.col("session_date"))).select("session_id", "checks")
+    return scorecards.whole_scorecards(sessions, [session_queries.spoken_checks(spark, sf_dir, clips, events), of_account], events)
 
 
 @query(

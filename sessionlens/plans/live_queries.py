@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import rules
-from ..sources.shared import shared_path
+from ..sources.shared import stored
 from ..streaming import live, rule_blocks
 from .fixtures import view
 from .interval_queries import EC
@@ -15,12 +15,6 @@ from .stream_queries import CLOCK_US, slices
 from .rule_queries import CONFIG, KEYS, NEXT, POST, STREAK, TRADES, trades
 
 
-def stored(df: DataFrame) -> DataFrame:
-    path = shared_path(df.sparkSession, "feed")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 @query(
     "stream_rule_blocks",
     TRADES + STREAK.replace("br AS", "sb AS") + POST[len(NEXT) :].replace("br AS", "pb AS")

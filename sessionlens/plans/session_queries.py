@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clocks, evidence, intervals, pairing, speech
+from ..sources.shared import stored
 from .fixtures import view
 from .interval_queries import ONCE
 from .pairing_queries import fifo_sql
@@ -23,8 +24,8 @@ SESSION_TRADES = (
 )
 
 
-def session_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fills, clips = view(spark, sf_dir, "executions"), view(spark, sf_dir, "clips")
+def session_trades(spark: SparkSession, sf_dir: str, clips: DataFrame | None = None) -> DataFrame:
+    fills, clips = view(spark, sf_dir, "executions"), view(spark, sf_dir, "clips") if clips is None else clips
     once = intervals.assign_once(fills, clips, ["user_id"]).select(F.col("fill_id").alias("entry_fill_id"), "session_id")
     lots = pairing.fifo_lots(fills, ["user_id"])
     j = lots.join(once, "entry_fill_id").join(clips.select("session_id", "start_us", "end_us"), "session_id")
@@ -75,13 +76,13 @@ def rule_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Stated fields of the derived trades, by their number in the user's lots; every fourth trade has no speech.
-def stated_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stated_trades(spark: SparkSession, sf_dir: str, trades: DataFrame | None = None) -> DataFrame:
     def cite(name: str, cond: str):
         return F.when(F.expr(cond), F.concat(F.lit(f"{name}_"), "trade_id")).alias(name)
 
     n = "lot_seq"
     said = F.when(F.col(n) % 5 == 0, "short counter-trend idea").when(F.col(n) % 5 == 1, "this is a 3c with candle close").when(F.col(n) % 5 == 2, "kein 3c, counter trend, arrival").otherwise("quiet arrival")
-    return session_trades(spark, sf_dir).select("session_id", "trade_id", (F.col(n) % 4 != 3).alias("has_speech"), cite("playbook", "lot_seq % 3 = 0"), cite("setup", "lot_seq % 5 = 0"), cite("stop", "lot_seq % 2 = 0"), cite("target", "lot_seq % 7 <> 0"), said.alias("text"))
+    return (session_trades(spark, sf_dir) if trades is None else trades).select("session_id", "trade_id", (F.col(n) % 4 != 3).alias("has_speech"), cite("playbook", "lot_seq % 3 = 0"), cite("setup", "lot_seq % 5 = 0"), cite("stop", "lot_seq % 2 = 0"), cite("target", "lot_seq % 7 <> 0"), said.alias("text"))
 
 
 def _spoken_sql(rule: str, ok: str, bad: str) -> str:
@@ -119,19 +120,16 @@ def rule_3c(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clips = view(spark, sf_dir, "clips")
-    return speech.scorecard(clips, [spoken_checks(spark, sf_dir)], clips.select("session_id", (F.col("n_events") == 2).alias("invalid")))
-
-
-def spoken_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """session_id, rule, status, reason of the rules that rest on speech, and of the one that can't be checked."""
-    clips, ev, tr = view(spark, sf_dir, "clips"), view(spark, sf_dir, "speech_events"), stated_trades(spark, sf_dir)
-    st = session_trades(spark, sf_dir)
-    checks = [
-        speech.playbook(clips, tr), speech.defined(clips, tr), speech.three_c(clips, tr), speech.arrival(clips, tr), speech.order_changes(clips),
-        speech.hourly(clips, ev), speech.no_trade_zone(clips, st, ev), speech.bias(clips, ev), speech.tilt(clips, st, ev),
-    ]
-    return speech.scorecard(clips, checks)
+    clips = stored(view(spark, sf_dir, "clips"), "clips")
+    checks = spoken_checks(spark, sf_dir, clips).select("session_id", F.explode("checks").alias("c")).select("session_id", "c.*")
+    return speech.scorecard(clips, [checks], clips.select("session_id", (F.col("n_events") == 2).alias("invalid")))
+
+
+def spoken_checks(spark: SparkSession, sf_dir: str, clips: DataFrame, events: DataFrame | None = None) -> DataFrame:
+    """session_id, checks of the rules that rest on speech, and of the one that can't be checked; the trades are made once and written, as all rules read them."""
+    ev = stored(view(spark, sf_dir, "speech_events"), "speech") if events is None else events
+    st = stored(session_trades(spark, sf_dir, clips), "trades")
+    return speech.all_checks(clips, stated_trades(spark, sf_dir, st), st, ev)
 
 
 @query("theil_sen", """sl AS (SELECT a.user_id, quantile_cont((b.y - a.y) / (b.x_us - a.x_us), 0.5) AS slope FROM readings a JOIN readings b ON a.user_id = b.user_id AND a.x_us < b.x_us GROUP BY 1),

@@ -188,3 +188,35 @@ def test_whole_scorecards(spark):
     assert got["a", "R-DLL"][1:] == ("unverifiable", "evaluated on day 2026-01-02") and got["a", "R-ZONE"][1:] == ("pass", None) and got["a", "R-CLOSE"][1:] == ("pass", None)
     assert got["b", "R-DLL"][1:] == ("violated", "x") and got["b", "R-ZONE"][1:] == ("unverifiable", "alignment_invalid") and got["b", "R-BIAS"][1:] == ("pass", None) and got["b", "R-PLAYBOOK"][1:] == ("unverifiable", "evidence_pending")
     assert got["c", "R-BIAS"][1:] == ("violated", "no bias") and got["c", "R-DEFINED"][1:] == ("unverifiable", "evidence_pending")
+
+
+def test_whole_scorecards_of_arrays(spark):
+    """Checks as one array for each session count as they do as rows, several of one rule too."""
+    from pyspark.sql import functions as F
+
+    s = spark.sql("select * from values ('a', date'2026-01-02', false, true, false), ('b', date'2026-01-02', true, false, true), ('c', null, false, true, false) v(session_id, day, of_day, has_evidence, invalid)")
+    rows = [("a", "R-ZONE", "pass", None), ("a", "R-ZONE", "violated", "z"), ("a", "R-ZONE", "violated", "y"), ("a", "R-DLL", "violated", "d"), ("b", "R-CLOSE", "unverifiable", "u"), ("b", "R-TILT", "pass", None), ("a", "R-OTHER", "pass", None)]
+    checks = spark.createDataFrame(rows, "session_id string, rule string, status string, reason string")
+    events = spark.sql("select 'b' as session_id, 'bias_statement' as kind")
+    arrays = checks.groupBy("session_id").agg(F.collect_list(F.struct("rule", "status", "reason")).alias("checks"))
+    both = [sorted(map(str, whole_scorecards(s, c, events).collect())) for c in ([checks], [arrays], [arrays.where("session_id = 'a'"), checks.where("session_id = 'b'")])]
+    assert both[0] == both[1] == both[2] and len(both[0]) == 45
+    zone = whole_scorecards(s, [arrays], events).where("session_id = 'a' and rule = 'R-ZONE'").first()
+    assert (zone["place"], zone["status"], zone["reason"]) == (13, "violated", "y")
+
+
+def test_all_checks_equal_single_rules(spark):
+    """All rules counted in one pass give what each gives alone: sessions without events, without trades, with either and both."""
+    from pyspark.sql import functions as F
+
+    from sessionlens.operators import speech
+
+    sessions = spark.sql("select concat('s', id) as session_id, 7200000000L as start_us from range(12)")
+    kinds = "element_at(array('hourly_checkin', 'tilt', 'no_trade_zone', 'bias_statement', null), cast(id % 5 + 1 as int))"
+    events = spark.sql(f"select concat('s', id % 9) as session_id, id % 7 * 450000000L as t_us, {kinds} as kind from range(40) where id % 9 <> 4")
+    text = "element_at(array('a 3c', 'no 3c, counter-trend', 'arrival', null), cast(id % 4 + 1 as int))"
+    trades = spark.sql(f"select concat('s', id % 11) as session_id, id as trade_id, id % 5 * 460000000L as entry_us, id % 6 <> 0 as has_speech, if(id % 3 = 0, 'p', null) as playbook, if(id % 4 = 0, 's', null) as setup, if(id % 2 = 0, 'x', null) as stop, if(id % 7 > 0, 'y', null) as target, {text} as text from range(50) where id % 11 <> 3")
+    alone = [speech.playbook(sessions, trades), speech.defined(sessions, trades), speech.three_c(sessions, trades), speech.arrival(sessions, trades), speech.order_changes(sessions), speech.hourly(sessions, events), speech.no_trade_zone(sessions, trades, events), speech.bias(sessions, events), speech.tilt(sessions, trades, events)]
+    want = sorted(map(str, speech.scorecard(sessions, alone).collect()))
+    got = speech.all_checks(sessions, trades, trades, events).select("session_id", F.explode("checks").alias("c")).select("session_id", "c.*")
+    assert sorted(map(str, got.collect())) == want and len(want) == 12 * 9

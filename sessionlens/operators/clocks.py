@@ -18,11 +18,9 @@ NEIGHBOUR_US = 2_000_000
 def theil_sen(points: DataFrame, keys: Sequence[str], x: str = "x_us", y: str = "y") -> DataFrame:
     """keys, n, slope, intercept: median of the pairwise slopes, median intercept; slope 0 with one sample or equal x.
 
-    One aggregation; pairs are counted, not listed (robust), so large groups end.
+    Pairs of large groups are counted, not listed; small groups are fitted many at once (robust).
     """
-    known = points.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    fit = known.groupBy(*keys).agg(robust.theil_sen(F.col(x), F.col(y)).alias("f"))
-    return fit.select(*keys, F.col("f")[2].cast("long").alias("n"), F.col("f")[0].alias("slope"), F.col("f")[1].alias("intercept"))
+    return robust.fit_by_key(points, keys, x, y)
 
 
 def residual_score(residuals: DataFrame, keys: Sequence[str], r: str = "r") -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import pairing, robust, tag_map
+from ..operators import clocks, pairing, tag_map
 from ..sources import journal, ledger_tables, session_files
 from ..sources.shared import shared_path
 from .fixtures import base, view
@@ -227,5 +227,4 @@ def theil_sen_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fit over all events of a kind: too many pairs to list."""
     us = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
     e = base(spark, sf_dir, "events").select("event_type", F.floor(us / 60_000_000).alias("x"), F.round(F.col("value") * 100).alias("y"))
-    fit = e.groupBy("event_type").agg(robust.theil_sen(F.col("x"), F.col("y")).alias("f"))
-    return fit.select("event_type", F.col("f")[2].cast("long").alias("n"), F.col("f")[0].alias("slope"), F.col("f")[1].alias("intercept"))
+    return clocks.theil_sen(e, ["event_type"], "x", "y")

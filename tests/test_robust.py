@@ -56,3 +56,30 @@ def test_clock_map_and_its_inverse(spark):
             assert r["back"] == r["video_us"]
     hour = d.where("video_us = 3600000000 and drift = 1.5").select((wall - F.col("start_us") - F.col("offset_us")).alias("w")).first()["w"]
     assert hour == 3_601_500_000
+
+
+def test_many_groups_by_key(spark):
+    """Small groups of all sizes, larger ones, ties of x and groups that span batches give the listed pairs' medians."""
+    r = np.random.default_rng(4)
+    sizes = [*range(1, 60), 2, 2, 1, 400, 1500]
+    rows = [(g if g else None, float(a), float(b)) for g, n in enumerate(sizes) for a, b in zip(r.integers(0, max(1, n // 2), n), r.integers(0, 100, n))]
+    points = spark.createDataFrame(rows, "k int, x double, y double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = {x["k"]: (x["n"], x["slope"], x["intercept"]) for x in robust.fit_by_key(points, ["k"], "x", "y").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == len(sizes)
+    for g, n in enumerate(sizes):
+        mine = [(a, b) for k, a, b in rows if k == (g if g else None)]
+        slope = listed(*zip(*mine))
+        assert got[g if g else None] == (n, pytest.approx(slope, abs=1e-9), pytest.approx(float(np.median([b - slope * a for a, b in mine])), abs=1e-9))
+
+
+def test_steps_of_a_merge(monkeypatch):
+    monkeypatch.setattr(robust, "STEP", 16)
+    r = np.random.default_rng(3)
+    for n in (1, 2, 5, 16, 33, 200):
+        p = r.permutation(n)
+        assert robust._inversions(p) == sum(a > b for a, b in itertools.combinations(p, 2))

@@ -13,8 +13,10 @@ Events later than the watermark are dropped by Spark, and so have no effect.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -63,24 +65,48 @@ class Day:
     run: int = 0
     block_end: int | None = None
     out: list[tuple] = field(default_factory=list)
+    #: Keys of trades as a heap; trades closed at the moment of their entry, whose entry comes after the exit; rows that are kept before the next clearing.
+    queue: list[tuple[int, str]] = field(default_factory=list)
+    at_once: set[tuple[int, str]] = field(default_factory=set)
+    most: int = 64
+
+    def __post_init__(self) -> None:
+        self.queue = sorted(self.trades)
 
     def need(self, kind: str) -> int:
         return 60 * SECOND * (self.config.streak_minutes if kind == "streak" else self.config.post_loss_minutes)
 
     def until(self, now: int) -> None:
-        """Ends a block that ends by now, and forgets losses for which any entry comes too late."""
+        """Ends a block that ends by now, and forgets what no later event needs."""
+        self.end_block(now)
+        self.forget(now)
+
+    def end_block(self, now: int) -> None:
         if self.block_end is not None and self.block_end <= now:
             self.out.append(("block_end", None, None, None, None, self.block_end))
             self.block_end = None
+
+    def forget(self, now: int) -> None:
+        """Losses for which any entry comes too late, and entries before all trades that wait for their turn."""
         self.losses = [x for x in self.losses if now < x[2].ts_us + self.need(x[0])]
-        first = min([k[0] for k in self.trades], default=now)
-        self.entries = [e for e in self.entries if e.ts_us >= first]
+        first = min(self.queue[0][0], now) if self.queue else now
+        self.entries = self.entries[bisect_left(self.entries, first, key=lambda e: e.ts_us) :]
+        self.at_once = {k for k in self.at_once if k[0] >= now}
 
     def take(self, event: Trade) -> None:
-        self.until(event.ts_us)
+        """Events come in time order. The lists are cleared when they have doubled, so an event costs the same however many trades are open."""
+        self.end_block(event.ts_us)
+        kept = len(self.losses) + len(self.entries)
+        if kept > self.most:
+            self.forget(event.ts_us)
+            self.most = 64 + 2 * (len(self.losses) + len(self.entries))
         key = event.entry_us, event.trade_id
         if event.kind == "entry":
-            self.trades.setdefault(key, None)
+            if key in self.at_once:
+                self.at_once.discard(key)
+            elif key not in self.trades:
+                self.trades[key] = None
+                heappush(self.queue, key)
             self.entries.append(event)
             left = []
             for kind, streak, loss in self.losses:
@@ -90,7 +116,11 @@ class Day:
                     self.follow(kind, streak, loss, event)
             self.losses = left
         else:
+            if key not in self.trades:
+                heappush(self.queue, key)
             self.trades[key] = event
+            if event.entry_us >= event.ts_us:
+                self.at_once.add(key)
             if event.loss:
                 self.wait("post_loss", 0, event)
                 self.block_end = event.ts_us + self.need("post_loss")
@@ -98,22 +128,24 @@ class Day:
 
     def turn(self, settle: bool = False) -> None:
         """Counts trades of the streak whose turn has come: all entered before them are closed."""
-        for key in sorted(self.trades):
-            trade = self.trades[key]
+        while self.queue:
+            trade = self.trades[self.queue[0]]
+            if trade is None and not settle:
+                return
+            del self.trades[heappop(self.queue)]
             if trade is None:
-                if not settle:
-                    return
-                del self.trades[key]
                 continue
-            del self.trades[key]
             self.run = self.run + 1 if trade.loss else 0
             if trade.loss and self.run >= self.config.streak:
                 self.wait("streak", self.run, trade)
 
     def wait(self, kind: str, streak: int, loss: Trade) -> None:
-        known = [e for e in self.entries if e.ts_us >= loss.ts_us and e.trade_id != loss.trade_id]
-        if known:
-            self.follow(kind, streak, loss, min(known, key=lambda e: (e.ts_us, e.trade_id)))
+        """The first known entry after a loss, else the next that comes. Entries are in the order of (time, id)."""
+        at = bisect_left(self.entries, loss.ts_us, key=lambda e: e.ts_us)
+        while at < len(self.entries) and self.entries[at].trade_id == loss.trade_id:
+            at += 1
+        if at < len(self.entries):
+            self.follow(kind, streak, loss, self.entries[at])
         else:
             self.losses.append((kind, streak, loss))
 
@@ -153,15 +185,15 @@ class RuleBlocks(StatefulProcessor):
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        day = Day(self.config)
         run, end, last = self.status.get() or (0, None, 0)
-        day.run, day.block_end = run, end
         size = len(FIELDS)
+        trades = {}
         for r in self.trades.get():
             t = Trade(*r[:size])
-            day.trades[t.entry_us, t.trade_id] = t if r[size] else None
-        day.entries = [Trade(*r) for r in self.entries.get()]
-        day.losses = [(r[size], r[size + 1], Trade(*r[:size])) for r in self.losses.get()]
+            trades[t.entry_us, t.trade_id] = t if r[size] else None
+        entries = [Trade(*r) for r in self.entries.get()]
+        losses = [(r[size], r[size + 1], Trade(*r[:size])) for r in self.losses.get()]
+        day = Day(self.config, trades, entries, losses, run, end)
         events = sorted((Trade(*r) for r in self.waiting.get()), key=lambda t: t.order)
         for t in events:
             if t.ts_us < now:

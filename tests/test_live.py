@@ -154,3 +154,32 @@ def test_steps_keep_their_state_between_calls():
     assert whole[0] == [(1, 2, 3), (1, 6, 3), (1, 7, 4)]
     first = live.streak_step((1,), losses[:2], [], None)
     assert first[0] + live.streak_step((1,), losses[2:], [], first[2])[0] == whole[0]
+
+
+def test_a_day_of_many_open_trades_ends():
+    """Trades that all stay open until the end, and one that is never closed: each event once had to pass all of them."""
+    import time
+
+    n, day = 20_000, rule_blocks.Day(CONFIG)
+    began = time.time()
+    for i in range(n):
+        day.take(rule_blocks.Trade(i, "entry", f"t{i:06}", i, "MES", "long", 1, -1.0, False))
+    for i in range(1, n):
+        day.take(rule_blocks.Trade(n + i, "exit", f"t{i:06}", i, "MES", "long", 1, -1.0, False))
+    day.turn(settle=True)
+    assert time.time() - began < 20 and day.run == n - 1 and not day.trades
+
+
+def test_rows_of_many_keys_in_order(spark):
+    """Far more keys than buckets, a null one too: each key's rows are taken alone and in time order, over several batches."""
+    r = random.Random(2)
+    rows = [(k if k else None, i, r.randrange(1, 300) * MINUTE + i, r.choice([-1.0, -1.0, -1.0, 1.0, None])) for i in range(900) for k in [r.randrange(40)]]
+    e = spark.createDataFrame(rows, "user_id long, row_id long, ts_us long, pnl double").withColumn("ts", F.timestamp_micros("ts_us"))
+    feed = [e.where((F.col("ts_us") >= lo * MINUTE) & (F.col("ts_us") < (lo + 100) * MINUTE)) for lo in range(0, 400, 100)]
+    clock = e.limit(1).withColumns({"user_id": F.lit(99).cast("long"), "ts_us": F.lit(10**15).cast("long"), "ts": F.timestamp_micros(F.lit(10**15))}).select(e.columns)
+    out = live.replay(spark, {"e": [*feed, clock]}, lambda s: live.in_order(s["e"], ["user_id"], "pnl double", live.streak_step, "row_id long, streak long", "none long", "run long", buckets=3))
+    want = []
+    for k in {x[0] for x in rows}:
+        mine = sorted((t, i, p) for u, i, t, p in rows if u == k)
+        want += live.streak_step((k,), mine, [], None)[0]
+    assert sorted(map(str, want)) == sorted(str(tuple(x)) for x in out.collect()) and len(want) > 100

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clocks, pairing, tag_map
 from ..sources import journal, ledger_tables, session_files
-from ..sources.shared import shared_path
+from ..sources.shared import shared_path, stored
 from .fixtures import base, view
 from .pairing_queries import LOTS, lots
 from .registry import query
@@ -46,6 +46,10 @@ def ledger_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.read("trades").select("session_id", "tva_trade_id", "trade_id", "entry_fill_id", "direction", "entry_price", "status", "venue")
 
 
+#: Tasks move their own files; else the driver moves a folder for each session, one after the other.
+COMMIT = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+
+
 def session_folders(spark: SparkSession, sf_dir: str, kind: str) -> str:
     """A folder for each conversation with its transcript or insights; every eleventh is cut short, every seventh has a wrong part."""
     c = base(spark, sf_dir, "conversations")
@@ -62,7 +66,7 @@ def session_folders(spark: SparkSession, sf_dir: str, kind: str) -> str:
     # A JSON file of several lines.
     text = F.when(F.col("conv_id") % 11 == 5, F.substring("json", F.lit(1), F.length("json") - 2)).otherwise(F.regexp_replace("json", r'^\{', "{\n"))
     path = shared_path(spark, f"sessions-{kind}")
-    docs.select(F.concat(F.lit("c"), "conv_id").alias("session_id"), text.alias("value")).repartition("session_id").write.partitionBy("session_id").option("lineSep", "\n").text(path)
+    docs.select(F.concat(F.lit("c"), "conv_id").alias("session_id"), text.alias("value")).repartition("session_id").write.partitionBy("session_id").options(**COMMIT).option("lineSep", "\n").text(path)
     return f"{path}/session_id=*"
 
 
@@ -83,7 +87,8 @@ SELECT 'c' || conv_id AS session_id, 'span' AS what, 'seg_' || turn AS seg, coal
 UNION ALL SELECT 'c' || conv_id, 'event', 'seg_' || turn, '', CASE WHEN turn % 2 = 0 THEN 'tilt' ELSE 'break' END FROM e UNION ALL SELECT 'c' || conv_id, 'reject', NULL, NULL, problem FROM r""",
 )
 def session_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = session_files.read_documents(spark, session_folders(spark, sf_dir, "insights"), "insights")
+    # Three tables are made of the documents: each file is opened once.
+    docs = stored(session_files.read_documents(spark, session_folders(spark, sf_dir, "insights"), "insights"), "insights")
     spans = session_files.spans(docs).select("session_id", F.lit("span").alias("what"), "seg", "text", "name")
     events = session_files.events(docs).select("session_id", F.lit("event").alias("what"), "seg", "text", F.col("kind").alias("name"))
     none = F.lit(None).cast("string")
@@ -134,8 +139,9 @@ def recording_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file for each conversation; large ones stay closed. The hint less the modification time is what start and duration leave."""
     path = shared_path(spark, "recordings")
     c = base(spark, sf_dir, "conversations").groupBy(F.concat(F.lit("c"), "conv_id").alias("session_id")).agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))).alias("x"))
-    c.select("session_id", F.array_join(F.transform("x", lambda s: s["text"]), "\n").alias("value")).repartition("session_id").write.partitionBy("session_id").text(path)
-    files = session_files.recordings(spark, path, [".txt"], 1500).withColumn("session_id", F.regexp_extract("path", "session_id=([^/]+)", 1))
+    c.select("session_id", F.array_join(F.transform("x", lambda s: s["text"]), "\n").alias("value")).repartition("session_id").write.partitionBy("session_id").options(**COMMIT).text(path)
+    # Listed and digested once, read four times.
+    files = stored(session_files.recordings(spark, path, [".txt"], 1500).withColumn("session_id", F.regexp_extract("path", "session_id=([^/]+)", 1)), "files")
     durations = files.select("name", "session_id", F.lit(1).alias("chain_no"), (F.col("modified_us") - 100_000_000).alias("start_us"), F.lit(10_000_000).alias("duration_us"))
     hints = session_files.start_hints(files.drop("session_id").withColumn("name", F.col("path")), durations.join(files.select("session_id", "path"), "session_id").withColumn("name", F.col("path")).drop("path"))
     met = files.join(hints.select("session_id", F.col("pause_hint_us").alias("hint_rest_us"), "verified"), "session_id")

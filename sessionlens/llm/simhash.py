@@ -137,6 +137,8 @@ FREQUENT, COUNT_BLOCK = 262_144, 1 << 19
 OFTEN = 2
 #: Open pairs of a prefix shingle beyond which its members are first compared with hubs, and rounds of that. All open pairs left are compared then.
 OPEN_PAIRS, HUB_ROUNDS = 2016, 4
+#: Members of a prefix shingle that are compared with as many others in one place, about.
+MEET_BLOCK = 512
 
 
 def _shingles(text: str | None, shingle: int) -> tuple[list[bytes], np.ndarray]:
@@ -212,6 +214,41 @@ def parity_distance(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ folded).sum())
 
 
+def _open_share(similarity: float) -> float:
+    """Members in one of two similar sets alone, at most, as a share of both sizes' sum."""
+    return (1 - similarity) / (1 + similarity)
+
+
+def near_in_group(rows: pd.DataFrame, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the pairs of one shingle's members that sizes, places and parities let be similar.
+
+    rows: node, size, pos, component, parity, i, j, block; members of one component aren't compared, nor those of one block if i and j differ.
+    """
+    node, size, component, block = (rows[c].to_numpy() for c in ("node", "size", "component", "block"))
+    rest = size - rows["pos"].to_numpy()
+    bits = [np.frombuffer(x, np.uint8) for x in rows["parity"]]
+    widths = np.array([len(x) for x in bits])
+    across = rows["i"].iloc[0] != rows["j"].iloc[0]
+    a, b = [], []
+    for w in np.unique(widths):
+        others = np.flatnonzero(widths >= w)
+        folded = np.stack([np.bitwise_xor.reduce(bits[k].reshape(-1, w), axis=0) for k in others])
+        for k in np.flatnonzero(widths == w):
+            both = size[others] + size[k]
+            ok = ((widths[others] > w) | (others > k)) & (component[others] != component[k])
+            ok &= np.minimum(rest[others], rest[k]) >= both * (similarity / (1 + similarity)) - 1e-6
+            if across:
+                ok &= block[others] != block[k]
+            ok = np.flatnonzero(ok)
+            if len(ok):
+                far = np.bitwise_count(folded[ok] ^ bits[k]).sum(axis=1, dtype=np.int64)
+                met = others[ok[far <= _open_share(similarity) * both[ok] + 1e-6]]
+                a.append(np.minimum(node[met], node[k]))
+                b.append(np.maximum(node[met], node[k]))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+
 class _Verifier:
     """Pairs of classes whose shingle sets are similar.
 
@@ -226,14 +263,59 @@ class _Verifier:
 
     def similar(self, candidates: DataFrame) -> DataFrame:
         """The pairs a, b (each once, a < b) of candidates that are similar."""
-        similarity = self.similarity
-        share = 2 * (1 - similarity) / (1 + similarity) / 2  # members in one of both sets, of both sizes' sum
+        return self.verified(self.near(candidates))
+
+    def near(self, candidates: DataFrame) -> DataFrame:
+        """The pairs a, b (each once, a < b) of candidates that their parities let be similar."""
+        share = _open_share(self.similarity)
 
         def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 ok = [parity_distance(x, y) <= share * n + 1e-6 for x, y, n in zip(b["a_parity"], b["b_parity"], b["n"])]
                 yield b[["a", "b"]][np.array(ok, bool)]
 
+        pairs = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+        met = pairs.join(self.signs.toDF("a_id", "a_size", "a_parity"), F.col("a") == F.col("a_id")).join(self.signs.toDF("b_id", "b_size", "b_parity"), F.col("b") == F.col("b_id"))
+        return met.select("a", "b", (F.col("a_size") + F.col("b_size")).alias("n"), "a_parity", "b_parity").mapInPandas(lean(near), "a long, b long")
+
+    def near_members(self, members: DataFrame) -> DataFrame:
+        """The pairs a, b (each once, a < b) of members that meet in a shingle and may be similar, compared where the shingle's members lie.
+
+        members: h, node, size, pos, component, members (of the shingle). Pairs are no rows until their parities are near. The members of a large
+        shingle are dealt into blocks, and each two blocks meet in a place of their own.
+        """
+        similarity = self.similarity
+
+        def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            def met(groups: list[pd.DataFrame]) -> pd.DataFrame:
+                found = [near_in_group(g, similarity) for g in groups]
+                return pd.DataFrame({"a": np.concatenate([x for x, _ in found]), "b": np.concatenate([x for _, x in found])}).drop_duplicates()
+
+            left = None
+            for rows in batches:
+                if not len(rows):
+                    continue
+                rows = rows if left is None else pd.concat([left, rows], ignore_index=True)
+                keys = rows[["h", "i", "j"]].to_numpy()
+                starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
+                left = rows.iloc[starts[-1] :]  # may go on in the next batch
+                if len(starts) > 1:
+                    yield met([rows.iloc[x:y] for x, y in zip(starts[:-1], starts[1:])])
+            if left is not None:
+                yield met([left])
+
+        n = F.ceil(F.col("members") / MEET_BLOCK).cast("int")
+        meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("block", x).alias("i"), F.greatest("block", x).alias("j")))
+        dealt = members.withColumn("blocks", n).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        signs = self.signs.toDF("s_node", "s_size", "parity")
+        dealt = dealt.join(signs, (F.col("node") == F.col("s_node")) & (F.col("size") == F.col("s_size"))).select("h", "node", "size", "pos", "component", "parity", "block", F.explode(meets).alias("x"))
+        placed = dealt.select("h", "x.i", "x.j", "node", "size", "pos", "component", "parity", "block").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
+        return placed.mapInPandas(lean(near), "a long, b long").distinct()
+
+    def verified(self, near: DataFrame) -> DataFrame:
+        """The pairs of near (a, b) whose shingle sets are similar."""
+        similarity = self.similarity
+
         def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 ok = []
@@ -243,10 +325,7 @@ class _Verifier:
                     ok.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
                 yield b[["a", "b"]][np.array(ok, bool)]
 
-        pairs = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-        met = pairs.join(self.signs.toDF("a_id", "a_size", "a_parity"), F.col("a") == F.col("a_id")).join(self.signs.toDF("b_id", "b_size", "b_parity"), F.col("b") == F.col("b_id"))
-        left = met.select("a", "b", (F.col("a_size") + F.col("b_size")).alias("n"), "a_parity", "b_parity").mapInPandas(lean(near), "a long, b long")
-        pairs = self.scratch.table(left, "candidates")
+        pairs = self.scratch.table(near, "candidates")
         grams = self._shingles_of(pairs)
         both = pairs.join(grams.toDF("a_id", "a_grams"), F.col("a") == F.col("a_id")).join(grams.toDF("b_id", "b_grams"), F.col("b") == F.col("b_id"))
         return self.scratch.table(both.select("a", "b", "a_grams", "b_grams").mapInPandas(lean(verified), "a long, b long").distinct(), "similar")
@@ -294,9 +373,9 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, s
     Groups are connected by equal sets of ``shingle``-word shingles (A-Z lower-cased) and by pairs whose sets have a Jaccard similarity of at least ``similarity``. The links of
     ``seeds`` independent SimHash fingerprints of the texts' distinct words join most of them. All
     others meet in a prefix: of two similar sets in a common order, the first n - ceil(similarity * n) + 1
-    shingles of each share one. Where many meet, hubs (a new one each round) connect what they can in
-    linear space; then every pair that meets and isn't connected yet is verified. Rows that share an id are one document
-    with several texts.
+    shingles of each share one. Of shingles that the same sets share, the first stands for all. Where many meet, hubs (a new one each round) connect what they can in
+    linear space; then every pair that meets and isn't connected yet is verified: as rows where no more pairs than members are open, else where the members lie.
+    Rows that share an id are one document with several texts.
     """
     with Scratch(docs.sparkSession) as scratch:
         rows = docs.where("doc_id is not null").select("doc_id", "text")
@@ -311,7 +390,10 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, s
         edges = verifier.similar(same.select(F.col("node").alias("a"), F.col("first").alias("b")).unionByName(links(firsts, radius)))
 
         listed = classes.select("node", "size", F.posexplode("prefix").alias("pos", "h"))
-        met_twice = listed.select("h").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+        # The order is common, so two sets' first common shingle is the first of all that the same sets share.
+        who, again = F.xxhash64("node", "size"), F.xxhash64("size", "node")
+        met = listed.groupBy("h").agg(F.count("*").alias("n"), F.bit_xor(who).alias("x"), F.bit_xor(again).alias("y"), F.min(F.struct("node", "size", "pos"))["pos"].alias("at"))
+        met_twice = met.where("n > 1").groupBy("n", "x", "y").agg(F.min_by("h", F.struct("at", "h")).alias("h")).select("h")
         shared = scratch.table(listed.join(met_twice, "h", "left_semi"), "prefixes")
 
         def grouped(comp: DataFrame) -> DataFrame:
@@ -341,7 +423,12 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, s
                 break
             edges = edges.unionByName(found)
             rest = grouped(connected_components(edges))
-        edges = edges.unionByName(verifier.similar(meetings(rest, rest).where("a < b")))
+        parts = rest.groupBy("h", "component").agg(F.count("*").alias("n")).groupBy(F.col("h").alias("m_h"))
+        parts = scratch.table(parts.agg(F.sum("n").alias("members"), ((F.pow(F.sum("n"), 2) - F.sum(F.pow("n", F.lit(2)))) / 2).alias("pairs")).where("pairs > 0"), "parts")
+        few = rest.join(parts.where("pairs <= members"), F.col("h") == F.col("m_h"), "left_semi")
+        many = join_on_copy(rest, parts.where("pairs > members").select("m_h", "members"), "h", "m_h", "inner").drop("m_h")
+        near = verifier.near(meetings(few, few).where("a < b")).unionByName(verifier.near_members(many)).distinct()
+        edges = edges.unionByName(verifier.verified(near))
         comp = connected_components(edges)
         of_class = classes.join(comp.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left")
         of_class = scratch.table(of_class.select(F.col("key").alias("c_key"), F.coalesce("component", "node").alias("component_id")), "components")

@@ -610,3 +610,23 @@ def test_empty_tables(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert quality_crf.drop_low_quality(docs, quality_crf.fit(docs, labels)).count() == 0
     assert language_id.predict(docs, language_id.fit(docs)).count() == 0
+
+
+def test_members_of_a_shingle_are_compared_in_place(spark, monkeypatch):
+    """Texts of one rare line meet in it; pairs become rows only where their parities are near, in one block or several."""
+    from sessionlens.llm.common import Scratch
+
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64)) for n in rng.integers(3, 90, 60)]
+    sets += [np.unique(np.r_[s[2:], s[:1] + np.uint64(1)]) for s in sets[:30]]
+    rows = [(i, len(s), simhash.parity(s)) for i, s in enumerate(sets)]
+    classes = spark.createDataFrame(rows, "node long, size int, parity binary")
+    members = spark.createDataFrame([(h, i, n, 0, i % 7 if h else i, len(rows)) for h in (0, 5) for i, n, _ in rows], "h long, node long, size int, pos int, component long, members long")
+    share = 0.2 / 1.8
+    want = {(a, b) for a, m, x in rows for b, n, y in rows if a < b and min(m, n) >= (m + n) * 0.8 / 1.8 - 1e-6 and simhash.parity_distance(x, y) <= share * (m + n) + 1e-6}
+    assert 0 < len(want) < len(rows) * 3
+    for block in (512, 16):
+        monkeypatch.setattr(simhash, "MEET_BLOCK", block)
+        with Scratch(spark) as scratch:
+            got = simhash._Verifier(None, classes, scratch, 0.8, 5).near_members(members).collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want

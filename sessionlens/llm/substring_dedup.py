@@ -16,7 +16,8 @@ and can be loaded for further batches.
 
 Matches are verified: every document that shares a hash, old or first, gives a digest of the window's words.
 Where one hash has several digests, its windows are judged anew by hash and digest. Removed windows are found again in
-the documents by their hash, so no positions are stored.
+the documents by their hash, so no positions are stored. What a bucket finds goes back packed, one row for each group of
+documents; a group's task sorts it out to its documents.
 
 Null ids neither remove nor are removed from. Null and empty texts have no words. Rows
 that share an id are one document. Texts of any length are taken whole. Extra columns
@@ -40,11 +41,9 @@ from .common import Scratch, join_on_copy, lean, materialize, read_table, window
 
 WINDOW = 13
 #: Windows of one block in a task, and about the windows of one bucket.
-BLOCK = 1 << 18
-BUCKET = 400_000
+BLOCK = 1 << 19
+BUCKET = 800_000
 MIN_BUCKETS = 48
-#: Buckets of one task, about.
-TASK_BUCKETS = 2
 MAX_RUNS = 4
 #: Shares of the documents, by id, where batches end.
 CUTS = (1 / 128, 1 / 64, 1 / 32, 1 / 16, 1 / 8)
@@ -88,14 +87,35 @@ def unpack_sorted(packed: bytes) -> np.ndarray:
     return np.cumsum(unpack_planes(packed, np.uint64), dtype=np.uint64)
 
 
-def _lists(docs: np.ndarray, hashes: np.ndarray, old: bool, bucket: np.ndarray | int) -> pd.DataFrame:
-    """Rows of shared hashes (distinct), packed for each document."""
-    order = np.lexsort((hashes, docs))
-    docs, hashes = docs[order], hashes[order]
-    starts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]]) if len(docs) else np.zeros(0, int)
-    packed = [pack_sorted(x) for x in np.split(hashes, starts[1:])] if len(docs) else []
-    ids = docs[starts]
-    return pd.DataFrame({"bucket": np.asarray(ids % bucket if isinstance(bucket, np.ndarray) else bucket, np.int32), "doc_id": pd.array(ids, "Int64"), "old": old, "hashes": packed, "docs": None})
+def _group(docs: np.ndarray, groups: int) -> np.ndarray:
+    """The group of documents that each id belongs to."""
+    mixed = docs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int32)
+
+
+class _Packed:
+    """Rows of _DEALT: windows of a bucket (grp is null), or shared windows of a group of documents, old or first."""
+
+    def __init__(self, groups: int):
+        self.groups, self.rows = groups, []
+
+    def windows(self, bucket: int, h: np.ndarray, d: np.ndarray) -> None:
+        self.rows.append((bucket, None, None, pack_sorted(h), pack_planes(d)))
+
+    def shared(self, h: np.ndarray, d: np.ndarray, old: bool, bucket: int | None = None) -> None:
+        """h is sorted; without a bucket, each group's row goes to the bucket of its number."""
+        if not len(h):
+            return
+        g = _group(d, self.groups)
+        order = np.argsort(g, kind="stable")
+        g, h, d = g[order], h[order], d[order]
+        cuts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        for x, y, z in zip(g[cuts].tolist(), np.split(h, cuts[1:]), np.split(d, cuts[1:])):
+            self.rows.append((x if bucket is None else bucket, x, old, pack_sorted(y), pack_planes(z)))
+
+    def frame(self) -> pd.DataFrame:
+        bucket, grp, old, hashes, docs = zip(*self.rows) if self.rows else ((),) * 5
+        return pd.DataFrame({"bucket": np.array(bucket, np.int32), "grp": pd.array(grp, "Int32"), "old": pd.array(old, "boolean"), "hashes": hashes, "docs": docs})
 
 
 def _first_seen(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -109,24 +129,23 @@ def _first_seen(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.nd
     return h, d, first, ~(first & last)
 
 
-_DEALT = "bucket int, doc_id long, old boolean, hashes binary, docs binary"
+_DEALT = "bucket int, grp int, old boolean, hashes binary, docs binary"
 
 
 def _hashed(docs: DataFrame, window: int, buckets: int, bits: int) -> DataFrame:
-    """Rows bucket, hashes, docs (packed; the smallest document of each hash in a block), and rows doc_id, old, hashes of hashes that a block's documents share."""
+    """Rows bucket, hashes, docs (packed; the smallest document of each hash in a block), and rows grp, old, hashes, docs of hashes that a block's documents share."""
 
     def flush(hs: list, ids: list) -> pd.DataFrame:
         h, d, first, shared = _first_seen(np.concatenate(hs), np.repeat(np.array(ids, np.int64), [len(x) for x in hs]))
-        spread = np.array(buckets, np.int64)
-        lists = [_lists(d[at], h[at], old, spread) for at, old in ((shared & ~first, True), (shared & first, False)) if at.any()]
+        out = _Packed(buckets)
+        out.shared(h[shared & ~first], d[shared & ~first], True)
+        out.shared(h[shared & first], d[shared & first], False)
         h, d = h[first], d[first]
         b = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
         cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
-        dealt = pd.DataFrame({
-            "bucket": b[cuts], "doc_id": pd.array([None] * len(cuts), "Int64"), "old": None,
-            "hashes": [pack_sorted(x) for x in np.split(h, cuts[1:])], "docs": [pack_planes(x) for x in np.split(d, cuts[1:])],
-        })
-        return pd.concat([dealt, *lists]).astype({"old": "boolean"})
+        for bucket, x, y in zip(b[cuts].tolist(), np.split(h, cuts[1:]), np.split(d, cuts[1:])):
+            out.windows(bucket, x, y)
+        return out.frame()
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hs, ids, held = [], [], 0
@@ -183,15 +202,29 @@ class SubstringIndex:
             self.spark.createDataFrame(rows, "version long, at int, run string, buckets int, window int, bits int").coalesce(1).write.mode("append").parquet(f"{self.path}/state")
 
     def judge(self, docs: DataFrame, last: bool = False) -> DataFrame:
-        """doc_id, old, hashes: hashes of a batch that several documents have, old or first; first ones of earlier batches too.
+        """doc_id, old, hashes: hashes of a batch that several documents have, old or first; first ones of earlier batches too."""
+
+        def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for old, hashes, docs in zip(b["old"], b["hashes"], b["docs"]):
+                    d, h = unpack_planes(docs), unpack_sorted(hashes)
+                    ids, at = np.unique(d, return_inverse=True)
+                    yield pd.DataFrame({"doc_id": ids, "old": old, "hashes": [pack_sorted(h[at == i]) for i in range(len(ids))]})
+
+        return self.judge_groups(docs, last).mapInPandas(split, "doc_id long, old boolean, hashes binary")
+
+    def judge_groups(self, docs: DataFrame, last: bool = False) -> DataFrame:
+        """What judge returns, as rows grp, old, hashes, docs: packed pairs of a hash and a document of the group.
 
         The batch's ids must all be larger than those of earlier batches. Its new hashes become a run, unless it is the last batch.
         """
         dealt = _hashed(docs, self.window, self.buckets, self.bits)
+        groups = self.buckets
 
         def merged(rows: pd.DataFrame, runs: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
-            known = rows["docs"].isna()
-            parts = [rows[known]]
+            known = rows["grp"].notna()
+            out = _Packed(groups)
+            out.rows += rows[known].itertuples(index=False, name=None)
             rows = rows[~known]
             if len(rows):
                 bucket = int(rows["bucket"].iloc[0])
@@ -204,20 +237,21 @@ class SubstringIndex:
                         old |= met
                         new &= ~met
                         at = np.unique(at[met])
-                        parts.append(_lists(docs_of_run[at], run[at], False, bucket))
-                parts += [_lists(d[x], h[x], o, bucket) for x, o in ((old, True), (shared & first & ~old, False))]
+                        out.shared(run[at], docs_of_run[at], False, bucket)
+                out.shared(h[old], d[old], True, bucket)
+                at = shared & first & ~old
+                out.shared(h[at], d[at], False, bucket)
                 if not last and new.any():
-                    parts.append(pd.DataFrame({"bucket": np.array([bucket], np.int32), "doc_id": pd.array([None], "Int64"), "old": [None], "hashes": [pack_sorted(h[new])], "docs": [pack_planes(d[new])]}))
-            return pd.concat([p for p in parts if len(p)] or parts[:1]).astype({"old": "boolean"})
+                    out.windows(bucket, h[new], d[new])
+            return out.frame()
 
-        # Few buckets a task: fetched blocks lie beside the heap.
-        spread = max(1, -(-self.buckets // TASK_BUCKETS))
-        dealt = dealt.repartition(spread, "bucket")
+        # A bucket a task: fetched blocks lie beside the heap.
+        dealt = dealt.repartition(self.buckets, "bucket")
         if self.runs:
             runs = self.runs[0]
             for r in self.runs[1:]:
                 runs = runs.unionByName(r)
-            runs = runs.repartition(spread, "bucket")
+            runs = runs.repartition(self.buckets, "bucket")
 
             def join(rows: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
                 return merged(rows, [(unpack_sorted(h), unpack_planes(d)) for h, d in zip(runs["hashes"], runs["docs"])])
@@ -226,14 +260,15 @@ class SubstringIndex:
         else:
             out = dealt.groupBy("bucket").applyInPandas(lambda rows: merged(rows, []), _DEALT)
         if last:
-            return out.select("doc_id", "old", "hashes")
+            return out.select("grp", "old", "hashes", "docs")
         # One table for both: reading its parts later costs less than a second pass over the texts.
         out = self.table(out, "judged")
-        self.runs.append(self._keep(out.where("doc_id is null").select("bucket", "hashes", "docs"), "run"))
+        run = out.where("grp is null").select("bucket", "hashes", "docs")
+        self.runs.append(run if self.path is None else self._keep(run, "run"))
         if len(self.runs) > self.max_runs:
             self.compact()
         self._save_state()
-        return out.where("doc_id is not null").select("doc_id", "old", "hashes")
+        return out.where("grp is not null").select("grp", "old", "hashes", "docs")
 
     def compact(self) -> None:
         """Merges all runs into one. No hash is in two runs."""
@@ -251,6 +286,28 @@ class SubstringIndex:
         self.runs = [self._keep(runs.groupBy("bucket").applyInPandas(one, "bucket int, hashes binary, docs binary"), "compact")]
 
 
+def by_document(found: DataFrame) -> DataFrame:
+    """doc_id, old, shared (arrays of one packed list, or none) from rows grp, old, hashes, docs; a hash that is old anywhere isn't in shared."""
+
+    def each(rows: pd.DataFrame) -> pd.DataFrame:
+        h = [unpack_sorted(x) for x in rows["hashes"]]
+        d = np.concatenate([unpack_planes(x) for x in rows["docs"]])
+        new = np.repeat(~rows["old"].to_numpy(bool), [len(x) for x in h])
+        h = np.concatenate(h)
+        order = np.lexsort((new, h, d))
+        h, d, new = h[order], d[order], new[order]
+        once = np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])]
+        h, d, new = h[once], d[once], new[once]
+        cuts = np.r_[np.flatnonzero(np.r_[True, d[1:] != d[:-1]]), len(d)]
+        old, shared = [], []
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            for lists, which in ((old, ~new[lo:hi]), (shared, new[lo:hi])):
+                lists.append([pack_sorted(h[lo:hi][which])] if which.any() else [])
+        return pd.DataFrame({"doc_id": d[cuts[:-1]], "old": old, "shared": shared})
+
+    return found.groupBy("grp").applyInPandas(each, "doc_id long, old array<binary>, shared array<binary>")
+
+
 def buckets_for(docs: DataFrame) -> int:
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     return max(MIN_BUCKETS, -(-chars // (WORD_CHARS * BUCKET)))
@@ -283,18 +340,20 @@ def old_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW, cuts: S
             batch = batch.where(F.col("doc_id") > low)
         if cut is not None:
             batch = batch.where(F.col("doc_id") <= cut)
-        parts.append(index.judge(batch, last=cut is None))
+        parts.append(index.judge_groups(batch, last=cut is None))
         low = cut
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    lists = found.groupBy("doc_id").agg(F.collect_list(F.when(F.col("old"), F.col("hashes"))).alias("old"), F.collect_list(F.when(~F.col("old"), F.col("hashes"))).alias("shared"))
-    lists = scratch.table(lists, "lists")
+    lists = scratch.table(by_document(found), "lists")
 
     def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def distinct() -> pd.DataFrame:
-            rows = np.unique(np.concatenate(held), axis=0)
-            return pd.DataFrame({"h": rows[:, 0], "g": rows[:, 1]})
+            h, g = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((g, h))
+            h, g = h[order], g[order]
+            once = np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])] if len(h) else np.zeros(0, bool)
+            return pd.DataFrame({"h": h[once], "g": g[once]})
 
         held, n = [], 0
         for b in batches:
@@ -302,9 +361,9 @@ def old_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW, cuts: S
                 words = ZstdDecompressor().decompress(z).split()
                 h = window_hashes(words, window, bits)
                 at = np.flatnonzero(np.isin(h, np.concatenate([unpack_sorted(x) for x in (*old, *shared)])))
-                held.append(np.stack([h[at].view(np.int64), word_digests(words, at, window)], axis=1))
+                held.append((h[at].view(np.int64), word_digests(words, at, window)))
                 n += len(at)
-                if n >= BLOCK // 4:
+                if n >= BLOCK // 2:
                     yield distinct()
                     held, n = [], 0
         if held:

@@ -630,3 +630,27 @@ def test_members_of_a_shingle_are_compared_in_place(spark, monkeypatch):
         with Scratch(spark) as scratch:
             got = simhash._Verifier(None, classes, scratch, 0.8, 5).near_members(members).collect()
         assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_a_bucket_finds_a_row_for_each_group_of_documents(spark):
+    """Not one for each document and bucket, whose number grows with the square of the texts; no warning of pandas either."""
+    import warnings
+
+    words = [f"w{i}" for i in range(400)]
+    docs = spark.createDataFrame([(i, f"n{i} " + " ".join(words)) for i in range(300)], "doc_id long, text string")
+    index = substring_dedup.SubstringIndex(spark, 6, 5)
+    first = index.judge_groups(docs.where("doc_id < 150"))
+    second = index.judge_groups(docs.where("doc_id >= 150"), last=True)
+    parts = docs.rdd.getNumPartitions()
+    rows = first.count() + second.count()
+    assert 0 < rows <= 2 * 2 * (6 * 6 + parts * 6)
+    lists = substring_dedup.by_document(first.unionByName(second)).collect()
+    assert sorted(r["doc_id"] for r in lists) == list(range(300))
+    assert {r["doc_id"] for r in lists if r["old"]} == set(range(1, 300))
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        packed = substring_dedup._Packed(4)
+        h, d = np.arange(9, dtype=np.uint64), np.arange(9)
+        packed.shared(h, d, True)
+        packed.windows(1, h, d)
+        assert substring_dedup._Packed(4).frame().empty and packed.frame()["grp"].isna().sum() == 1

@@ -182,17 +182,19 @@ def reentry_clusters(trades: DataFrame, keys: Sequence[str], config: RuleConfig)
     """keys, seed, last, extras, blocked_by: clusters of entries at one level after a stop on entry.
 
     Each trade points to the next at its level within the window while it is a loss; pointers only go forward. A seed
-    that another seed's chain passes is part of that cluster. The pointers come from sweeps; the walk along them is one
+    that another seed's chain passes is part of that cluster. The pointers come from one sweep; the walk along them is one
     grouped map over the pointers of a key (an account's day), which are no more than its losing trades, each passed once or twice.
+    The same pointers tell which trade the block after a cluster's last one meets.
     """
-    window, block = config.reentry_window_s * SECOND, config.reentry_block_minutes * 60 * SECOND
+    window, block, enough = config.reentry_window_s * SECOND, config.reentry_block_minutes * 60 * SECOND, config.reentry_max
     after_loss = next_same_level(trades, keys, config, max(window, block), trades.where(is_loss()))
-    step = after_loss.where(F.col("gap_us") <= window).select(*keys, "trade_id", F.col("next_trade_id").alias("to"))
+    step = after_loss.select(*keys, "trade_id", F.when(F.col("gap_us") <= window, F.col("next_trade_id")).alias("to"), F.when(F.col("gap_us") < block, F.col("next_trade_id")).alias("blocked"))
     seeds = trades.where(stopped_on_entry(config)).select(*keys, "trade_id", F.lit(True).alias("is_seed"))
     both = seeds.join(step, [*keys, "trade_id"], "full")
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         to = {a: b for a, b in zip(rows["trade_id"], rows["to"]) if isinstance(b, str)}
+        blocked = {a: b for a, b in zip(rows["trade_id"], rows["blocked"]) if isinstance(b, str)}
         seeds = rows.loc[rows["is_seed"].eq(True), "trade_id"].tolist()
         # Longest remaining chain of each start, walked once; what a seed passes is no seed of its own.
         passed, out = set(), []
@@ -212,17 +214,14 @@ def reentry_clusters(trades: DataFrame, keys: Sequence[str], config: RuleConfig)
                 for p in reversed(path):
                     n += 1
                     ends[p] = last, n
-                out.append((seed, last, n))
-        found = pd.DataFrame(out, columns=["seed", "last", "extras"])
+                out.append((seed, last, n, blocked.get(last) if n >= enough else None))
+        found = pd.DataFrame(out, columns=["seed", "last", "extras", "blocked_by"])
         for k in reversed(list(keys)):
             found.insert(0, k, rows[k].iloc[0])
         return found
 
     kinds = ", ".join(f"{k} {trades.schema[k].dataType.simpleString()}" for k in keys)
-    active = both.groupBy(*keys).applyInPandas(walk, f"{kinds}, seed string, last string, extras long")
-    blocked = after_loss.where(F.col("gap_us") < block).select(*keys, F.col("trade_id").alias("last"), F.col("next_trade_id").alias("b"))
-    j = active.join(blocked, [*keys, "last"], "left")
-    return j.select(*keys, "seed", "last", "extras", F.when(F.col("extras") >= config.reentry_max, F.col("b")).alias("blocked_by"))
+    return both.groupBy(*keys).applyInPandas(walk, f"{kinds}, seed string, last string, extras long, blocked_by string")
 
 
 def breach_check(rule: str, trades: DataFrame, breaches: DataFrame, keys: Sequence[str], reason: str) -> DataFrame:

@@ -169,6 +169,14 @@ def test_merging_chains_are_one_walk(spark):
     assert sorted((x["seed"], x["last"], x["extras"]) for x in got) == [("T00", "T04", 3), ("T01", "T04", 3)]
 
 
+def test_clusters_take_one_sweep(spark):
+    """Chains and blocks follow the same pointers; the block's trade may enter after the window, and counts only after enough re-entries."""
+    t = [trade(0, 0, 30, -1), trade(1, 100, 130, -1), trade(2, 400, None, None), trade(3, 0, 30, -1, 200), trade(4, 300, None, None, 200)]
+    got = rules.reentry_clusters(spark.createDataFrame(t, TRADE), ["account", "day"], rules.RuleConfig())
+    assert sorted(tuple(x)[2:] for x in got.collect()) == [("T00", "T01", 1, "T02"), ("T03", "T03", 0, None)]
+    assert plan(got).count("Window [") == 1
+
+
 def test_overlaps_equal_all_pairs_without_a_join(spark):
     r = random.Random(5)
     rows = [(i % 2, f"s{i}", a, a + r.choice([0, 1, 7, 40, 900])) for i, a in enumerate(r.randrange(-300, 1500) for _ in range(150))]

@@ -189,3 +189,28 @@ def test_overlaps_equal_all_pairs_without_a_join(spark):
     found = intervals.overlapping(df, ["k"], 20)
     assert {x["session_id"]: x["others"] for x in found.collect()} == want
     assert found.count() == len(want) and "Join" not in plan(found)
+
+
+CORE = "k long, session_id string, start_us long, end_us long"
+
+
+def test_overlaps_list_a_core_few_times(spark):
+    """Disk: a core once or twice for each class of lengths that occurs (here up to 20 and 320), and no exchange to drop copies."""
+    rows = [(i % 3, f"s{i}", 7 * i, 7 * i + 1 + i % 15) for i in range(900)] + [(1, "long", 0, 300)]
+    df = spark.createDataFrame(rows, CORE)
+    listed = intervals.meeting_places(df, 20)
+    assert listed.where("mine").groupBy("session_id").count().where("count <> 1").isEmpty() and listed.where("mine").count() == 901
+    assert {x["c"] for x in listed.select("c").distinct().collect()} == {20, 320}
+    assert listed.count() < 3.5 * 901
+    assert "Aggregate [k" not in plan(intervals.overlapping(df, ["k"], 20))
+
+
+def test_overlaps_of_equal_spans_copies_and_missing_ids(spark):
+    """Equal spans share a list but for their own ids, wherever these stand; copies of a row count once; rows come by start, so neighbours are alike."""
+    rows = [(1, "b", 5, 9), (1, "ä", 5, 9), (1, "a,x", 5, 9), (1, "c", 0, 6), (1, "c", 0, 6), (1, "zz", 8, 12), (1, "y", 30, 31), (1, None, 0, 40), (2, "q", 0, 9), (1, "e", 6, 6)]
+    found = intervals.overlapping(spark.createDataFrame(rows, CORE), ["k"], 100)
+    assert [tuple(x) for x in found.collect()] == [("c", "a,x,b,ä"), ("a,x", "b,c,zz,ä"), ("b", "a,x,c,zz,ä"), ("ä", "a,x,b,c,zz"), ("zz", "a,x,b,ä")]
+
+
+def test_overlaps_of_nothing(spark):
+    assert intervals.overlapping(spark.createDataFrame([(1, "a", 5, 5)], CORE), ["k"]).isEmpty()

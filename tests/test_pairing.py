@@ -212,5 +212,11 @@ def test_overlaps_of_equal_spans_copies_and_missing_ids(spark):
     assert [tuple(x) for x in found.collect()] == [("c", "a,x,b,ä"), ("a,x", "b,c,zz,ä"), ("b", "a,x,c,zz,ä"), ("ä", "a,x,b,c,zz"), ("zz", "a,x,b,ä")]
 
 
+def test_overlaps_are_dealt_to_all_tasks(spark):
+    """Long lists come from few rows, by which adaptive execution would put all buckets into one task."""
+    df = spark.createDataFrame([(k, f"{k}-{i}", 0, 9) for k in range(64) for i in range(2)], CORE)
+    assert intervals.overlapping(df, ["k"], 100).select(F.spark_partition_id()).distinct().count() == 4
+
+
 def test_overlaps_of_nothing(spark):
     assert intervals.overlapping(spark.createDataFrame([(1, "a", 5, 5)], CORE), ["k"]).isEmpty()
